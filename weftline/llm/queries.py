@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import mixing
+from weftline.llm import decontam, mixing
 from weftline.llm.common import table
 
 
@@ -14,7 +14,15 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(spark, table(spark, sf_dir, "documents"))
 
 
+def op7_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.digest(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
+    "op7_decontam": op7_decontam,
+}
+ORACLES: dict[str, str] = {
+    "op2_mixing": mixing.SQL,
+    "op7_decontam": decontam.SQL,
 }
-ORACLES: dict[str, str] = {"op2_mixing": mixing.SQL}
