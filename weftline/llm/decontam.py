@@ -130,8 +130,8 @@ def judge_shard(col: pa.Array, tests: dict[str, np.ndarray], window: int, block:
     n_hit = upto[at[1:]] - upto[at[:-1]]
     items: list = [[] for _ in range(n_docs)]
     matches: list = [[] for _ in range(n_docs)]
-    if found:
-        f = np.concatenate(found, 1)
+    f = np.concatenate(found, 1) if found else np.zeros((5, 0), np.int64)
+    if f.shape[1]:
         f = f[:, np.lexsort((f[3], f[3] - f[2], f[1], f[0]))]
         d, item, place, pos, length = f
         new = np.ones(len(d), bool)
