@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import decontam, mixing
+from weftline.llm import decontam, langid, mixing
 from weftline.llm.common import table
 
 
@@ -18,9 +18,14 @@ def op7_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(spark, table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op7_decontam": op7_decontam,
+    "op10_langid": op10_langid,
 }
 ORACLES: dict[str, str] = {
     "op2_mixing": mixing.SQL,
