@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import decontam, fingerprint, langid, mixing
+from weftline.llm import decontam, fingerprint, langid, mixing, sharding
 from weftline.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(spark, table(spark, sf_dir, "documents"))
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.digest(spark, table(spark, sf_dir, "documents"))
+
+
 def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.digest(spark, table(spark, sf_dir, "documents"))
 
@@ -28,6 +32,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
+    "op3_sharding": op3_sharding,
     "op5_fingerprint": op5_fingerprint,
     "op7_decontam": op7_decontam,
     "op10_langid": op10_langid,
