@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import decontam, fingerprint, langid, mixing, sharding
+from weftline.llm import decontam, fingerprint, langid, mixing, sharding, warc
 from weftline.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(spark, table(spark, sf_dir, "documents"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digest(spark, table(spark, sf_dir, "pages"))
+
+
 def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.digest(spark, table(spark, sf_dir, "documents"))
 
@@ -33,11 +37,13 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op3_sharding": op3_sharding,
+    "op4_warc": op4_warc,
     "op5_fingerprint": op5_fingerprint,
     "op7_decontam": op7_decontam,
     "op10_langid": op10_langid,
 }
 ORACLES: dict[str, str] = {
     "op2_mixing": mixing.SQL,
+    "op4_warc": warc.SQL,
     "op7_decontam": decontam.SQL,
 }
