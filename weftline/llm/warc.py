@@ -141,6 +141,12 @@ def parse_headers(f) -> dict[str, str] | None:
     return got
 
 
+def end_record(f) -> None:
+    """Step over the two line ends that follow a block."""
+    for _ in range(2):
+        f.readline()
+
+
 class WarcReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.at = options["path"]
@@ -197,6 +203,7 @@ class WarcReader(DataSourceReader):
                 row = {c: head.get(h.lower()) for c, h in HEADERS.items()}
                 if not all(test(row) for test in self.tests):
                     f.seek(length, 1)
+                    end_record(f)
                     continue
                 http = head.get("content-type", "").startswith("application/http")
                 said, used = None, 0
@@ -216,6 +223,7 @@ class WarcReader(DataSourceReader):
                     if len(payload) != length - used or (row["payload_digest"] or digest) != digest or (said is not None and said != len(payload)):
                         raise ValueError(f"{row['record_id']}: the payload is not what its headers say")
                     row["payload_digest"] = digest
+                end_record(f)  # else the last record of a block would seem to go on into the next block
                 yield row | {"payload_bytes": length - used if there else said, "payload": payload if self.payload else None}
 
 
