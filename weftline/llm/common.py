@@ -71,12 +71,14 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def lookup(rows: DataFrame, keys: DataFrame, on: str, salt: Column, parts: int = 32) -> DataFrame:
+def lookup(rows: DataFrame, keys: DataFrame, on: str, salt: Column, parts: int = 32, seen: DataFrame | None = None) -> DataFrame:
     """Left join to a table with one row a key, where one key may hold a third of `rows`.
 
     Each key's rows are spread over `parts` salts, and `keys` gets a copy only for the salts a key has: those
-    are found by an aggregation that combines before its shuffle. Nulls in `on` match nothing.
+    are found by an aggregation that combines before its shuffle. Nulls in `on` match nothing. `seen` may name a
+    frame with the same keys and salts that is cheaper to read than `rows`.
     """
+    seen = (rows if seen is None else seen).withColumn("__salt", F.pmod(salt, F.lit(parts)))
     rows = rows.withColumn("__salt", F.pmod(salt, F.lit(parts)))
-    have = rows.where(F.col(on).isNotNull()).groupBy(on, "__salt").agg(F.count(F.lit(1)).alias("__n")).select(on, "__salt")
+    have = seen.where(F.col(on).isNotNull()).groupBy(on, "__salt").agg(F.count(F.lit(1)).alias("__n")).select(on, "__salt")
     return rows.join(have.join(keys, on), [on, "__salt"], "left").drop("__salt")

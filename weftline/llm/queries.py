@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import decontam, fingerprint, langid, mixing, sharding, url_filter, warc
+from weftline.llm import decontam, fingerprint, langid, mixing, neardup, sharding, url_filter, warc
 from weftline.llm.common import table
 
 
@@ -34,6 +34,10 @@ def op7_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.link(spark, table(spark, sf_dir, "documents"), k=3, percent=85)
+
+
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(spark, table(spark, sf_dir, "documents"))
 
@@ -45,10 +49,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_warc": op4_warc,
     "op5_fingerprint": op5_fingerprint,
     "op7_decontam": op7_decontam,
+    "op8_neardup": op8_neardup,
     "op10_langid": op10_langid,
 }
 ORACLES: dict[str, str] = {
     "op2_mixing": mixing.SQL,
     "op4_warc": warc.SQL,
     "op7_decontam": decontam.SQL,
+    "op8_neardup": neardup.SQL,
 }
