@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import decontam, fingerprint, langid, mixing, neardup, sharding, url_filter, warc
+from weftline.llm import decontam, fingerprint, langid, mixing, neardup, quotes, rollup, sharding, url_filter, warc
 from weftline.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.digest(spark, table(spark, sf_dir, "documents"))
 
 
+def op6_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.digest(spark, table(spark, sf_dir, "conversations"))
+
+
 def op7_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -38,23 +42,38 @@ def op8_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.link(spark, table(spark, sf_dir, "documents"), k=3, percent=85)
 
 
+def op9_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollup.replay(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(spark, table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # at the repository's top
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_mixing": op2_mixing,
     "op3_sharding": op3_sharding,
     "op4_warc": op4_warc,
     "op5_fingerprint": op5_fingerprint,
+    "op6_quotes": op6_quotes,
     "op7_decontam": op7_decontam,
     "op8_neardup": op8_neardup,
+    "op9_rollup": op9_rollup,
     "op10_langid": op10_langid,
+    "pipeline": pipeline,
 }
 ORACLES: dict[str, str] = {
     "op2_mixing": mixing.SQL,
     "op4_warc": warc.SQL,
+    "op6_quotes": quotes.SQL,
     "op7_decontam": decontam.SQL,
     "op8_neardup": neardup.SQL,
+    "op9_rollup": rollup.SQL,
 }
