@@ -1,7 +1,7 @@
 """Near-duplicate documents by a chosen-path set similarity join.
 
 A document's set holds the hashes of its distinct word shingles. `POSITIONS` minwise values of the set give its
-sketch (4 bits each). Trees of chosen paths then bring similar sets together: in each of `TREES` independent
+sketch (4 bits each); of sets that have any candidate, `WIDE` values give a sharper one for the later rounds. Trees of chosen paths then bring similar sets together: in each of `TREES` independent
 trees a node picks, from its own key, one minwise position and with the chance 1 / threshold - 1 a second one, and
 sends each of its sets to the child named by the set's token there, so that a set has 1 / threshold children on average
 and two sets at the threshold share one on average. Nodes of at most `SMALL` sets are compared exhaustively
@@ -11,7 +11,8 @@ holds them; the rest are read, sorted by node, and branch inside the task.
 Equal word sequences are joined first (by a 128-bit digest), so trees hold one set for each text. Candidate pairs are
 then confirmed on full sets. Only connectivity matters, so the pairs are asked for in rounds: at first each set's
 nearest and its least-numbered candidate, then the candidates in other components, four for each set and
-component, then all that are left in other components. No candidate is capped away: what a round leaves out the
+component, then all that are left in other components. In the later rounds a pair is named only by the first root
+child that both sets share, so that other trees do not repeat it. No candidate is capped away: what a round leaves out the
 last one takes, or it lies within one component. Components are found by alternating large-star and
 small-star steps over tables of edges. No link, component or sketch of the corpus reaches the driver.
 
@@ -33,13 +34,14 @@ from pyspark.sql import functions as F
 
 from . import common, words
 
-POSITIONS, TREES = 128, 14
+POSITIONS, WIDE, TREES = 128, 1024, 14
+ROOTS = 2 * TREES  # positions that root children may use
 SMALL, GIANT, DEPTH = 1024, 200_000, 24
 SHARD = 2 << 20
 _U = np.uint64
 _rng = np.random.default_rng(7_919)
-MULTIPLY = _rng.integers(0, 1 << 31, POSITIONS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-FLIP = _rng.integers(0, 1 << 32, POSITIONS, dtype=np.uint32)
+MULTIPLY = _rng.integers(0, 1 << 31, WIDE, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+FLIP = _rng.integers(0, 1 << 32, WIDE, dtype=np.uint32)
 
 
 def shingles(h: np.ndarray, at: np.ndarray, k: int) -> list[np.ndarray]:
@@ -64,9 +66,9 @@ def shingles(h: np.ndarray, at: np.ndarray, k: int) -> list[np.ndarray]:
     return out
 
 
-def minwise(sets: list[np.ndarray]) -> np.ndarray:
-    """POSITIONS minwise values of each set; no set is empty."""
-    out = np.empty((len(sets), POSITIONS), np.uint32)
+def minwise(sets: list[np.ndarray], positions: int = POSITIONS) -> np.ndarray:
+    """Minwise values of each set; no set is empty."""
+    out = np.empty((len(sets), positions), np.uint32)
     begin = 0
     while begin < len(sets):
         end, size = begin, 0
@@ -75,7 +77,7 @@ def minwise(sets: list[np.ndarray]) -> np.ndarray:
             end += 1
         x = (np.concatenate(sets[begin:end]) >> _U(32)).astype(np.uint32)
         at = np.cumsum([0, *[len(s) for s in sets[begin : end - 1]]])
-        for j in range(POSITIONS):
+        for j in range(positions):
             out[begin:end, j] = np.minimum.reduceat((x ^ FLIP[j]) * MULTIPLY[j], at)
         begin = end
     return out
@@ -92,17 +94,21 @@ def extra(least: float) -> float:
     return min(1.0, 1 / least - 1)
 
 
-def root_keys(low: np.ndarray, least: float) -> np.ndarray:
-    """Keys of the children of the TREES roots: each tree picks positions of its own."""
+def root_picks(least: float) -> list[tuple[int, int]]:
+    """(tree, position) of all root children: each tree has one or two positions of its own."""
     second = [r for r in range(TREES) if int((r + 1) * extra(least)) > int(r * extra(least))]
-    picked = [(r, r) for r in range(TREES)] + [(r, TREES + i) for i, r in enumerate(second)]
-    return np.stack([words.mix64(low[:, p].astype(_U) + _U((r * POSITIONS + p + 1) << 32)) for r, p in picked], 1).view(np.int64)
+    return [(r, r) for r in range(TREES)] + [(r, TREES + i) for i, r in enumerate(second)]
+
+
+def root_keys(low: np.ndarray, least: float) -> np.ndarray:
+    """Keys of the children of the TREES roots, in the order of their positions."""
+    return np.stack([words.mix64(low[:, p].astype(_U) + _U((r * POSITIONS + p + 1) << 32)) for r, p in root_picks(least)], 1).view(np.int64)
 
 
 def branch(key: int, rows: np.ndarray, least: float) -> list[tuple[int, np.ndarray]]:
     """(child's key, places of its rows) for the sketches of a node; children of one row are left out."""
     seed = words.mix64(np.array([key, key], np.int64).view(_U) + np.array([1, 2], _U))
-    spots = [int(seed[0] % _U(POSITIONS))] + ([int((seed[1] >> _U(8)) % _U(POSITIONS))] if int(seed[1] & _U(0xFF)) < 256 * extra(least) else [])
+    spots = [ROOTS + int(seed[0] % _U(POSITIONS - ROOTS))] + ([ROOTS + int((seed[1] >> _U(8)) % _U(POSITIONS - ROOTS))] if int(seed[1] & _U(0xFF)) < 256 * extra(least) else [])
     out = []
     flat = rows.view(np.uint8)
     for p in dict.fromkeys(spots):
@@ -116,79 +122,95 @@ def branch(key: int, rows: np.ndarray, least: float) -> list[tuple[int, np.ndarr
 
 
 def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """How many of the POSITIONS tokens agree, for sketches along the last axis."""
+    """How many tokens agree, for sketches along the last axis."""
     x = a ^ b
     x |= x >> _U(2)
     x |= x >> _U(1)
     x &= _U(0x1111111111111111)
-    return POSITIONS - np.bitwise_count(x).sum(-1, dtype=np.int64)
+    return 16 * a.shape[-1] - np.bitwise_count(x).sum(-1, dtype=np.int64)
 
 
-def bar(least: float) -> int:
+def bar(least: float, positions: int) -> int:
     """Agreements below which a pair is not asked for: four standard deviations under those of the threshold."""
     p = least + (1 - least) / 16
-    return int(POSITIONS * p - 4 * (POSITIONS * p * (1 - p)) ** 0.5)
+    return int(positions * p - 4 * (positions * p * (1 - p)) ** 0.5)
 
 
 class Asker:
-    """Gathers candidates of nodes: (a, b, agreement, kind) with kind 0 for nearest and 1 for least, or all of other components."""
+    """Gathers candidates of nodes: (a, b, agreement, kind) with kind 0 for nearest and 1 for least, or all of other components.
+
+    A node's rows are columns: id, component, sketch, the values at root positions, and the number of its root child.
+    """
 
     def __init__(self, least: float, mode: str) -> None:
-        self.least, self.bar, self.mode, self.out = least, bar(least), mode, []
+        self.least, self.mode, self.out, self.held = least, mode, [], 0
 
     def put(self, a: np.ndarray, b: np.ndarray, s: np.ndarray, kind: int) -> None:
         if len(a):
             self.out.append(np.stack([a, b, s, np.full(len(a), kind)]))
-
-    def pairs(self, ids: np.ndarray, rows: np.ndarray, group: np.ndarray) -> None:
-        """Nodes of two sets: all at once; each row of ids holds a node."""
-        s = agreement(rows[:, 0], rows[:, 1])
-        ok = (s >= self.bar) & (ids[:, 0] != ids[:, 1]) & (group[:, 0] != group[:, 1])
+            self.held += len(a)
+
+    def named_here(self, x: np.ndarray, y: np.ndarray, root: np.ndarray) -> np.ndarray:
+        """Whether `root` is the first root child that the sets of x and y (values at root positions) share."""
+        return (x == y).argmax(-1) == root
+
+    def pairs(self, rows: dict[str, np.ndarray]) -> None:
+        """Nodes of two sets, all at once: each array has a row for each node."""
+        ids, group, sketches = rows["id"], rows["comp"], rows["sketch"]
+        s = agreement(sketches[:, 0], sketches[:, 1])
+        ok = (s >= bar(self.least, 16 * sketches.shape[-1])) & (ids[:, 0] != ids[:, 1]) & (group[:, 0] != group[:, 1])
+        if self.mode != "first":
+            ok &= self.named_here(rows["roots"][:, 0], rows["roots"][:, 1], rows["root"][:, 0])
         a, b, s = ids[ok, 0], ids[ok, 1], s[ok]
         self.put(a, b, s, 0)
         if self.mode == "first":
             self.put(b, a, s, 0)
 
-    def node(self, key: int, ids: np.ndarray, rows: np.ndarray, group: np.ndarray, depth: int = 0) -> None:
-        if len(ids) < 2 or (group[0] == group).all():
+    def node(self, key: int, rows: dict[str, np.ndarray], depth: int = 0) -> None:
+        n, group = len(rows["id"]), rows["comp"]
+        if n < 2 or (group[0] == group).all():
             return
-        if len(ids) > SMALL and depth < DEPTH:
-            for child, own in branch(key, rows, self.least):
-                self.node(child, ids[own], rows[own], group[own], depth + 1)
+        if n > SMALL and depth < DEPTH:
+            for child, own in branch(key, rows["sketch"], self.least):
+                self.node(child, {c: x[own] for c, x in rows.items()}, depth + 1)
             return
-        step = max(1, (1 << 19) // len(ids))
-        for i in range(0, len(ids), step):
-            s = agreement(rows[i : i + step, None], rows[None])
-            s[(ids[i : i + step, None] == ids[None]) | (group[i : i + step, None] == group[None])] = -1
-            self.block(ids[i : i + step], ids, s, group)
-
-    def block(self, mine: np.ndarray, ids: np.ndarray, s: np.ndarray, group: np.ndarray) -> None:
-        r = np.arange(len(mine))
+        width = rows["sketch"].shape[-1]
+        step = max(1, (1 << 21) // (n * width))
+        for i in range(0, n, step):
+            self.block(slice(i, i + step), rows, 16 * width)
+
+    def block(self, part: slice, rows: dict[str, np.ndarray], positions: int) -> None:
+        """Compare the rows of a part of a node with all of it."""
+        ids, group, least = rows["id"], rows["comp"], bar(self.least, positions)
+        mine = ids[part]
+        s = agreement(rows["sketch"][part, None], rows["sketch"][None])
+        s[(mine[:, None] == ids) | (group[part, None] == group)] = -1
         if self.mode == "first":
-            best = s.argmax(1)
-            ok = s[r, best] >= self.bar
+            r, best = np.arange(len(mine)), s.argmax(1)
+            ok = s[r, best] >= least
             self.put(mine[ok], ids[best[ok]], s[r, best][ok], 0)
-            least = np.where(s >= self.bar, ids[None], np.iinfo(np.int64).max).min(1)
-            ok = least < mine
-            self.put(mine[ok], least[ok], np.zeros(ok.sum(), np.int64), 1)
+            low = np.where(s >= least, ids[None], np.iinfo(np.int64).max).min(1)
+            ok = low < mine
+            self.put(mine[ok], low[ok], np.zeros(ok.sum(), np.int64), 1)
             return
-        i, j = np.nonzero(s >= self.bar)
+        i, j = np.nonzero(s >= least)
         if self.mode == "top" and len(i):  # the four nearest of each set in each other component
             by = np.lexsort((-s[i, j], group[j], i))
             i, j = i[by], j[by]
-            new = np.r_[True, (i[1:] != i[:-1]) | (group[j][1:] != group[j][:-1])]
-            begins = np.flatnonzero(new)
+            begins = np.flatnonzero(np.r_[True, (i[1:] != i[:-1]) | (group[j][1:] != group[j][:-1])])
             rank = np.arange(len(i)) - np.repeat(begins, np.diff(np.r_[begins, len(i)]))
             i, j = i[rank < 4], j[rank < 4]
+        if len(i):
+            ok = self.named_here(rows["roots"][part][i], rows["roots"][j], rows["root"][part][i])
+            i, j = i[ok], j[ok]
         self.put(mine[i], ids[j], s[i, j], 0)
 
     def take(self) -> np.ndarray:
         got = np.concatenate(self.out, 1) if self.out else np.zeros((4, 0), np.int64)
-        self.out = []
+        self.out, self.held = [], 0
         if self.mode == "first" and got.shape[1]:  # one nearest and one least for each set
             a, b, s, kind = got
-            by = np.lexsort((b, -s, kind, a))
-            got = got[:, by]
+            got = got[:, np.lexsort((b, -s, kind, a))]
             got = got[:, np.r_[True, (got[0, 1:] != got[0, :-1]) | (got[3, 1:] != got[3, :-1])]]
         elif got.shape[1]:
             got[:2] = np.sort(got[:2], 0)
@@ -196,28 +218,37 @@ class Asker:
         return got
 
 
-def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """key, id, sketch and component of the rows of a batch."""
-    key, ids, group = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1, 3))
-    col = batch.column(2)
-    raw = np.frombuffer(b"".join(col.to_pylist()), _U).reshape(len(col), POSITIONS // 16)
-    return key, ids, raw, group
+NODES = "key long, id long, comp long, sketch binary, roots binary, root int"
+COLUMNS = ["key", "id", "comp", "sketch", "roots", "root"]
+
+
+def _rows(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+    """The columns of NODES as arrays."""
+    out = {c: batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i, c in enumerate(COLUMNS) if c not in ("sketch", "roots")}
+    for c, kind in (("sketch", _U), ("roots", np.uint32)):
+        out[c] = np.frombuffer(b"".join(batch.column(COLUMNS.index(c)).to_pylist()), kind).reshape(batch.num_rows, -1)
+    return out
+
+
+def _batch(rows: dict[str, np.ndarray]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([x.tobytes() for x in rows[c]], pa.binary()) if c in ("sketch", "roots") else pa.array(rows[c], pa.int32() if c == "root" else pa.int64()) for c in COLUMNS], COLUMNS)
 
 
 def ask(batches: Iterator[pa.RecordBatch], least: float, mode: str) -> Iterator[pa.RecordBatch]:
-    """Candidates of nodes that come sorted by key: (key, id, sketch, component)."""
+    """Candidates of nodes that come sorted by key."""
     asker = Asker(least, mode)
     held = None
 
-    def nodes(key, ids, rows, group) -> None:
+    def nodes(rows: dict[str, np.ndarray]) -> None:
+        key = rows["key"]
         begins = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         size = np.diff(np.r_[begins, len(key)])
         two = begins[size == 2]
-        if len(two):
-            both = two[:, None] + np.arange(2)
-            asker.pairs(ids[both], rows[both], group[both])
+        for at in range(0, len(two), 1 << 14):
+            both = two[at : at + (1 << 14), None] + np.arange(2)
+            asker.pairs({c: x[both] for c, x in rows.items()})
         for b, n in zip(begins[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-            asker.node(int(key[b]), ids[b : b + n], rows[b : b + n], group[b : b + n])
+            asker.node(int(key[b]), {c: x[b : b + n] for c, x in rows.items()})
 
     def flush():
         got = asker.take()
@@ -227,17 +258,17 @@ def ask(batches: Iterator[pa.RecordBatch], least: float, mode: str) -> Iterator[
     for batch in batches:
         if not batch.num_rows:
             continue
-        now = _columns(batch)
+        now = _rows(batch)
         if held is not None:
-            now = tuple(np.concatenate([x, y]) for x, y in zip(held, now, strict=True))
-        last = int(np.searchsorted(now[0], now[0][-1], "left"))  # the last node may go on in the next batch
+            now = {c: np.concatenate([held[c], now[c]]) for c in COLUMNS}
+        last = int(np.searchsorted(now["key"], now["key"][-1], "left"))  # the last node may go on in the next batch
         if last:
-            nodes(*[x[:last] for x in now])
-        held = tuple(x[last:] for x in now)
-        if sum(x.shape[1] for x in asker.out) > 1 << 18 and mode != "first":
+            nodes({c: x[:last] for c, x in now.items()})
+        held = {c: x[last:] for c, x in now.items()}
+        if asker.held > 1 << 18 and mode != "first":
             yield from flush()
     if held is not None:
-        nodes(*held)
+        nodes(held)
     yield from flush()
 
 
@@ -284,8 +315,25 @@ def full_sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("id", "text").mapInArrow(run, "id long, items array<long>")
 
 
+def wide_sketches(sets: DataFrame, least: float) -> DataFrame:
+    """id, sketch, roots and keys of sets(id, items), with WIDE positions."""
+
+    def run(batches):
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 256):
+                part = batch.slice(begin, 256)
+                col = part.column(1)
+                at = np.asarray(col.offsets)
+                flat = np.asarray(col.values).view(_U)
+                low = minwise([flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], WIDE)
+                roots = np.ascontiguousarray(low[:, [p for _, p in root_picks(least)]])
+                yield pa.record_batch([part.column(0), pa.array([x.tobytes() for x in sketch(low)], pa.binary()), pa.array([x.tobytes() for x in roots], pa.binary()), pa.array(list(root_keys(low, least)), pa.list_(pa.int64()))], ["id", "sketch", "roots", "keys"])
+
+    return sets.select("id", "items").mapInArrow(run, "id long, sketch binary, roots binary, keys array<long>")
+
+
 def split_giants(spark: SparkSession, nodes: DataFrame, least: float, giant: int) -> DataFrame:
-    """nodes(key, id, sketch, comp) in which no node has over `giant` rows, unless it cannot be branched further."""
+    """nodes (as NODES) in which no node has over `giant` rows, unless it cannot be branched further."""
     parts, live = [], nodes
     for _ in range(DEPTH):
         counts = live.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > giant).select("key", F.lit(1).alias("__big"))
@@ -298,29 +346,26 @@ def split_giants(spark: SparkSession, nodes: DataFrame, least: float, giant: int
 
         def expand(batches):
             for batch in batches:
-                key, ids, rows, group = _columns(batch)
-                out = [[], [], [], []]
-                for k in np.unique(key).tolist():
-                    own = np.flatnonzero(key == k)
-                    for child, at in branch(int(k), np.concatenate([rows[own], rows[own]]), least):  # doubled, so that no single row is left out
-                        at = own[at[at < len(own)]]
-                        out[0].append(np.full(len(at), child))
-                        out[1].append(ids[at])
-                        out[2].append(rows[at])
-                        out[3].append(group[at])
-                if out[0]:
-                    yield pa.record_batch([pa.array(np.concatenate(out[0])), pa.array(np.concatenate(out[1])), pa.array([r.tobytes() for r in np.concatenate(out[2])], pa.binary()), pa.array(np.concatenate(out[3]))], ["key", "id", "sketch", "comp"])
-
-        live = common.materialize(spark, marked.where("__big IS NOT NULL").drop("__big").mapInArrow(expand, "key long, id long, sketch binary, comp long"), "branched-nodes")
+                rows = _rows(batch)
+                out = []
+                for k in np.unique(rows["key"]).tolist():
+                    own = np.flatnonzero(rows["key"] == k)
+                    for child, at in branch(int(k), rows["sketch"][np.r_[own, own]], least):  # doubled, so that no single row is left out
+                        got = {c: x[own[at[at < len(own)]]] for c, x in rows.items()}
+                        out.append(got | {"key": np.full(len(got["id"]), child)})
+                if out:
+                    yield _batch({c: np.concatenate([x[c] for x in out]) for c in COLUMNS})
+
+        live = common.materialize(spark, marked.where("__big IS NOT NULL").select(*COLUMNS).mapInArrow(expand, NODES), "branched-nodes")
     for p in parts:
         live = live.unionByName(p)
     return live
 
 
 def candidates(spark: SparkSession, nodes: DataFrame, least: float, mode: str, giant: int = GIANT) -> DataFrame:
-    """a < b: candidate pairs of ids from nodes(key, id, sketch, comp)."""
+    """a < b: candidate pairs of ids from nodes (as NODES)."""
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = split_giants(spark, nodes, least, giant).select("key", "id", "sketch", "comp").repartition(n, "key").sortWithinPartitions("key")
+    dealt = split_giants(spark, nodes, least, giant).select(*COLUMNS).repartition(n, "key").sortWithinPartitions("key")
     got = dealt.mapInArrow(lambda batches: ask(batches, least, mode), PAIRS)
     if mode == "first":
         one = got.groupBy("a").agg(F.max(F.when(F.col("kind") == 0, F.struct("s", (-F.col("b")).alias("b")))).alias("near"), F.min("b").alias("low"))
@@ -365,7 +410,7 @@ def link(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80, gi
     sig = common.materialize(spark, signatures(docs, k, least), "signatures")
     some = sig.where("n > 0 AND doc_id IS NOT NULL")
     classes = common.materialize(spark, some.groupBy("seq").agg(F.min("doc_id").alias("id"), F.min(F.struct("sketch", "keys")).alias("x")).select("seq", "id", "x.sketch", "x.keys"), "classes")
-    nodes = classes.select(F.explode("keys").alias("key"), "id", "sketch", F.col("id").alias("comp"))
+    nodes = classes.select(F.explode("keys").alias("key"), "id", F.col("id").alias("comp"), "sketch", F.lit(b"").alias("roots"), F.lit(0).alias("root"))
     asked = common.materialize(spark, candidates(spark, nodes, least, "first", giant), "asked")
     active = asked.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     active = common.materialize(spark, active, "active")
@@ -382,11 +427,15 @@ def link(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80, gi
     shared = texts.select(F.least("doc_id", "id").alias("a"), F.greatest("doc_id", "id").alias("b")).where("a < b").distinct()
     edges = common.materialize(spark, confirm(asked, sets, percent), "edges")
     comps = components(spark, edges.unionByName(shared))
+    wide = common.materialize(spark, wide_sketches(sets, least), "wide-sketches")
     for mode in ("top", "all"):
-        members = classes.select("id", "sketch", "keys").join(active, "id").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        inner = members.select(F.explode("keys").alias("key"), "id", "sketch", "comp")
-        mixed = inner.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key", F.lit(1).alias("__mixed"))
-        nodes = common.lookup(inner, mixed, "key", F.xxhash64("id")).where("__mixed IS NOT NULL").drop("__mixed")
+        members = wide.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+        light = members.select("id", "comp", "keys")
+        mixed_keys = light.select(F.explode("keys").alias("key"), "comp").groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+        inner = members.select(F.posexplode("keys").alias("root", "key"), "id", "comp", "sketch", "roots").select(*COLUMNS)
+        mixed = mixed_keys.withColumn("__mixed", F.lit(1))
+        seen = light.select(F.explode("keys").alias("key"), "id")
+        nodes = common.lookup(inner, mixed, "key", F.xxhash64("id"), seen=seen).where("__mixed IS NOT NULL").drop("__mixed")
         nodes = common.materialize(spark, nodes, "mixed-nodes")
         new = common.materialize(spark, candidates(spark, nodes, least, mode, giant).join(asked, ["a", "b"], "left_anti"), "asked-more")
         if new.isEmpty():
