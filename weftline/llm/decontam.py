@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from . import words
 
-SHARD = 4 << 20
-FOUND = "__n_words long, __n_hit long, __items array<string>, __matches array<struct<item_id:string,item_word:long,doc_word:long,n_words:long>>"
+SHARD = 2 << 20
+FOUND = "n_words long, n_hit long, items array<string>, matches array<struct<item_id:string,item_word:long,doc_word:long,n_words:long>>"
 
 
 def suffix_array(rank0: np.ndarray, depth: int) -> np.ndarray:
@@ -146,48 +146,47 @@ def judge_shard(col: pa.Array, tests: dict[str, np.ndarray], window: int, block:
     return n_words, n_hit, items, matches
 
 
-def scan(spark: SparkSession, docs: DataFrame, items: DataFrame, keep: Sequence[str] = ("doc_id",), window: int = 13, most_item_bytes: int = 256 << 20) -> DataFrame:
-    """The columns `keep` of docs(text, ...) with __n_words, __n_hit, __items and __matches (longest, with places).
+def scan(spark: SparkSession, docs: DataFrame, items: DataFrame, window: int = 13, most_item_bytes: int = 256 << 20) -> DataFrame:
+    """docs(text, ...) with __found: n_words, n_hit, items and matches (the longest ones, with their places).
 
     items(item_id, text) is sent to every task, so its size is summed first; over `most_item_bytes` it raises
-    ValueError (split such a benchmark and unite the hits).
+    ValueError (split such a benchmark and unite the hits). Only texts go to Python, and only the struct comes back.
     """
     items = items.select(F.col("item_id").cast("string"), "text")
     if (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) > most_item_bytes:
         raise ValueError(f"the benchmark has more than {most_item_bytes} bytes")
     rows = [(r.item_id, r.text) for r in items.collect()]
     tests = spark.sparkContext.broadcast(test_suffixes(rows, window))
-    keep = list(keep)
-    source = docs.select(*keep, F.col("text").alias("__text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in [docs.schema[k] for k in keep])
 
-    def run(batches):
+    def found(texts: pa.Array) -> pa.Array:
         kinds = [pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.struct([("item_id", pa.string()), ("item_word", pa.int64()), ("doc_word", pa.int64()), ("n_words", pa.int64())]))]
-        for shard in words.shards(batches, "__text", SHARD):
-            col = shard.column("__text").combine_chunks()
-            got = judge_shard(col.chunk(0) if isinstance(col, pa.ChunkedArray) else col, tests.value, window)
-            arrays = [shard.column(k) for k in keep] + [pa.array(x, k) for x, k in zip(got, kinds, strict=True)]
-            yield from pa.table(arrays, [*keep, "__n_words", "__n_hit", "__items", "__matches"]).to_batches()
+        parts = []
+        for shard in words.shards([pa.record_batch([texts], ["text"])], "text", SHARD):
+            for col in shard.column("text").chunks:
+                parts.append([pa.array(x, k) for x, k in zip(judge_shard(col, tests.value, window), kinds, strict=True)])
+        whole = [pa.concat_arrays([p[i] for p in parts]) if parts else pa.array([], k) for i, k in enumerate(kinds)]
+        return pa.StructArray.from_arrays(whole, ["n_words", "n_hit", "items", "matches"])
 
-    return source.mapInArrow(run, f"{fields}, {FOUND}")
+    # non-deterministic in name only, so that a filter on its result does not run it twice
+    return docs.withColumn("__found", F.arrow_udf(found, FOUND).asNondeterministic()(F.col("text")))
 
 
 def is_contaminated():
-    return (F.col("__n_hit") > 0) & (20 * F.col("__n_hit") >= F.col("__n_words"))
+    return (F.col("__found.n_hit") > 0) & (20 * F.col("__found.n_hit") >= F.col("__found.n_words"))
 
 
 def digest(spark: SparkSession, docs: DataFrame, items: DataFrame) -> DataFrame:
     """A row a document: n_words, n_hit, n_items, items_sha256, contaminated and the longest match in words."""
-    return scan(spark, docs, items).select(
-        "doc_id", F.col("__n_words").alias("n_words"), F.col("__n_hit").alias("n_hit"), F.size("__items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("__items", ","), 256).alias("items_sha256"), is_contaminated().alias("contaminated"),
-        F.coalesce(F.array_max(F.transform("__matches", lambda m: m["n_words"])), F.lit(0)).cast("long").alias("longest_match"),
+    return scan(spark, docs.select("doc_id", "text"), items).select(
+        "doc_id", F.col("__found.n_words").alias("n_words"), F.col("__found.n_hit").alias("n_hit"), F.size("__found.items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("__found.items", ","), 256).alias("items_sha256"), is_contaminated().alias("contaminated"),
+        F.coalesce(F.array_max(F.transform("__found.matches", lambda m: m["n_words"])), F.lit(0)).cast("long").alias("longest_match"),
     )
 
 
 def remove(spark: SparkSession, docs: DataFrame, items: DataFrame) -> DataFrame:
     """docs without the contaminated ones, with the columns of docs."""
-    return scan(spark, docs, items, docs.columns).where(~is_contaminated()).select(*docs.columns)
+    return scan(spark, docs, items).where(~is_contaminated()).select(*docs.columns)
 
 
 SQL = r"""

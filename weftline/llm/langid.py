@@ -25,7 +25,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DIM = 4096
-BLOCK_DOCS, BLOCK_BYTES = 256, 4 << 20
+BLOCK_DOCS, BLOCK_BYTES = 128, 1 << 20
+PIECE = 1000  # texts that are Python strings at a time
 LETTER = regex.compile(r"\p{L}")
 
 
@@ -158,26 +159,26 @@ def predict(texts: Sequence[str | None], model: dict) -> tuple[list[str], list[f
     return langs, scores, gone
 
 
-def classify(spark: SparkSession, docs: DataFrame, model: dict, keep: Sequence[str]) -> DataFrame:
-    """The columns `keep` of docs(text, ...) with __lang, __score and __rejected."""
-    keep = list(keep)
+def classify(spark: SparkSession, docs: DataFrame, model: dict) -> DataFrame:
+    """docs(text, ...) with __found: lang, score and rejected. Only the texts go to Python, and only the struct comes back."""
     fitted = spark.sparkContext.broadcast(model)
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in [docs.schema[k] for k in keep])
 
-    def run(batches):
-        for batch in batches:
-            got = predict(batch.column(len(keep)).to_pylist(), fitted.value)
-            arrays = [batch.column(i) for i in range(len(keep))] + [pa.array(x, t) for x, t in zip(got, (pa.string(), pa.float64(), pa.bool_()), strict=True)]
-            yield pa.record_batch(arrays, [*keep, "__lang", "__score", "__rejected"])
+    def found(texts: pa.Array) -> pa.Array:
+        out: tuple[list, list, list] = ([], [], [])
+        for begin in range(0, len(texts), PIECE):
+            for held, new in zip(out, predict(texts.slice(begin, PIECE).to_pylist(), fitted.value), strict=True):
+                held += new
+        return pa.StructArray.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.string(), pa.float64(), pa.bool_()), strict=True)], ["lang", "score", "rejected"])
 
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, f"{fields}__lang string, __score double, __rejected boolean")
+    # non-deterministic in name only, so that a filter on its result does not run it twice
+    return docs.withColumn("__found", F.arrow_udf(found, "lang string, score double, rejected boolean").asNondeterministic()(F.col("text")))
 
 
 def identify(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score and rejected for every row."""
-    return classify(spark, docs, fit(spark, docs), ["doc_id"]).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"), F.col("__rejected").alias("rejected"))
+    return classify(spark, docs.select("doc_id", "text"), fit(spark, docs)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("__found.lang").alias("lang_pred"), F.col("__found.score").alias("score"), F.col("__found.rejected").alias("rejected"))
 
 
 def keep_known(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """docs without rejected rows, with the columns of docs."""
-    return classify(spark, docs, fit(spark, docs), docs.columns).where(~F.col("__rejected")).select(*docs.columns)
+    return classify(spark, docs, fit(spark, docs)).where(~F.col("__found.rejected")).select(*docs.columns)
