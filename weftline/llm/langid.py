@@ -126,17 +126,20 @@ def fit(spark: SparkSession, docs: DataFrame, clusters: int = 4, fit_rows: int =
                         yield pa.record_batch([pa.array([batch.column(1)[n].as_py() for n in own]), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array([r[x].tobytes() for r, x in zip(c, ids, strict=True)], pa.binary())], ["lang", "ids", "counts"])
 
         for r in rows.where(spread < share[F.col("lang")]).select("text", "lang").mapInArrow(sparse, "lang string, ids binary, counts binary").collect():
-            row = np.zeros(DIM, np.float32)
-            row[np.frombuffer(r.ids, np.uint16)] = np.frombuffer(r["counts"], np.uint32)
-            got.setdefault(r.lang, []).append((bytes(r.ids), bytes(r["counts"]), row))
+            got.setdefault(r.lang, []).append((bytes(r.ids), bytes(r["counts"])))
     langs = sorted(got)
-    raw = {k: np.stack([x[2] for x in sorted(got[k], key=lambda x: x[:2])]) for k in langs}  # the order of tasks must not matter
-    n = sum(len(x) for x in raw.values())
-    df = sum(((x > 0).sum(0) for x in raw.values()), np.zeros(DIM))
-    idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
+    df = np.zeros(DIM)
+    for k in langs:
+        got[k].sort()  # the order of tasks must not matter
+        for ids, _ in got[k]:
+            df[np.frombuffer(ids, np.uint16)] += 1
+    idf = (np.log((1 + sum(map(len, got.values()))) / (1 + df)) + 1).astype(np.float32)
     centroids, owner, lowest = [], [], 1.0
     for i, k in enumerate(langs):
-        x = vectors(raw[k], idf)
+        x = np.zeros((len(got[k]), DIM), np.float32)  # one language at a time: the driver holds few dense rows
+        for row, (ids, n) in zip(x, got.pop(k), strict=True):
+            row[np.frombuffer(ids, np.uint16)] = np.frombuffer(n, np.uint32)
+        x = vectors(x, idf)
         c = k_means(x, clusters)
         lowest = min(lowest, float((x @ c.T).max(1).min()))
         centroids.append(c)
