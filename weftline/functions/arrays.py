@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 PAD, UNKNOWN, START, END = 0, 1, 2, 3
 
 
+def bind(x: Column, f) -> Column:
+    """f(x) with x evaluated once, however often f names it (also inside lambdas)."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
 def pad(ids: Column, n: int, value: int = PAD) -> Column:
     """Exactly n ids: cut at the right or filled there."""
     return F.slice(F.concat(ids, F.array_repeat(F.lit(value).cast("int"), F.greatest(F.lit(0), F.lit(n) - F.size(ids)))), 1, n)
@@ -40,8 +45,12 @@ def without(ids: Column, *values: int) -> Column:
 
 def backward_ngrams(words: Column, n: int) -> Column:
     """For each word, it alone and then with one to n - 1 words before it."""
-    grams = F.transform(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.transform(F.sequence(F.lit(0), F.least(F.lit(n - 1), i)), lambda j: F.array_join(F.slice(words, i - j + 1, j + 1), " ")))
-    return F.when(F.size(words) > 0, F.flatten(grams)).otherwise(F.array().cast("array<string>"))
+
+    def grams(w: Column) -> Column:
+        all_ = F.transform(w, lambda x, i: F.transform(F.sequence(F.lit(0), F.least(F.lit(n - 1), i)), lambda j: F.when(j == 0, x).otherwise(F.array_join(F.slice(w, i - j + 1, j + 1), " "))))
+        return F.flatten(all_)
+
+    return bind(words, grams)
 
 
 def one_hot(text_chars: Column, alphabet: str, n: int) -> Column:
@@ -68,14 +77,14 @@ def argmax(values: Column) -> Column:
 
 
 def softmax(x: Column) -> Column:
-    shifted = F.transform(x, lambda v: F.exp(v - F.array_max(x)))
-    return F.element_at(F.transform(F.array(shifted), lambda e: F.transform(e, lambda v: v / total(e))), 1)
+    shifted = bind(x, lambda y: bind(F.array_max(y), lambda top: F.transform(y, lambda v: F.exp(v - top))))
+    return bind(shifted, lambda e: bind(total(e), lambda t: F.transform(e, lambda v: v / t)))
 
 
 def masked_softmax(x: Column, ids: Column) -> Column:
     """Softmax over all places, padding then set to 0 and the rest scaled by its sum plus 1e-4."""
     kept = F.zip_with(softmax(x), ids, lambda p, i: F.when(i != PAD, p).otherwise(0.0))
-    return F.element_at(F.transform(F.array(kept), lambda k: F.transform(k, lambda v: v / (total(k) + 1e-4))), 1)
+    return bind(kept, lambda k: bind(total(k), lambda t: F.transform(k, lambda v: v / (t + 1e-4))))
 
 
 def relu(x: Column) -> Column:
@@ -88,8 +97,7 @@ def tanh(x: Column) -> Column:
 
 def cross_entropy(logits: Column, label: Column) -> Column:
     """Log of the summed exponentials less the label's logit."""
-    top = F.array_max(logits)
-    return top + F.log(total(F.transform(logits, lambda v: F.exp(v - top)))) - F.element_at(logits, label + 1)
+    return bind(logits, lambda x: bind(F.array_max(x), lambda top: top + F.log(total(F.transform(x, lambda v: F.exp(v - top)))) - F.element_at(x, label + 1)))
 
 
 def clamp(x: Column, bound: float = 10.0) -> Column:

@@ -21,7 +21,7 @@ def missing(vocab: DataFrame, vectors: DataFrame) -> DataFrame:
 
 def component_stats(vectors: DataFrame, vec: str = "vec") -> DataFrame:
     """One row: mean and population deviation over all components of all vectors."""
-    flat = vectors.select(F.explode(vec).cast("double").alias("x"))
+    flat = vectors.select(F.explode(vec).alias("x")).select(F.col("x").cast("double").alias("x"))
     return flat.agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.count("x").alias("n"))
 
 
