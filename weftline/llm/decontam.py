@@ -164,6 +164,7 @@ def scan(spark: SparkSession, docs: DataFrame, items: DataFrame, window: int = 1
         for shard in words.shards([pa.record_batch([texts], ["text"])], "text", SHARD):
             for col in shard.column("text").chunks:
                 parts.append([pa.array(x, k) for x, k in zip(judge_shard(col, tests.value, window), kinds, strict=True)])
+        words.trim()
         whole = [pa.concat_arrays([p[i] for p in parts]) if parts else pa.array([], k) for i, k in enumerate(kinds)]
         return pa.StructArray.from_arrays(whole, ["n_words", "n_hit", "items", "matches"])
 

@@ -24,6 +24,8 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import words
+
 DIM = 4096
 BLOCK_DOCS, BLOCK_BYTES = 128, 1 << 20
 PIECE = 1000  # texts that are Python strings at a time
@@ -171,6 +173,7 @@ def classify(spark: SparkSession, docs: DataFrame, model: dict) -> DataFrame:
         for begin in range(0, len(texts), PIECE):
             for held, new in zip(out, predict(texts.slice(begin, PIECE).to_pylist(), fitted.value), strict=True):
                 held += new
+        words.trim()
         return pa.StructArray.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.string(), pa.float64(), pa.bool_()), strict=True)], ["lang", "score", "rejected"])
 
     # non-deterministic in name only, so that a filter on its result does not run it twice

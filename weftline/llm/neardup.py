@@ -270,6 +270,7 @@ def ask(batches: Iterator[pa.RecordBatch], least: float, mode: str) -> Iterator[
     if held is not None:
         nodes(held)
     yield from flush()
+    words.trim()
 
 
 PAIRS = "a long, b long, s long, kind long"
@@ -294,6 +295,7 @@ def signatures(docs: DataFrame, k: int, least: float) -> DataFrame:
                     for x, i in enumerate(full):
                         seq[i] = hashlib.blake2b(h[at[i] : at[i + 1]].tobytes(), digest_size=16).digest()
                         rows[i], keys[i] = packed[x].tobytes(), roots[x]
+                words.trim()
                 yield pa.record_batch([ids, pa.array(seq, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(rows, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "seq", "n", "sketch", "keys"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -311,6 +313,7 @@ def full_sets(docs: DataFrame, k: int) -> DataFrame:
                 at = np.cumsum([0, *[len(s) for s in sets]])
                 items = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)))
                 yield pa.record_batch([ids, items], ["id", "items"])
+        words.trim()
 
     return docs.select("id", "text").mapInArrow(run, "id long, items array<long>")
 

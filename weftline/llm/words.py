@@ -2,24 +2,39 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 1 << 22  # bytes hashed at a time, so that scratch arrays stay near 100 MB
-_P = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
+CHUNK = 1 << 18  # bytes hashed at a time, so that scratch arrays and tables stay near 10 MB
+_P = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 _state: dict[str, np.ndarray] = {}
 
 
-def _tables() -> dict[str, np.ndarray]:
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, np.uint64(base), np.uint64)
+    out[:1] = 1
+    return np.cumprod(out)
+
+
+def _tables(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Values of bytes, and powers and inverse powers of the base up to n (kept for chunks of usual size)."""
     if not _state:
-        powers = np.full(CHUNK * 2, _P, np.uint64)
-        powers[0] = 1
-        _state["powers"] = np.cumprod(powers)
-        inverse = np.full(CHUNK * 2, np.uint64(pow(int(_P), -1, 1 << 64)), np.uint64)
-        inverse[0] = 1
-        _state["inverse"] = np.cumprod(inverse)
         _state["byte"] = np.random.default_rng(20_250_101).integers(1, 1 << 63, 256, dtype=np.uint64)
-    return _state
+        _state["powers"], _state["inverse"] = _powers(_P, 2 * CHUNK), _powers(pow(_P, -1, 1 << 64), 2 * CHUNK)
+    if n <= 2 * CHUNK:
+        return _state["byte"], _state["powers"], _state["inverse"]
+    return _state["byte"], _powers(_P, n), _powers(pow(_P, -1, 1 << 64), n)
+
+
+def trim() -> None:
+    """Give memory that this Python worker no longer uses back to the system, as workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:  # another C library
+        pass
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -56,15 +71,15 @@ def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def hashes(data: np.ndarray, off: np.ndarray, lut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words in order, and for each text the number of the words before it (one more at the end)."""
-    t = _tables()
     out, starts_all = [], []
     edge = np.zeros(len(data) + 1, bool)
     edge[off] = True
     at = 0
     while at < len(data):
         end = min(at + CHUNK, len(data))
-        while end < len(data) and end - at < 2 * CHUNK - 1 and lut[data[end]] and not edge[end]:
-            end += 1  # words are cut only when they are longer than a chunk
+        while end < len(data) and lut[data[end]] and not edge[end]:
+            end += 1  # no word is cut
+        byte, powers, inverse = _tables(end - at)
         b = lut[data[at:end]]
         inside = np.zeros(len(b) + 2, bool)
         inside[1:-1] = b != 0
@@ -72,8 +87,8 @@ def hashes(data: np.ndarray, off: np.ndarray, lut: np.ndarray) -> tuple[np.ndarr
         first = np.flatnonzero(inside[1:] & (~inside[:-1] | cut))
         last = np.flatnonzero(inside[:-1] & (~inside[1:] | cut))
         pre = np.zeros(len(b) + 1, np.uint64)
-        np.cumsum(t["byte"][b] * t["powers"][: len(b)], out=pre[1:])
-        out.append(mix64((pre[last] - pre[first]) * t["inverse"][first] + (last - first).astype(np.uint64)))
+        np.cumsum(byte[b] * powers[: len(b)], out=pre[1:])
+        out.append(mix64((pre[last] - pre[first]) * inverse[first] + (last - first).astype(np.uint64)))
         starts_all.append(first + at)
         at = end
     starts = np.concatenate(starts_all) if starts_all else np.zeros(0, np.int64)
