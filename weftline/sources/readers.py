@@ -82,24 +82,29 @@ def text_vectors(spark: SparkSession, path: str, header: bool = True) -> DataFra
     return rows.select(F.col("p")[0].alias("word"), F.slice("p", 2, 1_000_000).cast("array<double>").alias("vec"))
 
 
+def parse_binary(blobs: list[bytes], most: int = 10_000) -> Iterator[pa.RecordBatch]:
+    """word and vec of binary vectors, gzip or not: a header line `V D`, then for each word its name, a space and D 32-bit floats."""
+    for raw in blobs:
+        data = gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw
+        at = data.index(b"\n") + 1
+        n, dim = map(int, data[: at - 1].split())
+        words, vecs = [], []
+        for i in range(n):
+            end = data.index(b" ", at)
+            words.append(data[at:end].lstrip(b"\n").decode("utf-8", "replace"))
+            vecs.append(np.frombuffer(data, "<f4", dim, end + 1))
+            at = end + 1 + 4 * dim
+            if len(words) == most or i == n - 1:
+                yield pa.record_batch([pa.array(words), pa.array(vecs, pa.list_(pa.float32()))], ["word", "vec"])
+                words, vecs = [], []
+
+
 def binary_vectors(spark: SparkSession, path: str) -> DataFrame:
-    """word and vec of binary vectors (a header line `V D`, then for each word its name, a space and D 32-bit floats), gzip or not."""
+    """word and vec of files of binary vectors."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for raw in batch.column(0).to_pylist():
-                data = gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw
-                at = data.index(b"\n") + 1
-                n, dim = map(int, data[: at - 1].split())
-                words, vecs = [], []
-                for i in range(n):
-                    end = data.index(b" ", at)
-                    words.append(data[at:end].lstrip(b"\n").decode("utf-8", "replace"))
-                    vecs.append(np.frombuffer(data, "<f4", dim, end + 1))
-                    at = end + 1 + 4 * dim
-                    if len(words) == 10_000 or i == n - 1:
-                        yield pa.record_batch([pa.array(words), pa.array(vecs, pa.list_(pa.float32()))], ["word", "vec"])
-                        words, vecs = [], []
+            yield from parse_binary(batch.column(0).to_pylist())
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(parse, "word string, vec array<float>")
 

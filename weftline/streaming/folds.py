@@ -12,8 +12,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline import storage
 
-def moving_average(stream: DataFrame, key: str, order: str, value: str, keep: float = 0.95) -> DataFrame:
+
+def moving_average(stream: DataFrame, key: str, order: list[str], value: str, keep: float = 0.95) -> DataFrame:
     """key, n and ema after each micro-batch that touches the key."""
 
     def fold(k: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
@@ -26,10 +28,10 @@ def moving_average(stream: DataFrame, key: str, order: str, value: str, keep: fl
         yield pd.DataFrame({key: [k[0]], "n": [n], "ema": [ema]})
 
     kind = stream.schema[key].dataType.simpleString()
-    return stream.select(key, order, value).groupBy(key).applyInPandasWithState(fold, f"{key} {kind}, n long, ema double", "n long, ema double", "update", "NoTimeout")
+    return stream.select(key, *order, value).groupBy(key).applyInPandasWithState(fold, f"{key} {kind}, n long, ema double", "n long, ema double", "update", "NoTimeout")
 
 
-def early_stop(stream: DataFrame, key: str, order: str, loss: str, patience: int) -> DataFrame:
+def early_stop(stream: DataFrame, key: str, order: list[str], loss: str, patience: int) -> DataFrame:
     """key, best, counter, seen and stop_at after each micro-batch; a run that has stopped does not move again."""
 
     def fold(k: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
@@ -48,7 +50,22 @@ def early_stop(stream: DataFrame, key: str, order: str, loss: str, patience: int
 
     kind = stream.schema[key].dataType.simpleString()
     names = "best double, counter long, seen long, stop_at long"
-    return stream.select(key, order, loss).groupBy(key).applyInPandasWithState(fold, f"{key} {kind}, {names}", names, "update", "NoTimeout")
+    return stream.select(key, *order, loss).groupBy(key).applyInPandasWithState(fold, f"{key} {kind}, {names}", names, "update", "NoTimeout")
+
+
+def run_once(updates: DataFrame, name: str, mode: str = "update") -> DataFrame:
+    """Run a stream over what is there now, and return all rows it put out with the number of their micro-batch, `epoch`.
+
+    Each micro-batch replaces its own folder, so one that runs twice counts once.
+    """
+    spark = updates.sparkSession
+    at = storage.new_path(spark, name)
+
+    def put(df: DataFrame, epoch: int) -> None:
+        df.withColumn("epoch", F.lit(epoch).cast("long")).write.mode("overwrite").parquet(f"{at}/rows/{epoch}")
+
+    updates.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
+    return spark.read.schema(updates.schema.add("epoch", "long")).parquet(f"{at}/rows/*")
 
 
 def windowed(stream: DataFrame, at: str, keys: list[str], value: str, size: str = "1 hour", late: str = "10 minutes") -> DataFrame:
