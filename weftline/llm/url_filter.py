@@ -114,7 +114,7 @@ def fit(table: DataFrame, rounds: int = 80, rate: float = 16.0, decay: float = 0
     at = one.select("rows", F.posexplode("rows").alias("e", "r")).select("rows", "e", "r.x", F.explode("r.ids").alias("b")).groupBy("b").agg(F.sort_array(F.collect_list(F.struct("e", "x"))).alias("own"))
     index = at.groupBy().agg(F.map_from_entries(F.collect_list(F.struct("b", "own"))).alias("m")).select(F.transform(F.sequence(F.lit(0), F.lit(DIM - 1)), lambda b: F.coalesce(F.try_element_at("m", b), F.array().cast("array<struct<e:int,x:double>>"))).alias("own"))
     data = one.withColumn("k", F.lit(1)).join(index.withColumn("k", F.lit(1)), "k")  # one row each
-    rows, own, n = F.col("rows"), F.col("own"), F.size("rows").cast("double")
+    rows, own, n = F.col("rows"), F.col("own"), F.greatest(F.size("rows"), F.lit(1)).cast("double")
 
     def step(w: Column, _: Column) -> Column:
         errors = F.transform(rows, lambda r: r["y"] - sigmoid(logit(r["ids"], w)))

@@ -305,7 +305,7 @@ def base32(hex_: Column) -> Column:
     return F.concat(*chars)
 
 
-def archive(spark: SparkSession, pages: DataFrame, at: str, least: int = 0, date: str = "2000-01-01T00:00:00Z") -> None:
+def archive(spark: SparkSession, pages: DataFrame, at: str, least: int = 0, date: str = "2000-01-01T00:00:00Z", block: int = BLOCK) -> None:
     """Write pages(page_id, url, html): of equal payloads of at least `least` bytes the smallest page_id is the response, others revisit it."""
     register(spark)
     rows = pages.select("page_id", "url", F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload")).withColumn("hex", F.sha1("payload"))
@@ -324,7 +324,7 @@ def archive(spark: SparkSession, pages: DataFrame, at: str, least: int = 0, date
         F.when(again, urn(F.col("first"))).alias("refers_to"), F.concat(F.lit("sha1:"), base32(F.col("hex"))).alias("payload_digest"), F.octet_length("payload").cast("long").alias("payload_bytes"),
         F.when(~again, F.col("payload")).alias("payload"),
     )
-    out.write.format("warc").mode("append").save(at)
+    out.write.format("warc").option("block", block).mode("append").save(at)
     common.drop(spark, firsts)
 
 
