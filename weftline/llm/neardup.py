@@ -12,7 +12,8 @@ Equal word sequences are joined first (by a 128-bit digest), so trees hold one s
 then confirmed on full sets. Only connectivity matters, so the pairs are asked for in rounds: at first each set's
 nearest and its least-numbered candidate, then the candidates in other components, four for each set and
 component, then all that are left in other components. In the later rounds a pair is named only by the first root
-child that both sets share, so that other trees do not repeat it. No candidate is capped away: what a round leaves out the
+child of at most `SMALL` sets that both share, so that other trees do not repeat it; larger ones, whose branches may
+part a pair, always name what they find. No candidate is capped away: what a round leaves out the
 last one takes, or it lies within one component. Components are found by alternating large-star and
 small-star steps over tables of edges. No link, component or sketch of the corpus reaches the driver.
 
@@ -36,7 +37,7 @@ from . import common, words
 
 POSITIONS, WIDE, TREES = 128, 1024, 14
 ROOTS = 2 * TREES  # positions that root children may use
-SMALL, GIANT, DEPTH = 1024, 200_000, 24
+SMALL, GIANT, DEPTH = 4096, 200_000, 24
 SHARD = 2 << 20
 _U = np.uint64
 _rng = np.random.default_rng(7_919)
@@ -139,7 +140,8 @@ def bar(least: float, positions: int) -> int:
 class Asker:
     """Gathers candidates of nodes: (a, b, agreement, kind) with kind 0 for nearest and 1 for least, or all of other components.
 
-    A node's rows are columns: id, component, sketch, the values at root positions, and the number of its root child.
+    A node's rows are columns: id, component, sketch, the values at root positions, the number of its root child, and
+    which root children of the set are large.
     """
 
     def __init__(self, least: float, mode: str) -> None:
@@ -150,9 +152,13 @@ class Asker:
             self.out.append(np.stack([a, b, s, np.full(len(a), kind)]))
             self.held += len(a)
 
-    def named_here(self, x: np.ndarray, y: np.ndarray, root: np.ndarray) -> np.ndarray:
-        """Whether `root` is the first root child that the sets of x and y (values at root positions) share."""
-        return (x == y).argmax(-1) == root
+    def named_here(self, x: np.ndarray, y: np.ndarray, mask: np.ndarray, root: np.ndarray) -> np.ndarray:
+        """Whether `root` is large, or the first of the others that the sets of x and y (values at root positions) share.
+
+        mask: the large root children of x; those that y shares are large for y too.
+        """
+        large = (mask[..., None] >> np.arange(x.shape[-1])) & 1 == 1
+        return ((mask >> root) & 1 == 1) | (((x == y) & ~large).argmax(-1) == root)
 
     def pairs(self, rows: dict[str, np.ndarray]) -> None:
         """Nodes of two sets, all at once: each array has a row for each node."""
@@ -160,7 +166,7 @@ class Asker:
         s = agreement(sketches[:, 0], sketches[:, 1])
         ok = (s >= bar(self.least, 16 * sketches.shape[-1])) & (ids[:, 0] != ids[:, 1]) & (group[:, 0] != group[:, 1])
         if self.mode != "first":
-            ok &= self.named_here(rows["roots"][:, 0], rows["roots"][:, 1], rows["root"][:, 0])
+            ok &= self.named_here(rows["roots"][:, 0], rows["roots"][:, 1], rows["mask"][:, 0], rows["root"][:, 0])
         a, b, s = ids[ok, 0], ids[ok, 1], s[ok]
         self.put(a, b, s, 0)
         if self.mode == "first":
@@ -201,7 +207,7 @@ class Asker:
             rank = np.arange(len(i)) - np.repeat(begins, np.diff(np.r_[begins, len(i)]))
             i, j = i[rank < 4], j[rank < 4]
         if len(i):
-            ok = self.named_here(rows["roots"][part][i], rows["roots"][j], rows["root"][part][i])
+            ok = self.named_here(rows["roots"][part][i], rows["roots"][j], rows["mask"][part][i], rows["root"][part][i])
             i, j = i[ok], j[ok]
         self.put(mine[i], ids[j], s[i, j], 0)
 
@@ -218,8 +224,8 @@ class Asker:
         return got
 
 
-NODES = "key long, id long, comp long, sketch binary, roots binary, root int"
-COLUMNS = ["key", "id", "comp", "sketch", "roots", "root"]
+NODES = "key long, id long, comp long, sketch binary, roots binary, root int, mask long"
+COLUMNS = ["key", "id", "comp", "sketch", "roots", "root", "mask"]
 
 
 def _rows(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
@@ -413,7 +419,7 @@ def link(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80, gi
     sig = common.materialize(spark, signatures(docs, k, least), "signatures")
     some = sig.where("n > 0 AND doc_id IS NOT NULL")
     classes = common.materialize(spark, some.groupBy("seq").agg(F.min("doc_id").alias("id"), F.min(F.struct("sketch", "keys")).alias("x")).select("seq", "id", "x.sketch", "x.keys"), "classes")
-    nodes = classes.select(F.explode("keys").alias("key"), "id", F.col("id").alias("comp"), "sketch", F.lit(b"").alias("roots"), F.lit(0).alias("root"))
+    nodes = classes.select(F.explode("keys").alias("key"), "id", F.col("id").alias("comp"), "sketch", F.lit(b"").alias("roots"), F.lit(0).alias("root"), F.lit(0).cast("long").alias("mask"))
     asked = common.materialize(spark, candidates(spark, nodes, least, "first", giant), "asked")
     active = asked.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     active = common.materialize(spark, active, "active")
@@ -433,12 +439,13 @@ def link(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80, gi
     wide = common.materialize(spark, wide_sketches(sets, least), "wide-sketches")
     for mode in ("top", "all"):
         members = wide.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        light = members.select("id", "comp", "keys")
-        mixed_keys = light.select(F.explode("keys").alias("key"), "comp").groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-        inner = members.select(F.posexplode("keys").alias("root", "key"), "id", "comp", "sketch", "roots").select(*COLUMNS)
-        mixed = mixed_keys.withColumn("__mixed", F.lit(1))
-        seen = light.select(F.explode("keys").alias("key"), "id")
-        nodes = common.lookup(inner, mixed, "key", F.xxhash64("id"), seen=seen).where("__mixed IS NOT NULL").drop("__mixed")
+        seen = members.select("id", "comp", F.posexplode("keys").alias("root", "key"))
+        mixed = seen.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("rows")).where("lo < hi").select("key", (F.col("rows") > min(SMALL, giant)).alias("__large"))
+        mixed = common.materialize(spark, mixed, "mixed-keys")
+        inner = common.lookup(members.select(F.posexplode("keys").alias("root", "key"), "id", "comp", "sketch", "roots"), mixed, "key", F.xxhash64("id"), seen=seen).where("__large IS NOT NULL")
+        large = common.lookup(seen, mixed.where("__large"), "key", F.xxhash64("id")).where("__large")
+        large = large.groupBy("id").agg(F.bit_or(F.expr("shiftleft(1L, root)")).alias("mask"))
+        nodes = inner.join(large, "id", "left").withColumn("mask", F.coalesce("mask", F.lit(0).cast("long"))).select(*COLUMNS)
         nodes = common.materialize(spark, nodes, "mixed-nodes")
         new = common.materialize(spark, candidates(spark, nodes, least, mode, giant).join(asked, ["a", "b"], "left_anti"), "asked-more")
         if new.isEmpty():
