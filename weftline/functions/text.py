@@ -50,7 +50,7 @@ def strip_newline(line: Column) -> Column:
 
 def drop_bad_bytes(text: Column) -> Column:
     """Text without the replacement characters that bad bytes were read as."""
-    return F.replace(text, F.lit("�"), F.lit(""))
+    return F.replace(F.make_valid_utf8(text), F.lit("�"), F.lit(""))
 
 
 def tokenize(text: Column) -> Column:
