@@ -459,3 +459,23 @@ def bleu_counts(spark, sf_dir):
   FROM (SELECT sum(len(tgt))::BIGINT AS c, sum(len(src))::BIGINT AS r FROM q)"""))
 def bleu(spark, sf_dir):
     return metrics.corpus_bleu(_translated(spark, sf_dir), "row").withColumn("bleu", F.round("bleu", 6))
+
+
+@query(f"SELECT max(len({WORDS}))::BIGINT AS most_words, max(length(text))::BIGINT AS most_chars, count(*) AS n FROM documents")
+def length_stats(spark, sf_dir):
+    d = docs(spark, sf_dir)
+    return d.agg(F.max(F.size(corpora.words_of(d))).cast("long").alias("most_words"), F.max(F.length("text")).cast("long").alias("most_chars"), F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT doc_id, row_number() OVER (ORDER BY md5('7-' || doc_id::VARCHAR), doc_id) - 1 AS row, (row_number() OVER (ORDER BY md5('7-' || doc_id::VARCHAR), doc_id) - 1) // 50 AS batch FROM documents")
+def shuffled_batches(spark, sf_dir):
+    """One epoch of a shuffled loader; the epoch is the seed."""
+    d = docs(spark, sf_dir).select("doc_id")
+    return splits.batches(d, [splits.shuffle_key(F.col("doc_id"), 7).asc(), F.col("doc_id").asc()], 50).select("doc_id", "row", F.col("batch").cast("long").alias("batch"))
+
+
+@query()
+def lm_sentence_splits(spark, sf_dir):
+    """Sentences of 10 to 100 words in train, valid and test by token budgets."""
+    got = corpora.lm_splits(docs(spark, sf_dir), (("train", 100_000), ("valid", 20_000), ("test", 20_000)))
+    return got.select("doc_id", "sent", "n", "cum", "split", text.join_words(F.col("words")).alias("words"))

@@ -120,6 +120,14 @@ def sink_splits(spark, sf_dir):
     return spark.read.parquet(at).groupBy("split").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("tokens"))
 
 
+@query(ORACLES["cooccurrence"].replace("SELECT center AS w_id, ctx AS c_id, count(*)::DOUBLE AS x, round(least(1.0, pow(count(*) / 100.0, 0.75::DOUBLE)), 9) AS weight", "SELECT center AS w_id, ctx AS c_id, count(*)::DOUBLE AS x"))
+def sink_cells(spark, sf_dir):
+    """Co-occurrence cells written in row-major order and read again."""
+    at = storage.new_path(spark, "cells")
+    writers.write_cells(corpora.glove_cells(docs(spark, sf_dir)).select("w_id", "c_id", "x"), at)
+    return spark.read.parquet(at)
+
+
 @query()
 def sink_checkpoint(spark, sf_dir):
     """Model arrays written and read again: names, shapes and sums."""
