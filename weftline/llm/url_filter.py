@@ -20,10 +20,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from . import common
 
-DIM = 1 << 12
+DIM = 1 << 14
 GRAMS = (3, 4)
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 
@@ -94,12 +95,12 @@ def sigmoid(x: Column) -> Column:
 
 
 def logit(ids: Column, weights: Column) -> Column:
-    """Weight DIM + 1 is the constant."""
+    """ids count from 0; the last weight is the constant."""
     dot = F.aggregate(ids, F.lit(0.0), lambda a, i: a + F.element_at(weights, i + 1))
-    return F.element_at(weights, F.lit(DIM + 1)) + dot / F.sqrt(F.greatest(F.size(ids), F.lit(1)).cast("double"))
+    return F.element_at(weights, F.lit(-1)) + dot / F.sqrt(F.greatest(F.size(ids), F.lit(1)).cast("double"))
 
 
-def fit(table: DataFrame, rounds: int = 80, rate: float = 16.0, decay: float = 0.0005, prior: float = 0.1, most: int = 20_000) -> list[float]:
+def fit(table: DataFrame, rounds: int = 200, rate: float = 16.0, decay: float = 0.0002, prior: float = 0.1, most: int = 20_000) -> list[float]:
     """Weights from table(url, bad): gradient descent over the whole table in each round.
 
     The constant is not learned but fixed by `prior`, the share of bad URLs to expect, so that a URL without
@@ -107,29 +108,34 @@ def fit(table: DataFrame, rounds: int = 80, rate: float = 16.0, decay: float = 0
     """
     if table.limit(most + 1).count() > most:
         raise ValueError(f"the labelled table has more than {most} rows")
-    one = features(table.select("url", "bad").where("bad IS NOT NULL")).groupBy().agg(F.sort_array(F.collect_list(F.struct("url", "bad", "__ids"))).alias("rows"))
-    weigh = lambda r: F.struct(r["bad"].cast("double").alias("y"), r["__ids"].alias("ids"), (1 / F.sqrt(F.greatest(F.size(r["__ids"]), F.lit(1)).cast("double"))).alias("x"))
-    one = one.select(F.transform("rows", weigh).alias("rows"))
-    # for each bucket the rows that have it (once for each time), so that a round needs no search
-    at = one.select("rows", F.posexplode("rows").alias("e", "r")).select("rows", "e", "r.x", F.explode("r.ids").alias("b")).groupBy("b").agg(F.sort_array(F.collect_list(F.struct("e", "x"))).alias("own"))
-    index = at.groupBy().agg(F.map_from_entries(F.collect_list(F.struct("b", "own"))).alias("m")).select(F.transform(F.sequence(F.lit(0), F.lit(DIM - 1)), lambda b: F.coalesce(F.try_element_at("m", b), F.array().cast("array<struct<e:int,x:double>>"))).alias("own"))
-    data = one.withColumn("k", F.lit(1)).join(index.withColumn("k", F.lit(1)), "k")  # one row each
-    rows, own, n = F.col("rows"), F.col("own"), F.greatest(F.size("rows"), F.lit(1)).cast("double")
+    rows = features(table.select("url", "bad").where("bad IS NOT NULL")).groupBy().agg(F.sort_array(F.collect_list(F.struct("url", "bad", "__ids"))).alias("rows"))
+    flat = rows.select(F.posexplode("rows").alias("e", "r")).select("e", F.col("r.bad").cast("double").alias("y"), (1 / F.sqrt(F.greatest(F.size("r.__ids"), F.lit(1)).cast("double"))).alias("x"), F.explode("r.__ids").alias("b"))
+    # only the buckets that the table has get a slot, so a round costs no more with more buckets
+    slots = flat.select("b").distinct().withColumn("slot", F.row_number().over(W.Window.orderBy("b")) - 1)
+    flat = flat.join(slots, "b")
+    whole = lambda df, *cols: df.groupBy().agg(F.sort_array(F.collect_list(F.struct(*cols))).alias(cols[0])).withColumn("k", F.lit(1))  # noqa: E731  one row
+    urls = whole(flat.groupBy("e").agg(F.first("y").alias("y"), F.sort_array(F.collect_list("slot")).alias("ids")), "e", "y", "ids")
+    seen = whole(flat.groupBy("slot", "b").agg(F.sort_array(F.collect_list(F.struct("e", "x"))).alias("own")), "slot", "b", "own")
+    data = urls.join(seen, "k").select(F.col("e").alias("rows"), F.col("slot").alias("slots"), F.greatest(F.size("e"), F.lit(1)).cast("double").alias("n"))
+    rows_, slots_, n = F.col("rows"), F.col("slots"), F.col("n")
 
     def step(w: Column, _: Column) -> Column:
-        errors = F.transform(rows, lambda r: r["y"] - sigmoid(logit(r["ids"], w)))
+        errors = F.transform(rows_, lambda r: r["y"] - sigmoid(logit(r["ids"], w)))
 
         def moved(e: Column) -> Column:
-            grad = lambda i: F.aggregate(F.element_at(own, i + 1), F.lit(0.0), lambda a, s: a + F.element_at(e, s["e"] + 1) * s["x"])
-            new = F.transform(F.sequence(F.lit(0), F.lit(DIM - 1)), lambda i: F.element_at(w, i + 1) * (1 - rate * decay) + grad(i) * (rate / n))
-            return F.concat(new, F.array(F.element_at(w, F.lit(DIM + 1))))
+            grad = lambda s: F.aggregate(s["own"], F.lit(0.0), lambda a, o: a + F.element_at(e, o["e"] + 1) * o["x"])
+            new = F.transform(slots_, lambda s, i: F.element_at(w, i + 1) * (1 - rate * decay) + grad(s) * (rate / n))
+            return F.concat(new, F.array(F.element_at(w, F.lit(-1))))
 
         return F.element_at(F.transform(F.array(errors), moved), 1)  # the errors are made once a round
 
     constant = math.log(prior / (1 - prior))
-    start = F.concat(F.array_repeat(F.lit(0.0), DIM), F.array(F.lit(constant)))
-    got = data.select(F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step).alias("w")).first()
-    return list(got.w) if got else [0.0] * DIM + [constant]
+    start = F.concat(F.array_repeat(F.lit(0.0), F.size(slots_)), F.array(F.lit(constant)))
+    got = data.select(F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step).alias("w"), F.transform(slots_, lambda s: s["b"]).alias("b")).first()
+    out = [0.0] * DIM + [constant]
+    for b, w in zip(got.b, got.w, strict=False):
+        out[b] = w
+    return out
 
 
 def matched(host_: Column, path_: Column, rules: Sequence[tuple[str, str, str]] = RULES) -> tuple[Column, Column]:
