@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline import storage
 from weftline.functions import arrays
 
 
@@ -29,12 +30,22 @@ def summed_batch_loss(rows: DataFrame, batch: Column, loss: Column) -> DataFrame
 
 
 def ordered(rows: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
-    """key and values in order."""
+    """key and values in order; a key's values are one row, so keys are runs of steps, not unbounded groups."""
     return rows.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col(value).alias("v")))), lambda x: x["v"].cast("double")).alias("values"))
 
 
-def moving_average(rows: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
-    return ordered(rows, key, order, value).select(key, arrays.moving_average(F.col("values")).alias("ema"), F.size("values").cast("long").alias("n"))
+def moving_average(rows: DataFrame, key: str, order: list[str], value: str, keep: float = 0.95) -> DataFrame:
+    """key, ema and n: the average after each key's last value, in its closed form.
+
+    A value that has d values after it weighs keep ** d, times 1 - keep unless it is the first. Rows are numbered in the
+    order of (key, order) by ranges and then summed with partial sums, so no key's values need to be in one task.
+    """
+    plain = rows.select(key, *order, F.col(value).cast("double").alias("__v"))
+    numbered = storage.number_rows(plain, [F.col(key).asc(), *[F.col(c).asc() for c in order]], "__row")
+    ends = numbered.groupBy(key).agg(F.min("__row").alias("__lo"), F.max("__row").alias("__hi"))
+    known = storage.join_keys(numbered.select(key, "__row", "__v"), ends, key, "inner", salt=F.col("__row"))
+    weight = F.pow(F.lit(keep), F.col("__hi") - F.col("__row")) * F.when(F.col("__row") == F.col("__lo"), 1.0).otherwise(1 - keep)
+    return known.groupBy(key).agg(F.sum(F.col("__v") * weight).alias("ema"), F.count(F.lit(1)).alias("n"))
 
 
 def interval_means(rows: DataFrame, step: Column, value: Column, every: int = 100) -> DataFrame:
