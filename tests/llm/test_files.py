@@ -134,3 +134,24 @@ def test_pipeline_stages(spark):
             assert ids == sorted(r.doc_id for r in held.collect()) and {"size", "shard", "slot"} <= set(out.columns)
         held = out
     assert corpus_pipeline.run(spark, DATA).count() == held.count()
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    """Nulls in any column, empty and very long texts, repeated rows, and no rows at all pass through every stage."""
+    benchmark = spark.read.parquet(f"{DATA}/benchmark.parquet")
+    item = benchmark.orderBy("item_id").first().text
+    rows = [(i, f"the cat number {i} sat on the mat and looked at dog {i * 7} for {i * 13} hours", "en", f"s{i % 3}", 9) for i in range(40)]
+    rows += [(100, None, "en", "s1", None), (101, "", None, None, 0), (102, "12 !!", "en", "s1", 5), (103, item, "es", "s2", 5), (104, "the word " * 60_000, "en", "s0", 1), (None, "a text without an id but with words of its own", None, None, None), (105, rows[0][1], "en", "s1", 9), (106, rows[1][1], "en", None, 9), (106, rows[1][1], "en", None, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    seen = {}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = common.materialize(spark, stage(spark, docs, DATA), f"t-odd-{name}")
+        seen[name] = sorted((r.doc_id for r in docs.select("doc_id").collect()), key=repr)
+    assert not {100, 101, 102} & set(seen["language_id"]) and set(range(40)) | {103, 104, None} <= set(seen["language_id"])
+    assert not {105, 106} & set(seen["near_dedup"]) and set(range(40)) | {103, 104, None} <= set(seen["near_dedup"])
+    assert set(seen["near_dedup"]) - set(seen["decontaminate"]) == {103}
+    assert seen["shard"] == seen["mix"] and docs.select("shard", "slot").distinct().count() == len(seen["mix"])
+    empty = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES:
+        empty = common.materialize(spark, stage(spark, empty, DATA), f"t-empty-{name}")
+        assert empty.count() == 0

@@ -4,7 +4,8 @@ A text is a vector of hashed byte 2- and 3-grams (lower-cased, everything that i
 square root of counts times inverse document frequency, of unit length. Each language has `clusters` centroids,
 found by spherical k-means over a bounded sample of labelled documents; a text gets the language of the centroid
 with the largest cosine, which is its score. A text is rejected when it has no letter, or when its cosine
-is below `reject` times the lowest cosine seen in the sample.
+is below `reject` times the lowest cosine seen in the sample and below `MOST_REJECT`, so that a narrow sample does
+not turn clean texts away.
 
 Fitting reads at most about `fit_rows` documents in all (a documented bound: those with the smallest hashes of
 their ids, so the sample does not depend on how the table is cut); prediction covers whole texts of all rows.
@@ -28,6 +29,7 @@ from . import words
 
 DIM = 4096
 BLOCK_DOCS, BLOCK_BYTES = 128, 1 << 20
+MOST_REJECT = 0.1
 PIECE = 1000  # texts that are Python strings at a time
 LETTER = regex.compile(r"\p{L}")
 
@@ -146,7 +148,7 @@ def fit(spark: SparkSession, docs: DataFrame, clusters: int = 4, fit_rows: int =
         lowest = min(lowest, float((x @ c.T).max(1).min()))
         centroids.append(c)
         owner += [i] * len(c)
-    return {"langs": langs, "idf": idf, "centroids": np.concatenate(centroids) if langs else np.zeros((0, DIM), np.float32), "owner": np.array(owner, int), "reject": reject * lowest}
+    return {"langs": langs, "idf": idf, "centroids": np.concatenate(centroids) if langs else np.zeros((0, DIM), np.float32), "owner": np.array(owner, int), "reject": min(MOST_REJECT, reject * lowest)}
 
 
 def predict(texts: Sequence[str | None], model: dict) -> tuple[list[str], list[float], list[bool]]:
