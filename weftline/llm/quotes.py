@@ -83,7 +83,9 @@ def link(spark: SparkSession, messages: DataFrame) -> DataFrame:
     """messages(conv_id, turn, text) as conv_id, turn, own, n_quotes, n_linked, reply_conv, reply_turn, root_conv, root_turn, depth and position."""
     plain = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "text")
     known = F.col("conv_id").isNotNull() & F.col("turn").isNotNull()
-    one = plain.where(known).groupBy("conv_id", "turn").agg(F.min("text").alias("text"))
+    one = plain.where(known)
+    if not one.groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():  # only then do texts need a shuffle
+        one = one.groupBy("conv_id", "turn").agg(F.min("text").alias("text"))
     parsed = common.materialize(spark, parse(one), "parsed")
     index = parsed.select("conv_id", "turn", F.explode("has").alias("hash"))
     asked = common.materialize(spark, parsed.select("conv_id", "turn", F.explode("quotes").alias("q")).select("conv_id", "turn", "q.*"), "asked")
