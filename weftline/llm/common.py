@@ -2,55 +2,18 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.storage import new_path, remove, table
+
+__all__ = ["BROADCAST_ROWS", "WORD", "ascii_lower", "drop", "lookup", "materialize", "new_path", "remove", "table"]
+
 #: White space that separates words in sizes and shingles: space and TAB to CR.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Spark accepts a broadcast hint only from code that has checked this many rows first.
+#: A side gets a broadcast hint only after its rows have been counted and are at most this many.
 BROADCAST_ROWS = 200_000
 
-_made: list[tuple[SparkSession, str]] = []
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="weftline-")
-        spark.conf.set("spark.checkpoint.dir", at)
-        _made.append((spark, at))
-    return at.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other run uses; it is removed when this process ends."""
-    at = f"{shared_dir(spark)}/weftline/{name}-{uuid.uuid4().hex}"
-    _made.append((spark, at))
-    return at
-
-
-def remove(spark: SparkSession, at: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(at)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-@atexit.register
-def _clean() -> None:
-    for spark, at in _made:
-        try:
-            remove(spark, at)
-        except Exception:  # noqa: BLE001  the session may have ended before
-            return
-
 
 def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write `df` as a table in the shared folder and read it: cuts the lineage and survives lost executors."""
