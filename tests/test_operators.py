@@ -27,6 +27,10 @@ def test_vocabulary_orders(spark):
     assert ids(vocab.VocabPolicy("frequency", 1, 2)) == {"b": 0, "a": 1}
     assert ids(vocab.VocabPolicy("first_seen", 2, None, ("<pad>",))) == {"b": 1, "a": 2}
     assert ids(vocab.VocabPolicy("first_seen", 9)) == {}
+    far = vocab.tokens(spark.createDataFrame([(1 << 50, ["b", "a"]), (-3, ["a"])], "doc_id long, w array<string>"), F.col("w"))
+    assert {r.word: r.id for r in vocab.fit_vocab(far, vocab.VocabPolicy(), wide=True).collect()} == {"a": 0, "b": 1}
+    with pytest.raises(Exception, match="wide=True"):
+        vocab.fit_vocab(far, vocab.VocabPolicy()).collect()
 
 
 def test_unknown_words_close_the_gap_or_keep_it(spark):

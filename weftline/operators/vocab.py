@@ -30,14 +30,26 @@ def tokens(docs: DataFrame, words: Column, doc: str = "doc_id") -> DataFrame:
     return docs.select(F.col(doc).alias("doc"), F.posexplode(words).alias("pos", "word"))
 
 
-def count_words(toks: DataFrame) -> DataFrame:
-    """word, freq and first (doc, pos) of every distinct word."""
-    return toks.groupBy("word").agg(F.count(F.lit(1)).alias("freq"), F.min(F.struct("doc", "pos")).alias("first"))
+#: Bits of a packed first place that hold the position; the document has the 39 bits above.
+POS_BITS = 24
 
 
-def fit_vocab(toks: DataFrame, policy: VocabPolicy) -> DataFrame:
+def first_place(doc: Column, pos: Column) -> Column:
+    """(doc, pos) as one number in the same order, which hash aggregation can hold; it fails where it does not fit."""
+    fits = doc.between(0, (1 << 63 - POS_BITS) - 1) & (pos < 1 << POS_BITS)
+    packed = doc.cast("long") * (1 << POS_BITS) + pos
+    return F.when(fits, packed).otherwise(F.raise_error(F.lit("documents beyond 2**39 or positions beyond 2**24 need wide=True")).cast("long"))
+
+
+def count_words(toks: DataFrame, wide: bool = False) -> DataFrame:
+    """word, freq and first (doc, pos) of every distinct word; `wide` keeps places of any size, at the price of sorting."""
+    first = F.struct("doc", "pos") if wide else first_place(F.col("doc"), F.col("pos"))
+    return toks.groupBy("word").agg(F.count(F.lit(1)).alias("freq"), F.min(first).alias("first"))
+
+
+def fit_vocab(toks: DataFrame, policy: VocabPolicy, wide: bool = False) -> DataFrame:
     """word, id, freq under a policy; special entries are not rows but take the first ids."""
-    counts = count_words(toks).where(F.col("freq") >= policy.min_count)
+    counts = count_words(toks, wide).where(F.col("freq") >= policy.min_count)
     order = [F.col("first").asc()] if policy.order == "first_seen" else [F.col("freq").desc(), F.col("first").asc()]
     if policy.cap is not None:
         counts = counts.orderBy(*order).limit(policy.cap)  # TakeOrdered: each task keeps at most cap rows
@@ -45,10 +57,10 @@ def fit_vocab(toks: DataFrame, policy: VocabPolicy) -> DataFrame:
     return numbered.select("word", (F.col("id") + len(policy.specials)).cast("long").alias("id"), F.col("freq").cast("long").alias("freq"))
 
 
-def fit_ngram_vocab(docs: DataFrame, words: Column, n: int, min_count: int, specials: Sequence[str] = ("<pad>", "<unk>"), doc: str = "doc_id") -> DataFrame:
+def fit_ngram_vocab(docs: DataFrame, words: Column, n: int, min_count: int, specials: Sequence[str] = ("<pad>", "<unk>"), doc: str = "doc_id", wide: bool = False) -> DataFrame:
     """word, id, freq, single: all kept single words in first-seen order, then all kept longer grams in theirs."""
     grams = docs.select(F.col(doc).alias("doc"), F.posexplode(arrays.backward_ngrams(words, n)).alias("pos", "word"))
-    counts = count_words(grams).where(F.col("freq") >= min_count).withColumn("longer", text.has_space(F.col("word")))
+    counts = count_words(grams, wide).where(F.col("freq") >= min_count).withColumn("longer", text.has_space(F.col("word")))
     numbered = storage.number_rows(counts, [F.col("longer").asc(), F.col("first").asc()], "id")
     return numbered.select("word", (F.col("id") + len(specials)).cast("long").alias("id"), F.col("freq").cast("long").alias("freq"), (~F.col("longer")).alias("single"))
 
