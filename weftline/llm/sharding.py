@@ -170,12 +170,12 @@ def assign(spark: SparkSession, docs: DataFrame, shards: int, old: Column | None
     spot = docs.select(old.alias("__old"), block(F.col("doc_id"), F.col("text")).alias("__block"), row_size(F.col("text")).alias("__size"))
     sums = spot.groupBy("__old", "__block").agg(F.sum("__size").alias("s"), F.count(F.lit(1)).alias("n"))
     rows, flow = deal([tuple(r) for r in sums.collect()], shards, segment_bytes, cost)
-    places = spark.createDataFrame(rows, "__old int, __block int, __shard int, __seg int, __first long")
+    parts = {k: i for i, k in enumerate(sorted({(r[2], r[3]) for r in rows}))}  # a segment of a shard is a partition
+    places = spark.createDataFrame([(*r, parts[r[2], r[3]]) for r in rows], "__old int, __block int, __shard int, __seg int, __first long, __part int")
     put = docs.withColumns({"__old": old, "__block": block(F.col("doc_id"), F.col("text")), "__size": row_size(F.col("text"))}).join(F.broadcast(places), ["__old", "__block"])
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), len({(r[2], r[3]) for r in rows}))
-    order = W.Window.partitionBy("__shard", "__seg").orderBy("__old", "__block", "doc_id", F.xxhash64("text"))
+    order = W.Window.partitionBy("__part").orderBy("__old", "__block", "doc_id", F.xxhash64("text"))
     slot = (F.col("__first") + F.row_number().over(order) - 1).cast("long")
-    return put.repartition(n, "__shard", "__seg").withColumn("__slot", slot).select(*docs.columns, *ADDED), flow
+    return put.repartitionById(max(1, len(parts)), F.col("__part")).withColumn("__slot", slot).select(*docs.columns, *ADDED), flow
 
 
 def affected(flow: np.ndarray) -> list[int]:
