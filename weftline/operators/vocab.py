@@ -91,19 +91,21 @@ def gather(ids: DataFrame, column: str = "id", default: int | None = None) -> Da
     return held.groupBy("doc").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", value.cast("int").alias("id")))), lambda x: x["id"]).alias("ids"))
 
 
-def encode(docs: DataFrame, words: Column, vocab: DataFrame, unknown: int = arrays.UNKNOWN, doc: str = "doc_id") -> DataFrame:
-    """doc and ids of every document, those without words included; unknown words get `unknown`."""
+def encode(docs: DataFrame, words: Column, vocab: DataFrame, unknown: int = arrays.UNKNOWN, doc: str = "doc_id", most: int | None = None) -> DataFrame:
+    """doc and ids of every document, those without words included; unknown words get `unknown`. `most` keeps the first ids only."""
+    words = words if most is None else F.slice(words, 1, most)  # cut before the join, not after it
     got = gather(lookup_ids(tokens(docs, words, doc), vocab), default=unknown)
     return docs.select(F.col(doc).alias("doc")).join(got, "doc", "left").withColumn("ids", F.coalesce("ids", F.array().cast("array<int>")))
 
 
-def encode_ngrams(docs: DataFrame, words: Column, vocab: DataFrame, n: int, buckets: int = 100_000, doc: str = "doc_id") -> DataFrame:
+def encode_ngrams(docs: DataFrame, words: Column, vocab: DataFrame, n: int, buckets: int = 100_000, doc: str = "doc_id", most: int | None = None) -> DataFrame:
     """doc and ids of backward n-grams: single words by vocabulary (1 if unknown), longer ones (id or 1) modulo buckets, after the single words.
 
-    The offset is the number of ids that single words and special entries take.
+    The offset is the number of ids that single words and special entries take. `most` keeps the first ids only.
     """
     single = vocab.where("single").agg(F.coalesce(F.max("id") + 1, F.lit(2)).alias("n")).first().n
-    grams = docs.select(F.col(doc).alias("doc"), F.posexplode(arrays.backward_ngrams(words, n)).alias("pos", "word"))
+    all_ = arrays.backward_ngrams(words if most is None else F.slice(words, 1, most), n)
+    grams = docs.select(F.col(doc).alias("doc"), F.posexplode(all_ if most is None else F.slice(all_, 1, most)).alias("pos", "word"))
     got = lookup_ids(grams, vocab)
     known = F.coalesce("id", F.lit(1))
     return gather(got.withColumn("id", F.when(text.has_space(F.col("word")), known % buckets + single).otherwise(known)))

@@ -38,14 +38,14 @@ def encoded(docs: DataFrame, policy: vocab.VocabPolicy, length: int, lower: bool
     """doc and ids, padded to length."""
     words = words_of(docs, lower)
     v = storage.materialize(vocab.fit_vocab(vocab.tokens(docs, words), policy), "vocab")
-    return vocab.encode(docs, words, v).select("doc", arrays.pad(F.col("ids"), length).alias("ids"))
+    return vocab.encode(docs, words, v, most=length).select("doc", arrays.pad(F.col("ids"), length).alias("ids"))
 
 
 def ngram_rows(docs: DataFrame, cfg: config.NgramClassifier = config.NgramClassifier()) -> DataFrame:  # noqa: B008
     """doc and ids of words and hashed n-grams, padded."""
     words = words_of(docs, True)
     v = storage.materialize(vocab.fit_ngram_vocab(docs, words, cfg.n, cfg.min_count), "ngrams")
-    return vocab.encode_ngrams(docs, words, v, cfg.n, cfg.buckets).select("doc", arrays.pad(F.col("ids"), cfg.length).alias("ids"))
+    return vocab.encode_ngrams(docs, words, v, cfg.n, cfg.buckets, most=cfg.length).select("doc", arrays.pad(F.col("ids"), cfg.length).alias("ids"))
 
 
 def parallel_turns(conversations: DataFrame, most: int = 100) -> DataFrame:
@@ -64,7 +64,7 @@ def translation_rows(both: DataFrame, cfg: config.Translator = config.Translator
         rows = both.select(F.col("row").alias("doc_id"), F.col(side).alias("w"))
         v = storage.materialize(vocab.fit_vocab(vocab.tokens(rows, F.col("w")), vocab.VocabPolicy("frequency", 1, cfg.words, ("<pad>", "<unk>", "<start>", "<end>"))), f"{side}-vocab")
         vocabs.append(v)
-        ids = vocab.encode(rows, F.col("w"), v).select(F.col("doc").alias("row"), F.col("ids").alias(side))
+        ids = vocab.encode(rows, F.col("w"), v, most=cfg.length).select(F.col("doc").alias("row"), F.col("ids").alias(side))
         out = ids if out is None else out.join(ids, "row")
     closed = arrays.close_and_pad(F.col("tgt"), cfg.length)
     got = out.select("row", arrays.pad_reversed(F.col("src"), cfg.length).alias("src"), closed.alias("tgt"))
@@ -92,7 +92,7 @@ def document_matrices(docs: DataFrame, cfg: config.HAN = config.HAN()) -> DataFr
     v = storage.materialize(vocab.fit_vocab(toks, config.POLICIES["han"]), "vocab")
     lines = sized.select("row", F.posexplode(text.split_on(F.col("text"), "\n")).alias("sent", "s"))
     keyed = lines.select(F.struct("row", "sent").alias("doc_id"), text.split_words(F.col("s")).alias("w"))
-    ids = vocab.encode(keyed, F.col("w"), v).select("doc.row", "doc.sent", arrays.pad(F.col("ids"), cfg.sentence_length).alias("ids"))
+    ids = vocab.encode(keyed, F.col("w"), v, most=cfg.sentence_length).select("doc.row", "doc.sent", arrays.pad(F.col("ids"), cfg.sentence_length).alias("ids"))
     own = ids.groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("sent", "ids"))), lambda x: x["ids"]).alias("sents"))
     own = sized.select("doc_id", "row", "batch").join(own, "row")
     most = own.groupBy("batch").agg(F.max(F.size("sents")).alias("most"))
