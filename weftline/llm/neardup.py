@@ -437,6 +437,7 @@ def link(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80, gi
     edges = common.materialize(spark, confirm(asked, sets, percent), "edges")
     comps = components(spark, edges.unionByName(shared))
     wide = common.materialize(spark, wide_sketches(sets, least), "wide-sketches")
+    made = [asked, active, sets, edges, wide]
     for mode in ("top", "all"):
         members = wide.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
         seen = members.select("id", "comp", F.posexplode("keys").alias("root", "key"))
@@ -448,12 +449,15 @@ def link(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80, gi
         nodes = inner.join(large, "id", "left").withColumn("mask", F.coalesce("mask", F.lit(0).cast("long"))).select(*COLUMNS)
         nodes = common.materialize(spark, nodes, "mixed-nodes")
         new = common.materialize(spark, candidates(spark, nodes, least, mode, giant).join(asked, ["a", "b"], "left_anti"), "asked-more")
+        common.drop(spark, nodes, mixed)
+        made.append(new)
         if new.isEmpty():
             continue
         more = confirm(new, sets, percent)
         merged = more.unionByName(comps.select(F.col("comp").alias("a"), F.col("id").alias("b")))
         comps = components(spark, merged)
         asked = asked.unionByName(new)
+    common.drop(spark, *made)  # what is left reads signatures, classes and components
     named = classes.select("seq", "id").join(comps, "id", "left").select("seq", F.coalesce("comp", "id").alias("comp"))
     got = common.lookup(sig.select("doc_id", "n", "seq"), named, "seq", F.xxhash64("doc_id"))
     comp = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id"))
