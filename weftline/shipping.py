@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 
@@ -17,7 +19,9 @@ def ship(spark: SparkSession) -> None:
     if app in _sent:
         return
     root = os.path.dirname(os.path.abspath(__file__))
-    at = os.path.join(tempfile.mkdtemp(prefix="weftline-"), "weftline_package.zip")
+    made = tempfile.mkdtemp(prefix="weftline-")
+    atexit.register(shutil.rmtree, made, True)
+    at = os.path.join(made, "weftline_package.zip")
     with zipfile.ZipFile(at, "w", zipfile.ZIP_DEFLATED) as out:
         for folder, _, names in sorted(os.walk(root)):
             for name in sorted(names):
