@@ -178,6 +178,46 @@ def test_near_duplicates_against_a_plain_version(spark, seed, giant):
     assert all(r.kept == (i == r.component_id) for i, r in got.items())
 
 
+def test_single_links_inside_a_crowded_family(spark):
+    rng = random.Random(11)
+    base = prose(rng, 100, 400).split()
+
+    def edited(words, places):
+        copy = list(words)
+        for i in places:
+            copy[i] = f"e{rng.randrange(10**9)}"
+        return copy
+
+    members = [edited(base, rng.sample(range(2, 98), 6)) for _ in range(500)]  # near the same base, but hardly linked with each other
+    members += [edited(m, rng.sample(range(2, 98), 2)) for m in members[:150]]  # linked with one member only
+    df = spark.createDataFrame([(i, " ".join(m)) for i, m in enumerate(members)], "doc_id long, text string").repartition(4)
+    want = plain_components(range(len(members)), [" ".join(m) for m in members], 3, 85)
+    assert sum(c != i for i, (_, c) in want.items()) > 100
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.link(spark, df, 3, 85, small=2).collect()}
+    assert got == want
+
+
+def test_links_of_single_sets_with_a_crowd(spark):
+    least, n, more, small, width = 0.8, 800, 100, 8, neardup.WIDE  # branching alone finds 99 of these 100 pairs
+    rng = np.random.default_rng(0)
+    base = rng.integers(0, 1 << 32, width, dtype=np.uint32)
+    low = rng.integers(0, 1 << 32, (n + more, width), dtype=np.uint32)
+    is_base = rng.random((n, width)) < 0.92
+    low[:n] = np.where(is_base, base, low[:n])
+    low[n:] = np.where(rng.random((more, width)) < np.where(is_base[:more], 0.804, 0.75), low[:more], low[n:])
+    keys, packed = neardup.root_keys(low, least), neardup.sketch(low)
+    roots = low[:, [p for _, p in neardup.root_picks(least)]]
+    rows = [(i, 0 if i < n else i, bytearray(packed[i].tobytes()), bytearray(roots[i].tobytes()), keys[i].tolist()) for i in range(n + more)]
+    members = spark.createDataFrame(rows, "id long, comp long, sketch binary, roots binary, keys array<long>")
+    key, rows_of_key = np.unique(keys, return_counts=True)
+    large = key[rows_of_key > small]
+    got = {(r.a, r.b) for r in neardup.crossings(spark, members, spark.createDataFrame([(int(k),) for k in large], "key long"), least, 256).collect()}
+    near = neardup.agreement(packed[:more], packed[n:]) >= neardup.bar(least, width)
+    exhaustive = ((keys[:more] == keys[n:]) & ~np.isin(keys[:more], large)).any(1)  # by a small root child
+    want = {(i, n + i) for i in np.flatnonzero(near & ~exhaustive).tolist()}
+    assert len(want) > 10 and want <= got
+
+
 def test_near_duplicate_edge_cases(spark):
     rng = random.Random(5)
     base = prose(rng, 60, 500)

@@ -13,8 +13,9 @@ then confirmed on full sets. Only connectivity matters, so the pairs are asked f
 nearest and its least-numbered candidate, then the candidates in other components, four for each set and
 component, then all that are left in other components. In the later rounds a pair is named only by the first root
 child of at most `SMALL` sets that both share, so that other trees do not repeat it; larger ones, whose branches may
-part a pair, always name what they find. No candidate is capped away: what a round leaves out the
-last one takes, or it lies within one component. Components are found by alternating large-star and
+part a pair, always name what they find. What their branches part is then compared as a whole: the sets of a root child
+of over `SMALL` sets that are outside its largest component are compared with all of its sets, in blocks of `SMALL` dealt over tasks.
+No candidate is capped away: what a round leaves out the last one takes, or it lies within one component. Components are found by alternating large-star and
 small-star steps over tables of edges. No link, component or sketch of the corpus reaches the driver.
 
 Defined cases: a document without words or text has an empty set, links with nothing and is its own component;
@@ -144,8 +145,8 @@ class Asker:
     which root children of the set are large.
     """
 
-    def __init__(self, least: float, mode: str) -> None:
-        self.least, self.mode, self.out, self.held = least, mode, [], 0
+    def __init__(self, least: float, mode: str, small: int = SMALL) -> None:
+        self.least, self.mode, self.small, self.out, self.held = least, mode, small, [], 0
 
     def put(self, a: np.ndarray, b: np.ndarray, s: np.ndarray, kind: int) -> None:
         if len(a):
@@ -176,7 +177,7 @@ class Asker:
         n, group = len(rows["id"]), rows["comp"]
         if n < 2 or (group[0] == group).all():
             return
-        if n > SMALL and depth < DEPTH:
+        if n > self.small and depth < DEPTH:
             for child, own in branch(key, rows["sketch"], self.least):
                 self.node(child, {c: x[own] for c, x in rows.items()}, depth + 1)
             return
@@ -240,9 +241,9 @@ def _batch(rows: dict[str, np.ndarray]) -> pa.RecordBatch:
     return pa.record_batch([pa.array([x.tobytes() for x in rows[c]], pa.binary()) if c in ("sketch", "roots") else pa.array(rows[c], pa.int32() if c == "root" else pa.int64()) for c in COLUMNS], COLUMNS)
 
 
-def ask(batches: Iterator[pa.RecordBatch], least: float, mode: str) -> Iterator[pa.RecordBatch]:
+def ask(batches: Iterator[pa.RecordBatch], least: float, mode: str, small: int = SMALL) -> Iterator[pa.RecordBatch]:
     """Candidates of nodes that come sorted by key."""
-    asker = Asker(least, mode)
+    asker = Asker(least, mode, small)
     held = None
 
     def nodes(rows: dict[str, np.ndarray]) -> None:
@@ -282,6 +283,71 @@ def ask(batches: Iterator[pa.RecordBatch], least: float, mode: str) -> Iterator[
 PAIRS = "a long, b long, s long, kind long"
 
 
+def across(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """(a, b) with a < b of pairs of blocks, as rows of NODES and side (1, 2 or, within one block, 3) sorted by key; see `crossings`."""
+
+    def compare(rows: dict[str, np.ndarray]):
+        one, two = (np.flatnonzero(rows["side"] & bit) for bit in (1, 2))
+        wide = rows["roots"].shape[-1]
+        least_s = bar(least, 16 * rows["sketch"].shape[-1])
+        step = max(1, (1 << 22) // max(1, len(two) * wide))
+        for at in range(0, len(one), step):
+            x = one[at : at + step]
+            same = rows["roots"][x, None] == rows["roots"][two]
+            large = ((rows["mask"][x, None] >> np.arange(wide)) & 1 == 1)[:, None]
+            ok = ((same & large).argmax(-1) == rows["root"][x, None]) & ~(same & ~large).any(-1)
+            ok &= rows["comp"][x, None] != rows["comp"][two]
+            i, j = np.nonzero(ok)
+            for begin in range(0, len(i), 1 << 15):
+                a, b = x[i[begin : begin + (1 << 15)]], two[j[begin : begin + (1 << 15)]]
+                near = agreement(rows["sketch"][a], rows["sketch"][b]) >= least_s
+                a, b = rows["id"][a[near]], rows["id"][b[near]]
+                if (rows["side"] == 3).all():  # within one block each pair is met twice
+                    a, b = a[a < b], b[a < b]
+                if len(a):
+                    yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = _rows(batch) | {"side": batch.column(len(COLUMNS)).to_numpy(zero_copy_only=False)}
+        if held is not None:
+            now = {c: np.concatenate([held[c], x]) for c, x in now.items()}
+        begins = np.flatnonzero(np.r_[True, now["key"][1:] != now["key"][:-1]])
+        for a, b in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True):
+            yield from compare({c: x[a:b] for c, x in now.items()})
+        held = {c: x[begins[-1] :] for c, x in now.items()}
+    if held is not None:
+        yield from compare(held)
+    words.trim()
+
+
+def crossings(spark: SparkSession, members: DataFrame, crowded: DataFrame, least: float, block: int = SMALL) -> DataFrame:
+    """a < b: candidates of different components that share root children in crowded(key) and no others.
+
+    Sets outside a node's largest component (minor blocks) meet all blocks, so that each pair of blocks is one group of rows.
+    """
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    brief = lambda df: F.broadcast(df) if df.count() <= common.BROADCAST_ROWS else df
+    spots = common.materialize(spark, members.select("id", "comp", F.posexplode("keys").alias("root", "key")).join(brief(crowded), "key"), "crowd-places")
+    each = spots.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("rows"))
+    whole = each.groupBy("key").agg(F.max(F.struct("rows", "comp")).alias("top"), F.sum("rows").alias("rows")).where("top.rows < rows")
+    blocks = lambda rows: F.ceil(rows / block).cast("int")
+    whole = whole.select("key", F.col("top.comp").alias("main"), blocks(F.col("rows") - F.col("top.rows")).alias("minor"), blocks(F.col("top.rows")).alias("major"))
+    whole = common.materialize(spark, whole, "crowds")
+    masks = spots.groupBy("id").agg(F.bit_or(F.expr("shiftleft(1L, root)")).alias("mask"))
+    place = F.xxhash64("id")
+    own = F.when(F.col("comp") == F.col("main"), F.col("minor") + F.pmod(place, F.col("major"))).otherwise(F.pmod(place, F.col("minor"))).cast("int")
+    last = F.when(F.col("comp") == F.col("main"), F.col("minor") - 1).otherwise(F.col("minor") + F.col("major") - 1)
+    dealt = spots.join(brief(whole), "key").select("key", "id", "comp", "root", own.alias("own"), last.alias("last"))
+    dealt = dealt.join(members.select("id", "sketch", "roots").join(masks, "id"), "id").select("*", F.explode(F.sequence(F.lit(0), "last")).alias("other"))
+    lo, hi = F.least("own", "other"), F.greatest("own", "other")
+    side = F.when(lo == hi, 3).when(F.col("own") == lo, 1).otherwise(2).cast("long")
+    dealt = dealt.withColumn("side", side).withColumn("key", F.xxhash64("key", lo, hi)).select(*COLUMNS, "side")
+    return dealt.repartition(n, "key").sortWithinPartitions("key").mapInArrow(lambda batches: across(batches, least), "a long, b long")
+
+
 def signatures(docs: DataFrame, k: int, least: float) -> DataFrame:
     """doc_id, seq (digest of the words), n (set size), sketch and keys of docs(doc_id, text); all but n null for an empty set."""
 
@@ -371,11 +437,11 @@ def split_giants(spark: SparkSession, nodes: DataFrame, least: float, giant: int
     return live
 
 
-def candidates(spark: SparkSession, nodes: DataFrame, least: float, mode: str, giant: int = GIANT) -> DataFrame:
+def candidates(spark: SparkSession, nodes: DataFrame, least: float, mode: str, giant: int = GIANT, small: int = SMALL) -> DataFrame:
     """a < b: candidate pairs of ids from nodes (as NODES)."""
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = split_giants(spark, nodes, least, giant).select(*COLUMNS).repartition(n, "key").sortWithinPartitions("key")
-    got = dealt.mapInArrow(lambda batches: ask(batches, least, mode), PAIRS)
+    got = dealt.mapInArrow(lambda batches: ask(batches, least, mode, small), PAIRS)
     if mode == "first":
         one = got.groupBy("a").agg(F.max(F.when(F.col("kind") == 0, F.struct("s", (-F.col("b")).alias("b")))).alias("near"), F.min("b").alias("low"))
         got = one.select("a", F.explode(F.array(-F.col("near.b"), "low")).alias("b")).where("b IS NOT NULL")
@@ -412,7 +478,7 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
             return at.select(F.col("b").alias("id"), F.col("a").alias("comp"))
 
 
-def link(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80, giant: int = GIANT) -> DataFrame:
+def link(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80, giant: int = GIANT, small: int = SMALL) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of docs(doc_id, text); doc_id is a whole number."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     least = percent / 100
@@ -420,8 +486,13 @@ def link(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80, gi
     some = sig.where("n > 0 AND doc_id IS NOT NULL")
     classes = common.materialize(spark, some.groupBy("seq").agg(F.min("doc_id").alias("id"), F.min(F.struct("sketch", "keys")).alias("x")).select("seq", "id", "x.sketch", "x.keys"), "classes")
     nodes = classes.select(F.explode("keys").alias("key"), "id", F.col("id").alias("comp"), "sketch", F.lit(b"").alias("roots"), F.lit(0).alias("root"), F.lit(0).cast("long").alias("mask"))
-    asked = common.materialize(spark, candidates(spark, nodes, least, "first", giant), "asked")
-    active = asked.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    asked = common.materialize(spark, candidates(spark, nodes, least, "first", giant, small), "asked")
+    crowded = common.materialize(spark, nodes.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > min(small, giant)).select("key"), "crowded")
+    crowds = crowded.count()
+    active = asked.select(F.explode(F.array("a", "b")).alias("id"))
+    if crowds:
+        active = active.unionByName(nodes.select("key", "id").join(F.broadcast(crowded) if crowds <= common.BROADCAST_ROWS else crowded, "key").select("id"))
+    active = active.distinct()
     active = common.materialize(spark, active, "active")
     few = active.withColumnRenamed("id", "doc_id")
     few = F.broadcast(few) if few.count() <= common.BROADCAST_ROWS else few
@@ -437,18 +508,18 @@ def link(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80, gi
     edges = common.materialize(spark, confirm(asked, sets, percent), "edges")
     comps = components(spark, edges.unionByName(shared))
     wide = common.materialize(spark, wide_sketches(sets, least), "wide-sketches")
-    made = [asked, active, sets, edges, wide]
+    made = [asked, active, crowded, sets, edges, wide]
     for mode in ("top", "all"):
         members = wide.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
         seen = members.select("id", "comp", F.posexplode("keys").alias("root", "key"))
-        mixed = seen.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("rows")).where("lo < hi").select("key", (F.col("rows") > min(SMALL, giant)).alias("__large"))
+        mixed = seen.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("rows")).where("lo < hi").select("key", (F.col("rows") > min(small, giant)).alias("__large"))
         mixed = common.materialize(spark, mixed, "mixed-keys")
         inner = common.lookup(members.select(F.posexplode("keys").alias("root", "key"), "id", "comp", "sketch", "roots"), mixed, "key", F.xxhash64("id"), seen=seen).where("__large IS NOT NULL")
         large = common.lookup(seen, mixed.where("__large"), "key", F.xxhash64("id")).where("__large")
         large = large.groupBy("id").agg(F.bit_or(F.expr("shiftleft(1L, root)")).alias("mask"))
         nodes = inner.join(large, "id", "left").withColumn("mask", F.coalesce("mask", F.lit(0).cast("long"))).select(*COLUMNS)
         nodes = common.materialize(spark, nodes, "mixed-nodes")
-        new = common.materialize(spark, candidates(spark, nodes, least, mode, giant).join(asked, ["a", "b"], "left_anti"), "asked-more")
+        new = common.materialize(spark, candidates(spark, nodes, least, mode, giant, small).join(asked, ["a", "b"], "left_anti"), "asked-more")
         common.drop(spark, nodes, mixed)
         made.append(new)
         if new.isEmpty():
@@ -457,6 +528,13 @@ def link(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80, gi
         merged = more.unionByName(comps.select(F.col("comp").alias("a"), F.col("id").alias("b")))
         comps = components(spark, merged)
         asked = asked.unionByName(new)
+    if crowds:  # pairs that the branches of large root children part
+        members = wide.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+        new = common.materialize(spark, crossings(spark, members, crowded, least).join(asked, ["a", "b"], "left_anti"), "asked-rest")
+        made.append(new)
+        if not new.isEmpty():
+            merged = confirm(new, sets, percent).unionByName(comps.select(F.col("comp").alias("a"), F.col("id").alias("b")))
+            comps = components(spark, merged)
     common.drop(spark, *made)  # what is left reads signatures, classes and components
     named = classes.select("seq", "id").join(comps, "id", "left").select("seq", F.coalesce("comp", "id").alias("comp"))
     got = common.lookup(sig.select("doc_id", "n", "seq"), named, "seq", F.xxhash64("doc_id"))
