@@ -157,8 +157,8 @@ def plain_components(ids, texts, k, percent):
     return {i: (len(s), find(i)) for i, s in zip(ids, sets, strict=True)}
 
 
-@pytest.mark.parametrize(("seed", "giant"), [(1, neardup.GIANT), (2, 20)])
-def test_near_duplicates_against_a_plain_version(spark, seed, giant):
+@pytest.mark.parametrize(("seed", "small", "work"), [(1, neardup.SMALL, neardup.WORK), (2, 16, neardup.WORK), (3, 16, 100)])
+def test_near_duplicates_against_a_plain_version(spark, seed, small, work):
     rng = random.Random(seed)
     texts = [prose(rng, rng.randrange(1, 120), 400) for _ in range(60)]
     for base in range(6):  # families of edited copies, many around the threshold
@@ -172,7 +172,7 @@ def test_near_duplicates_against_a_plain_version(spark, seed, giant):
     texts += [None, "", " \t", "one", "one", "One", "two words", "two words", "a b c"] + ["z" * 200_000 + " tail end"] * 2
     ids = rng.sample(range(10**6), len(texts))
     df = spark.createDataFrame([(i, t, 1, False) for i, t in zip(ids, texts, strict=True)], "doc_id long, text string, n int, kept boolean").repartition(4)
-    got = {r.doc_id: r for r in neardup.link(spark, df, 3, 85, giant).collect()}
+    got = {r.doc_id: r for r in neardup.link(spark, df, 3, 85, small, work).collect()}
     want = plain_components(ids, texts, 3, 85)
     assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == want
     assert all(r.kept == (i == r.component_id) for i, r in got.items())
@@ -193,29 +193,41 @@ def test_single_links_inside_a_crowded_family(spark):
     df = spark.createDataFrame([(i, " ".join(m)) for i, m in enumerate(members)], "doc_id long, text string").repartition(4)
     want = plain_components(range(len(members)), [" ".join(m) for m in members], 3, 85)
     assert sum(c != i for i, (_, c) in want.items()) > 100
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.link(spark, df, 3, 85, small=2).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.link(spark, df, 3, 85, small=32, work=400).collect()}
     assert got == want
 
 
-def test_links_of_single_sets_with_a_crowd(spark):
-    least, n, more, small, width = 0.8, 800, 100, 8, neardup.WIDE  # branching alone finds 99 of these 100 pairs
-    rng = np.random.default_rng(0)
-    base = rng.integers(0, 1 << 32, width, dtype=np.uint32)
-    low = rng.integers(0, 1 << 32, (n + more, width), dtype=np.uint32)
-    is_base = rng.random((n, width)) < 0.92
-    low[:n] = np.where(is_base, base, low[:n])
-    low[n:] = np.where(rng.random((more, width)) < np.where(is_base[:more], 0.804, 0.75), low[:more], low[n:])
-    keys, packed = neardup.root_keys(low, least), neardup.sketch(low)
-    roots = low[:, [p for _, p in neardup.root_picks(least)]]
-    rows = [(i, 0 if i < n else i, bytearray(packed[i].tobytes()), bytearray(roots[i].tobytes()), keys[i].tolist()) for i in range(n + more)]
-    members = spark.createDataFrame(rows, "id long, comp long, sketch binary, roots binary, keys array<long>")
-    key, rows_of_key = np.unique(keys, return_counts=True)
-    large = key[rows_of_key > small]
-    got = {(r.a, r.b) for r in neardup.crossings(spark, members, spark.createDataFrame([(int(k),) for k in large], "key long"), least, 256).collect()}
-    near = neardup.agreement(packed[:more], packed[n:]) >= neardup.bar(least, width)
-    exhaustive = ((keys[:more] == keys[n:]) & ~np.isin(keys[:more], large)).any(1)  # by a small root child
-    want = {(i, n + i) for i in np.flatnonzero(near & ~exhaustive).tolist()}
-    assert len(want) > 10 and want <= got
+def test_branches_part_unrelated_crowds_and_find_their_links(spark):
+    """2000 sets share a third of their shingles, so that whole nodes are crowds; 40 pairs of them are links."""
+    rng = random.Random(3)
+    passage = prose(rng, 60, 300)
+    own = [prose(rng, 120, 5000) for _ in range(2000)]
+    texts = [f"{passage} {t}" for t in own] + [f"{passage} {t} tail{i}" for i, t in enumerate(own[:40])]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in neardup.link(spark, df, 3, 85, small=64, work=5000).collect()}
+    assert got == {i: i if i < 2000 else i - 2000 for i in range(len(texts))}
+
+
+def test_trees_follow_threshold_and_recall():
+    assert [len(neardup.root_picks(t)) for t in (0.8, 0.85, 0.95)] == [10, 8, 6]
+    assert all(len(neardup.root_picks(t)) <= neardup.ROOTS for t in (0.5, 0.6, 0.7))
+    assert neardup.parted(0.85, 1) == pytest.approx(0.15 * (1 - neardup.extra(0.85)) + 0.15**2 * neardup.extra(0.85))
+    assert neardup.repeats(0.85, 1) == 2 and neardup.repeats(0.85, 8) >= 4
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_structured_words_do_not_collide(spark):
+    long, other = thue_morse(1024), thue_morse(2048)[1024:]
+    short, differ = thue_morse(32), thue_morse(64)[32:]
+    for a, b in ((long, other), (short, differ)):
+        x, y = " ".join([a, "x", a, "y", a]), " ".join([b, "x", b, "y", b])
+        got = neardup.link(spark, spark.createDataFrame([(1, x), (2, y)], "doc_id long, text string"), 3, 85).collect()
+        assert {(r.doc_id, r.component_id) for r in got} == {(1, 1), (2, 2)}
+        docs, items = spark.createDataFrame([(1, x)], "doc_id long, text string"), spark.createDataFrame([("i", b)], "item_id string, text string")
+        assert not decontam.digest(spark, docs, items).first().contaminated
 
 
 def test_near_duplicate_edge_cases(spark):
@@ -228,8 +240,12 @@ def test_near_duplicate_edge_cases(spark):
     comp = {(r[0], r[2]) for r in got}
     assert comp == {(5, 3), (3, 3), (None, None), (7, 7), (8, 3)}
     kept = neardup.deduplicate(spark, df, 3, 85)
-    assert kept.columns == df.columns and sorted((r.doc_id for r in kept.collect()), key=repr) == sorted([3, 7, 7, None, None], key=repr)
-    assert neardup.link(spark, df.limit(0)).count() == 0
+    assert kept.columns == df.columns and sorted((r.doc_id for r in kept.collect()), key=repr) == sorted([3, 7, None], key=repr)  # of the rows without an id the wordless one
+    assert neardup.link(spark, df.limit(0)).count() == 0 and neardup.deduplicate(spark, df.limit(0)).count() == 0
+    lost = spark.createDataFrame([(None, "Same words"), (None, "same  words"), (4, "other words"), (None, "other words"), (5, "x"), (5, "x"), (5, "y")], "doc_id long, text string")
+    assert sorted(map(tuple, neardup.deduplicate(spark, lost, 3, 85).collect()), key=repr) == sorted([(None, "Same words"), (4, "other words"), (5, "x"), (5, "y")], key=repr)
+    words_as_ids = spark.createDataFrame([("a", base), ("12", base)], "doc_id string, text string")
+    assert {(r.doc_id, r.component_id) for r in neardup.link(spark, words_as_ids).collect()} == {(None, None), (12, 12)}
 
 
 def test_components_of_paths_and_stars(spark):

@@ -1,44 +1,56 @@
 """Near-duplicate documents by a chosen-path set similarity join.
 
 A document's set holds the hashes of its distinct word shingles. `POSITIONS` minwise values of the set give its
-sketch (4 bits each); of sets that have any candidate, `WIDE` values give a sharper one for the later rounds. Trees of chosen paths then bring similar sets together: in each of `TREES` independent
-trees a node picks, from its own key, one minwise position and with the chance 1 / threshold - 1 a second one, and
-sends each of its sets to the child named by the set's token there, so that a set has 1 / threshold children on average
-and two sets at the threshold share one on average. Nodes of at most `SMALL` sets are compared exhaustively
-by their sketches; larger ones branch on. Nodes of over `GIANT` sets branch as Spark rows before any task
-holds them; the rest are read, sorted by node, and branch inside the task.
-
-Equal word sequences are joined first (by a 128-bit digest), so trees hold one set for each text. Candidate pairs are
-then confirmed on full sets. Only connectivity matters, so the pairs are asked for in rounds: at first each set's
-nearest and its least-numbered candidate, then the candidates in other components, four for each set and
-component, then all that are left in other components. In the later rounds a pair is named only by the first root
-child of at most `SMALL` sets that both share, so that other trees do not repeat it; larger ones, whose branches may
-part a pair, always name what they find. What their branches part is then compared as a whole: the sets of a root child
-of over `SMALL` sets that are outside its largest component are compared with all of its sets, in blocks of `SMALL` dealt over tasks.
-No candidate is capped away: what a round leaves out the last one takes, or it lies within one component. Components are found by alternating large-star and
-small-star steps over tables of edges. No link, component or sketch of the corpus reaches the driver.
+sketch (4 bits each); of sets that have any candidate, `WIDE` values give a sharper one for the later rounds. Trees of
+chosen paths bring similar sets together: in each of several independent trees a node picks, from its own key, one
+minwise position and with the chance 1 / threshold - 1 a second one, and sends each of its sets to the child named by
+the set's token there, so that a set has 1 / threshold children on average and two sets at the threshold share one on
+average. The number of trees follows from the threshold and the target recall (`trees`). Nodes of at most `SMALL` sets
+are compared exhaustively. Larger ones branch on, as rows: a child's key depends on its parent's key and the row
+alone, so no task ever holds a large node.
+
+Three things keep large nodes from costing more than comparing all their pairs, in groups of bounded size that are
+dealt over tasks. Pivots: each set of a large root child is first compared with a few of its sets, so that a family of
+near copies becomes one component at once. Only pairs across components are compared after that: the sets outside a
+node's largest component, with all of it. And where the children of a node would cost as much as the node itself, as
+those of near copies do, the node is not branched but compared in blocks (`deal`).
+
+Equal word sequences are joined first (by a digest of the words themselves), so trees hold one set for each text.
+Candidate pairs are then confirmed on full sets. Only connectivity matters, so the pairs are asked for in rounds: at
+first each set's nearest and its least-numbered candidate, then the candidates in other components, four for each
+set and component, then all that are left in other components. In the later rounds a pair is named only by the first
+root child that both sets share and that is compared exhaustively, so that other trees do not repeat it; branched
+ones always name what they find. No candidate is capped away: what a round leaves out the last one takes, or it lies
+within one component. Components are found by alternating large-star and small-star steps over tables of edges. No
+link, component or sketch of the corpus reaches the driver.
 
 Defined cases: a document without words or text has an empty set, links with nothing and is its own component;
-with fewer words than a shingle, the whole sequence is the one shingle; a null doc_id is linked with nothing
-and has a null component; rows that share a doc_id are one document, so their texts share a component; ties do not
-matter, as components do not depend on the order of links; other columns are ignored (or carried by `deduplicate`).
+with fewer words than a shingle, the whole sequence is the one shingle; a null doc_id (or one that is no whole
+number) is linked with nothing and has a null component; rows that share a doc_id are one document, so their texts
+share a component; ties do not matter, as components do not depend on the order of links; other columns are ignored (or
+carried by `deduplicate`). `deduplicate` keeps one of the rows that share both doc_id and words, and a row without doc_id
+only where no document has its words, and then one for each text.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from . import common, words
 
-POSITIONS, WIDE, TREES = 128, 1024, 14
-ROOTS = 2 * TREES  # positions that root children may use
-SMALL, GIANT, DEPTH = 4096, 200_000, 24
+POSITIONS, WIDE = 128, 1024
+ROOTS = 32  # positions that root children may use
+RECALL, NODE_RECALL = 0.99999, 0.9  # of a pair at the threshold: by all trees, and by the branches of one large root child
+SMALL, DEPTH, PIVOTS = 256, 8, 4
+BLOCK, WORK = 4096, 1 << 20  # most sets of a block; comparisons in a node that are not worth branching
 SHARD = 2 << 20
 _U = np.uint64
 _rng = np.random.default_rng(7_919)
@@ -96,30 +108,50 @@ def extra(least: float) -> float:
     return min(1.0, 1 / least - 1)
 
 
+def parted(least: float, levels: int) -> float:
+    """The chance that a pair at the threshold shares no node `levels` below one that it shares."""
+    q = 0.0
+    for _ in range(levels):
+        one = 1 - least + least * q
+        q = one * (1 - extra(least) + extra(least) * one)
+    return q
+
+
+def trees(least: float) -> int:
+    """How many trees bring a pair at the threshold together with the chance RECALL, if each root child that it shares does with NODE_RECALL."""
+    roots = math.log(1 - RECALL) / math.log(1 - least * NODE_RECALL)
+    return min(ROOTS // 2, math.ceil(roots / (1 + extra(least))))
+
+
+def repeats(least: float, levels: int) -> int:
+    """How many independent branchings of a node, `levels` deep, bring a pair at the threshold together with NODE_RECALL."""
+    return max(1, math.ceil(math.log(1 - NODE_RECALL) / math.log(max(parted(least, levels), 1e-9))))
+
+
 def root_picks(least: float) -> list[tuple[int, int]]:
     """(tree, position) of all root children: each tree has one or two positions of its own."""
-    second = [r for r in range(TREES) if int((r + 1) * extra(least)) > int(r * extra(least))]
-    return [(r, r) for r in range(TREES)] + [(r, TREES + i) for i, r in enumerate(second)]
+    n = trees(least)
+    second = [r for r in range(n) if int((r + 1) * extra(least)) > int(r * extra(least))]
+    return [(r, r) for r in range(n)] + [(r, n + i) for i, r in enumerate(second)]
 
 
 def root_keys(low: np.ndarray, least: float) -> np.ndarray:
-    """Keys of the children of the TREES roots, in the order of their positions."""
+    """Keys of the children of the roots, in the order of their positions."""
     return np.stack([words.mix64(low[:, p].astype(_U) + _U((r * POSITIONS + p + 1) << 32)) for r, p in root_picks(least)], 1).view(np.int64)
 
 
-def branch(key: int, rows: np.ndarray, least: float) -> list[tuple[int, np.ndarray]]:
-    """(child's key, places of its rows) for the sketches of a node; children of one row are left out."""
-    seed = words.mix64(np.array([key, key], np.int64).view(_U) + np.array([1, 2], _U))
+def branch(key: int, rows: np.ndarray, least: float, again: int = 0) -> list[tuple[int, np.ndarray]]:
+    """(child's key, places of its rows) for sketches of a node; `again` counts independent branchings of one node."""
+    own = words.mix64(np.array([key], np.int64).view(_U) + _U(again << 48))
+    seed = words.mix64(np.repeat(own, 2) + np.array([1, 2], _U))
     spots = [ROOTS + int(seed[0] % _U(POSITIONS - ROOTS))] + ([ROOTS + int((seed[1] >> _U(8)) % _U(POSITIONS - ROOTS))] if int(seed[1] & _U(0xFF)) < 256 * extra(least) else [])
     out = []
     flat = rows.view(np.uint8)
     for p in dict.fromkeys(spots):
         token = flat[:, p // 2] >> (4 if p % 2 == 0 else 0) & 15
         for t in np.unique(token).tolist():
-            own = np.flatnonzero(token == t)
-            if len(own) > 1:
-                child = words.mix64(np.array([key], np.int64).view(_U) + _U(((p * 16 + t + 1) << 40) & 0xFFFFFFFFFFFFFFFF))
-                out.append((int(child.view(np.int64)[0]), own))
+            child = words.mix64(own + _U(((p * 16 + t + 1) << 40) & 0xFFFFFFFFFFFFFFFF))
+            out.append((int(child.view(np.int64)[0]), np.flatnonzero(token == t)))
     return out
 
 
@@ -138,15 +170,18 @@ def bar(least: float, positions: int) -> int:
     return int(positions * p - 4 * (positions * p * (1 - p)) ** 0.5)
 
 
+Rows = dict[str, np.ndarray]
+
+
 class Asker:
-    """Gathers candidates of nodes: (a, b, agreement, kind) with kind 0 for nearest and 1 for least, or all of other components.
+    """Gathers candidates of groups: (a, b, agreement, kind) with kind 0 for nearest and 1 for least, or all of other components.
 
-    A node's rows are columns: id, component, sketch, the values at root positions, the number of its root child, and
-    which root children of the set are large.
+    A row has: id, component, sketch, the values at root positions, the number of its root child, which root children
+    of the set are branched, and its side (1 or 2 of two blocks, 3 of a node that is one group, 4 for pivots).
     """
 
-    def __init__(self, least: float, mode: str, small: int = SMALL) -> None:
-        self.least, self.mode, self.small, self.out, self.held = least, mode, small, [], 0
+    def __init__(self, least: float, mode: str) -> None:
+        self.least, self.mode, self.out, self.held = least, mode, [], 0
 
     def put(self, a: np.ndarray, b: np.ndarray, s: np.ndarray, kind: int) -> None:
         if len(a):
@@ -154,15 +189,15 @@ class Asker:
             self.held += len(a)
 
     def named_here(self, x: np.ndarray, y: np.ndarray, mask: np.ndarray, root: np.ndarray) -> np.ndarray:
-        """Whether `root` is large, or the first of the others that the sets of x and y (values at root positions) share.
+        """Whether `root` is branched, or the first of the others that the sets of x and y (values at root positions) share.
 
-        mask: the large root children of x; those that y shares are large for y too.
+        mask: the branched root children of x; those that y shares are branched for y too.
         """
-        large = (mask[..., None] >> np.arange(x.shape[-1])) & 1 == 1
-        return ((mask >> root) & 1 == 1) | (((x == y) & ~large).argmax(-1) == root)
+        branched = (mask[..., None] >> np.arange(x.shape[-1])) & 1 == 1
+        return ((mask >> root) & 1 == 1) | (((x == y) & ~branched).argmax(-1) == root)
 
-    def pairs(self, rows: dict[str, np.ndarray]) -> None:
-        """Nodes of two sets, all at once: each array has a row for each node."""
+    def pairs(self, rows: Rows) -> None:
+        """Groups of two sets, all at once: each array has a row for each group."""
         ids, group, sketches = rows["id"], rows["comp"], rows["sketch"]
         s = agreement(sketches[:, 0], sketches[:, 1])
         ok = (s >= bar(self.least, 16 * sketches.shape[-1])) & (ids[:, 0] != ids[:, 1]) & (group[:, 0] != group[:, 1])
@@ -173,32 +208,40 @@ class Asker:
         if self.mode == "first":
             self.put(b, a, s, 0)
 
-    def node(self, key: int, rows: dict[str, np.ndarray], depth: int = 0) -> None:
-        n, group = len(rows["id"]), rows["comp"]
-        if n < 2 or (group[0] == group).all():
-            return
-        if n > self.small and depth < DEPTH:
-            for child, own in branch(key, rows["sketch"], self.least):
-                self.node(child, {c: x[own] for c, x in rows.items()}, depth + 1)
+    def group(self, rows: Rows) -> None:
+        side, group = rows["side"], rows["comp"]
+        if (group[0] == group).all():
             return
-        width = rows["sketch"].shape[-1]
-        step = max(1, (1 << 21) // (n * width))
-        for i in range(0, n, step):
-            self.block(slice(i, i + step), rows, 16 * width)
-
-    def block(self, part: slice, rows: dict[str, np.ndarray], positions: int) -> None:
-        """Compare the rows of a part of a node with all of it."""
-        ids, group, least = rows["id"], rows["comp"], bar(self.least, positions)
-        mine = ids[part]
-        s = agreement(rows["sketch"][part, None], rows["sketch"][None])
-        s[(mine[:, None] == ids) | (group[part, None] == group)] = -1
+        part = lambda own: {c: x[own] for c, x in rows.items()}
+        if (side == 4).any():
+            self.compare(part(side == 2), part(side == 4), least_too=False)
+        elif (side == 3).all():
+            self.compare(rows, rows)
+        else:
+            one, two = part(side == 1), part(side == 2)
+            self.compare(one, two)
+            if self.mode != "all":
+                self.compare(two, one)
+
+    def compare(self, x: Rows, y: Rows, least_too: bool = True) -> None:
+        step = max(1, (1 << 21) // max(1, len(y["id"]) * y["sketch"].shape[-1]))
+        for i in range(0, len(x["id"]) if len(y["id"]) else 0, step):
+            self.block({c: v[i : i + step] for c, v in x.items()}, y, least_too)
+
+    def block(self, x: Rows, y: Rows, least_too: bool) -> None:
+        """Compare some rows with all of y."""
+        mine, ids, group = x["id"], y["id"], y["comp"]
+        least = bar(self.least, 16 * y["sketch"].shape[-1])
+        s = agreement(x["sketch"][:, None], y["sketch"][None])
+        s[(mine[:, None] == ids) | (x["comp"][:, None] == group)] = -1
         if self.mode == "first":
             r, best = np.arange(len(mine)), s.argmax(1)
             ok = s[r, best] >= least
             self.put(mine[ok], ids[best[ok]], s[r, best][ok], 0)
-            low = np.where(s >= least, ids[None], np.iinfo(np.int64).max).min(1)
-            ok = low < mine
-            self.put(mine[ok], low[ok], np.zeros(ok.sum(), np.int64), 1)
+            if least_too:
+                low = np.where(s >= least, ids[None], np.iinfo(np.int64).max).min(1)
+                ok = low < mine
+                self.put(mine[ok], low[ok], np.zeros(ok.sum(), np.int64), 1)
             return
         i, j = np.nonzero(s >= least)
         if self.mode == "top" and len(i):  # the four nearest of each set in each other component
@@ -208,7 +251,7 @@ class Asker:
             rank = np.arange(len(i)) - np.repeat(begins, np.diff(np.r_[begins, len(i)]))
             i, j = i[rank < 4], j[rank < 4]
         if len(i):
-            ok = self.named_here(rows["roots"][part][i], rows["roots"][j], rows["mask"][part][i], rows["root"][part][i])
+            ok = self.named_here(x["roots"][i], y["roots"][j], x["mask"][i], x["root"][i])
             i, j = i[ok], j[ok]
         self.put(mine[i], ids[j], s[i, j], 0)
 
@@ -225,28 +268,24 @@ class Asker:
         return got
 
 
-NODES = "key long, id long, comp long, sketch binary, roots binary, root int, mask long"
-COLUMNS = ["key", "id", "comp", "sketch", "roots", "root", "mask"]
+COLUMNS = {"key": "long", "id": "long", "comp": "long", "sketch": "binary", "roots": "binary", "root": "int", "mask": "long", "side": "int"}
+NODES = ", ".join(f"{c} {t}" for c, t in COLUMNS.items())
 
 
-def _rows(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
-    """The columns of NODES as arrays."""
+def _rows(batch: pa.RecordBatch) -> Rows:
+    """The columns of COLUMNS as arrays."""
     out = {c: batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i, c in enumerate(COLUMNS) if c not in ("sketch", "roots")}
-    for c, kind in (("sketch", _U), ("roots", np.uint32)):
-        out[c] = np.frombuffer(b"".join(batch.column(COLUMNS.index(c)).to_pylist()), kind).reshape(batch.num_rows, -1)
+    for i, c, kind in ((3, "sketch", _U), (4, "roots", np.uint32)):
+        out[c] = np.frombuffer(b"".join(batch.column(i).to_pylist()), kind).reshape(batch.num_rows, -1)
     return out
 
 
-def _batch(rows: dict[str, np.ndarray]) -> pa.RecordBatch:
-    return pa.record_batch([pa.array([x.tobytes() for x in rows[c]], pa.binary()) if c in ("sketch", "roots") else pa.array(rows[c], pa.int32() if c == "root" else pa.int64()) for c in COLUMNS], COLUMNS)
-
-
-def ask(batches: Iterator[pa.RecordBatch], least: float, mode: str, small: int = SMALL) -> Iterator[pa.RecordBatch]:
-    """Candidates of nodes that come sorted by key."""
-    asker = Asker(least, mode, small)
+def ask(batches: Iterator[pa.RecordBatch], least: float, mode: str) -> Iterator[pa.RecordBatch]:
+    """Candidates of groups that come sorted by key."""
+    asker = Asker(least, mode)
     held = None
 
-    def nodes(rows: dict[str, np.ndarray]) -> None:
+    def groups(rows: Rows) -> None:
         key = rows["key"]
         begins = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         size = np.diff(np.r_[begins, len(key)])
@@ -255,7 +294,7 @@ def ask(batches: Iterator[pa.RecordBatch], least: float, mode: str, small: int =
             both = two[at : at + (1 << 14), None] + np.arange(2)
             asker.pairs({c: x[both] for c, x in rows.items()})
         for b, n in zip(begins[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-            asker.node(int(key[b]), {c: x[b : b + n] for c, x in rows.items()})
+            asker.group({c: x[b : b + n] for c, x in rows.items()})
 
     def flush():
         got = asker.take()
@@ -268,14 +307,14 @@ def ask(batches: Iterator[pa.RecordBatch], least: float, mode: str, small: int =
         now = _rows(batch)
         if held is not None:
             now = {c: np.concatenate([held[c], now[c]]) for c in COLUMNS}
-        last = int(np.searchsorted(now["key"], now["key"][-1], "left"))  # the last node may go on in the next batch
+        last = int(np.searchsorted(now["key"], now["key"][-1], "left"))  # the last group may go on in the next batch
         if last:
-            nodes({c: x[:last] for c, x in now.items()})
+            groups({c: x[:last] for c, x in now.items()})
         held = {c: x[last:] for c, x in now.items()}
-        if asker.held > 1 << 18 and mode != "first":
+        if asker.held > 1 << 18:
             yield from flush()
     if held is not None:
-        nodes(held)
+        groups(held)
     yield from flush()
     words.trim()
 
@@ -283,69 +322,100 @@ def ask(batches: Iterator[pa.RecordBatch], least: float, mode: str, small: int =
 PAIRS = "a long, b long, s long, kind long"
 
 
-def across(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    """(a, b) with a < b of pairs of blocks, as rows of NODES and side (1, 2 or, within one block, 3) sorted by key; see `crossings`."""
-
-    def compare(rows: dict[str, np.ndarray]):
-        one, two = (np.flatnonzero(rows["side"] & bit) for bit in (1, 2))
-        wide = rows["roots"].shape[-1]
-        least_s = bar(least, 16 * rows["sketch"].shape[-1])
-        step = max(1, (1 << 22) // max(1, len(two) * wide))
-        for at in range(0, len(one), step):
-            x = one[at : at + step]
-            same = rows["roots"][x, None] == rows["roots"][two]
-            large = ((rows["mask"][x, None] >> np.arange(wide)) & 1 == 1)[:, None]
-            ok = ((same & large).argmax(-1) == rows["root"][x, None]) & ~(same & ~large).any(-1)
-            ok &= rows["comp"][x, None] != rows["comp"][two]
-            i, j = np.nonzero(ok)
-            for begin in range(0, len(i), 1 << 15):
-                a, b = x[i[begin : begin + (1 << 15)]], two[j[begin : begin + (1 << 15)]]
-                near = agreement(rows["sketch"][a], rows["sketch"][b]) >= least_s
-                a, b = rows["id"][a[near]], rows["id"][b[near]]
-                if (rows["side"] == 3).all():  # within one block each pair is met twice
-                    a, b = a[a < b], b[a < b]
-                if len(a):
-                    yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+def stats(rows: DataFrame, *more: str) -> DataFrame:
+    """A row for each key of rows(key, comp, ...) that has several components: n, main (its largest one) and minor (rows outside it)."""
+    each = rows.groupBy("key", "comp", *more).agg(F.count(F.lit(1)).alias("rows"))
+    whole = each.groupBy("key", *more).agg(F.max(F.struct("rows", "comp")).alias("top"), F.sum("rows").alias("n")).where("top.rows < n")
+    return whole.select("key", *more, "n", F.col("top.comp").alias("main"), (F.col("n") - F.col("top.rows")).alias("minor"))
 
-    held = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        now = _rows(batch) | {"side": batch.column(len(COLUMNS)).to_numpy(zero_copy_only=False)}
-        if held is not None:
-            now = {c: np.concatenate([held[c], x]) for c, x in now.items()}
-        begins = np.flatnonzero(np.r_[True, now["key"][1:] != now["key"][:-1]])
-        for a, b in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True):
-            yield from compare({c: x[a:b] for c, x in now.items()})
-        held = {c: x[begins[-1] :] for c, x in now.items()}
-    if held is not None:
-        yield from compare(held)
-    words.trim()
 
+def in_blocks(nodes: DataFrame, block: int) -> DataFrame:
+    """Nodes (COLUMNS with n, main and minor) as pairs of blocks, so that every pair across components meets in one group.
 
-def crossings(spark: SparkSession, members: DataFrame, crowded: DataFrame, least: float, block: int = SMALL) -> DataFrame:
-    """a < b: candidates of different components that share root children in crowded(key) and no others.
-
-    Sets outside a node's largest component (minor blocks) meet all blocks, so that each pair of blocks is one group of rows.
+    Sets outside the node's largest component lie in the first blocks, which meet all blocks; the others meet only those.
     """
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    brief = lambda df: F.broadcast(df) if df.count() <= common.BROADCAST_ROWS else df
-    spots = common.materialize(spark, members.select("id", "comp", F.posexplode("keys").alias("root", "key")).join(brief(crowded), "key"), "crowd-places")
-    each = spots.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("rows"))
-    whole = each.groupBy("key").agg(F.max(F.struct("rows", "comp")).alias("top"), F.sum("rows").alias("rows")).where("top.rows < rows")
-    blocks = lambda rows: F.ceil(rows / block).cast("int")
-    whole = whole.select("key", F.col("top.comp").alias("main"), blocks(F.col("rows") - F.col("top.rows")).alias("minor"), blocks(F.col("top.rows")).alias("major"))
-    whole = common.materialize(spark, whole, "crowds")
-    masks = spots.groupBy("id").agg(F.bit_or(F.expr("shiftleft(1L, root)")).alias("mask"))
-    place = F.xxhash64("id")
-    own = F.when(F.col("comp") == F.col("main"), F.col("minor") + F.pmod(place, F.col("major"))).otherwise(F.pmod(place, F.col("minor"))).cast("int")
-    last = F.when(F.col("comp") == F.col("main"), F.col("minor") - 1).otherwise(F.col("minor") + F.col("major") - 1)
-    dealt = spots.join(brief(whole), "key").select("key", "id", "comp", "root", own.alias("own"), last.alias("last"))
-    dealt = dealt.join(members.select("id", "sketch", "roots").join(masks, "id"), "id").select("*", F.explode(F.sequence(F.lit(0), "last")).alias("other"))
+    most = F.least(F.lit(block), F.greatest(F.lit(SMALL), F.ceil(F.col("n") / 8)))
+    blocks = lambda rows: F.ceil(rows / most).cast("int")
+    minor, major = blocks(F.col("minor")), blocks(F.col("n") - F.col("minor"))
+    place = F.xxhash64("id", "key")
+    inner = F.col("comp") == F.col("main")
+    own = F.when(inner, minor + F.pmod(place, major)).otherwise(F.pmod(place, minor)).cast("int")
+    last = F.when(inner, minor - 1).otherwise(minor + major - 1)
+    dealt = nodes.withColumns({"own": own, "last": last}).select("*", F.explode(F.sequence(F.lit(0), "last")).alias("other"))
     lo, hi = F.least("own", "other"), F.greatest("own", "other")
-    side = F.when(lo == hi, 3).when(F.col("own") == lo, 1).otherwise(2).cast("long")
-    dealt = dealt.withColumn("side", side).withColumn("key", F.xxhash64("key", lo, hi)).select(*COLUMNS, "side")
-    return dealt.repartition(n, "key").sortWithinPartitions("key").mapInArrow(lambda batches: across(batches, least), "a long, b long")
+    side = F.when(lo == hi, 3).when(F.col("own") == lo, 1).otherwise(2)
+    return dealt.withColumn("side", side).withColumn("key", F.xxhash64("key", lo, hi)).select(*COLUMNS)
+
+
+def with_pivots(nodes: DataFrame, crowds: DataFrame, block: int) -> DataFrame:
+    """Nodes of crowds(key, n) in groups of near `block` rows, each with the node's PIVOTS pivots: by id, so that other trees take the same."""
+    slot = F.pmod(F.xxhash64("id"), F.lit(PIVOTS))
+    groups = F.ceil(F.col("n") / block).cast("int")
+    own = common.lookup(nodes, crowds, "key", F.xxhash64("id")).where("n IS NOT NULL")
+    pivots = own.groupBy("key", "n", slot.alias("slot")).agg(F.min(F.struct("id", "comp", "sketch")).alias("x"))
+    pivots = pivots.select("key", F.explode(F.sequence(F.lit(0), groups - 1)).alias("part"), "x.*", F.lit(b"").alias("roots"), F.lit(0).alias("root"), F.lit(0).cast("long").alias("mask"), F.lit(4).alias("side"))
+    members = own.select("key", F.pmod(F.xxhash64("id", "key"), groups).cast("int").alias("part"), "id", "comp", "sketch", "roots", "root", "mask", F.lit(2).alias("side"))
+    return members.unionByName(pivots).withColumn("key", F.xxhash64("key", "part")).select(*COLUMNS)
+
+
+def deal(spark: SparkSession, nodes: DataFrame, least: float, small: int = SMALL, block: int = BLOCK, work: int = WORK) -> DataFrame:
+    """Nodes (key, id, comp, sketch, roots, root) that have several components, as groups of bounded size.
+
+    Small nodes are groups of their own, and larger ones become pairs of blocks. Those that take over `work`
+    comparisons so are branched instead, with as many repeats as the recall of their depth asks for, unless their
+    children take as many or DEPTH is reached.
+    """
+    known = common.materialize(spark, stats(nodes), "mixed-keys")
+    large, heavy = F.col("n") > small, (F.col("n") > small) & (F.col("minor") * F.col("n") > work)
+    live = common.lookup(nodes, known, "key", F.xxhash64("id"), seen=nodes.select("key", "id")).where("n IS NOT NULL")
+    if known.where(heavy).isEmpty():
+        live = live.withColumn("mask", F.lit(0).cast("long"))
+    else:
+        masks = live.where(heavy).groupBy("id").agg(F.bit_or(F.expr("shiftleft(1L, root)")).alias("mask"))
+        live = live.drop("mask").join(masks, "id", "left").withColumn("mask", F.coalesce("mask", F.lit(0).cast("long")))
+    live = common.materialize(spark, live.withColumn("side", F.lit(3)).select(*COLUMNS, "n", "main", "minor"), "mixed-nodes")
+    out = []
+    for level in range(DEPTH + 1):
+        out.append(live.where(~large).select(*COLUMNS))
+        seen = known.agg(F.count_if(large).alias("large"), F.count_if(heavy).alias("heavy")).first()
+        if level == DEPTH or not seen.heavy:
+            if seen.large:
+                out.append(in_blocks(live.where(large), block))
+            break
+
+        def expand(batches, level=level):
+            for batch in batches:
+                rows, n = _rows(batch), batch.column(len(COLUMNS)).to_numpy()
+                parts, up = [], []
+                for k in np.unique(rows["key"]).tolist():
+                    own = np.flatnonzero(rows["key"] == k)
+                    deep = min(DEPTH, max(1, math.ceil(math.log2(n[own[0]] / small) / 3)))
+                    for again in range(1 if level else repeats(least, deep)):
+                        for child, at in branch(int(k), rows["sketch"][own], least, again):
+                            parts.append({c: x[own[at]] for c, x in rows.items()} | {"key": np.full(len(at), child)})
+                            up.append(np.full(len(at), k))
+                if parts:
+                    got = {c: np.concatenate([x[c] for x in parts]) for c in COLUMNS}
+                    cols = [pa.array([x.tobytes() for x in got[c]], pa.binary()) if t == "binary" else pa.array(got[c], pa.int32() if t == "int" else pa.int64()) for c, t in COLUMNS.items()]
+                    yield pa.record_batch([*cols, pa.array(np.concatenate(up))], [*COLUMNS, "up"])
+
+        children = common.materialize(spark, live.where(heavy).select(*COLUMNS, "n").mapInArrow(expand, f"{NODES}, up long"), "children")
+        below = common.materialize(spark, stats(children, "up"), "children-keys")
+        cost = below.groupBy(F.col("up").alias("key")).agg(F.sum(F.col("minor") * F.col("n")).alias("cost"))
+        poor = known.where(heavy).join(cost, "key").where(F.col("cost") >= F.col("minor") * F.col("n")).select("key", F.lit(True).alias("poor"))
+        poor = common.materialize(spark, poor, "poor-keys")
+        salt = F.xxhash64("id")
+        if seen.large > seen.heavy:
+            out.append(in_blocks(live.where(large & ~heavy), block))
+        if not poor.isEmpty():
+            out.append(in_blocks(common.lookup(live.where(heavy), poor, "key", salt).where("poor"), block))
+            below = below.join(poor.select(F.col("key").alias("up")), "up", "left_anti")
+        known = below.drop("up")
+        live = common.materialize(spark, common.lookup(children.drop("up"), known, "key", salt).where("n IS NOT NULL"), "branched-nodes")
+    whole = out[0]
+    for part in out[1:]:
+        whole = whole.unionByName(part)
+    return whole
 
 
 def signatures(docs: DataFrame, k: int, least: float) -> DataFrame:
@@ -356,7 +426,8 @@ def signatures(docs: DataFrame, k: int, least: float) -> DataFrame:
         for shard in words.shards(batches, "text", SHARD):
             col = shard.column("text")
             for piece, ids in zip(col.chunks, shard.column("doc_id").chunks, strict=True):
-                h, at = words.hashes(*words.buffers(piece), lut)
+                data, off = words.buffers(piece)
+                h, at = words.hashes(data, off, lut)
                 sets = shingles(h, at, k)
                 full = [i for i, s in enumerate(sets) if len(s)]
                 n = len(sets)
@@ -365,7 +436,7 @@ def signatures(docs: DataFrame, k: int, least: float) -> DataFrame:
                     low = minwise([sets[i] for i in full])
                     packed, roots = sketch(low), root_keys(low, least)
                     for x, i in enumerate(full):
-                        seq[i] = hashlib.blake2b(h[at[i] : at[i + 1]].tobytes(), digest_size=16).digest()
+                        seq[i] = hashlib.blake2b(words.plain(data[off[i] : off[i + 1]].tobytes()), digest_size=16).digest()
                         rows[i], keys[i] = packed[x].tobytes(), roots[x]
                 words.trim()
                 yield pa.record_batch([ids, pa.array(seq, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(rows, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "seq", "n", "sketch", "keys"])
@@ -407,41 +478,11 @@ def wide_sketches(sets: DataFrame, least: float) -> DataFrame:
     return sets.select("id", "items").mapInArrow(run, "id long, sketch binary, roots binary, keys array<long>")
 
 
-def split_giants(spark: SparkSession, nodes: DataFrame, least: float, giant: int) -> DataFrame:
-    """nodes (as NODES) in which no node has over `giant` rows, unless it cannot be branched further."""
-    parts, live = [], nodes
-    for _ in range(DEPTH):
-        counts = live.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > giant).select("key", F.lit(1).alias("__big"))
-        counts = common.materialize(spark, counts, "giant-nodes")
-        n = counts.count()
-        if not n:
-            break
-        marked = live.join(F.broadcast(counts), "key", "left") if n <= common.BROADCAST_ROWS else common.lookup(live, counts, "key", F.xxhash64("id"))
-        parts.append(marked.where("__big IS NULL").drop("__big"))
-
-        def expand(batches):
-            for batch in batches:
-                rows = _rows(batch)
-                out = []
-                for k in np.unique(rows["key"]).tolist():
-                    own = np.flatnonzero(rows["key"] == k)
-                    for child, at in branch(int(k), rows["sketch"][np.r_[own, own]], least):  # doubled, so that no single row is left out
-                        got = {c: x[own[at[at < len(own)]]] for c, x in rows.items()}
-                        out.append(got | {"key": np.full(len(got["id"]), child)})
-                if out:
-                    yield _batch({c: np.concatenate([x[c] for x in out]) for c in COLUMNS})
-
-        live = common.materialize(spark, marked.where("__big IS NOT NULL").select(*COLUMNS).mapInArrow(expand, NODES), "branched-nodes")
-    for p in parts:
-        live = live.unionByName(p)
-    return live
-
-
-def candidates(spark: SparkSession, nodes: DataFrame, least: float, mode: str, giant: int = GIANT, small: int = SMALL) -> DataFrame:
-    """a < b: candidate pairs of ids from nodes (as NODES)."""
+def candidates(spark: SparkSession, groups: DataFrame, least: float, mode: str) -> DataFrame:
+    """a < b: candidate pairs of ids from groups (as COLUMNS)."""
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = split_giants(spark, nodes, least, giant).select(*COLUMNS).repartition(n, "key").sortWithinPartitions("key")
-    got = dealt.mapInArrow(lambda batches: ask(batches, least, mode, small), PAIRS)
+    dealt = groups.select(*COLUMNS).repartition(n, "key").sortWithinPartitions("key")
+    got = dealt.mapInArrow(lambda batches: ask(batches, least, mode), PAIRS)
     if mode == "first":
         one = got.groupBy("a").agg(F.max(F.when(F.col("kind") == 0, F.struct("s", (-F.col("b")).alias("b")))).alias("near"), F.min("b").alias("low"))
         got = one.select("a", F.explode(F.array(-F.col("near.b"), "low")).alias("b")).where("b IS NOT NULL")
@@ -478,75 +519,110 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
             return at.select(F.col("b").alias("id"), F.col("a").alias("comp"))
 
 
-def link(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80, giant: int = GIANT, small: int = SMALL) -> DataFrame:
+def link(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80, small: int = SMALL, work: int = WORK) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of docs(doc_id, text); doc_id is a whole number."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return grouped(spark, docs, k, percent, small, work).drop("seq")
+
+
+def grouped(spark: SparkSession, docs: DataFrame, k: int, percent: int, small: int = SMALL, work: int = WORK) -> DataFrame:
+    """`link` with seq, the digest of the row's words (null without words)."""
+    docs = docs.select(whole_id(docs).alias("doc_id"), "text")
     least = percent / 100
     sig = common.materialize(spark, signatures(docs, k, least), "signatures")
     some = sig.where("n > 0 AND doc_id IS NOT NULL")
     classes = common.materialize(spark, some.groupBy("seq").agg(F.min("doc_id").alias("id"), F.min(F.struct("sketch", "keys")).alias("x")).select("seq", "id", "x.sketch", "x.keys"), "classes")
-    nodes = classes.select(F.explode("keys").alias("key"), "id", F.col("id").alias("comp"), "sketch", F.lit(b"").alias("roots"), F.lit(0).alias("root"), F.lit(0).cast("long").alias("mask"))
-    asked = common.materialize(spark, candidates(spark, nodes, least, "first", giant, small), "asked")
-    crowded = common.materialize(spark, nodes.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > min(small, giant)).select("key"), "crowded")
-    crowds = crowded.count()
-    active = asked.select(F.explode(F.array("a", "b")).alias("id"))
-    if crowds:
-        active = active.unionByName(nodes.select("key", "id").join(F.broadcast(crowded) if crowds <= common.BROADCAST_ROWS else crowded, "key").select("id"))
-    active = active.distinct()
-    active = common.materialize(spark, active, "active")
-    few = active.withColumnRenamed("id", "doc_id")
-    few = F.broadcast(few) if few.count() <= common.BROADCAST_ROWS else few
-    sets = full_sets(docs.join(few, "doc_id").select(F.col("doc_id").alias("id"), "text"), k)
-    # rows that share a doc_id: repeats are confirmed once, different texts belong together
+    narrow = classes.select("id", F.col("id").alias("comp"), "sketch", F.lit(b"").alias("roots"), F.posexplode("keys").alias("root", "key"), F.lit(0).cast("long").alias("mask"), F.lit(3).alias("side"))
+    crowds = common.materialize(spark, narrow.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > small), "crowds")
+    few = crowds.select("key")
+    n_crowds = few.count()
+    brief = lambda df: F.broadcast(df) if n_crowds <= common.BROADCAST_ROWS else df
+    groups, busy = narrow, None
+    if n_crowds:
+        busy = common.materialize(spark, narrow.join(brief(few), "key").select(*COLUMNS), "crowd-nodes")
+        groups = narrow.join(brief(few), "key", "left_anti").select(*COLUMNS).unionByName(with_pivots(busy, crowds, small))
+    asked = common.materialize(spark, candidates(spark, groups, least, "first"), "asked")
     shared = some.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.min("seq").alias("lo"), F.max("seq").alias("hi")).where("rows > 1")
     shared = common.materialize(spark, shared, "shared-ids")
-    if not shared.isEmpty():
-        sets = sets.dropDuplicates(["id", "items"])
-    sets = common.materialize(spark, sets, "sets")
+    repeated = not shared.isEmpty()
+    made = [asked, crowds]
+
+    def sets_of(ids: DataFrame, name: str) -> DataFrame:
+        """Full sets; of rows that share a doc_id, repeats count once."""
+        ids = ids.withColumnRenamed("id", "doc_id")
+        ids = F.broadcast(ids) if ids.count() <= common.BROADCAST_ROWS else ids
+        sets = full_sets(docs.join(ids, "doc_id").select(F.col("doc_id").alias("id"), "text"), k)
+        made.append(common.materialize(spark, sets.dropDuplicates(["id", "items"]) if repeated else sets, name))
+        return made[-1]
+
+    ends = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    active = common.materialize(spark, ends(asked), "active")
+    sets = sets_of(active, "sets")
+    # different texts of one doc_id belong together
     texts = some.join(shared.where("lo <> hi").select("doc_id"), "doc_id").select("doc_id", "seq").distinct().join(classes.select("seq", "id"), "seq")
     shared = texts.select(F.least("doc_id", "id").alias("a"), F.greatest("doc_id", "id").alias("b")).where("a < b").distinct()
-    edges = common.materialize(spark, confirm(asked, sets, percent), "edges")
-    comps = components(spark, edges.unionByName(shared))
+    comps = components(spark, confirm(asked, sets, percent).unionByName(shared))
+    of_comp = lambda rows: rows.drop("comp").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+
+    def joined(new: DataFrame) -> DataFrame:
+        return components(spark, confirm(new, sets, percent).unionByName(comps.select(F.col("comp").alias("a"), F.col("id").alias("b"))))
+
+    if busy is not None:  # crowds again, now across the components that their pivots made
+        new = candidates(spark, deal(spark, of_comp(busy), least, small, work=work), least, "first")
+        new = common.materialize(spark, new.join(asked, ["a", "b"], "left_anti"), "asked-crowds")
+        made += [new, busy]
+        if not new.isEmpty():
+            late = common.materialize(spark, ends(new).join(active, "id", "left_anti"), "active-late")
+            sets = sets.unionByName(sets_of(late, "sets-late"))
+            comps = joined(new)
+            asked = asked.unionByName(new)
     wide = common.materialize(spark, wide_sketches(sets, least), "wide-sketches")
-    made = [asked, active, crowded, sets, edges, wide]
+    made += [active, wide]
     for mode in ("top", "all"):
-        members = wide.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        seen = members.select("id", "comp", F.posexplode("keys").alias("root", "key"))
-        mixed = seen.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("rows")).where("lo < hi").select("key", (F.col("rows") > min(small, giant)).alias("__large"))
-        mixed = common.materialize(spark, mixed, "mixed-keys")
-        inner = common.lookup(members.select(F.posexplode("keys").alias("root", "key"), "id", "comp", "sketch", "roots"), mixed, "key", F.xxhash64("id"), seen=seen).where("__large IS NOT NULL")
-        large = common.lookup(seen, mixed.where("__large"), "key", F.xxhash64("id")).where("__large")
-        large = large.groupBy("id").agg(F.bit_or(F.expr("shiftleft(1L, root)")).alias("mask"))
-        nodes = inner.join(large, "id", "left").withColumn("mask", F.coalesce("mask", F.lit(0).cast("long"))).select(*COLUMNS)
-        nodes = common.materialize(spark, nodes, "mixed-nodes")
-        new = common.materialize(spark, candidates(spark, nodes, least, mode, giant, small).join(asked, ["a", "b"], "left_anti"), "asked-more")
-        common.drop(spark, nodes, mixed)
+        nodes = of_comp(wide).select("id", "comp", "sketch", "roots", F.posexplode("keys").alias("root", "key"))
+        new = candidates(spark, deal(spark, nodes, least, small, work=work), least, mode)
+        new = common.materialize(spark, new.join(asked, ["a", "b"], "left_anti"), "asked-more")
         made.append(new)
         if new.isEmpty():
             continue
-        more = confirm(new, sets, percent)
-        merged = more.unionByName(comps.select(F.col("comp").alias("a"), F.col("id").alias("b")))
-        comps = components(spark, merged)
+        comps = joined(new)
         asked = asked.unionByName(new)
-    if crowds:  # pairs that the branches of large root children part
-        members = wide.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        new = common.materialize(spark, crossings(spark, members, crowded, least).join(asked, ["a", "b"], "left_anti"), "asked-rest")
-        made.append(new)
-        if not new.isEmpty():
-            merged = confirm(new, sets, percent).unionByName(comps.select(F.col("comp").alias("a"), F.col("id").alias("b")))
-            comps = components(spark, merged)
     common.drop(spark, *made)  # what is left reads signatures, classes and components
     named = classes.select("seq", "id").join(comps, "id", "left").select("seq", F.coalesce("comp", "id").alias("comp"))
     got = common.lookup(sig.select("doc_id", "n", "seq"), named, "seq", F.xxhash64("doc_id"))
     comp = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id"))
-    return got.select("doc_id", F.col("n").alias("n_shingles"), comp.alias("component_id"), F.coalesce(F.col("doc_id") == comp, F.lit(True)).alias("kept"))
+    return got.select("doc_id", F.col("n").alias("n_shingles"), comp.alias("component_id"), F.coalesce(F.col("doc_id") == comp, F.lit(True)).alias("kept"), "seq")
+
+
+def whole_id(docs: DataFrame) -> Column:
+    return F.col("doc_id").try_cast("long")
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """docs without those that are not the least doc_id of their component, with the columns of docs."""
-    gone = common.materialize(spark, link(spark, docs, k, percent).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    got = common.materialize(spark, grouped(spark, docs, k, percent).select("doc_id", "kept", "seq"), "deduplicated")
+    gone = common.materialize(spark, got.where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct(), "gone")
     few = F.broadcast(gone) if gone.count() <= common.BROADCAST_ROWS else gone
-    return docs.join(few, docs["doc_id"].cast("long") == F.col("__gone"), "left_anti")
+    kept = docs.join(few, whole_id(docs) == F.col("__gone"), "left_anti")
+    # rows that repeat in doc_id and words, and rows without a doc_id: mostly none, else only they are shuffled
+    again = got.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("__id"))
+    again = common.materialize(spark, again, "repeated")
+    lost = not got.where("doc_id IS NULL").isEmpty()
+    if not lost and again.isEmpty():
+        return kept
+    some = F.broadcast(again) if again.count() <= common.BROADCAST_ROWS else again
+    plain = F.sha2(F.array_join(F.filter(F.split(common.ascii_lower(F.coalesce("text", F.lit(""))), r"[\x20\x09-\x0D]+"), lambda w: w != ""), " "), 256)
+    order = W.Window.partitionBy("__id", "__plain").orderBy(*[F.col(c).cast("string") for c, t in docs.dtypes if "map" not in t and "variant" not in t])
+    first = lambda rows: rows.withColumn("__row", F.row_number().over(order)).where("__row = 1").select(*docs.columns)
+    marked = kept.withColumn("__id", whole_id(docs))
+    once = marked.where("__id IS NOT NULL").join(some, "__id", "left_anti").select(*docs.columns)
+    twice = first(marked.join(some, "__id").withColumn("__plain", plain))
+    out = once.unionByName(twice)
+    if not lost:
+        return out
+    orphans = marked.where("__id IS NULL").withColumn("__plain", plain)
+    wordless = F.col("__plain") == F.sha2(F.lit("").cast("binary"), 256)
+    named = docs.where(whole_id(docs).isNotNull()).select(plain.alias("__plain")).distinct()
+    return out.unionByName(first(orphans.where(~wordless).join(named, "__plain", "left_anti"))).unionByName(orphans.where(wordless).select(*docs.columns))
 
 
 SQL = r"""

@@ -3,29 +3,15 @@
 from __future__ import annotations
 
 import ctypes
+import hashlib
 
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 1 << 18  # bytes hashed at a time, so that scratch arrays and tables stay near 10 MB
-_P = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
-_state: dict[str, np.ndarray] = {}
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, np.uint64(base), np.uint64)
-    out[:1] = 1
-    return np.cumprod(out)
-
-
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Values of bytes, and powers and inverse powers of the base up to n (kept for chunks of usual size)."""
-    if not _state:
-        _state["byte"] = np.random.default_rng(20_250_101).integers(1, 1 << 63, 256, dtype=np.uint64)
-        _state["powers"], _state["inverse"] = _powers(_P, 2 * CHUNK), _powers(pow(_P, -1, 1 << 64), 2 * CHUNK)
-    if n <= 2 * CHUNK:
-        return _state["byte"], _state["powers"], _state["inverse"]
-    return _state["byte"], _powers(_P, n), _powers(pow(_P, -1, 1 << 64), n)
+CHUNK = 1 << 18  # bytes hashed at a time, so that scratch arrays stay near 10 MB
+LONG = 64  # words of more bytes are hashed one by one
+_KEYS = np.random.default_rng(20_250_101).integers(0, 1 << 64, LONG // 8 + 1, dtype=np.uint64)
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)  # the low k bytes
 
 
 def trim() -> None:
@@ -69,6 +55,26 @@ def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, off - off[0]
 
 
+def _word_hashes(b: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Hashes of the words b[first:last], of which eight bytes at a time are mixed in; b has eight bytes beyond the last word.
+
+    Each step is a bijection of the state, so different words of up to eight bytes and one length never collide.
+    """
+    n = last - first
+    h = mix64(n.astype(np.uint64) ^ _KEYS[-1])
+    eight = np.ndarray((len(b) - 7,), "<u8", b.data, 0, (1,))
+    own = np.arange(len(n))
+    for j in range(LONG // 8):
+        own = own[n[own] > 8 * j] if j else own
+        if not len(own):
+            break
+        x = eight[first[own] + 8 * j] & _LOW[np.minimum(n[own] - 8 * j, 8)]
+        h[own] = mix64((h[own] ^ x) + _KEYS[j])
+    for i in np.flatnonzero(n > LONG).tolist():
+        h[i] = np.frombuffer(hashlib.blake2b(b[first[i] : last[i]].tobytes(), digest_size=8).digest(), np.uint64)[0]
+    return h
+
+
 def hashes(data: np.ndarray, off: np.ndarray, lut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words in order, and for each text the number of the words before it (one more at the end)."""
     out, starts_all = [], []
@@ -79,22 +85,25 @@ def hashes(data: np.ndarray, off: np.ndarray, lut: np.ndarray) -> tuple[np.ndarr
         end = min(at + CHUNK, len(data))
         while end < len(data) and lut[data[end]] and not edge[end]:
             end += 1  # no word is cut
-        byte, powers, inverse = _tables(end - at)
-        b = lut[data[at:end]]
-        inside = np.zeros(len(b) + 2, bool)
-        inside[1:-1] = b != 0
+        b = np.zeros(end - at + 8, np.uint8)
+        b[:-8] = lut[data[at:end]]
+        inside = np.zeros(end - at + 2, bool)
+        inside[1:-1] = b[:-8] != 0
         cut = edge[at : end + 1]
         first = np.flatnonzero(inside[1:] & (~inside[:-1] | cut))
         last = np.flatnonzero(inside[:-1] & (~inside[1:] | cut))
-        pre = np.zeros(len(b) + 1, np.uint64)
-        np.cumsum(byte[b] * powers[: len(b)], out=pre[1:])
-        out.append(mix64((pre[last] - pre[first]) * inverse[first] + (last - first).astype(np.uint64)))
+        out.append(_word_hashes(b, first, last))
         starts_all.append(first + at)
         at = end
     starts = np.concatenate(starts_all) if starts_all else np.zeros(0, np.int64)
     return np.concatenate(out) if out else np.zeros(0, np.uint64), np.searchsorted(starts, off, "left")
 
 
+def plain(text: bytes) -> bytes:
+    """Words of the kind "space" with A-Z lower-cased and one space between: equal for equal word sequences and no others."""
+    return b" ".join(text.lower().split())
+
+
 def shards(batches, text: str, most: int):
     """Join Arrow batches into tables of about `most` bytes of text and not much more (a single row may have more)."""
     held, size = [], 0
