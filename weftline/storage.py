@@ -8,10 +8,11 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import window as W
 
-#: A side is broadcast only after its rows have been counted and are at most this many.
-BROADCAST_ROWS = 500_000
+#: A side is broadcast only after its rows and their bytes have been summed and are at most these.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 64 << 20
 
 _made: list[tuple[SparkSession, str]] = []
 
@@ -21,9 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a temporary folder where it is unset, as in tests."""
+    """spark.checkpoint.dir, or a temporary folder where it is unset and all runs in one process, as in tests."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="weftline-")
         spark.conf.set("spark.checkpoint.dir", at)
         _made.append((spark, at))
@@ -59,13 +63,32 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+def width(name: str, kind: T.DataType) -> Column:
+    """About how many bytes a column has in a row."""
+    c = F.col(f"`{name}`")
+    if isinstance(kind, T.StringType | T.BinaryType):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 8
+    if isinstance(kind, T.ArrayType):
+        inner = kind.elementType
+        own = F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x) + 8) if isinstance(inner, T.StringType | T.BinaryType) else F.size(c) * (8 if not isinstance(inner, T.StructType) else 8 * len(inner))
+        return F.coalesce(own, F.lit(0)) + 8
+    return F.lit(8)
+
+
+def fits(df: DataFrame) -> bool:
+    """Whether a table is small enough in rows and bytes to be broadcast."""
+    size = sum((width(f.name, f.dataType) for f in df.schema), F.lit(0)).cast("long")
+    got = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()
+    return got.n <= BROADCAST_ROWS and got.bytes <= BROADCAST_BYTES
+
+
 def join_keys(rows: DataFrame, keys: DataFrame, on: str, how: str = "left", parts: int = 32, salt: Column | None = None) -> DataFrame:
     """Join `rows` to `keys`, which has one row for each value of `on`.
 
-    Few keys (counted first) are broadcast. Many are joined by (key, salt), so that a frequent key is spread: the
-    salts that a key has are found by an aggregation that combines before its shuffle.
+    Small tables of keys (summed first) are broadcast. Others are joined by (key, salt), so that a frequent key is
+    spread: the salts that a key has are found by an aggregation that combines before its shuffle.
     """
-    if keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if fits(keys):
         return rows.join(F.broadcast(keys), on, how)
     salt = F.xxhash64(*[c for c, t in rows.dtypes if not t.startswith("map")]) if salt is None else salt
     rows = rows.withColumn("__salt", F.pmod(salt, F.lit(parts)))
@@ -87,7 +110,7 @@ def number_rows(df: DataFrame, order: list[Column], name: str = "row") -> DataFr
     return ranged.join(F.broadcast(offsets), "__part").withColumn(name, F.col("__first") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).drop("__part", "__at", "__first")
 
 
-def running_sum(df: DataFrame, value: str, order: list[Column], name: str = "cum") -> DataFrame:
+def running_sum(df: DataFrame, value: str, order: list[Column], name: str = "cum", kind: str = "long") -> DataFrame:
     """Add the sum of `value` over all rows up to and with each one, in a global order, in two levels of prefix sums."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
@@ -96,4 +119,4 @@ def running_sum(df: DataFrame, value: str, order: list[Column], name: str = "cum
     before = F.coalesce(F.sum("__s").over(W.Window.orderBy("__part").rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0))
     offsets = totals.select("__part", before.alias("__before"))
     own = F.sum(value).over(W.Window.partitionBy("__part").orderBy("__at").rowsBetween(W.Window.unboundedPreceding, 0))
-    return ranged.withColumn(name, own).join(F.broadcast(offsets), "__part").withColumn(name, (F.col(name) + F.col("__before")).cast("long")).drop("__part", "__at", "__before")
+    return ranged.withColumn(name, own).join(F.broadcast(offsets), "__part").withColumn(name, (F.col(name) + F.col("__before")).cast(kind)).drop("__part", "__at", "__before")
