@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read again as the next
 one's docs. All but the last keep the columns of documents.
+
+Defined cases, in any stage: nulls in any column are ordinary values; texts without a letter go in the first stage;
+of rows that repeat in doc_id and words one stays after the second, and of rows without a doc_id one for each text that
+no document has; very long texts are one row; ties go to the least doc_id; an empty table gives an empty result;
+extra columns are carried, and where one has the name of a column that the last stage adds, the added one's name gets
+underscores at its end.
 """
 
 from __future__ import annotations
@@ -35,12 +41,21 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3: 24 shards of near equal bytes; the rewritten files' rows with size, shard and slot."""
     files = sharding.reshard(spark, docs)
-    return files.select(*docs.columns, F.col("__size").alias("size"), F.col("__shard").alias("shard"), F.col("__slot").alias("slot"))
+    taken = {c.lower() for c in docs.columns}
+    added = []
+    for name in ("size", "shard", "slot"):
+        free = name
+        while free in taken:
+            free += "_"
+        taken.add(free)
+        added.append(F.col(f"__{name}").alias(free))
+    return files.select(*docs.columns, *added)
 
 
 STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("mix", mix), ("shard", shard)]
 
-#: None: hashed n-gram centroids (language ID) are beyond SQL; tests hold every stage against a brute-force version.
+#: None: the centroids that language ID learns are beyond SQL. Tests hold near-duplicates, decontamination and mixing
+#: against plain versions or SQL, sharding by its round trip, and language ID by planted rows.
 ORACLE_SQL = None
 
 
