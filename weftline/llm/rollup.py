@@ -69,24 +69,30 @@ class Rollup:
         _, folded, batches = self._state()
         if batch in folded or batch in batches:
             return False
-        signed(changes).coalesce(1).write.mode("overwrite").parquet(f"{self.at}/batch={batch}")
+        signed(changes).repartition(1).write.mode("overwrite").parquet(f"{self.at}/batch={batch}")  # one file, but not one task that aggregates
         return True
 
     def totals(self) -> DataFrame:
         """source, lang, version, docs and tokens of all committed batches."""
         snapshot, _, batches = self._state()
+        return self._sum(snapshot, batches)
+
+    def _sum(self, snapshot: str | None, batches: dict[str, str]) -> DataFrame:
         schema = "source string, lang string, version string, docs long, tokens long"
         paths = [*([snapshot] if snapshot else []), *batches.values()]
         deltas = self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
         return deltas.groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in SUMS]).where("docs <> 0 OR tokens <> 0")
 
     def compact(self) -> None:
-        """Fold all committed batches into a new snapshot; it counts once its totals are complete."""
-        _, folded, batches = self._state()
+        """Fold all committed batches into a new snapshot; it counts once its totals are complete.
+
+        Names and totals come from one listing, so a batch that is committed meanwhile is in neither and stays a delta.
+        """
+        snapshot, folded, batches = self._state()
         number = max([0, *map(int, self._listed("totals"))]) + 1
         names = sorted(folded | set(batches))
         self.spark.createDataFrame([(n,) for n in names], "batch string").coalesce(1).write.mode("overwrite").parquet(f"{self.at}/folded={number}")
-        self.totals().coalesce(1).write.mode("overwrite").parquet(f"{self.at}/totals={number}")
+        self._sum(snapshot, batches).repartition(1).write.mode("overwrite").parquet(f"{self.at}/totals={number}")
 
     def stream(self, changes: DataFrame, checkpoint: str, name: str = "stream"):
         """Commit each micro-batch of a streaming frame of changes; a replayed one changes nothing."""
@@ -101,10 +107,11 @@ def change(df: DataFrame, op: str, new: str | None, old: str | None) -> DataFram
 
 def replay(spark: SparkSession, docs: DataFrame, labels: DataFrame, at: str | None = None) -> DataFrame:
     """The life of a corpus as batches: all documents arrive, those not in English get the newer tokenizer, toxic ones go; two batches come twice."""
-    counted = docs.select("doc_id", "source", "lang", *[count_tokens(F.col("text"), v).alias(v) for v in TOKENIZERS])
+    foreign = F.coalesce(F.col("lang") != "en", F.lit(False))
+    newer = F.when(foreign, count_tokens(F.col("text"), "alnum-2"))  # only the rows that are revised need it
+    counted = docs.select("doc_id", "source", "lang", count_tokens(F.col("text"), "space-1").alias("space-1"), newer.alias("alnum-2"))
     counted = common.materialize(spark, counted, "token-counts")
     store = Rollup(spark, at or common.new_path(spark, "rollup"))
-    foreign = F.coalesce(F.col("lang") != "en", F.lit(False))
     bad = counted.join(labels.where("toxic = 1").select("doc_id").distinct(), "doc_id", "left_semi")
     revised = change(counted.where(foreign), "revise", "alnum-2", "space-1")
     gone = change(bad.where(foreign), "delete", None, "alnum-2").unionByName(change(bad.where(~foreign), "delete", None, "space-1"))
