@@ -11,7 +11,8 @@ option payload or verify. verify recomputes the digest and length of each payloa
 
 Defined cases: a null payload is empty; a null page_id gives a record whose page_id reads as null, and such
 records are never what others refer to; rows that repeat with the same page_id and payload are all responses;
-a null url gives a record without WARC-Target-URI; line breaks in header values are percent-encoded, so they
+page_ids of text may hold any characters, as they are percent-encoded in record names; a null url gives a record
+without WARC-Target-URI; line breaks in header values are percent-encoded, so they
 cannot end a header; payloads of any length are one record; an empty table gives an archive without records.
 """
 
@@ -39,6 +40,11 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 BLOCK = 16 << 20
 
 
+def file_system(at: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path as Spark names it, and the path in it."""
+    return pafs.FileSystem.from_uri(at.replace("s3a://", "s3://", 1) if at.startswith("s3a://") else at)
+
+
 def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()  # noqa: S324  the archive format asks for SHA-1
 
@@ -72,7 +78,7 @@ class WarcWriter(DataSourceArrowWriter):
         self.at, self.block, self.overwrite = options["path"], int(options.get("block", BLOCK)), overwrite
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
-        fs, root = pafs.FileSystem.from_uri(self.at)
+        fs, root = file_system(self.at)
         fs.create_dir(root)
         name, starts, at, n = f"part-{uuid.uuid4().hex}.warc", [], 0, 0
         with fs.open_output_stream(f"{root}/{name}") as out:
@@ -87,7 +93,7 @@ class WarcWriter(DataSourceArrowWriter):
         return Written(name, starts, at, n)
 
     def commit(self, messages: list) -> None:
-        fs, root = pafs.FileSystem.from_uri(self.at)
+        fs, root = file_system(self.at)
         fs.create_dir(root)
         old = [f.path for f in fs.get_file_info(pafs.FileSelector(root)) if f.base_name.startswith("_manifest-")] if self.overwrite else []
         with fs.open_output_stream(f"{root}/_manifest-{uuid.uuid4().hex}.json") as out:
@@ -96,7 +102,7 @@ class WarcWriter(DataSourceArrowWriter):
             fs.delete_file(path)
 
     def abort(self, messages: list) -> None:
-        fs, root = pafs.FileSystem.from_uri(self.at)
+        fs, root = file_system(self.at)
         for m in messages:
             if m:
                 fs.delete_file(f"{root}/{m.file}")
@@ -135,9 +141,15 @@ def parse_headers(f) -> dict[str, str] | None:
     if not line.startswith(b"WARC/"):
         raise ValueError(f"no record begins here: {line[:40]!r}")
     got: dict[str, str] = {}
+    name = ""
     while (line := f.readline()) not in (b"\r\n", b"\n", b""):
-        name, _, value = line.decode("utf-8", "replace").partition(":")
-        got[name.strip().lower()] = value.strip()
+        text = line.decode("utf-8", "replace")
+        if text[0] in " \t" and name:  # a folded line goes on with the header before it
+            got[name] = f"{got[name]} {text.strip()}".strip()
+            continue
+        name, _, value = text.partition(":")
+        name = name.strip().lower()
+        got[name] = value.strip()
     return got
 
 
@@ -161,7 +173,7 @@ class WarcReader(DataSourceReader):
                 self.tests.append(test)
 
     def partitions(self) -> list[Piece]:
-        fs, root = pafs.FileSystem.from_uri(self.at)
+        fs, root = file_system(self.at)
         files = fs.get_file_info(pafs.FileSelector(root))
         manifests = [f.path for f in files if f.base_name.startswith("_manifest-")]
         out = []
@@ -191,7 +203,7 @@ class WarcReader(DataSourceReader):
     def records(self, piece: Piece) -> Iterator[dict]:
         if not piece.file:
             return
-        fs, root = pafs.FileSystem.from_uri(self.at)
+        fs, root = file_system(self.at)
         with fs.open_input_file(f"{root}/{piece.file}") as raw:
             raw.seek(piece.begin)
             f = gzip.GzipFile(fileobj=raw) if piece.file.endswith(".gz") else _Buffered(raw)
@@ -318,7 +330,7 @@ def archive(spark: SparkSession, pages: DataFrame, at: str, least: int = 0, date
         found = common.lookup(rows, firsts, "hex", F.xxhash64("page_id"))
     again = (F.col("first") != F.col("page_id")) & (F.octet_length("payload") >= least)
     again = F.coalesce(again, F.col("page_id").isNull() & F.col("first").isNotNull() & (F.octet_length("payload") >= least))
-    urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
+    urn = lambda c: F.coalesce(F.concat(F.lit("<urn:page:"), F.url_encode(c.cast("string")), F.lit(">")), F.lit("<urn:no-page>"))
     out = found.select(
         F.when(again, F.lit("revisit")).otherwise(F.lit("response")).alias("record_type"), urn(F.col("page_id")).alias("record_id"), F.col("url").alias("target_uri"), F.lit(date).alias("date"),
         F.when(again, urn(F.col("first"))).alias("refers_to"), F.concat(F.lit("sha1:"), base32(F.col("hex"))).alias("payload_digest"), F.octet_length("payload").cast("long").alias("payload_bytes"),
@@ -329,7 +341,8 @@ def archive(spark: SparkSession, pages: DataFrame, at: str, least: int = 0, date
 
 
 def page_of(urn: Column, kind: str) -> Column:
-    return F.try_element_at(F.split(F.regexp_replace(urn, "[<>]", ""), ":"), F.lit(3)).try_cast(kind)
+    """The page_id of a record's name, in which it is percent-encoded; null for records without one."""
+    return F.when(F.startswith(urn, F.lit("<urn:page:")), F.url_decode(F.regexp_extract(urn, "(?s)^<urn:page:(.*)>$", 1))).try_cast(kind)
 
 
 def digest(spark: SparkSession, pages: DataFrame, at: str | None = None) -> DataFrame:
