@@ -9,7 +9,8 @@ projection over the url column, without a shuffle or a join.
 Rules: a rule (host, path) fits its host and all subdomains if the URL's path begins with the rule's; the longest wins.
 
 Defined cases: a null url, or one without `://`, has an empty host and path and gets the method's verdict for
-those; no rule fits an empty path, as rules' paths begin with `/`; ties of length cannot be, as equal rules are refused;
+those; no rule fits an empty path, as rules' paths begin with `/`; of fitting rules of one length that of the longer host wins
+(two of one host and length cannot both fit), and equal rules are refused;
 repeated rows are judged alike; empty tables give empty results; columns other than page_id and url are ignored.
 """
 
@@ -143,7 +144,7 @@ def matched(host_: Column, path_: Column, rules: Sequence[tuple[str, str, str]]
     if len({(h, p) for h, p, _ in rules}) < len(rules):
         raise ValueError("a rule occurs twice")
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for h, p, v in sorted(rules, key=lambda r: len(r[0] + r[1])):
+    for h, p, v in sorted(rules, key=lambda r: (len(r[0] + r[1]), len(r[0]))):
         fits = ((host_ == h) | F.endswith(host_, F.lit(f".{h}"))) & F.startswith(path_, F.lit(p))
         rule, verdict = F.when(fits, F.lit(h + p)).otherwise(rule), F.when(fits, F.lit(v)).otherwise(verdict)
     return rule, verdict
