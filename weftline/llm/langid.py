@@ -7,8 +7,10 @@ with the largest cosine, which is its score. A text is rejected when it has no l
 is below `reject` times the lowest cosine seen in the sample and below `MOST_REJECT`, so that a narrow sample does
 not turn clean texts away.
 
-Fitting reads at most about `fit_rows` documents in all (a documented bound: those with the smallest hashes of
-their ids, so the sample does not depend on how the table is cut); prediction covers whole texts of all rows.
+Fitting reads about `fit_rows` documents in all (a documented bound: those with the smallest hashes of id and text,
+so the sample does not depend on how the table is cut; of repeated rows one counts); prediction covers whole texts of
+all rows. The rejection is for noise that shares few n-grams with any learned language: a text in another language
+that is written in the same letters may well pass, and is then given the nearest learned language.
 
 Defined cases: null texts and texts without a letter give `und`, score 0 and rejected; rows without a label are
 predicted but not learned from; with nothing to learn from, all is `und`; a null doc_id is not held out and not
@@ -117,7 +119,7 @@ def fit(spark: SparkSession, docs: DataFrame, clusters: int = 4, fit_rows: int =
     share = F.create_map(*[F.lit(x) for k, n in totals.items() for x in (k, min(1.0, each / n))]) if totals else None
     got: dict[str, list] = {}
     if totals:
-        spread = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+        spread = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
         def sparse(batches):
             for batch in batches:
@@ -129,7 +131,7 @@ def fit(spark: SparkSession, docs: DataFrame, clusters: int = 4, fit_rows: int =
                         ids = [np.flatnonzero(r).astype(np.uint16) for r in c]
                         yield pa.record_batch([pa.array([batch.column(1)[n].as_py() for n in own]), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array([r[x].tobytes() for r, x in zip(c, ids, strict=True)], pa.binary())], ["lang", "ids", "counts"])
 
-        for r in rows.where(spread < share[F.col("lang")]).select("text", "lang").mapInArrow(sparse, "lang string, ids binary, counts binary").collect():
+        for r in rows.where(spread < share[F.col("lang")]).dropDuplicates(["doc_id", "text", "lang"]).select("text", "lang").mapInArrow(sparse, "lang string, ids binary, counts binary").collect():
             got.setdefault(r.lang, []).append((bytes(r.ids), bytes(r["counts"])))
     langs = sorted(got)
     df = np.zeros(DIM)
