@@ -4,13 +4,16 @@ Lines are parsed into levels (how many `>` they begin with) and runs of one leve
 normalised (A-Z lower-cased, white space collapsed) and hashed. A message's own passages - its runs at level 0 and its
 whole own text - index it; the passages it quotes are looked up: first in its own conversation, then among all
 messages, always the earliest message that has the passage and never a later one than the quoting message.
+A quote that is no whole passage of any message is looked up by its parts, paragraphs and lines of at least three
+words, among those of all messages; the message that has most of them, the earliest of several, is its original.
 A message replies to the original of its shallowest, among those its last, linked quote. Depths and roots
 follow from the replies by pointer doubling. Each conversation is then numbered so that a reply comes after what it answers.
 
-All joins are to tables with one row a key, with salts for keys of many rows; numbering is done by slices of turns
-with offsets, so that no task holds a whole conversation.
+All joins are to tables with one row a key, with salts for keys of many rows; numbering is done by depth and slices
+of turns with offsets, so that no task holds the messages of a whole conversation (one holds a count for each depth and slice).
 
 Defined cases: a null text is empty; empty passages link with nothing; a quote without an original stays unlinked;
+lines end at LF, CR or CRLF and nowhere else;
 messages with a null conv_id or turn are roots of their own at position 0 and are not linked to; rows with one
 (conv_id, turn) are one message, of which the least text counts; ties go to the earliest message; an empty
 table gives an empty result; other columns are ignored.
@@ -33,6 +36,7 @@ MARK = re.compile(r"[ \t]?((?:>[ \t]?)+)(.*)", re.S)
 WROTE = re.compile(r".{1,300}\b(?:wrote|writes):[ \t]*", re.S)
 _UPPER = {c: c + 32 for c in range(65, 91)}
 SLICE = 4096
+PART_WORDS = 3
 
 
 def levels(text: str) -> list[tuple[int, str]]:
@@ -61,8 +65,17 @@ def digest_of(passage: str) -> str | None:
     return hashlib.blake2b(plain.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest() if plain else None
 
 
-def parse(messages: DataFrame) -> DataFrame:
-    """conv_id, turn, own (text without quotes), has (hashes of own passages) and quotes (place, level, hash) of each row."""
+def parts_of(passage: str) -> list[str]:
+    """Hashes of the paragraphs and lines of a passage that have at least PART_WORDS words."""
+    found = [*re.split(r"\n[ \t]*(?:\n[ \t]*)+", passage), *passage.split("\n")]
+    return sorted({h for p in found if len(normal(p).split(" ")) >= PART_WORDS and (h := digest_of(p))})
+
+
+def parse(messages: DataFrame, parts: bool = False) -> DataFrame:
+    """conv_id, turn, own (text without quotes), has (hashes of own passages) and quotes (place, level, hash) of each row.
+
+    With `parts`, has and quotes hold the hashes of the passages' parts instead.
+    """
 
     def run(batches):
         kind = pa.list_(pa.struct([("n", pa.int32()), ("level", pa.int32()), ("hash", pa.string())]))
@@ -72,13 +85,30 @@ def parse(messages: DataFrame) -> DataFrame:
                 runs = levels(t or "")
                 mine = [r for level, r in runs if level == 0]
                 own.append("\n".join(mine).strip(SPACE))
-                has.append(sorted({h for h in map(digest_of, [*mine, own[-1]]) if h}))
-                quotes.append([{"n": n, "level": level, "hash": h} for n, (level, r) in enumerate(runs) if level and (h := digest_of(r))])
+                if parts:
+                    has.append(sorted({h for r in mine for h in parts_of(r)}))
+                    quotes.append([{"n": n, "level": level, "hash": h} for n, (level, r) in enumerate(runs) if level for h in parts_of(r)])
+                else:
+                    has.append(sorted({h for h in map(digest_of, [*mine, own[-1]]) if h}))
+                    quotes.append([{"n": n, "level": level, "hash": h} for n, (level, r) in enumerate(runs) if level and (h := digest_of(r))])
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(own, pa.string()), pa.array(has, pa.list_(pa.string())), pa.array(quotes, kind)], ["conv_id", "turn", "own", "has", "quotes"])
 
     return messages.mapInArrow(run, "conv_id long, turn long, own string, has array<string>, quotes array<struct<n:int,level:int,hash:string>>")
 
 
+def originals(spark: SparkSession, parsed: DataFrame, asked: DataFrame) -> DataFrame:
+    """conv_id, turn, n, level and to (conv_id, turn of the original, or null) for asked(conv_id, turn, n, level, hash)."""
+    index = parsed.select("conv_id", "turn", F.explode("has").alias("hash"))
+    salt = F.xxhash64("conv_id", "turn")
+    near = index.groupBy(F.concat_ws(":", F.col("conv_id"), "hash").alias("key")).agg(F.min("turn").alias("in_turn"))
+    far = index.groupBy("hash").agg(F.min(F.struct("conv_id", "turn")).alias("first"))
+    got = common.lookup(asked.withColumn("key", F.concat_ws(":", F.col("conv_id"), "hash")), near, "key", salt)
+    got = common.lookup(got.select("conv_id", "turn", "n", "level", "hash", "in_turn"), far, "hash", salt, seen=asked)
+    here = F.when(F.col("in_turn") < F.col("turn"), F.struct("conv_id", F.col("in_turn").alias("turn")))
+    there = F.when(F.col("first") < F.struct("conv_id", "turn"), F.col("first"))
+    return got.select("conv_id", "turn", "n", "level", F.coalesce(here, there).alias("to"))
+
+
 def link(spark: SparkSession, messages: DataFrame) -> DataFrame:
     """messages(conv_id, turn, text) as conv_id, turn, own, n_quotes, n_linked, reply_conv, reply_turn, root_conv, root_turn, depth and position."""
     plain = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "text")
@@ -87,16 +117,17 @@ def link(spark: SparkSession, messages: DataFrame) -> DataFrame:
     if not one.groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():  # only then do texts need a shuffle
         one = one.groupBy("conv_id", "turn").agg(F.min("text").alias("text"))
     parsed = common.materialize(spark, parse(one), "parsed")
-    index = parsed.select("conv_id", "turn", F.explode("has").alias("hash"))
     asked = common.materialize(spark, parsed.select("conv_id", "turn", F.explode("quotes").alias("q")).select("conv_id", "turn", "q.*"), "asked")
     salt = F.xxhash64("conv_id", "turn")
-    near = index.groupBy(F.concat_ws(":", F.col("conv_id"), "hash").alias("key")).agg(F.min("turn").alias("in_turn"))
-    far = index.groupBy("hash").agg(F.min(F.struct("conv_id", "turn")).alias("first"))
-    got = common.lookup(asked.withColumn("key", F.concat_ws(":", F.col("conv_id"), "hash")), near, "key", salt)
-    got = common.lookup(got.select("conv_id", "turn", "n", "level", "hash", "in_turn"), far, "hash", salt, seen=asked)
-    here = F.when(F.col("in_turn") < F.col("turn"), F.struct("conv_id", F.col("in_turn").alias("turn")))
-    there = F.when(F.col("first") < F.struct("conv_id", "turn"), F.col("first"))
-    got = got.select("conv_id", "turn", "n", "level", F.coalesce(here, there).alias("to"))
+    got = common.materialize(spark, originals(spark, parsed, asked), "originals")
+    lone = got.where("to IS NULL")
+    if not lone.isEmpty():  # only then are texts parsed again, for the parts of their passages
+        pieces = common.materialize(spark, parse(one, parts=True), "parsed-parts")
+        wanted = pieces.select("conv_id", "turn", F.explode("quotes").alias("q")).select("conv_id", "turn", "q.*").join(lone.select("conv_id", "turn", "n"), ["conv_id", "turn", "n"], "left_semi")
+        wanted = common.materialize(spark, wanted, "asked-parts")
+        found = originals(spark, pieces, wanted).where("to IS NOT NULL").groupBy("conv_id", "turn", "n", "to").agg(F.count(F.lit(1)).alias("parts"))
+        best = found.groupBy("conv_id", "turn", "n").agg(F.min(F.struct((-F.col("parts")).alias("p"), "to")).alias("b"))
+        got = got.join(best, ["conv_id", "turn", "n"], "left").select("conv_id", "turn", "n", "level", F.coalesce("to", "b.to").alias("to"))
     replies = got.groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("n_quotes"), F.count("to").alias("n_linked"), F.max(F.when(F.col("to").isNotNull(), F.struct((-F.col("level")).alias("l"), "n", "to"))).alias("best"))
     tree = parsed.select("conv_id", "turn").join(replies.select("conv_id", "turn", "n_quotes", "n_linked", F.col("best.to").alias("to")), ["conv_id", "turn"], "left")
     name = lambda c, t: F.concat_ws(":", c, t)
@@ -130,17 +161,23 @@ def link(spark: SparkSession, messages: DataFrame) -> DataFrame:
 
 
 def as_mail(conversations: DataFrame) -> DataFrame:
-    """conversations(conv_id, turn, role, text) as mail: each turn quotes the one before it and, a level deeper, the one before that."""
-    c = conversations.select("conv_id", "turn", "role", "text")
-    prior = lambda k: c.select("conv_id", (F.col("turn") + k).alias("turn"), F.col("role").alias(f"role{k}"), F.col("text").alias(f"text{k}"))
-    both = c.join(prior(1), ["conv_id", "turn"], "left").join(prior(2), ["conv_id", "turn"], "left")
+    """conversations(conv_id, turn, role, text) as mail: each turn quotes the one before it and, a level deeper, the one before that.
+
+    Repeated turns are one turn, of which the least text counts, so one aggregation by turn brings a turn and the two
+    before it together. Rows without conv_id or turn quote nothing.
+    """
+    c = conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
+    known = F.col("conv_id").isNotNull() & F.col("turn").isNotNull()
+    seen = c.where(known).select("conv_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k"), "turn", F.struct("text", "role").alias("m"))
+    seen = seen.groupBy("conv_id", (F.col("turn") + F.col("k")).alias("turn")).agg(*[F.min(F.when(F.col("k") == k, F.col("m"))).alias(f"m{k}") for k in range(3)]).where("m0 IS NOT NULL")
 
     def quoted(k: int) -> F.Column:
-        mark = "> " * k
-        head = F.concat(F.lit("> " * (k - 1)), F.coalesce(f"role{k}", F.lit("someone")), F.lit(" wrote:\n"))
-        return F.coalesce(F.concat(head, F.regexp_replace(F.col(f"text{k}"), r"(?m)^", mark), F.lit("\n")), F.lit(""))
+        head = F.concat(F.lit("> " * (k - 1)), F.coalesce(f"m{k}.role", F.lit("someone")), F.lit(" wrote:\n"))
+        marked = F.regexp_replace(F.col(f"m{k}.text"), r"(\A|\r\n|\n|\r)", "$1" + "> " * k)  # the line ends of `levels`
+        return F.coalesce(F.concat(head, marked, F.lit("\n")), F.lit(""))
 
-    return both.select("conv_id", "turn", F.concat(quoted(1).alias("x"), F.when(F.col("text1").isNotNull(), quoted(2)).otherwise(""), F.coalesce("text", F.lit(""))).alias("text"))
+    mail = F.concat(quoted(1), F.when(F.col("m1.text").isNotNull(), quoted(2)).otherwise(""), F.coalesce("m0.text", F.lit("")))
+    return seen.select("conv_id", "turn", mail.alias("text")).unionByName(c.where(~known).select("conv_id", "turn", "text"))
 
 
 def digest(spark: SparkSession, conversations: DataFrame) -> DataFrame:
