@@ -3,7 +3,9 @@
 Each task cuts its documents into shards of some MB, builds the suffix array of a shard's words (ordered by the
 first `window` words or more, by prefix doubling of ranks) and binary-searches every suffix of every test item in
 it. The ranges found give all verbatim occurrences; runs on one diagonal are merged into longest matches with
-their locations. Nothing is shuffled: the shards stay where they are read, and the benchmark goes to them.
+their locations. Nothing is shuffled: the shards stay where they are read, and the benchmark goes to them, as one
+hash a word into which the windows are indices. A benchmark of over `group_bytes` goes in groups of items, one pass
+over the documents each, and the passes' matches are united; so what a task holds stays bounded at any size.
 
 Rules: words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after lower-casing A-Z. An item's windows are its runs of
 13 words; an item of fewer words, but not none, is one window. A document word in any occurrence is hit.
@@ -19,10 +21,10 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import words
+from . import common, words
 
 SHARD = 2 << 20
 FOUND = "n_words long, n_hit long, items array<string>, matches array<struct<item_id:string,item_word:long,doc_word:long,n_words:long>>"
@@ -86,20 +88,22 @@ def search(rank0: np.ndarray, order: np.ndarray, query: np.ndarray, lengths: np.
 
 
 def test_suffixes(items: Sequence[tuple[str | None, str | None]], window: int) -> dict[str, np.ndarray]:
-    """All windows of the items: their word hashes, lengths, item numbers and places."""
+    """Words of the items as hashes, and all windows: the item and place of each."""
     texts = pa.array([t for _, t in items], pa.large_string())
     h, at = words.hashes(*words.buffers(texts), words.folded("alnum"))
     names = {}
     item_no = np.array([names.setdefault(k, len(names)) for k, _ in items], np.int64)
     n = np.diff(at)
     count = np.where(n >= window, n - window + 1, (n > 0).astype(np.int64))
-    owner = np.repeat(np.arange(len(items)), count)
-    place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    length = np.minimum(n[owner], window)
-    cols = at[:-1][owner] + place
-    padded = np.r_[h, np.zeros(window, np.uint64)]
-    query = padded[cols[:, None] + np.arange(window)] if len(cols) else np.zeros((0, window), np.uint64)
-    return {"query": query, "length": length, "item": item_no[owner] if len(owner) else owner, "place": place, "names": np.array(list(names), object)}
+    owner = np.repeat(np.arange(len(items), dtype=np.int32), count)
+    place = (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)).astype(np.int32)
+    return {"words": np.r_[h, np.zeros(window, np.uint64)], "begin": at[:-1], "length": np.minimum(n, window), "item": item_no, "owner": owner, "place": place, "names": np.array(list(names), object)}
+
+
+def windows_of(tests: dict[str, np.ndarray], b: int, size: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes, lengths, item numbers and places of some windows."""
+    owner, place = tests["owner"][b : b + size], tests["place"][b : b + size].astype(np.int64)
+    return tests["words"][(tests["begin"][owner] + place)[:, None] + np.arange(window)], tests["length"][owner], tests["item"][owner], place
 
 
 def judge_shard(col: pa.Array, tests: dict[str, np.ndarray], window: int, block: int = 1 << 16) -> tuple[np.ndarray, np.ndarray, list, list]:
@@ -107,13 +111,13 @@ def judge_shard(col: pa.Array, tests: dict[str, np.ndarray], window: int, block:
     h, at = words.hashes(*words.buffers(col), words.folded("alnum"))
     n_words, n_docs = np.diff(at), len(col)
     hits, found = np.zeros(len(h) + 1, np.int64), []
-    if len(h) and len(tests["query"]):
+    if len(h) and len(tests["owner"]):
         known, rank0 = np.unique(h, return_inverse=True)
         doc = np.repeat(np.arange(n_docs), n_words)
         left = at[1:][doc] - np.arange(len(h))  # words up to the end of the document
         order = suffix_array(rank0, window)
-        for b in range(0, len(tests["query"]), block):
-            q, length = tests["query"][b : b + block], tests["length"][b : b + block]
+        for b in range(0, len(tests["owner"]), block):
+            q, length, item_no, begin = windows_of(tests, b, block, window)
             near = np.minimum(np.searchsorted(known, q), len(known) - 1)
             there = np.flatnonzero(((known[near] == q) | (np.arange(window) >= length[:, None])).all(1))
             lo, hi = search(rank0, order, near[there], length[there])
@@ -124,7 +128,7 @@ def judge_shard(col: pa.Array, tests: dict[str, np.ndarray], window: int, block:
             which, pos = which[ok], pos[ok]
             np.add.at(hits, pos, 1)
             np.add.at(hits, pos + length[which], -1)
-            found.append(np.stack([doc[pos], tests["item"][b + which], tests["place"][b + which], pos - at[:-1][doc[pos]], length[which]]))
+            found.append(np.stack([doc[pos], item_no[which], begin[which], pos - at[:-1][doc[pos]], length[which]]))
     hit = np.cumsum(hits[:-1]) > 0
     upto = np.r_[0, np.cumsum(hit)]
     n_hit = upto[at[1:]] - upto[at[:-1]]
@@ -146,15 +150,34 @@ def judge_shard(col: pa.Array, tests: dict[str, np.ndarray], window: int, block:
     return n_words, n_hit, items, matches
 
 
-def scan(spark: SparkSession, docs: DataFrame, items: DataFrame, window: int = 13, most_item_bytes: int = 256 << 20) -> DataFrame:
+def scan(spark: SparkSession, docs: DataFrame, items: DataFrame, window: int = 13, group_bytes: int = 32 << 20) -> DataFrame:
     """docs(text, ...) with __found: n_words, n_hit, items and matches (the longest ones, with their places).
 
-    items(item_id, text) is sent to every task, so its size is summed first; over `most_item_bytes` it raises
-    ValueError (split such a benchmark and unite the hits). Only texts go to Python, and only the struct comes back.
+    items(item_id, text) are dealt by their ids into as many groups as `group_bytes` of their text ask for. Only texts
+    go to Python, and only the struct comes back.
     """
     items = items.select(F.col("item_id").cast("string"), "text")
-    if (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) > most_item_bytes:
-        raise ValueError(f"the benchmark has more than {most_item_bytes} bytes")
+    groups = -(-max(1, items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // group_bytes)
+    if groups == 1:
+        return one_pass(spark, docs, items, window)
+    group = F.pmod(F.xxhash64(F.coalesce("item_id", "text")), F.lit(groups))
+    out = one_pass(spark, docs, items.where(group == 0), window)
+    for g in range(1, groups):
+        out = common.materialize(spark, out.withColumnRenamed("__found", "__before"), "decontaminated")
+        out = one_pass(spark, out, items.where(group == g), window).withColumn("__found", united("__before", "__found")).drop("__before")
+    return out
+
+
+def united(a: str, b: str) -> Column:
+    """The finds of two groups of items in one text; hit words are those of the matches' union."""
+    both = F.concat(f"{a}.matches", f"{b}.matches")
+    spans = F.array_sort(F.transform(both, lambda m: F.struct(m["doc_word"].alias("lo"), (m["doc_word"] + m["n_words"]).alias("hi"))))
+    step = lambda s, x: F.struct(F.greatest(s["end"], x["hi"]).alias("end"), (s["n"] + F.greatest(F.lit(0).cast("long"), x["hi"] - F.greatest(s["end"], x["lo"]))).alias("n"))
+    hit = F.aggregate(spans, F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n")), step)["n"]
+    return F.struct(F.col(f"{a}.n_words").alias("n_words"), hit.alias("n_hit"), F.array_sort(F.array_union(f"{a}.items", f"{b}.items")).alias("items"), both.alias("matches"))
+
+
+def one_pass(spark: SparkSession, docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
     rows = [(r.item_id, r.text) for r in items.collect()]
     tests = spark.sparkContext.broadcast(test_suffixes(rows, window))
 
