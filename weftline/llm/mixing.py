@@ -3,8 +3,9 @@
 Every document gets a 60-bit hash. A source takes `full` whole copies of all its documents and one more of
 those whose hash is at most the source's cut. The cut comes from nested histograms: sizes are summed by
 (source, ten bits of hash), the bucket in which the running sum crosses the budget is found, and only that
-bucket is summed again by the next ten bits, until it holds one hash. Nothing is sorted, each level shuffles
-at most 1024 pre-aggregated rows a source, and reruns agree because the hash depends on the row alone.
+bucket is summed again by the next ten bits, until it holds one hash. No document is sorted, each level
+shuffles at most 1024 pre-aggregated rows a source, and reruns agree because the hash depends on the row alone. What
+is known of sources is a table too, so their number is not bounded.
 
 Defined cases: a null or wordless text has size 0; null sources form one source, ordered last; rows that
 repeat with the same doc_id and text share one hash, so they are taken or left together; an empty table
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
+from weftline import storage
+
 from . import common
 
 BITS, LEVELS = 10, 6
@@ -44,60 +47,71 @@ def source_key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit("~"))
 
 
-def targets(sizes: Sequence[int], weights: Sequence[float], cap: float) -> list[float]:
-    """Shares of sum(sizes) by weight; none over cap times its size, the excess reshared by weight."""
-    order = sorted((i for i in range(len(sizes))), key=lambda i: cap * sizes[i] / weights[i])
-    left, weight, level = float(sum(sizes)), float(sum(weights)), 0.0
-    for i in order:
-        level = left / weight
-        if level <= cap * sizes[i] / weights[i]:
-            break
-        left, weight = left - cap * sizes[i], weight - weights[i]
-    return [min(cap * s, level * w) for s, w in zip(sizes, weights, strict=True)]
-
-
-def plan(spark: SparkSession, sized: DataFrame, weights: Sequence[float] = (1, 2, 3), cap: int = 3, max_sources: int = 100_000) -> DataFrame:
-    """A row for each source of sized(__key, size, h): source_size, target, full copies and the cut of one more.
+def goals(spark: SparkSession, sized: DataFrame, weights: Sequence[float], cap: int) -> DataFrame:
+    """__key, source_size, target and full of each source: shares of all sizes by weight, none over cap times its size, the excess reshared.
 
-    Only per-source rows reach the driver; more than `max_sources` sources raise ValueError.
+    Water filling: sources by cap * size / weight; the first at which the level that the others share is not above that
+    has the level of all that follow. Sizes are whole numbers, so their sums do not depend on the order of tasks.
     """
-    totals = sized.groupBy("__key").agg(F.sum("size").alias("s")).orderBy("__key").limit(max_sources + 1).collect()
-    if len(totals) > max_sources:
-        raise ValueError(f"more than {max_sources} sources")
-    sizes = [r.s for r in totals]
-    goal = targets(sizes, [float(weights[i % len(weights)]) for i in range(len(sizes))], cap)
-    full = [min(cap, int(t // s)) if s else 0 for t, s in zip(goal, sizes, strict=True)]
-    rest = {r.__getitem__("__key"): t - f * s for r, t, f, s in zip(totals, goal, full, sizes, strict=True)}
-    cut: dict[str, int] = {k: -1 for k in rest}
-    open_ = {k: (0, left) for k, left in rest.items() if left > 0}  # key: hash bits so far, budget beyond what lies before them
+    sums = sized.groupBy("__key").agg(F.sum("size").alias("s"))
+    named = storage.number_rows(sums, [F.col("__key").asc()], "at")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("at") % len(weights) + 1).cast("int"))
+    ranked = named.select("__key", "s", weight.alias("w")).withColumn("c", F.lit(float(cap)) * F.col("s") / F.col("w"))
+    order = [F.col("c").asc(), F.col("__key").asc()]
+    ranked = storage.running_sum(storage.running_sum(ranked, "s", order, "upto"), "w", order, "weights", "double")
+    ranked = common.materialize(spark, ranked, "mix-sources")
+    total = ranked.agg(F.sum("s").alias("s"), F.sum("w").alias("w")).first()  # one row
+    if total.s is None:
+        return spark.createDataFrame([], PLAN).drop("cut")
+    level = (F.lit(total.s) - cap * (F.col("upto") - F.col("s"))).cast("double") / (F.lit(total.w) - (F.col("weights") - F.col("w")))
+    levels = ranked.withColumn("level", level)
+    held = levels.where("level <= c").agg(F.min_by("level", F.struct("c", "__key")).alias("l")).first().l
+    held = levels.agg(F.min_by("level", F.struct((-F.col("c")).alias("c"))).alias("l")).first().l if held is None else held
+    target = F.least(F.lit(float(cap)) * F.col("s"), F.lit(held) * F.col("w"))
+    full = F.when(F.col("s") > 0, F.least(F.lit(cap), F.floor(target / F.col("s")))).otherwise(0).cast("long")
+    return ranked.select("__key", F.col("s").alias("source_size"), target.alias("target"), full.alias("full"))
+
+
+def near(rows: DataFrame, sources: DataFrame, salt: Column) -> DataFrame:
+    """Rows with the columns of their source, which are broadcast only if they are few (counted first)."""
+    if sources.limit(common.BROADCAST_ROWS + 1).count() <= common.BROADCAST_ROWS:
+        return rows.join(F.broadcast(sources), "__key")
+    return common.lookup(rows, sources.withColumn("__there", F.lit(1)), "__key", salt).where("__there = 1").drop("__there")
+
+
+def plan(spark: SparkSession, sized: DataFrame, weights: Sequence[float] = (1, 2, 3), cap: int = 3) -> DataFrame:
+    """A row for each source of sized(__key, size, h): source_size, target, full copies and the cut of one more."""
+    sources = common.materialize(spark, goals(spark, sized, weights, cap), "mix-goals")
+    rest = F.col("target") - F.col("full") * F.col("source_size")
+    open_ = common.materialize(spark, sources.select("__key", F.lit(0).cast("long").alias("prefix"), rest.alias("rest")).where("rest > 0"), "mix-open")
+    done = []
     for level in range(LEVELS):
-        if not open_:
+        if open_.isEmpty():
             break
         shift = BITS * (LEVELS - level - 1)
-        bound = spark.createDataFrame([(k, p, float(r)) for k, (p, r) in open_.items()], "__key string, prefix long, rest double")
-        inside = sized.join(F.broadcast(bound), "__key").where(F.shiftright("h", shift + BITS) == F.col("prefix"))
+        inside = near(sized, open_, F.col("h")).where(F.shiftright("h", shift + BITS) == F.col("prefix"))
         hist = inside.groupBy("__key", "rest", F.shiftright("h", shift).alias("bucket")).agg(F.sum("size").alias("s"), F.min("h").alias("lo"), F.max("h").alias("hi"))
-        upto = F.sum("s").over(W.Window.partitionBy("__key").orderBy("bucket").rowsBetween(W.Window.unboundedPreceding, 0))
+        upto = F.sum("s").over(W.Window.partitionBy("__key").orderBy("bucket").rowsBetween(W.Window.unboundedPreceding, 0))  # at most 1024 rows
         crossed = hist.withColumn("upto", upto).where((F.col("upto") > F.col("rest")) & (F.col("upto") - F.col("s") <= F.col("rest")))
-        found = {r.__getitem__("__key"): r for r in crossed.collect()}
-        for k in list(open_):
-            r = found.get(k)
-            if r is None:  # the whole rest fits
-                cut[k] = (1 << BITS * LEVELS) - 1
-                del open_[k]
-            elif r.lo == r.hi:  # one hash left: take it if that comes nearer
-                before = r.upto - r.s
-                cut[k] = r.hi if r.upto - open_[k][1] < open_[k][1] - before else r.lo - 1
-                del open_[k]
-            else:
-                open_[k] = (r.bucket, open_[k][1] - (r.upto - r.s))
-    return spark.createDataFrame([(r.__getitem__("__key"), s, float(t), f, cut[r.__getitem__("__key")]) for r, s, t, f in zip(totals, sizes, goal, full, strict=True)], PLAN)
+        found = open_.select("__key", "rest").join(crossed.drop("rest"), "__key", "left")
+        left = F.col("rest") - (F.col("upto") - F.col("s"))
+        # without a bucket the whole rest fits; a bucket of one hash is taken if that comes nearer
+        one = F.when(F.col("upto") - F.col("rest") < left, F.col("hi")).otherwise(F.col("lo") - 1)
+        cut = F.when(F.col("bucket").isNull(), F.lit((1 << BITS * LEVELS) - 1)).when(F.col("lo") == F.col("hi"), one)
+        found = common.materialize(spark, found.select("__key", cut.alias("cut"), F.col("bucket").alias("prefix"), left.alias("rest")), "mix-cuts")
+        done.append(found.where("cut IS NOT NULL").select("__key", "cut"))
+        open_ = found.where("cut IS NULL").select("__key", "prefix", "rest")
+    cuts = spark.createDataFrame([], "__key string, cut long")
+    for part in done:
+        cuts = cuts.unionByName(part)
+    got = sources.join(cuts, "__key", "left").withColumn("cut", F.coalesce("cut", F.lit(-1).cast("long")))
+    return common.materialize(spark, got.select(*[f.name for f in PLAN]), "mix-plan")
 
 
 def mix(spark: SparkSession, docs: DataFrame, weights: Sequence[float] = (1, 2, 3), cap: int = 3) -> DataFrame:
     """A row for each row of docs: doc_id, size, source_size, target, copies and taken (size times copies)."""
     sized = common.materialize(spark, docs.select("doc_id", source_key(F.col("source")).alias("__key"), size(F.col("text")).alias("size"), doc_hash(F.col("doc_id"), F.col("text")).alias("h")), "mix-sized")
-    got = sized.join(F.broadcast(plan(spark, sized, weights, cap)), "__key").withColumn("copies", F.col("full") + (F.col("h") <= F.col("cut")).cast("long"))
+    got = near(sized, plan(spark, sized, weights, cap), F.col("h")).withColumn("copies", F.col("full") + (F.col("h") <= F.col("cut")).cast("long"))
     return got.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
@@ -107,8 +121,9 @@ def remix(spark: SparkSession, docs: DataFrame, weights: Sequence[float] = (1, 2
     sized = common.materialize(spark, docs.select(key.alias("__key"), size(F.col("text")).alias("size"), h.alias("h")), "mix-sized")
     cuts = plan(spark, sized, weights, cap).select("__key", F.col("full").alias("__full"), F.col("cut").alias("__cut"))
     common.drop(spark, sized)
-    copies = (F.col("__full") + (h <= F.col("__cut")).cast("long")).cast("int")
-    return docs.withColumn("__key", key).join(F.broadcast(cuts), "__key").withColumn("__copy", F.explode(F.array_repeat(F.lit(1), copies))).select(*[docs[c] for c in docs.columns])
+    marked = docs.withColumns({"__key": key, "__h": h})
+    copies = (F.col("__full") + (F.col("__h") <= F.col("__cut")).cast("long")).cast("int")
+    return near(marked, cuts, F.col("__h")).withColumn("__copy", F.explode(F.array_repeat(F.lit(1), copies))).select(*docs.columns)
 
 
 SQL = r"""
