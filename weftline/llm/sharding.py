@@ -4,11 +4,15 @@ Rows lie in old shards. A row's block is its old shard and a hash of its id and
 the old shards' sizes with the new capacities make a transport problem: moving bytes from shard i to shard j
 costs a unit each (or what `cost` says), staying is free. `transfers` solves it by successive shortest paths on
 the graph of shards. Each old shard's blocks are then dealt, in order of their number, to its flows, so whole
-blocks move; shards that neither gain nor lose blocks keep their files, the others are rewritten.
+blocks move; shards that neither gain nor lose blocks keep their files (`rewrite`), the others are rewritten. Shards
+within `SLACK` of the mean size are left alone.
 
 Only tables of a size fixed by parameters are broadcast or reach the driver: shards, and at most `BLOCKS` blocks
 for each old shard. A shard is cut into segments of near `segment_bytes`, so that no task writes a whole shard.
 
+Law `bytes`: shards' sizes are near equal, and nothing else decides: equal texts under different ids may lie in
+different shards.
+
 Defined cases: a null text has 8 bytes and no CRC; null ids and null sources are ordinary values; repeated rows
 lie in one block and get different slots; shards may stay empty and an empty table gives an empty result; other
 columns are ignored (or carried by `reshard`).
@@ -27,6 +31,7 @@ from . import common
 
 BLOCKS = 1 << 12
 OLD_SHARDS = 16
+SLACK = 0.01  # of the mean size, by which shards may differ from it
 ADDED = ["__size", "__shard", "__slot", "__old"]
 
 
@@ -48,6 +53,24 @@ def capacities(total: int, shards: int) -> list[int]:
     return [total * (k + 1) // shards - total * k // shards for k in range(shards)]
 
 
+def rooms(sizes: Sequence[int], shards: int, slack: float) -> list[int]:
+    """New sizes that add up to the old ones: a shard within `slack` of the mean keeps its size, as long as the others can be within it too."""
+    total = sum(sizes)
+    even = capacities(total, shards)
+    kept = {j: s for j, s in enumerate(sizes[:shards]) if abs(s - total / shards) <= slack * total / shards}
+    while kept:
+        rest = [j for j in range(shards) if j not in kept]
+        left = total - sum(kept.values())
+        if not rest:
+            if left == 0:
+                return [kept[j] for j in range(shards)]
+        elif abs(left / len(rest) - total / shards) <= slack * total / shards:
+            share = iter(capacities(left, len(rest)))
+            return [kept[j] if j in kept else next(share) for j in range(shards)]
+        del kept[max(kept, key=lambda j: (abs(kept[j] - total / shards), j))]  # the one that is farthest off joins the others
+    return even
+
+
 def transfers(sizes: Sequence[int], room: Sequence[int], cost: np.ndarray | None = None) -> np.ndarray:
     """flow[i, j]: bytes that go from old shard i to new shard j, at the least total cost; sum(sizes) = sum(room).
 
@@ -99,20 +122,20 @@ def transfers(sizes: Sequence[int], room: Sequence[int], cost: np.ndarray | None
     return flow
 
 
-def deal(blocks: Sequence[tuple[int, int, int, int]], shards: int, segment_bytes: int, cost: np.ndarray | None = None) -> tuple[list[tuple], np.ndarray]:
-    """(old, block, shard, segment, slots before the segment) for each block (old, block, bytes, rows), and the flow.
+def deal(blocks: Sequence[tuple[int, int, int, int]], shards: int, segment_bytes: int, cost: np.ndarray | None = None, slack: float = SLACK) -> tuple[list[tuple], np.ndarray]:
+    """(old, block, shard, segment, slots before the segment) for each block (old, block, bytes, rows), and the bytes that move.
 
-    Where a flow ends inside a block, the block goes to the side that holds its middle; what one flow gets too
+    Shards within `slack` of the mean size are left as they are. Where a flow ends inside a block, the block goes to the side that holds its middle; what one flow gets too
     much or too little by that is carried on to the next.
     """
     old = max((b[0] for b in blocks), default=-1) + 1
     sizes = [0] * old
     for o, _, s, _ in blocks:
         sizes[o] += s
-    flow = transfers(sizes, capacities(sum(sizes), shards), cost)
+    room = rooms(sizes, shards, slack)
+    flow = transfers(sizes, room, cost)
     placed: dict[int, list] = {}
     filled = [0] * shards
-    room = capacities(sum(sizes), shards)
     by_old: dict[int, list] = {}
     for b in sorted(blocks):
         by_old.setdefault(b[0], []).append(b)
@@ -128,7 +151,11 @@ def deal(blocks: Sequence[tuple[int, int, int, int]], shards: int, segment_bytes
             placed.setdefault(goes[k], []).append(b)
             filled[goes[k]] += b[2]
             at += b[2]
-    level(placed, filled, room)
+    level(placed, filled, room, [j for j in range(shards) if j >= old or room[j] != sizes[j]])
+    moved = np.zeros((old, shards), object)
+    for j, own in placed.items():
+        for o, _, s, _ in own:
+            moved[o, j] += s
     out = []
     for j, own in sorted(placed.items()):
         own.sort()
@@ -140,17 +167,18 @@ def deal(blocks: Sequence[tuple[int, int, int, int]], shards: int, segment_bytes
                 seen, first = seg, rows
             out.append((o, n, j, seg, first))
             before, rows = before + s, rows + r
-    return out, flow
+    return out, moved
 
 
-def level(placed: dict[int, list], filled: list[int], room: Sequence[int], rounds: int = 400) -> None:
+def level(placed: dict[int, list], filled: list[int], room: Sequence[int], among: Sequence[int], rounds: int = 400) -> None:
     """Even out what whole blocks left uneven: the fullest shard gives the emptiest the block nearest to half their gap.
 
-    Blocks that have left their old shard anyway are preferred, as they cost nothing more.
+    Only shards of `among` take part, those that are written anew. Blocks that have left their old shard anyway are
+    preferred, as they cost nothing more.
     """
     over = [f - r for f, r in zip(filled, room, strict=True)]
-    for _ in range(rounds):
-        a, b = max(range(len(over)), key=over.__getitem__), min(range(len(over)), key=over.__getitem__)
+    for _ in range(rounds if among else 0):
+        a, b = max(among, key=over.__getitem__), min(among, key=over.__getitem__)
         gap = over[a] - over[b]
         own = [x for x in placed.get(a, []) if 0 < x[2] < gap]
         own = [x for x in own if x[0] != a] or own
@@ -164,12 +192,12 @@ def level(placed: dict[int, list], filled: list[int], room: Sequence[int], round
             filled[j] += sign * x[2]
 
 
-def assign(spark: SparkSession, docs: DataFrame, shards: int, old: Column | None = None, segment_bytes: int = 32 << 20, cost: np.ndarray | None = None) -> tuple[DataFrame, np.ndarray]:
-    """docs(doc_id, text, ...) with __size, __shard, __slot and __old, dealt so that a task has segments of shards; and the flow."""
+def assign(spark: SparkSession, docs: DataFrame, shards: int, old: Column | None = None, segment_bytes: int = 32 << 20, cost: np.ndarray | None = None, slack: float = SLACK) -> tuple[DataFrame, np.ndarray]:
+    """docs(doc_id, text, ...) with __size, __shard, __slot and __old, dealt so that a task has segments of shards; and the bytes that move."""
     old = old_shard(F.col("source")) if old is None else old
     spot = docs.select(old.alias("__old"), block(F.col("doc_id"), F.col("text")).alias("__block"), row_size(F.col("text")).alias("__size"))
     sums = spot.groupBy("__old", "__block").agg(F.sum("__size").alias("s"), F.count(F.lit(1)).alias("n"))
-    rows, flow = deal([tuple(r) for r in sums.collect()], shards, segment_bytes, cost)
+    rows, flow = deal([tuple(r) for r in sums.collect()], shards, segment_bytes, cost, slack)
     parts = {k: i for i, k in enumerate(sorted({(r[2], r[3]) for r in rows}))}  # a segment of a shard is a partition
     places = spark.createDataFrame([(*r, parts[r[2], r[3]]) for r in rows], "__old int, __block int, __shard int, __seg int, __first long, __part int")
     put = docs.withColumns({"__old": old, "__block": block(F.col("doc_id"), F.col("text")), "__size": row_size(F.col("text"))}).join(F.broadcast(places), ["__old", "__block"])
