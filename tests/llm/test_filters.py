@@ -40,6 +40,14 @@ def test_url_model_and_empty_tables(spark):
         url_filter.judge(spark, table.selectExpr("1 AS page_id", "url"), rules=(("a", "/", "allow"), ("a", "/", "block")))
 
 
+def test_rules_of_one_length_do_not_depend_on_their_order(spark):
+    df = spark.createDataFrame([(1, "http://a.b.c/xx/y")], "page_id long, url string")
+    rules = (("b.c", "/xx/", "allow"), ("a.b.c", "/x", "block"))
+    for order in (rules, rules[::-1]):
+        got = url_filter.judge(spark, df, rules=order).first()
+        assert (got.rule, got.verdict) == ("a.b.c/x", "block")
+
+
 def test_url_query_blocks_junk_hosts(spark):
     got = op1_url_filter(spark, DATA)
     assert got.columns[:5] == ["page_id", "host", "path", "rule", "verdict"]
@@ -80,6 +88,53 @@ def test_language_fit_is_bounded_and_repeatable(spark):
     assert len(op10_langid(spark, DATA).collect()) == docs.count()
 
 
+def test_language_sample_counts_repeated_rows_once(spark):
+    rows = [(7, "the same row again", "en")] * 3000 + [(i, f"und das ist text nummer {i} in diesem haus", "de") for i in range(100, 160)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(spark, df, fit_rows=40_000)
+    assert set(model["langs"]) <= {"de", "en"} and len(model["centroids"]) <= 5
+
+
+def test_language_rejects_noise_and_keeps_clean_text(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    model = langid.fit(spark, docs)
+    foreign = ["Это предложение написано по-русски и длинное", "这是一个中文句子没有别的语言", "これは日本語の文章です", "αυτό είναι ελληνικό κείμενο"]
+    assert all(langid.predict(foreign, model)[2])
+    clean = [r.text for r in docs.where("lang IS NOT NULL").limit(60).collect()]
+    assert not any(langid.predict(clean, model)[2])
+
+
+def plain_scores(texts, model):
+    """Cosines with all centroids, written out with dictionaries."""
+    out = []
+    for t in texts:
+        kept, grams = [32], {}
+        for b in (" " + t.lower() + " ").encode():
+            b = b if 97 <= b <= 122 or b >= 128 else 32
+            if b != 32 or kept[-1] != 32:
+                kept.append(b)
+        kept = kept if (" " + t.lower() + " ").encode() else [32]
+        for n, salt in ((2, 0x9E3779B1), (3, 0x85EBCA6B)):
+            for i in range(len(kept) - n + 1):
+                code = int.from_bytes(bytes(kept[i : i + n]), "big")
+                k = (code * salt & 0xFFFFFFFF) >> 20
+                grams[k] = grams.get(k, 0) + 1
+        v = {k: c**0.5 * float(model["idf"][k]) for k, c in grams.items()}
+        size = sum(x * x for x in v.values()) ** 0.5
+        out.append([sum(x * float(c[k]) for k, x in v.items()) / size for c in model["centroids"]])
+    return out
+
+
+def test_language_scores_against_a_plain_version(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    model = langid.fit(spark, docs)
+    texts = [r.text for r in docs.limit(40).collect()] + ["Ein Text, 12 mal!", "é à"]
+    langs, scores, _ = langid.predict(texts, model)
+    for lang, score, cos in zip(langs, scores, plain_scores(texts, model), strict=True):
+        assert score == pytest.approx(max(cos), abs=1e-4)
+        assert lang == model["langs"][model["owner"][int(np.argmax(cos))]]
+
+
 def test_counts_are_those_of_each_text_alone():
     texts = ["The cat", None, "", "été " * 50, "a" * 3_000_000]
     whole = langid.counts(texts)
@@ -87,11 +142,23 @@ def test_counts_are_those_of_each_text_alone():
         assert np.array_equal(row, langid.counts([t])[0])
 
 
-def test_mix_targets_by_water_filling():
-    assert mixing.targets([10, 10, 10], [1.0, 2.0, 3.0], 3) == [5.0, 10.0, 15.0]
-    got = mixing.targets([1, 100, 1], [3.0, 1.0, 1.0], 3)
-    assert got == [3.0, 96.0, 3.0] and sum(got) == 102
-    assert mixing.targets([0, 0], [1.0, 2.0], 3) == [0.0, 0.0] and mixing.targets([], [], 3) == []
+def test_mix_targets_by_water_filling(spark):
+    def targets(sizes, weights, cap):
+        sized = spark.createDataFrame([(f"k{i:03}", s, i) for i, s in enumerate(sizes)], "__key string, size long, h long")
+        return [r.target for r in mixing.goals(spark, sized, weights, cap).orderBy("__key").collect()]
+
+    assert targets([10, 10, 10], [1.0, 2.0, 3.0], 3) == [5.0, 10.0, 15.0]
+    assert targets([1, 100, 1], [3.0, 1.0, 1.0], 3) == [3.0, 96.0, 3.0]
+    assert targets([0, 0], [1.0, 2.0], 3) == [0.0, 0.0] and targets([], [1.0], 3) == []
+
+
+def test_mix_of_more_sources_than_are_broadcast(spark, monkeypatch):
+    rows = [(i, "w " * (i % 11 + 1), f"s{i % 40:02}") for i in range(800)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = sorted(map(repr, mixing.mix(spark, df).collect()))
+    monkeypatch.setattr(mixing.common, "BROADCAST_ROWS", 3)
+    assert sorted(map(repr, mixing.mix(spark, df).collect())) == want
+    assert mixing.remix(spark, df).count() == sum(r.copies for r in mixing.mix(spark, df).collect())
 
 
 def test_mix_edge_cases(spark):
@@ -105,5 +172,3 @@ def test_mix_edge_cases(spark):
     mixed = mixing.remix(spark, df)
     assert mixed.columns == df.columns and mixed.count() == sum(r.copies for r in got)
     assert mixing.mix(spark, df.limit(0)).count() == 0
-    with pytest.raises(ValueError, match="sources"):
-        mixing.plan(spark, df.selectExpr("source AS __key", "size", "doc_id AS h"), max_sources=1)

@@ -120,8 +120,18 @@ def test_decontamination_matches_and_removal(spark):
     kept = decontam.remove(spark, docs, items)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [2, 3, 4, 4]
     assert decontam.remove(spark, docs, items.limit(0)).count() == 5 and decontam.scan(spark, docs.limit(0), items).count() == 0
-    with pytest.raises(ValueError, match="bytes"):
-        decontam.scan(spark, docs, items, most_item_bytes=3)
+
+
+def test_decontamination_in_several_passes(spark):
+    rng = random.Random(9)
+    items = [(str(i), prose(rng, rng.choice([1, 5, 13, 20, 30]), 6)) for i in range(12)] + [(None, "null item words"), (None, "w1 w2"), ("n", None)]
+    docs = [prose(rng, rng.randrange(60), 6) + " " + (rng.choice(items)[1] or "") + " " + prose(rng, 5, 6) for _ in range(40)] + [None, "", "null item words x" * 3]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(docs)], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    want = judged(docs, items)
+    for group_bytes in (300, 1 << 20):
+        found = {r.doc_id: r.__getitem__("__found") for r in decontam.scan(spark, df, bench, group_bytes=group_bytes).collect()}
+        assert [(found[i].n_words, found[i].n_hit, list(found[i]["items"])) for i in range(len(docs))] == want
 
 
 def test_suffix_array_is_sorted():
@@ -254,6 +264,63 @@ def test_components_of_paths_and_stars(spark):
     assert got == {i: 0 for i in range(1, 41)} | {i: 100 for i in range(101, 160)} | {201: 200}
 
 
+def test_partial_and_inline_quotes(spark):
+    letter = "First paragraph of the letter.\nIt has two lines here.\n\nSecond paragraph is about cats.\n\nYes."
+    rows = [(1, 0, letter), (1, 1, "> Second paragraph is about CATS.\nI like them."), (1, 2, "> It has two lines here.\nTrue.\n> Second paragraph is about cats.\nAnd so do I."), (1, 3, "> Yes.\nShort lines are too common."), (1, 4, "> Something that nobody said\nHm.")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, text string")
+    got = {r.turn: r for r in quotes.link(spark, df).collect()}
+    assert [(got[t].n_quotes, got[t].n_linked, got[t].reply_turn) for t in range(5)] == [(0, 0, None), (1, 1, 0), (2, 2, 0), (1, 0, None), (1, 0, None)]
+
+
+def test_mail_of_repeated_turns_and_odd_line_ends(spark):
+    base = [(1, t, "user", f"text number {t}\u2028goes on\u0085here\r\nand ends") for t in range(3)]
+    odd = [(None, 1, "user", "lost"), (2, None, None, None), (3, 0, None, ""), (3, 1, "user", None), (3, 2, "user", "last")]
+    schema = "conv_id long, turn long, role string, text string"
+    got = quotes.digest(spark, spark.createDataFrame(base * 30 + odd, schema)).collect()
+    once = quotes.digest(spark, spark.createDataFrame(base + odd, schema)).collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, once)) and len(got) == 8
+    by = {(r.conv_id, r.turn): r for r in got}
+    assert [(by[1, t].n_quotes, by[1, t].n_linked, by[1, t].depth) for t in range(3)] == [(0, 0, 0), (1, 1, 1), (2, 2, 2)]
+    assert quotes.digest(spark, spark.createDataFrame([], schema)).count() == 0
+
+
+def test_rollup_commit_during_compaction(spark, monkeypatch):
+    store = rollup.Rollup(spark, common.new_path(spark, "t-race"))
+    schema = "op string, source string, lang string, version string, tokens long, old_source string, old_lang string, old_version string, old_tokens long"
+    batch = lambda n: spark.createDataFrame([("insert", "s", "en", "1", n, None, None, None, None)], schema)
+    store.commit("a", batch(1))
+    state = store._state
+
+    def late():
+        got = state()
+        monkeypatch.setattr(store, "_state", state)
+        store.commit("b", batch(10))  # between the listing and the totals
+        return got
+
+    monkeypatch.setattr(store, "_state", late)
+    store.compact()
+    assert [(r.docs, r.tokens) for r in store.totals().collect()] == [(2, 11)]
+    store.compact()
+    assert [(r.docs, r.tokens) for r in store.totals().collect()] == [(2, 11)]
+
+
+def test_replay_on_odd_rows(spark):
+    rows = [(1, "a b c", "en", "x"), (2, None, "de", "x"), (2, None, "de", "x"), (3, "d-e f", "de", None), (4, "g!", None, "x"), (None, "h i", "en", "x"), (5, "gone now", "en", "x"), (6, "weg-da", "de", "x"), (6, "weg-da", "de", "x")]
+    docs = spark.createDataFrame([(*r, 9, "v") for r in rows], "doc_id long, text string, lang string, source string, tokens long, version string")
+    labels = spark.createDataFrame([(5, 1, 0), (6, 1, 0), (6, 1, 1), (None, 1, 0), (77, 1, 1)], "doc_id long, toxic int, quality int")
+    want = {}
+    for i, t, lang, source in rows:
+        if i in (5, 6):
+            continue
+        version = "alnum-2" if lang not in (None, "en") else "space-1"
+        n = len(WORD.findall(t or "")) if version == "alnum-2" else len((t or "").split())
+        d, k = want.get((source, lang, version), (0, 0))
+        want[source, lang, version] = (d + 1, k + n)
+    got = {(r.source, r.lang, r.version): (r.docs, r.tokens) for r in rollup.replay(spark, docs, labels).collect()}
+    assert got == want
+    assert rollup.replay(spark, docs.limit(0), labels).count() == 0 and rollup.replay(spark, docs, labels.limit(0)).agg({"docs": "sum"}).first()[0] == len(rows)
+
+
 def test_rollup_batches(spark):
     store = rollup.Rollup(spark, common.new_path(spark, "t-rollup"))
     schema = "op string, source string, lang string, version string, tokens long, old_source string, old_lang string, old_version string, old_tokens long, docs int"
