@@ -18,7 +18,7 @@ those of near copies do, the node is not branched but compared in blocks (`deal`
 Equal word sequences are joined first (by a digest of the words themselves), so trees hold one set for each text.
 Candidate pairs are then confirmed on full sets. Only connectivity matters, so the pairs are asked for in rounds: at
 first each set's nearest and its least-numbered candidate, then the candidates in other components, four for each
-set and component, then all that are left in other components. In the later rounds a pair is named only by the first
+set and component, then, of the sets that had more, all that are left in other components. In the later rounds a pair is named only by the first
 root child that both sets share and that is compared exhaustively, so that other trees do not repeat it; branched
 ones always name what they find. No candidate is capped away: what a round leaves out the last one takes, or it lies
 within one component. Components are found by alternating large-star and small-star steps over tables of edges. No
@@ -174,8 +174,10 @@ Rows = dict[str, np.ndarray]
 
 
 class Asker:
-    """Gathers candidates of groups: (a, b, agreement, kind) with kind 0 for nearest and 1 for least, or all of other components.
+    """Gathers candidates of groups: (a, b, agreement, kind), of a kind that tells nearest (0) from least-numbered (1) ones.
 
+    mode: "first" for each set's nearest and least, "near" for the nearest only, "top" for the four nearest in each
+    other component, with a row of kind 2 for a set that has more, and "all".
     A row has: id, component, sketch, the values at root positions, the number of its root child, which root children
     of the set are branched, and its side (1 or 2 of two blocks, 3 of a node that is one group, 4 for pivots).
     """
@@ -201,11 +203,11 @@ class Asker:
         ids, group, sketches = rows["id"], rows["comp"], rows["sketch"]
         s = agreement(sketches[:, 0], sketches[:, 1])
         ok = (s >= bar(self.least, 16 * sketches.shape[-1])) & (ids[:, 0] != ids[:, 1]) & (group[:, 0] != group[:, 1])
-        if self.mode != "first":
+        if self.mode in ("top", "all"):
             ok &= self.named_here(rows["roots"][:, 0], rows["roots"][:, 1], rows["mask"][:, 0], rows["root"][:, 0])
         a, b, s = ids[ok, 0], ids[ok, 1], s[ok]
         self.put(a, b, s, 0)
-        if self.mode == "first":
+        if self.mode in ("first", "near"):
             self.put(b, a, s, 0)
 
     def group(self, rows: Rows) -> None:
@@ -234,11 +236,11 @@ class Asker:
         least = bar(self.least, 16 * y["sketch"].shape[-1])
         s = agreement(x["sketch"][:, None], y["sketch"][None])
         s[(mine[:, None] == ids) | (x["comp"][:, None] == group)] = -1
-        if self.mode == "first":
+        if self.mode in ("first", "near"):
             r, best = np.arange(len(mine)), s.argmax(1)
             ok = s[r, best] >= least
             self.put(mine[ok], ids[best[ok]], s[r, best][ok], 0)
-            if least_too:
+            if least_too and self.mode == "first":
                 low = np.where(s >= least, ids[None], np.iinfo(np.int64).max).min(1)
                 ok = low < mine
                 self.put(mine[ok], low[ok], np.zeros(ok.sum(), np.int64), 1)
@@ -249,6 +251,8 @@ class Asker:
             i, j = i[by], j[by]
             begins = np.flatnonzero(np.r_[True, (i[1:] != i[:-1]) | (group[j][1:] != group[j][:-1])])
             rank = np.arange(len(i)) - np.repeat(begins, np.diff(np.r_[begins, len(i)]))
+            more = mine[np.unique(i[rank >= 4])]
+            self.put(more, more, np.zeros(len(more), np.int64), 2)
             i, j = i[rank < 4], j[rank < 4]
         if len(i):
             ok = self.named_here(x["roots"][i], y["roots"][j], x["mask"][i], x["root"][i])
@@ -258,7 +262,7 @@ class Asker:
     def take(self) -> np.ndarray:
         got = np.concatenate(self.out, 1) if self.out else np.zeros((4, 0), np.int64)
         self.out, self.held = [], 0
-        if self.mode == "first" and got.shape[1]:  # one nearest and one least for each set
+        if self.mode in ("first", "near") and got.shape[1]:  # one nearest and one least for each set
             a, b, s, kind = got
             got = got[:, np.lexsort((b, -s, kind, a))]
             got = got[:, np.r_[True, (got[0, 1:] != got[0, :-1]) | (got[3, 1:] != got[3, :-1])]]
@@ -358,23 +362,18 @@ def with_pivots(nodes: DataFrame, crowds: DataFrame, block: int) -> DataFrame:
     return members.unionByName(pivots).withColumn("key", F.xxhash64("key", "part")).select(*COLUMNS)
 
 
-def deal(spark: SparkSession, nodes: DataFrame, least: float, small: int = SMALL, block: int = BLOCK, work: int = WORK) -> DataFrame:
+def deal(spark: SparkSession, nodes: DataFrame, least: float, small: int = SMALL, block: int = BLOCK, work: int = WORK, named: bool = True) -> DataFrame:
     """Nodes (key, id, comp, sketch, roots, root) that have several components, as groups of bounded size.
 
     Small nodes are groups of their own, and larger ones become pairs of blocks. Those that take over `work`
     comparisons so are branched instead, with as many repeats as the recall of their depth asks for, unless their
-    children take as many or DEPTH is reached.
+    children take as many or DEPTH is reached. `named`: the mask tells which root children of a set are branched.
     """
     known = common.materialize(spark, stats(nodes), "mixed-keys")
     large, heavy = F.col("n") > small, (F.col("n") > small) & (F.col("minor") * F.col("n") > work)
     live = common.lookup(nodes, known, "key", F.xxhash64("id"), seen=nodes.select("key", "id")).where("n IS NOT NULL")
-    if known.where(heavy).isEmpty():
-        live = live.withColumn("mask", F.lit(0).cast("long"))
-    else:
-        masks = live.where(heavy).groupBy("id").agg(F.bit_or(F.expr("shiftleft(1L, root)")).alias("mask"))
-        live = live.drop("mask").join(masks, "id", "left").withColumn("mask", F.coalesce("mask", F.lit(0).cast("long")))
-    live = common.materialize(spark, live.withColumn("side", F.lit(3)).select(*COLUMNS, "n", "main", "minor"), "mixed-nodes")
-    out = []
+    live = common.materialize(spark, live.withColumns({"side": F.lit(3), "mask": F.lit(0).cast("long")}).select(*COLUMNS, "n", "main", "minor"), "mixed-nodes")
+    out, masks = [], None
     for level in range(DEPTH + 1):
         out.append(live.where(~large).select(*COLUMNS))
         seen = known.agg(F.count_if(large).alias("large"), F.count_if(heavy).alias("heavy")).first()
@@ -410,12 +409,18 @@ def deal(spark: SparkSession, nodes: DataFrame, least: float, small: int = SMALL
         if not poor.isEmpty():
             out.append(in_blocks(common.lookup(live.where(heavy), poor, "key", salt).where("poor"), block))
             below = below.join(poor.select(F.col("key").alias("up")), "up", "left_anti")
+        if named and not level:  # root children that are branched, so that their pairs may part
+            masks = common.lookup(live.where(heavy), poor, "key", salt).where("poor IS NULL").groupBy("id").agg(F.bit_or(F.expr("shiftleft(1L, root)")).alias("mask"))
+            masks = common.materialize(spark, masks, "branched-roots")
         known = below.drop("up")
         live = common.materialize(spark, common.lookup(children.drop("up"), known, "key", salt).where("n IS NOT NULL"), "branched-nodes")
     whole = out[0]
     for part in out[1:]:
         whole = whole.unionByName(part)
-    return whole
+    if masks is None or not (n := masks.count()):
+        return whole
+    masks = F.broadcast(masks) if n <= common.BROADCAST_ROWS else masks
+    return whole.drop("mask").join(masks, "id", "left").withColumn("mask", F.coalesce("mask", F.lit(0).cast("long"))).select(*COLUMNS)
 
 
 def signatures(docs: DataFrame, k: int, least: float) -> DataFrame:
@@ -478,14 +483,23 @@ def wide_sketches(sets: DataFrame, least: float) -> DataFrame:
     return sets.select("id", "items").mapInArrow(run, "id long, sketch binary, roots binary, keys array<long>")
 
 
-def candidates(spark: SparkSession, groups: DataFrame, least: float, mode: str) -> DataFrame:
-    """a < b: candidate pairs of ids from groups (as COLUMNS)."""
+def asked_for(spark: SparkSession, groups: DataFrame, least: float, mode: str) -> DataFrame:
+    """What `Asker` names in groups (as COLUMNS), a group in a task."""
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = groups.select(*COLUMNS).repartition(n, "key").sortWithinPartitions("key")
-    got = dealt.mapInArrow(lambda batches: ask(batches, least, mode), PAIRS)
-    if mode == "first":
+    return dealt.mapInArrow(lambda batches: ask(batches, least, mode), PAIRS)
+
+
+def candidates(spark: SparkSession, groups: DataFrame, least: float, mode: str) -> DataFrame:
+    """a < b: candidate pairs of ids from groups (as COLUMNS)."""
+    got = asked_for(spark, groups, least, mode)
+    if mode in ("first", "near"):
         one = got.groupBy("a").agg(F.max(F.when(F.col("kind") == 0, F.struct("s", (-F.col("b")).alias("b")))).alias("near"), F.min("b").alias("low"))
-        got = one.select("a", F.explode(F.array(-F.col("near.b"), "low")).alias("b")).where("b IS NOT NULL")
+        got = one.select("a", F.explode(F.array(-F.col("near.b"), "low") if mode == "first" else F.array(-F.col("near.b"))).alias("b")).where("b IS NOT NULL")
+    return distinct_pairs(got)
+
+
+def distinct_pairs(got: DataFrame) -> DataFrame:
     return got.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
 
 
@@ -567,7 +581,7 @@ def grouped(spark: SparkSession, docs: DataFrame, k: int, percent: int, small: i
         return components(spark, confirm(new, sets, percent).unionByName(comps.select(F.col("comp").alias("a"), F.col("id").alias("b"))))
 
     if busy is not None:  # crowds again, now across the components that their pivots made
-        new = candidates(spark, deal(spark, of_comp(busy), least, small, work=work), least, "first")
+        new = candidates(spark, deal(spark, of_comp(busy), least, small, work=work, named=False), least, "near")
         new = common.materialize(spark, new.join(asked, ["a", "b"], "left_anti"), "asked-crowds")
         made += [new, busy]
         if not new.isEmpty():
@@ -577,15 +591,20 @@ def grouped(spark: SparkSession, docs: DataFrame, k: int, percent: int, small: i
             asked = asked.unionByName(new)
     wide = common.materialize(spark, wide_sketches(sets, least), "wide-sketches")
     made += [active, wide]
+    sketches = wide
     for mode in ("top", "all"):
-        nodes = of_comp(wide).select("id", "comp", "sketch", "roots", F.posexplode("keys").alias("root", "key"))
-        new = candidates(spark, deal(spark, nodes, least, small, work=work), least, mode)
-        new = common.materialize(spark, new.join(asked, ["a", "b"], "left_anti"), "asked-more")
-        made.append(new)
-        if new.isEmpty():
-            continue
-        comps = joined(new)
-        asked = asked.unionByName(new)
+        nodes = of_comp(sketches).select("id", "comp", "sketch", "roots", F.posexplode("keys").alias("root", "key"))
+        named = common.materialize(spark, asked_for(spark, deal(spark, nodes, least, small, work=work), least, mode), "named")
+        new = common.materialize(spark, distinct_pairs(named).join(asked, ["a", "b"], "left_anti"), "asked-more")
+        made += [new, named]
+        if not new.isEmpty():
+            comps = joined(new)
+            asked = asked.unionByName(new)
+        # a pair that is not named yet was left out by both of its sets
+        more = named.where("kind = 2").select(F.col("a").alias("id")).distinct()
+        if more.isEmpty():
+            break
+        sketches = wide.join(more, "id", "left_semi")
     common.drop(spark, *made)  # what is left reads signatures, classes and components
     named = classes.select("seq", "id").join(comps, "id", "left").select("seq", F.coalesce("comp", "id").alias("comp"))
     got = common.lookup(sig.select("doc_id", "n", "seq"), named, "seq", F.xxhash64("doc_id"))
