@@ -11,9 +11,9 @@ from weftline import storage
 
 
 def budget_split(docs: DataFrame, n: Column, order: list[Column], budgets: Sequence[tuple[str, int]]) -> DataFrame:
-    """docs with n, cum (tokens up to and with the row) and split: a row goes to the first split whose budget the tokens before it have not filled.
+    """docs with n, cum (tokens up to and with the row) and split: the first one whose budget, added to those before, holds them.
 
-    Rows after the last budget are left out.
+    A row that crosses a budget belongs to the next split. Rows beyond the last budget are left out.
     """
     summed = storage.running_sum(docs.withColumn("n", n.cast("long")), "n", order)
     ends, end = [], 0
@@ -22,7 +22,7 @@ def budget_split(docs: DataFrame, n: Column, order: list[Column], budgets: Seque
         ends.append((name, end))
     split = F.lit(None).cast("string")
     for name, end in reversed(ends):
-        split = F.when(F.col("cum") - F.col("n") < end, F.lit(name)).otherwise(split)
+        split = F.when(F.col("cum") <= end, F.lit(name)).otherwise(split)
     return summed.withColumn("split", split).where(F.col("split").isNotNull())
 
 

@@ -80,11 +80,14 @@ def vocab_ngram_two_phase(spark, sf_dir):
     return vocab.fit_ngram_vocab(d, corpora.words_of(d, True), 2, 3)
 
 
-@query("WITH c AS (SELECT doc_id AS doc, string_split(text, '') AS c FROM documents), t AS (SELECT doc, unnest(c) AS word, generate_subscripts(c, 1) - 1 AS pos FROM c) "
+CHARS = r"string_split(regexp_replace(text, '[ \t\n\r\f\x0B]+', '', 'g'), '')"
+
+
+@query(f"WITH c AS (SELECT doc_id AS doc, {CHARS} AS c FROM documents), t AS (SELECT doc, unnest(c) AS word, generate_subscripts(c, 1) - 1 AS pos FROM c) "
        f"SELECT word, id::BIGINT AS id, freq FROM ({most_common(509, 3)})")
 def char_vocab(spark, sf_dir):
     d = docs(spark, sf_dir)
-    return vocab.fit_vocab(vocab.tokens(d, text.chars(F.col("text"))), config.POLICIES["lm_chars"])
+    return vocab.fit_vocab(vocab.tokens(d, corpora.chars_of(d)), config.POLICIES["lm_chars"])
 
 
 @query(f"""WITH t AS ({toks()}), c AS (SELECT word, count(*) AS freq FROM t GROUP BY word)
@@ -113,10 +116,10 @@ def encode_pad(spark, sf_dir):
 
 
 PARALLEL = r"""p AS (
-  SELECT u.conv_id * 1000 + u.turn AS row, regexp_extract_all(u.text, '[^ \t\n\r\f\x0B]+') AS src, regexp_extract_all(a.text, '[^ \t\n\r\f\x0B]+') AS tgt
+  SELECT u.conv_id, u.turn, regexp_extract_all(u.text, '[^ \t\n\r\f\x0B]+') AS src, regexp_extract_all(a.text, '[^ \t\n\r\f\x0B]+') AS tgt
   FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
   WHERE u.role = 'user' AND a.role = 'assistant' AND length(u.text) > 0 AND length(a.text) > 0 AND u.text[1] <> '<' AND a.text[1] <> '<'),
-q AS (SELECT * FROM p WHERE len(src) <= 100 AND len(tgt) <= 100)"""
+q AS (SELECT *, row_number() OVER (ORDER BY conv_id, turn) - 1 AS row FROM p WHERE len(src) <= 100 AND len(tgt) <= 100)"""
 
 
 @query(f"WITH {PARALLEL} SELECT row, array_to_string(src, ' ') AS src, array_to_string(tgt, ' ') AS tgt FROM q")
@@ -187,12 +190,12 @@ def lm_rows(spark, sf_dir):
     """Character rows of the language model for the first 20 words of every document: label, characters of the word before, weight."""
     d = docs(spark, sf_dir)
     words = corpora.words_of(d)
-    chars = storage.materialize(vocab.fit_vocab(vocab.tokens(d, text.chars(F.col("text"))), config.POLICIES["lm_chars"]), "chars")
+    chars = storage.materialize(vocab.fit_vocab(vocab.tokens(d, corpora.chars_of(d)), config.POLICIES["lm_chars"]), "chars")
     lower = storage.materialize(vocab.fit_vocab(vocab.tokens(d, corpora.words_of(d, True)), config.POLICIES["lm_words"]), "words")
     return vocab.char_rows(d, words, chars, lower, 20, 16).select("doc", F.col("pos").cast("long").alias("pos"), F.col("word_id").cast("long").alias("word_id"), arrays.text_of(F.col("chars")).alias("chars"), F.col("weight").cast("long").alias("weight"))
 
 
-ORACLES["lm_rows"] = f"""WITH c AS (SELECT doc_id AS doc, string_split(text, '') AS c FROM documents), ct AS (SELECT doc, unnest(c) AS word, generate_subscripts(c, 1) - 1 AS pos FROM c),
+ORACLES["lm_rows"] = f"""WITH c AS (SELECT doc_id AS doc, {CHARS} AS c FROM documents), ct AS (SELECT doc, unnest(c) AS word, generate_subscripts(c, 1) - 1 AS pos FROM c),
 cv AS ({most_common(509, 3, 'ct')}), t AS ({toks(LOWER)}), wv AS ({most_common(4998, 2)}), w AS (SELECT doc_id AS doc, {WORDS} AS w FROM documents),
 p AS (SELECT doc, k AS pos, w, CASE WHEN k < len(w) THEN w[k + 1] END AS word, CASE WHEN k > 0 AND k <= len(w) THEN w[k] END AS before FROM w, unnest(range(20)) AS r(k)),
 i AS (SELECT doc, pos, list(coalesce(cv.id, 1) ORDER BY n) AS ids FROM (SELECT doc, pos, substr(before, n, 1) AS word, n FROM p, unnest(range(1, 17)) AS r(n) WHERE before IS NOT NULL AND n <= length(before)) LEFT JOIN cv USING (word) GROUP BY doc, pos)
@@ -234,7 +237,7 @@ def neg_distribution(spark, sf_dir):
 
 @query()
 def negative_samples(spark, sf_dir):
-    """Five draws for each distinct skip-gram pair."""
+    """Three draws for each distinct skip-gram pair."""
     v, ids = corpora.word_ids(docs(spark, sf_dir), config.POLICIES["word2vec_tree"])
     both = pairs.skipgram_counts(ids, 1).select("center", "ctx")
     return pairs.negative_samples(both, pairs.noise(v), 3)
@@ -250,17 +253,19 @@ def huffman_paths(spark, sf_dir):
 @query()
 def huffman_pairs(spark, sf_dir):
     v, ids = corpora.word_ids(docs(spark, sf_dir), config.POLICIES["word2vec_tree"])
-    return pairs.path_pairs(pairs.skipgram_counts(ids, 1).select("center", "ctx"), pairs.huffman_paths(v)).groupBy("center", "node", "sign").agg(F.count(F.lit(1)).alias("n"))
+    return pairs.path_pairs(pairs.skipgram_counts(ids, 1), pairs.huffman_paths(v)).groupBy("center", "node", "sign").agg(F.sum("n").alias("n"))
 
 
 # Splits and batches
 
+SPLIT = "CASE WHEN cum <= 1000000 THEN 'train' WHEN cum <= 1020000 THEN 'valid' ELSE 'test' END"
+
 
 @query(f"""WITH n AS (SELECT doc_id, len({WORDS})::BIGINT AS n, sum(len({WORDS})) OVER (ORDER BY doc_id)::BIGINT AS cum FROM documents)
-SELECT doc_id, n, cum, CASE WHEN cum - n < 200000 THEN 'train' WHEN cum - n < 240000 THEN 'valid' ELSE 'test' END AS split FROM n WHERE cum - n < 280000""")
+SELECT doc_id, n, cum, {SPLIT} AS split FROM n WHERE cum <= 1040000""")
 def token_budget_split(spark, sf_dir):
     d = docs(spark, sf_dir)
-    got = splits.budget_split(d.select("doc_id", F.size(corpora.words_of(d)).alias("n")), F.col("n"), [F.col("doc_id").asc()], (("train", 200_000), ("valid", 40_000), ("test", 40_000)))
+    got = splits.budget_split(d.select("doc_id", F.size(corpora.words_of(d)).alias("n")), F.col("n"), [F.col("doc_id").asc()], config.CharWordLM().budgets)
     return got.select("doc_id", "n", "cum", "split")
 
 
@@ -477,5 +482,5 @@ def shuffled_batches(spark, sf_dir):
 @query()
 def lm_sentence_splits(spark, sf_dir):
     """Sentences of 10 to 100 words in train, valid and test by token budgets."""
-    got = corpora.lm_splits(docs(spark, sf_dir), (("train", 100_000), ("valid", 20_000), ("test", 20_000)))
+    got = corpora.lm_splits(docs(spark, sf_dir), config.CharWordLM().budgets)
     return got.select("doc_id", "sent", "n", "cum", "split", text.join_words(F.col("words")).alias("words"))

@@ -5,13 +5,14 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from weftline import storage
 from weftline.functions import arrays, text
 from weftline.models import kernels, train
 from weftline.operators import metrics, pairs, splits, vocab
 from weftline.plans import config, corpora
-from weftline.plans.catalogue import ORACLES, WORDS, docs, query
+from weftline.plans.catalogue import ORACLES, PARALLEL, SPLIT, WORDS, docs, query
 from weftline.sources import readers, writers
 from weftline.streaming import folds
 
@@ -20,7 +21,7 @@ from weftline.streaming import folds
 
 def _text_file(df: DataFrame, value: F.Column, name: str) -> str:
     at = storage.new_path(df.sparkSession, name)
-    df.orderBy("doc_id").select(value.alias("value")).coalesce(1).write.text(at)
+    df.orderBy("doc_id").select(value.alias("value")).write.text(at)  # files that follow one another
     return at
 
 
@@ -111,10 +112,10 @@ def source_binary_vectors(spark, sf_dir):
 
 
 @query(f"""WITH n AS (SELECT doc_id, len({WORDS})::BIGINT AS n, sum(len({WORDS})) OVER (ORDER BY doc_id)::BIGINT AS cum FROM documents)
-SELECT CASE WHEN cum - n < 200000 THEN 'train' WHEN cum - n < 240000 THEN 'valid' ELSE 'test' END AS split, count(*) AS docs, sum(n)::BIGINT AS tokens FROM n WHERE cum - n < 280000 GROUP BY 1""")
+SELECT {SPLIT} AS split, count(*) AS docs, sum(n)::BIGINT AS tokens FROM n WHERE cum <= 1040000 GROUP BY 1""")
 def sink_splits(spark, sf_dir):
     d = docs(spark, sf_dir)
-    got = splits.budget_split(d.select("doc_id", F.size(corpora.words_of(d)).alias("n")), F.col("n"), [F.col("doc_id").asc()], (("train", 200_000), ("valid", 40_000), ("test", 40_000)))
+    got = splits.budget_split(d.select("doc_id", F.size(corpora.words_of(d)).alias("n")), F.col("n"), [F.col("doc_id").asc()], config.CharWordLM().budgets)
     at = storage.new_path(spark, "splits")
     writers.write_splits(got, at)
     return spark.read.parquet(at).groupBy("split").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("tokens"))
@@ -138,10 +139,7 @@ def sink_checkpoint(spark, sf_dir):
     return spark.createDataFrame([(k, ",".join(map(str, v.shape)), bool((v == p[k]).all())) for k, v in back.items()], "name string, shape string, same boolean")
 
 
-@query("""SELECT u.conv_id * 1000 + u.turn AS row, 'ref: ' || array_to_string(regexp_extract_all(u.text, '[^ \\t\\n\\r\\f\\x0B]+'), ' ') || chr(10) || 'pred: ' || array_to_string(regexp_extract_all(a.text, '[^ \\t\\n\\r\\f\\x0B]+'), ' ') || chr(10) AS value
-  FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
-  WHERE u.role = 'user' AND a.role = 'assistant' AND length(u.text) > 0 AND length(a.text) > 0 AND u.text[1] <> '<' AND a.text[1] <> '<'
-    AND len(regexp_extract_all(u.text, '[^ \\t\\n\\r\\f\\x0B]+')) <= 100 AND len(regexp_extract_all(a.text, '[^ \\t\\n\\r\\f\\x0B]+')) <= 100""")
+@query(f"""WITH {PARALLEL} SELECT row, 'ref: ' || array_to_string(src, ' ') || chr(10) || 'pred: ' || array_to_string(tgt, ' ') || chr(10) AS value FROM q""")
 def sink_report(spark, sf_dir):
     both = corpora.parallel_turns(storage.table(spark, sf_dir, "conversations")).select("row", F.col("src").alias("ref"), F.col("tgt").alias("pred"))
     return writers.report_lines(both, "row")
@@ -234,7 +232,7 @@ def infer_char_word_lm(spark, sf_dir):
     """Perplexity of an untrained language model over the first 20 words of every document."""
     d = docs(spark, sf_dir)
     words = corpora.words_of(d)
-    chars = storage.materialize(vocab.fit_vocab(vocab.tokens(d, text.chars(F.col("text"))), vocab.VocabPolicy("frequency", 1, 60, ("<pad>", "<unk>", "<start>"))), "chars")
+    chars = storage.materialize(vocab.fit_vocab(vocab.tokens(d, corpora.chars_of(d)), vocab.VocabPolicy("frequency", 1, 60, ("<pad>", "<unk>", "<start>"))), "chars")
     lower = storage.materialize(vocab.fit_vocab(vocab.tokens(d, corpora.words_of(d, True)), vocab.VocabPolicy("frequency", 1, 198, ("<pad>", "<unk>"))), "words")
     rows = vocab.char_rows(d, words, chars, lower, 20, 16)
     whole = rows.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("pos", "word_id", "weight", "chars"))).alias("r"))
@@ -314,12 +312,12 @@ SELECT doc_id, word, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_i
 def tfidf_keywords(spark, sf_dir):
     """The five words of each document with the largest TF-IDF."""
     d = docs(spark, sf_dir)
-    counts = vocab.tokens(d, corpora.words_of(d)).groupBy("doc", "word").agg(F.count(F.lit(1)).alias("tf"))
+    counts = storage.materialize(vocab.tokens(d, corpora.words_of(d)).groupBy("doc", "word").agg(F.count(F.lit(1)).alias("tf")), "tf")
     df = counts.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     n = d.count()
     scored = storage.join_keys(counts, df, "word", "inner", salt=F.xxhash64("doc")).select(F.col("doc").alias("doc_id"), "word", F.round(F.col("tf") * F.log((n + 1.0) / (F.col("df") + 1)), 6).alias("score"))
-    best = scored.groupBy("doc_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "word"))), 1, 5).alias("b"))
-    return best.select("doc_id", F.explode("b").alias("x")).select("doc_id", "x.word", (-F.col("x.s")).alias("score"))
+    place = F.row_number().over(W.Window.partitionBy("doc_id").orderBy(F.col("score").desc(), F.col("word").asc()))  # each task keeps five before the shuffle
+    return scored.withColumn("place", place).where("place <= 5").select("doc_id", "word", "score")
 
 
 @query()

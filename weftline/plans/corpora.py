@@ -15,6 +15,11 @@ def words_of(docs: DataFrame, lower: bool = False) -> F.Column:
     return text.split_words(F.lower("text") if lower else F.col("text"))
 
 
+def chars_of(docs: DataFrame) -> F.Column:
+    """The characters of all words, without what is between them."""
+    return text.chars(F.regexp_replace("text", text.SPACE, ""))
+
+
 def word_ids(docs: DataFrame, policy: vocab.VocabPolicy, lower: bool = False) -> tuple[DataFrame, DataFrame]:
     """(vocabulary, doc-pos-word-id with null ids for unknown words)."""
     toks = vocab.tokens(docs, words_of(docs, lower))
@@ -49,12 +54,13 @@ def ngram_rows(docs: DataFrame, cfg: config.NgramClassifier = config.NgramClassi
 
 
 def parallel_turns(conversations: DataFrame, most: int = 100) -> DataFrame:
-    """row, src, tgt: user turns with the assistant's next one; both non-empty, without metadata, and of at most `most` words."""
+    """row (in the order of conversations and turns), src, tgt: user turns with the assistant's next one; both non-empty, without metadata, and of at most `most` words."""
     side = lambda role, name, back: conversations.where(F.col("role") == role).select("conv_id", (F.col("turn") - back).alias("turn"), F.col("text").alias(name))
     both = side("user", "src", 0).join(side("assistant", "tgt", 1), ["conv_id", "turn"])
     ok = lambda c: (F.length(c) > 0) & ~F.startswith(F.col(c), F.lit("<"))
     both = both.where(ok("src") & ok("tgt")).withColumns({"src": text.split_words(F.col("src")), "tgt": text.split_words(F.col("tgt"))})
-    return both.where((F.size("src") <= most) & (F.size("tgt") <= most)).select((F.col("conv_id") * 1000 + F.col("turn")).alias("row"), "src", "tgt")
+    kept = both.where((F.size("src") <= most) & (F.size("tgt") <= most)).select("conv_id", "turn", "src", "tgt")
+    return storage.number_rows(kept, [F.col("conv_id").asc(), F.col("turn").asc()], "row").select("row", "src", "tgt")
 
 
 def translation_rows(both: DataFrame, cfg: config.Translator = config.Translator()) -> tuple[DataFrame, DataFrame, DataFrame]:  # noqa: B008

@@ -74,12 +74,12 @@ def alphabet(spark: SparkSession, path: str) -> str:
 
 
 def text_vectors(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
-    """word and vec of text vectors; a first line of two whole numbers is no vector if `header`."""
-    parts = F.split(F.rtrim("value"), " ")
-    rows = spark.read.text(path).select(parts.alias("p"))
+    """word and vec of text vectors; a line of two whole numbers is the header, if there is one, as components have a point or exponent."""
+    rows = spark.read.text(path)
     if header:
-        rows = rows.where(F.size("p") > 2)
-    return rows.select(F.col("p")[0].alias("word"), F.slice("p", 2, 1_000_000).cast("array<double>").alias("vec"))
+        rows = rows.where(~F.col("value").rlike(r"^[0-9]+ [0-9]+ *$"))
+    rows = rows.select(F.split(F.rtrim("value"), " ").alias("p"))
+    return rows.select(F.col("p")[0].alias("word"), F.slice("p", F.lit(2), F.size("p")).cast("array<double>").alias("vec"))
 
 
 def parse_binary(blobs: list[bytes], most: int = 10_000) -> Iterator[pa.RecordBatch]:

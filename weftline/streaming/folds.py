@@ -1,7 +1,8 @@
 """Training metrics as Structured Streaming: moving averages and early stopping, one state for each run.
 
 State is a few numbers a key; a restart takes it from the stream's checkpoint. Within a micro-batch rows are folded
-in the order of `order`, so batches must come in that order (rows later than the state's last are counted in late).
+in the order of `order`, so batches must come in that order: a row that comes in a later batch than its place is folded
+in where it arrives. State lives as long as the stream, a few numbers for each key that was ever seen.
 """
 
 from __future__ import annotations
