@@ -338,7 +338,7 @@ def in_blocks(nodes: DataFrame, block: int) -> DataFrame:
 
     Sets outside the node's largest component lie in the first blocks, which meet all blocks; the others meet only those.
     """
-    most = F.least(F.lit(block), F.greatest(F.lit(SMALL), F.ceil(F.col("n") / 8)))
+    most = F.least(F.lit(block), F.greatest(F.lit(SMALL), F.ceil(F.col("n") / 4)))
     blocks = lambda rows: F.ceil(rows / most).cast("int")
     minor, major = blocks(F.col("minor")), blocks(F.col("n") - F.col("minor"))
     place = F.xxhash64("id", "key")
