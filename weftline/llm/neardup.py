@@ -351,11 +351,18 @@ def in_blocks(nodes: DataFrame, block: int) -> DataFrame:
     return dealt.withColumn("side", side).withColumn("key", F.xxhash64("key", lo, hi)).select(*COLUMNS)
 
 
+def attach(rows: DataFrame, keys: DataFrame, salt: Column) -> DataFrame:
+    """Rows whose key is in keys, with its columns; keys are broadcast only if they are few, which is counted first."""
+    if keys.limit(common.BROADCAST_ROWS + 1).count() <= common.BROADCAST_ROWS:
+        return rows.join(F.broadcast(keys), "key")
+    return common.lookup(rows, keys.withColumn("__there", F.lit(True)), "key", salt).where("__there").drop("__there")
+
+
 def with_pivots(nodes: DataFrame, crowds: DataFrame, block: int) -> DataFrame:
     """Nodes of crowds(key, n) in groups of near `block` rows, each with the node's PIVOTS pivots: by id, so that other trees take the same."""
     slot = F.pmod(F.xxhash64("id"), F.lit(PIVOTS))
     groups = F.ceil(F.col("n") / block).cast("int")
-    own = common.lookup(nodes, crowds, "key", F.xxhash64("id")).where("n IS NOT NULL")
+    own = attach(nodes, crowds, F.xxhash64("id"))
     pivots = own.groupBy("key", "n", slot.alias("slot")).agg(F.min(F.struct("id", "comp", "sketch")).alias("x"))
     pivots = pivots.select("key", F.explode(F.sequence(F.lit(0), groups - 1)).alias("part"), "x.*", F.lit(b"").alias("roots"), F.lit(0).alias("root"), F.lit(0).cast("long").alias("mask"), F.lit(4).alias("side"))
     members = own.select("key", F.pmod(F.xxhash64("id", "key"), groups).cast("int").alias("part"), "id", "comp", "sketch", "roots", "root", "mask", F.lit(2).alias("side"))
@@ -407,13 +414,13 @@ def deal(spark: SparkSession, nodes: DataFrame, least: float, small: int = SMALL
         if seen.large > seen.heavy:
             out.append(in_blocks(live.where(large & ~heavy), block))
         if not poor.isEmpty():
-            out.append(in_blocks(common.lookup(live.where(heavy), poor, "key", salt).where("poor"), block))
+            out.append(in_blocks(attach(live.where(heavy), poor, salt), block))
             below = below.join(poor.select(F.col("key").alias("up")), "up", "left_anti")
         if named and not level:  # root children that are branched, so that their pairs may part
             masks = common.lookup(live.where(heavy), poor, "key", salt).where("poor IS NULL").groupBy("id").agg(F.bit_or(F.expr("shiftleft(1L, root)")).alias("mask"))
             masks = common.materialize(spark, masks, "branched-roots")
         known = below.drop("up")
-        live = common.materialize(spark, common.lookup(children.drop("up"), known, "key", salt).where("n IS NOT NULL"), "branched-nodes")
+        live = common.materialize(spark, attach(children.drop("up"), known, salt), "branched-nodes")
     whole = out[0]
     for part in out[1:]:
         whole = whole.unionByName(part)
