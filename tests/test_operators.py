@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from weftline import storage
 from weftline.models import kernels, train
 from weftline.operators import metrics, pairs, splits, vectors, vocab
+from weftline.plans import corpora
 from weftline.sources import readers, writers
 from weftline.streaming import folds
 
@@ -275,3 +276,56 @@ def test_stream_over_several_batches_is_the_batch_fold(spark, tmp_path):
     ema = folds.run_once(folds.moving_average(stream, "run", ["n"], "loss"), "t-ema").groupBy("run").agg(F.max_by("ema", "epoch").alias("ema")).collect()
     want = {r.run: r.ema for r in metrics.moving_average(whole, "run", ["n"], "loss").collect()}
     assert {r.run: pytest.approx(r.ema) for r in ema} == want
+
+
+def test_char_rows_are_their_sql(spark, duck):
+    from conftest import DATA, assert_same
+
+    from weftline.plans import catalogue as c
+    from weftline.plans import config
+
+    sql = f"""WITH c AS (SELECT doc_id AS doc, {c.CHARS} AS c FROM documents), ct AS (SELECT doc, unnest(c) AS word, generate_subscripts(c, 1) - 1 AS pos FROM c),
+    cv AS ({c.most_common(509, 3, "ct")}), t AS ({c.toks(c.LOWER)}), wv AS ({c.most_common(4998, 2)}), w AS (SELECT doc_id AS doc, {c.WORDS} AS w FROM documents),
+    p AS (SELECT doc, k AS pos, w, CASE WHEN k < len(w) THEN w[k + 1] END AS word, CASE WHEN k > 0 AND k <= len(w) THEN w[k] END AS before FROM w, unnest(range(20)) AS r(k)),
+    i AS (SELECT doc, pos, list(coalesce(cv.id, 1) ORDER BY n) AS ids FROM (SELECT doc, pos, substr(before, n, 1) AS word, n FROM p, unnest(range(1, 17)) AS r(n) WHERE before IS NOT NULL AND n <= length(before)) LEFT JOIN cv USING (word) GROUP BY doc, pos)
+    SELECT p.doc, p.pos, CASE WHEN p.word IS NULL THEN 0 ELSE coalesce(wv.id, 1) END::INT AS word_id,
+      CASE WHEN p.pos = 0 THEN list_transform(range(16), lambda z: 2) ELSE {c.padded("coalesce(i.ids, [])", 16)} END AS chars, (p.word IS NOT NULL)::INT AS weight
+    FROM p LEFT JOIN wv ON wv.word = lower(p.word) LEFT JOIN i ON i.doc = p.doc AND i.pos = p.pos"""
+    d = spark.read.parquet(f"{DATA}/documents.parquet")
+    chars = vocab.fit_vocab(vocab.tokens(d, corpora.chars_of(d)), config.POLICIES["lm_chars"])
+    lower = vocab.fit_vocab(vocab.tokens(d, corpora.words_of(d, True)), config.POLICIES["lm_words"])
+    assert_same(vocab.char_rows(d, corpora.words_of(d), chars, lower, 20, 16), duck, sql)
+
+
+def test_lm_rows_of_every_sentence(spark):
+    """Against a plain version: every sentence of 10 to 100 words has 100 places, shorter and longer ones none."""
+    from collections import Counter
+
+    long = " ".join(f"w{i % 7}" for i in range(100))
+    texts = ["One two three Four five six seven eight nine ten. Too short.\na b c d e f g h i j k l antidisestablishmentarianisms m", long, long + " w", "", None]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sents = {(r.doc_id, r.sent): r.words for r in corpora.lm_sentences(d).collect()}
+    assert sorted(k[0] for k in sents) == [0, 0, 1] and sorted(map(len, sents.values())) == [10, 14, 100]
+    words = [w for t in texts if t for w in t.split()]
+    first = lambda xs: {x: i for i, x in reversed(list(enumerate(xs)))}
+
+    def numbered(xs, offset):
+        at, n = first(xs), Counter(xs)
+        return {x: offset + i for i, x in enumerate(sorted(n, key=lambda x: (-n[x], at[x])))}
+
+    chars, lower = numbered([c for w in words for c in w], 3), numbered([w.lower() for w in words], 2)
+    want = set()
+    for (doc, sent), own in sents.items():
+        for pos in range(100):
+            before = [chars[c] for c in own[pos - 1][:16]] if 0 < pos <= len(own) else []
+            want.add((doc, sent, pos, lower[own[pos].lower()] if pos < len(own) else 0, (2,) * 16 if pos == 0 else tuple(before + [0] * (16 - len(before))), int(pos < len(own))))
+    assert {(r.doc_id, r.sent, r.pos, r.word_id, tuple(r.chars), r.weight) for r in corpora.lm_rows(d).collect()} == want
+
+
+def test_negatives_are_drawn_for_every_occurrence(spark):
+    ids = spark.createDataFrame([(d, p, 0 if p % 2 else 1) for d in range(2) for p in range(5)], "doc long, pos int, id long")
+    both = pairs.windows(pairs.close_gaps(ids), 3)
+    n = sum(1 for i in range(5) for j in range(5) if 0 < abs(i - j) <= 3) * 2
+    assert both.count() == n == pairs.skipgram_counts(ids, 3).agg(F.sum("n")).first()[0]
+    dist = pairs.noise(spark.createDataFrame([(0, 4), (1, 6)], "id long, freq long"))
+    assert pairs.negative_samples(both, dist, 3).count() == 3 * n

@@ -125,12 +125,16 @@ def char_rows(docs: DataFrame, words: Column, char_vocab: DataFrame, word_vocab:
     The first place has the start mark for all characters; places beyond the words have padding and weight 0.
     """
     toks = tokens(docs, words, doc).where(F.col("pos") < length)
-    labels = lookup_ids(toks.withColumn("word", F.lower("word")), word_vocab).select("doc", "pos", F.coalesce("id", F.lit(arrays.UNKNOWN)).cast("int").alias("word_id"))
-    flat = toks.where(F.col("pos") < length - 1).select("doc", (F.col("pos") + 1).alias("pos"), F.posexplode(F.slice(text.chars(F.col("word")), 1, width)).alias("at", "char"))
-    ids = storage.join_keys(flat, char_vocab.select(F.col("word").alias("char"), "id"), "char", "left", salt=F.xxhash64("doc", "pos", "at"))
-    rows = ids.groupBy("doc", "pos").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", F.coalesce("id", F.lit(arrays.UNKNOWN)).cast("int").alias("id")))), lambda x: x["id"]).alias("ids"))
-    places = docs.select(F.col(doc).alias("doc"), F.explode(F.sequence(F.lit(0), F.lit(length - 1))).alias("pos"))
-    start = F.array_repeat(F.lit(arrays.START), width)
-    got = places.join(labels, ["doc", "pos"], "left").join(rows, ["doc", "pos"], "left")
-    own = F.when(F.col("pos") == 0, start).otherwise(arrays.pad(F.coalesce("ids", F.array().cast("array<int>")), width))
-    return got.select("doc", "pos", F.coalesce("word_id", F.lit(arrays.PAD)).alias("word_id"), own.alias("chars"), F.col("word_id").isNotNull().cast("int").alias("weight"))
+    # each distinct word is spelled and numbered once
+    distinct = toks.select("word").distinct()
+    flat = distinct.select("word", F.posexplode(F.slice(text.chars(F.col("word")), 1, width)).alias("at", "char"))
+    ids = storage.join_keys(flat, char_vocab.select(F.col("word").alias("char"), "id"), "char", "left", salt=F.xxhash64("word", "at"))
+    spelled = ids.groupBy("word").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", F.coalesce("id", F.lit(arrays.UNKNOWN)).cast("int").alias("id")))), lambda x: x["id"]).alias("ids"))
+    labels = storage.join_keys(spelled.withColumn("lower", F.lower("word")), word_vocab.select(F.col("word").alias("lower"), "id"), "lower", "left", salt=F.xxhash64("word"))
+    known = storage.materialize(labels.select("word", F.coalesce("id", F.lit(arrays.UNKNOWN)).cast("int").alias("word_id"), "ids"), "spelled")
+    got = storage.join_keys(toks, known, "word", "left", salt=F.xxhash64("doc", "pos"))
+    rows = got.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("pos", "word_id", "ids"))).alias("r"))  # at most `length` places
+    places = docs.select(F.col(doc).alias("doc")).join(rows, "doc", "left").select("doc", "r", F.explode(F.sequence(F.lit(0), F.lit(length - 1))).alias("pos"))
+    here, before = F.get("r", F.col("pos")), F.get("r", F.col("pos") - 1)
+    own = F.when(F.col("pos") == 0, F.array_repeat(F.lit(arrays.START), width)).otherwise(arrays.pad(F.coalesce(before["ids"], F.array().cast("array<int>")), width))
+    return places.select("doc", "pos", F.coalesce(here["word_id"], F.lit(arrays.PAD)).alias("word_id"), own.alias("chars"), here["word_id"].isNotNull().cast("int").alias("weight"))

@@ -182,26 +182,11 @@ def decode_words(spark, sf_dir):
     return vocab.decode(vocab.encode(both, F.col("w"), v), v).select(F.col("doc").alias("row"), text.join_words(F.col("words")).alias("words"))
 
 
-SENTENCES = r"""s AS (SELECT doc_id, string_split(replace(replace(text, chr(10) || chr(10), '. '), chr(10), '. '), '') AS c FROM documents)"""
-
-
 @query()
 def lm_rows(spark, sf_dir):
-    """Character rows of the language model for the first 20 words of every document: label, characters of the word before, weight."""
-    d = docs(spark, sf_dir)
-    words = corpora.words_of(d)
-    chars = storage.materialize(vocab.fit_vocab(vocab.tokens(d, corpora.chars_of(d)), config.POLICIES["lm_chars"]), "chars")
-    lower = storage.materialize(vocab.fit_vocab(vocab.tokens(d, corpora.words_of(d, True)), config.POLICIES["lm_words"]), "words")
-    return vocab.char_rows(d, words, chars, lower, 20, 16).select("doc", F.col("pos").cast("long").alias("pos"), F.col("word_id").cast("long").alias("word_id"), arrays.text_of(F.col("chars")).alias("chars"), F.col("weight").cast("long").alias("weight"))
-
-
-ORACLES["lm_rows"] = f"""WITH c AS (SELECT doc_id AS doc, {CHARS} AS c FROM documents), ct AS (SELECT doc, unnest(c) AS word, generate_subscripts(c, 1) - 1 AS pos FROM c),
-cv AS ({most_common(509, 3, 'ct')}), t AS ({toks(LOWER)}), wv AS ({most_common(4998, 2)}), w AS (SELECT doc_id AS doc, {WORDS} AS w FROM documents),
-p AS (SELECT doc, k AS pos, w, CASE WHEN k < len(w) THEN w[k + 1] END AS word, CASE WHEN k > 0 AND k <= len(w) THEN w[k] END AS before FROM w, unnest(range(20)) AS r(k)),
-i AS (SELECT doc, pos, list(coalesce(cv.id, 1) ORDER BY n) AS ids FROM (SELECT doc, pos, substr(before, n, 1) AS word, n FROM p, unnest(range(1, 17)) AS r(n) WHERE before IS NOT NULL AND n <= length(before)) LEFT JOIN cv USING (word) GROUP BY doc, pos)
-SELECT p.doc, p.pos, CASE WHEN p.word IS NULL THEN 0 ELSE coalesce(wv.id, 1) END::BIGINT AS word_id,
-  CASE WHEN p.pos = 0 THEN array_to_string(list_transform(range(16), lambda z: 2), ',') ELSE array_to_string({padded('coalesce(i.ids, [])', 16)}, ',') END AS chars, (p.word IS NOT NULL)::BIGINT AS weight
-FROM p LEFT JOIN wv ON wv.word = lower(p.word) LEFT JOIN i ON i.doc = p.doc AND i.pos = p.pos"""
+    """Character rows of the language model for every sentence of 10 to 100 words, 100 places each: label, characters of the word before, weight."""
+    rows = corpora.lm_rows(docs(spark, sf_dir))
+    return rows.select("doc_id", "sent", F.col("pos").cast("long").alias("pos"), F.col("word_id").cast("long").alias("word_id"), arrays.text_of(F.col("chars")).alias("chars"), F.col("weight").cast("long").alias("weight"))
 
 
 # Pairs
@@ -214,10 +199,9 @@ def _pairs(source: str, reach: int) -> str:
     return " UNION ALL ".join(f"SELECT a AS center, b AS ctx FROM ({q}) UNION ALL SELECT b, a FROM ({q})" for q in one)
 
 
-@query(f"WITH t AS ({toks()}), v AS ({first_seen(20)}), {IDS}, g AS (SELECT * FROM i WHERE id IS NOT NULL), p AS ({_pairs('g', 2)}) SELECT center, ctx, count(*) AS n FROM p WHERE center IS NOT NULL AND ctx IS NOT NULL GROUP BY ALL")
+@query(f"WITH t AS ({toks()}), v AS ({first_seen(config.Word2Vec().min_count)}), {IDS}, g AS (SELECT * FROM i WHERE id IS NOT NULL), p AS ({_pairs('g', config.Word2Vec().window)}) SELECT center, ctx, count(*) AS n FROM p WHERE center IS NOT NULL AND ctx IS NOT NULL GROUP BY ALL")
 def skipgram_pairs(spark, sf_dir):
-    _, ids = corpora.word_ids(docs(spark, sf_dir), config.POLICIES["word2vec_tree"])
-    return pairs.skipgram_counts(ids, 2)
+    return corpora.skipgram_pairs(docs(spark, sf_dir))
 
 
 @query(f"WITH t AS ({toks()}), v AS ({first_seen(20)}), {IDS}, p AS ({_pairs('i', 2)}) SELECT center AS w_id, ctx AS c_id, count(*)::DOUBLE AS x, round(least(1.0, pow(count(*) / 100.0, 0.75::DOUBLE)), 9) AS weight FROM p WHERE center IS NOT NULL AND ctx IS NOT NULL GROUP BY ALL")
@@ -225,22 +209,23 @@ def cooccurrence(spark, sf_dir):
     return corpora.glove_cells(docs(spark, sf_dir)).withColumn("weight", F.round("weight", 9))
 
 
-NOISE = f"WITH t AS ({toks()}), v AS ({first_seen(20)})"
+NOISE = f"WITH t AS ({toks()}), v AS ({first_seen(config.Word2Vec().min_count)})"
 
 
 @query(f"{NOISE} SELECT id, freq, round(pow(freq, 0.75::DOUBLE) / sum(pow(freq, 0.75::DOUBLE)) OVER (), 12) AS p, round_even(round(pow(freq, 0.75::DOUBLE) / sum(pow(freq, 0.75::DOUBLE)) OVER (), 15) * 1000000, 0)::BIGINT AS slots FROM v")
 def neg_distribution(spark, sf_dir):
     d = docs(spark, sf_dir)
-    v = storage.materialize(vocab.fit_vocab(vocab.tokens(d, corpora.words_of(d)), config.POLICIES["word2vec_tree"]), "vocab")
+    v = storage.materialize(vocab.fit_vocab(vocab.tokens(d, corpora.words_of(d)), config.POLICIES["word2vec"]), "vocab")
     return pairs.noise(v, slots=1_000_000).withColumn("p", F.round("p", 12))
 
 
 @query()
 def negative_samples(spark, sf_dir):
-    """Three draws for each distinct skip-gram pair."""
-    v, ids = corpora.word_ids(docs(spark, sf_dir), config.POLICIES["word2vec_tree"])
-    both = pairs.skipgram_counts(ids, 1).select("center", "ctx")
-    return pairs.negative_samples(both, pairs.noise(v), 3)
+    """Three draws for each occurrence of a skip-gram pair."""
+    cfg = config.Word2Vec()
+    v, ids = corpora.word_ids(docs(spark, sf_dir), config.POLICIES["word2vec"])
+    both = pairs.windows(pairs.close_gaps(ids), cfg.window)
+    return pairs.negative_samples(both, pairs.noise(v), cfg.negatives).select("center", "ctx", "neg")
 
 
 @query()
@@ -253,7 +238,7 @@ def huffman_paths(spark, sf_dir):
 @query()
 def huffman_pairs(spark, sf_dir):
     v, ids = corpora.word_ids(docs(spark, sf_dir), config.POLICIES["word2vec_tree"])
-    return pairs.path_pairs(pairs.skipgram_counts(ids, 1), pairs.huffman_paths(v)).groupBy("center", "node", "sign").agg(F.sum("n").alias("n"))
+    return pairs.path_pairs(pairs.skipgram_counts(ids, config.Word2Vec().window), pairs.huffman_paths(v)).groupBy("center", "node", "sign").agg(F.sum("n").alias("n"))
 
 
 # Splits and batches

@@ -154,18 +154,21 @@ def _losses(spark, losses: list[float]) -> DataFrame:
 
 @query()
 def train_skipgram(spark, sf_dir):
-    """Losses of three rounds over skip-gram pairs with two draws of noise each; words of 20 occurrences or more."""
-    v, ids = corpora.word_ids(docs(spark, sf_dir), config.POLICIES["word2vec_tree"])
-    both = storage.materialize(pairs.skipgram_counts(ids, 1).select("center", "ctx"), "pairs")
-    noise = pairs.negative_samples(both, pairs.noise(v), 2).select("center", F.col("neg").alias("node"), F.lit(0).alias("sign"))
+    """Losses of three rounds over all occurrences of skip-gram pairs, with three draws of noise each."""
+    cfg = config.Word2Vec()
+    v, ids = corpora.word_ids(docs(spark, sf_dir), config.POLICIES["word2vec"])
+    both = storage.materialize(pairs.windows(pairs.close_gaps(ids), cfg.window), "pairs")
+    noise = pairs.negative_samples(both, pairs.noise(v), cfg.negatives).select("center", F.col("neg").alias("node"), F.lit(0).alias("sign"))
     rows = storage.materialize(both.select("center", F.col("ctx").alias("node"), F.lit(1).alias("sign")).unionByName(noise), "triples")
     return _losses(spark, train.skipgram(rows, v.count(), 16, 3)[1])
 
 
 @query()
 def train_huffman(spark, sf_dir):
+    """Losses of two rounds over the paths of all occurrences of skip-gram pairs."""
     v, ids = corpora.word_ids(docs(spark, sf_dir), config.POLICIES["word2vec_tree"])
-    rows = pairs.path_pairs(pairs.skipgram_counts(ids, 1).select("center", "ctx"), pairs.huffman_paths(v))
+    both = pairs.windows(pairs.close_gaps(ids), config.Word2Vec().window).select("center", "ctx")
+    rows = pairs.path_pairs(both, pairs.huffman_paths(v))
     n = v.count()
     return _losses(spark, train.skipgram(storage.materialize(rows.select("center", "node", "sign"), "triples"), n, 16, 2, nodes=2 * n)[1])
 
@@ -229,29 +232,37 @@ def infer_char_cnn(spark, sf_dir):
 
 @query()
 def infer_char_word_lm(spark, sf_dir):
-    """Perplexity of an untrained language model over the first 20 words of every document."""
-    d = docs(spark, sf_dir)
-    words = corpora.words_of(d)
-    chars = storage.materialize(vocab.fit_vocab(vocab.tokens(d, corpora.chars_of(d)), vocab.VocabPolicy("frequency", 1, 60, ("<pad>", "<unk>", "<start>"))), "chars")
-    lower = storage.materialize(vocab.fit_vocab(vocab.tokens(d, corpora.words_of(d, True)), vocab.VocabPolicy("frequency", 1, 198, ("<pad>", "<unk>"))), "words")
-    rows = vocab.char_rows(d, words, chars, lower, 20, 16)
-    whole = rows.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("pos", "word_id", "weight", "chars"))).alias("r"))
-    whole = whole.select("doc", F.transform("r", lambda x: x["word_id"]).alias("labels"), F.transform("r", lambda x: x["weight"]).alias("weights"), F.flatten(F.transform("r", lambda x: x["chars"])).alias("ids"))
-    got = train.infer(whole, kernels.char_word_init(64, 200, 1, 8, 16, 8, 16), kernels.char_word_lm, ["doc", "labels", "weights"], (20, 16))
-    losses = got.select("doc", F.posexplode("labels").alias("p", "label"), "weights", "scores").select("doc", F.element_at("weights", F.col("p") + 1).alias("weight"), arrays.cross_entropy(F.slice("scores", F.col("p") * 200 + 1, 200), F.col("label")).alias("loss"))
+    """Perplexity of an untrained language model over every sentence of 10 to 100 words."""
+    cfg = config.CharWordLM()
+    least = lambda n, *specials: vocab.VocabPolicy("frequency", 1, n, ("<pad>", "<unk>", *specials))
+    rows = corpora.lm_rows(docs(spark, sf_dir), cfg, least(60, "<start>"), least(198))
+    whole = rows.groupBy(F.struct("doc_id", "sent").alias("doc")).agg(F.array_sort(F.collect_list(F.struct("pos", "word_id", "weight", "chars"))).alias("r"))
+    chars, labels = F.flatten(F.transform("r", lambda x: x["chars"])), F.transform("r", lambda x: x["word_id"])
+    whole = whole.select("doc.doc_id", "doc.sent", F.transform("r", lambda x: x["weight"]).alias("weights"), F.concat(chars, labels).alias("ids"))
+    at = cfg.sentence_length * cfg.word_length
+
+    def loss(p, ids):
+        return kernels.cross_entropy(kernels.char_word_lm(p, ids[:, :at].reshape(-1, cfg.sentence_length, cfg.word_length)), ids[:, at:])
+
+    got = train.infer(whole, kernels.char_word_init(64, 200, 1, 8, 16, 8, 16), loss, ["doc_id", "sent", "weights"])
+    losses = got.select("doc_id", "sent", F.posexplode("scores").alias("p", "loss"), "weights").select(F.struct("doc_id", "sent").alias("doc"), "loss", F.element_at("weights", F.col("p") + 1).alias("weight"))
     return metrics.perplexity(losses.where("weight > 0"), "doc", F.col("loss"), F.col("weight"))
 
 
 @query()
 def infer_han(spark, sf_dir):
-    """Hierarchical attention over the first eight lines of twelve words."""
-    rows = corpora.document_matrices(docs(spark, sf_dir), config.HAN(sentence_length=12)).select("doc", arrays.pad(F.flatten("sents"), 96).alias("ids"))
+    """Hierarchical attention over all lines of a document, one document at a time."""
+    cfg = config.HAN()
+    rows = corpora.document_matrices(docs(spark, sf_dir), cfg).select("doc", F.flatten("sents").alias("ids"))
     size = 2 + rows.agg(F.max(F.array_max("ids"))).first()[0]
-    return _scored(train.infer(rows, kernels.han_init(size, 10, 1, 16, 8), kernels.han, ["doc"], (8, 12)))
+    return _scored(train.infer(rows, kernels.han_init(size, 10, 1, 16, 8), kernels.han, ["doc"], (-1, cfg.sentence_length), size=1))
+
+
+LENGTH = config.Translator().length
 
 
 def _translation(spark, sf_dir) -> tuple[DataFrame, int, int]:
-    rows, sv, tv = corpora.translation_rows(corpora.parallel_turns(storage.table(spark, sf_dir, "conversations")), config.Translator(length=20))
+    rows, sv, tv = corpora.translation_rows(corpora.parallel_turns(storage.table(spark, sf_dir, "conversations")), config.Translator())
     return storage.materialize(rows.select(F.col("row").alias("doc"), "tgt", F.concat("src", "tgt_in").alias("ids")), "translation"), sv.count() + 4, tv.count() + 4
 
 
@@ -259,7 +270,7 @@ def _translation(spark, sf_dir) -> tuple[DataFrame, int, int]:
 def infer_translator(spark, sf_dir):
     """Greedy output of an untrained four-layer translator: ids up to the end mark."""
     rows, s, t = _translation(spark, sf_dir)
-    got = train.infer(rows, kernels.translator_init(s, t, 1, 8, 8), lambda p, ids: kernels.translate_greedy(p, ids[:, :20], 20), ["doc"])
+    got = train.infer(rows, kernels.translator_init(s, t, 1, 8, 8), lambda p, ids: kernels.translate_greedy(p, ids[:, :LENGTH], LENGTH), ["doc"])
     return got.select("doc", arrays.text_of(arrays.until_end(F.transform("scores", lambda x: x.cast("int")))).alias("ids"))
 
 
@@ -267,7 +278,7 @@ def infer_translator(spark, sf_dir):
 def infer_attention_translator(spark, sf_dir):
     """Masked loss of an untrained attention translator with the target given."""
     rows, s, t = _translation(spark, sf_dir)
-    got = train.infer(rows.select("doc", "tgt", F.concat("ids", "tgt").alias("ids")), kernels.attention_init(s, t, 1, 8, 8), lambda p, ids: kernels.cross_entropy(kernels.attention_translate(p, ids[:, :20], ids[:, 20:40]), ids[:, 40:]), ["doc", "tgt"])
+    got = train.infer(rows.select("doc", "tgt", F.concat("ids", "tgt").alias("ids")), kernels.attention_init(s, t, 1, 8, 8), lambda p, ids: kernels.cross_entropy(kernels.attention_translate(p, ids[:, :LENGTH], ids[:, LENGTH : 2 * LENGTH]), ids[:, 2 * LENGTH :]), ["doc", "tgt"])
     flat_ = got.select("doc", F.posexplode("scores").alias("p", "loss"), "tgt").select("doc", "loss", (F.element_at("tgt", F.col("p") + 1) != 0).cast("int").alias("w"))
     return metrics.masked_mean_loss(flat_, F.col("loss"), F.col("w"))
 

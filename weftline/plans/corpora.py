@@ -87,6 +87,14 @@ def lm_splits(docs: DataFrame, budgets) -> DataFrame:
     return splits.budget_split(lm_sentences(docs), F.size("words"), [F.col("doc_id").asc(), F.col("sent").asc()], budgets)
 
 
+def lm_rows(docs: DataFrame, cfg: config.CharWordLM = config.CharWordLM(), chars: vocab.VocabPolicy | None = None, lower: vocab.VocabPolicy | None = None) -> DataFrame:  # noqa: B008
+    """doc_id, sent, pos, word_id, chars and weight: `vocab.char_rows` of every sentence, with vocabularies of whole documents."""
+    c = storage.materialize(vocab.fit_vocab(vocab.tokens(docs, chars_of(docs)), chars or config.POLICIES["lm_chars"]), "chars")
+    w = storage.materialize(vocab.fit_vocab(vocab.tokens(docs, words_of(docs, True)), lower or config.POLICIES["lm_words"]), "words")
+    sents = storage.materialize(lm_sentences(docs, most=cfg.sentence_length).select(F.struct("doc_id", "sent").alias("doc_id"), "words"), "sentences")
+    return vocab.char_rows(sents, F.col("words"), c, w, cfg.sentence_length, cfg.word_length).select("doc.*", "pos", "word_id", "chars", "weight")
+
+
 def document_matrices(docs: DataFrame, cfg: config.HAN = config.HAN()) -> DataFrame:  # noqa: B008
     """doc, row, batch, sents: documents longest first in batches, each sentence padded to a length and each document to its batch's most sentences.
 
