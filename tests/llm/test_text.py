@@ -258,9 +258,11 @@ def test_near_duplicate_edge_cases(spark):
     assert {(r.doc_id, r.component_id) for r in neardup.link(spark, words_as_ids).collect()} == {(None, None), (12, 12)}
 
 
-def test_components_of_paths_and_stars(spark):
-    edges = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 160)] + [(200, 201)]
-    got = {r.id: r.comp for r in neardup.components(spark, spark.createDataFrame(edges, "a long, b long")).collect()}
+@pytest.mark.parametrize("few", [0, 200_000])
+def test_components_of_paths_and_stars(spark, few):
+    assert not neardup.components(spark, spark.createDataFrame([], "a long, b long"), few).collect()
+    edges = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 160)] + [(200, 201)] * 2
+    got = {r.id: r.comp for r in neardup.components(spark, spark.createDataFrame(edges, "a long, b long"), few).collect()}
     assert got == {i: 0 for i in range(1, 41)} | {i: 100 for i in range(101, 160)} | {201: 200}
 
 

@@ -518,26 +518,35 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * shared >= percent * (F.size("xs") + F.size("ys") - shared)).select("a", "b")
 
 
-def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
-    """id and comp (the least id it reaches) of every id in edges(a, b), by alternating stars."""
-    at, was = common.materialize(spark, edges.select("a", "b"), "edges"), None
-    while True:
+def components(spark: SparkSession, edges: DataFrame, few: int = common.BROADCAST_ROWS) -> DataFrame:
+    """id and comp (the least id it reaches) of every id in edges(a, b), by alternating stars.
+
+    The least neighbours are broadcast while the counted edges bound them to `few` rows; beyond that they are joined by
+    (key, salt).
+    """
+    at = common.materialize(spark, edges.select("a", "b"), "edges")
+    state = lambda e: e.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("sum")).first()
+    # most: how many nodes `low` can have, which are ends of edges
+    least = lambda rows, low, on, salt, most: rows.join(F.broadcast(low), on) if most <= few else common.lookup(rows, low, on, salt)
+    was = state(at)
+    while was.n:
         # large star: larger neighbours of a node go to the least of node and neighbours
         both = at.unionByName(at.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = common.lookup(both, low, "a", F.xxhash64("b")).where("b > a").select(F.col("m").alias("a"), "b").where("a < b").distinct()
+        large = least(both, low, "a", F.xxhash64("b"), 2 * was.n).where("b > a").select(F.col("m").alias("a"), "b").where("a < b").distinct()
         large = common.materialize(spark, large, "large-star")
         # small star: smaller neighbours and the node itself go to the least of them
         low = large.groupBy("b").agg(F.min("a").alias("m"))
-        own = common.lookup(large, low, "b", F.xxhash64("a"))
+        own = least(large, low, "b", F.xxhash64("a"), was.n)
         small = own.select(F.col("m").alias("a"), F.col("a").alias("b")).unionByName(low.select(F.col("m").alias("a"), "b")).where("a < b").distinct()
         small = common.materialize(spark, small, "small-star")
-        now = small.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
+        now = state(small)
         done, was = now == was, now
         common.drop(spark, at, large)
         at = small
         if done:
-            return at.select(F.col("b").alias("id"), F.col("a").alias("comp"))
+            break
+    return at.select(F.col("b").alias("id"), F.col("a").alias("comp"))
 
 
 def link(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80, small: int = SMALL, work: int = WORK) -> DataFrame:
