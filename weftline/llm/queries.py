@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import decontam, fingerprint, langid, mixing, neardup, quotes, rollup, sharding, url_filter, warc
+from weftline.llm import align, decontam, fingerprint, langid, mixing, neardup, quotes, rollup, sharding, url_filter, warc
 from weftline.llm.common import table
 
 
@@ -50,6 +50,10 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(spark, table(spark, sf_dir, "documents"))
 
 
+def op11_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.digest(spark, table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # at the repository's top
 
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_neardup": op8_neardup,
     "op9_rollup": op9_rollup,
     "op10_langid": op10_langid,
+    "op11_align": op11_align,
     "pipeline": pipeline,
 }
 ORACLES: dict[str, str] = {
