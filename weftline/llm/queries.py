@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import align, decontam, fingerprint, langid, mixing, neardup, quotes, rollup, sharding, url_filter, warc
+from weftline.llm import align, decontam, fingerprint, langid, lm, mixing, neardup, negatives, quotes, rollup, sharding, url_filter, warc
 from weftline.llm.common import table
 
 
@@ -54,6 +54,14 @@ def op11_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.digest(spark, table(spark, sf_dir, "documents"))
 
 
+def op12_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scores(spark, table(spark, sf_dir, "documents"))
+
+
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine(spark, table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # at the repository's top
 
@@ -72,6 +80,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_rollup": op9_rollup,
     "op10_langid": op10_langid,
     "op11_align": op11_align,
+    "op12_lm": op12_lm,
+    "op13_negatives": op13_negatives,
     "pipeline": pipeline,
 }
 ORACLES: dict[str, str] = {
@@ -81,4 +91,5 @@ ORACLES: dict[str, str] = {
     "op7_decontam": decontam.SQL,
     "op8_neardup": neardup.SQL,
     "op9_rollup": rollup.SQL,
+    "op13_negatives": negatives.SQL,
 }

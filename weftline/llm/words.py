@@ -99,9 +99,14 @@ def hashes(data: np.ndarray, off: np.ndarray, lut: np.ndarray) -> tuple[np.ndarr
     return np.concatenate(out) if out else np.zeros(0, np.uint64), np.searchsorted(starts, off, "left")
 
 
+def hash_spans(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Hashes of the byte strings data[first:last], without folding."""
+    return _word_hashes(np.concatenate([data, np.zeros(8, np.uint8)]), first, last)
+
+
 def hash_pieces(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Hashes of the byte strings data[at[i]:at[i+1]], without folding."""
-    return _word_hashes(np.concatenate([data, np.zeros(8, np.uint8)]), at[:-1], at[1:])
+    return hash_spans(data, at[:-1], at[1:])
 
 
 def plain(text: bytes) -> bytes:
