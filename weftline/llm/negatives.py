@@ -33,7 +33,7 @@ from pyspark.sql import window as W
 
 from . import chunks, common
 
-SAMPLE, LEAVES, BLOCK, NODE = 2048, 1024, 1024, 64
+SAMPLE, LEAVES, BLOCK, NODE = 2048, 1024, 1024, 128
 QUERIES = 512  # that go to a block together
 MOST = 1 << 26
 SLACK = 1e-6  # of the largest norm
@@ -185,31 +185,40 @@ class Block:
         """For each query its first k (-score, id) with low <= score <= high and the same or another label, the query's own row left out."""
         q = q.astype(self.x.dtype)
         square = (q * q).sum(1)
-        far = lambda s: np.sqrt(np.maximum(0.0, square + float(self.m2) - 2.0 * s))
+        far = lambda s, square=square: np.sqrt(np.maximum(0.0, square + float(self.m2) - 2.0 * s))
         lower, upper = self.tree.bounds(far_to(q, self.x[self.columns], square, self.m2), self.columns)
         slack = SLACK * max(1.0, float(self.m2) ** 0.5)
-        outer, inner = far(low) + slack, far(high) - slack
+        bound, inner = far(low) + slack, far(high) - slack
         order = self.leaves[np.argsort(lower[:, self.leaves], axis=1, kind="stable")]
-        out = []
-        for i in range(len(q)):
-            best: list[tuple[int, int]] = []
-            bound = outer[i]
-            for node in order[i].tolist():
-                if lower[i, node] > bound:
-                    break
-                if upper[i, node] < inner[i]:
-                    continue
+        none = self.x.dtype.type(-(2**63 - 1))  # below every score
+        best, best_id = np.full((len(q), k), none), np.full((len(q), k), NO_ID)
+        every = np.arange(len(q))
+        # all queries take their t-th nearest node together, those of one node by one product
+        for t in range(order.shape[1]):
+            node_of = order[:, t]
+            live = lower[every, node_of] <= bound
+            if not live.any():
+                break
+            live &= upper[every, node_of] >= inner
+            for node in np.unique(node_of[live]).tolist():
+                own = np.flatnonzero(live & (node_of == node))
                 at = slice(self.tree.begin[node], self.tree.end[node])
-                s = self.x[at] @ q[i]
-                fit = (s >= low[i]) & (s <= high[i]) & ((self.labels[at] == label[i]) == same)
+                s = q[own] @ self.x[at].T
+                fit = (s >= low[own, None]) & (s <= high[own, None]) & ((self.labels[at] == label[own, None]) == same)
                 if same:
-                    fit &= ~((self.ids[at] == own_id[i]) & (s == square[i]) & (self.square[at] == square[i]))
-                if fit.any():
-                    best = sorted([*best, *zip((-s[fit]).astype(np.int64).tolist(), self.ids[at][fit].tolist(), strict=True)])[:k]
-                    if len(best) == k:
-                        bound = min(bound, float(np.sqrt(max(0.0, float(square[i]) + self.m2 + 2.0 * best[-1][0]))) + slack)
-            out.append(best)
-        return out
+                    fit &= ~((self.ids[at] == own_id[own, None]) & (s == square[own, None]) & (self.square[at] == square[own, None]))
+                s = np.where(fit, s, none)
+                most = s.max(1)
+                hit = (most > none) & (most >= best[own, -1])
+                own, s = own[hit], s[hit]
+                if not len(own):
+                    continue
+                both, ids = np.concatenate([best[own], s], 1), np.concatenate([best_id[own], np.broadcast_to(self.ids[at], s.shape)], 1)
+                pick = np.lexsort((ids, -both), axis=1)[:, :k]
+                best[own], best_id[own] = np.take_along_axis(both, pick, 1), np.take_along_axis(ids, pick, 1)
+                full = own[best[own, -1] > none]
+                bound[full] = np.minimum(bound[full], far(best[full, -1], square[full]) + slack)
+        return [[(-int(s), int(i)) for s, i in zip(a, b, strict=True) if s > none] for a, b in zip(best.tolist(), best_id.tolist(), strict=True)]
 
 
 def far_to(q: np.ndarray, x: np.ndarray, square: np.ndarray, m2: int) -> np.ndarray:
