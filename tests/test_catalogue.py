@@ -6,7 +6,7 @@ import sys
 import pytest
 from conftest import DATA, ROOT, assert_same
 
-from weftline.plans import catalogue, catalogue_io  # noqa: F401
+from weftline.plans import catalogue, catalogue_io, catalogue_text  # noqa: F401
 
 FREE = sorted(set(catalogue.QUERIES) - set(catalogue.ORACLES))
 

@@ -1,8 +1,10 @@
 """Golden cases and properties of operators, sources, kernels and streams."""
 
 import gzip
+import hashlib
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -53,15 +55,23 @@ def test_windows(spark):
     assert kernels.glove_weight(np.array([16.0, 100.0, 500.0])) == pytest.approx([0.252982, 1, 1], abs=1e-6)
 
 
+def huffman(freqs):
+    """(word id, bits, inner nodes) of (id, frequency), ids in the list's order."""
+    order = sorted(range(len(freqs)), key=lambda i: (freqs[i][1], i))
+    tree = pairs.Huffman(sorted(Counter(f for _, f in freqs).items()))
+    got = dict(zip(order, tree.paths(np.arange(len(freqs))), strict=True))
+    return [(w, *got[i]) for i, (w, _) in enumerate(freqs)]
+
+
 def test_huffman_example():
-    got = {w: (bits, path) for w, bits, path in pairs.huffman([(0, 4), (1, 6), (2, 3), (3, 2), (4, 2)])}
+    got = {w: (bits, path) for w, bits, path in huffman([(0, 4), (1, 6), (2, 3), (3, 2), (4, 2)])}
     assert got == {0: ([1, 0], [8, 7]), 1: ([1, 1], [8, 7]), 2: ([0, 0], [8, 6]), 3: ([0, 1, 1], [8, 6, 5]), 4: ([0, 1, 0], [8, 6, 5])}
 
 
 @given(st.lists(st.integers(1, 50), min_size=1, max_size=40))
 @settings(max_examples=100, deadline=None)
 def test_huffman_codes_are_prefix_free(freqs):
-    codes = ["".join(map(str, bits)) for _, bits, _ in pairs.huffman(list(enumerate(freqs)))]
+    codes = ["".join(map(str, bits)) for _, bits, _ in huffman(list(enumerate(freqs)))]
     assert len(set(codes)) == len(codes)
     assert not any(a != b and b.startswith(a) for a in codes for b in codes) or len(codes) == 1
 
@@ -69,8 +79,8 @@ def test_huffman_codes_are_prefix_free(freqs):
 def test_huffman_joins_the_rarest_first_places_winning():
     """A plain list version: scan for the two smallest by strict comparison; the new node goes to the front."""
     rng = random.Random(4)
-    for _ in range(200):
-        freqs = [rng.randrange(1, 6) for _ in range(rng.randrange(1, 12))]
+    for k in range(400):
+        freqs = [rng.randrange(1, 6 if k % 2 else 60) for _ in range(rng.randrange(1, 12 if k % 4 else 60))]
         nodes = [(f, i) for i, f in enumerate(freqs)]
         up = {}
         while len(nodes) > 1:
@@ -80,7 +90,7 @@ def test_huffman_joins_the_rarest_first_places_winning():
             new = len(freqs) + len(up) // 2
             up[left[1]], up[right[1]] = (new, 1), (new, 0)
             nodes = [(a[0] + b[0], new)] + [n for i, n in enumerate(nodes) if i not in order]
-        for i, bits, path in pairs.huffman(list(enumerate(freqs))):
+        for i, bits, path in huffman(list(enumerate(freqs))):
             at, want = i, []
             while at in up:
                 at, bit = up[at]
@@ -94,10 +104,16 @@ def test_noise_and_draws(spark):
     p = {r.id: r.p for r in dist.collect()}
     assert sum(p.values()) == pytest.approx(1) and p[2] / p[1] == pytest.approx(27)
     both = spark.range(4000).select(F.col("id").alias("center"), F.lit(7).alias("ctx"))
-    drawn = pairs.negative_samples(both, dist, 3)
+    drawn = pairs.negative_samples(both, dist, 3, ["center"])
     rows = sorted(map(tuple, drawn.collect()))
-    assert len(rows) == 12_000 and rows == sorted(map(tuple, pairs.negative_samples(both.repartition(5), dist, 3).collect()))
+    assert len(rows) == 12_000 and rows == sorted(map(tuple, pairs.negative_samples(both.repartition(5), dist, 3, ["center"]).collect()))
     assert np.mean([r[-1] == 2 for r in rows]) == pytest.approx(p[2], abs=0.02)
+    # by a plain table of slots
+    few = spark.createDataFrame([(5, 3), (6, 0), (9, 1), (11, 6)], "id long, slots long")
+    table = [5] * 3 + [9] + [11] * 6
+    want = sorted((c, 7, table[int(hashlib.md5(f"4-{c}-{k}".encode()).hexdigest()[:15], 16) % 10]) for c in range(4000) for k in (1, 2))
+    assert sorted(map(tuple, pairs.negative_samples(both, few, 2, ["center"], seed=4).collect())) == want
+    assert pairs.negative_samples(both, few.where("slots = 0"), 2, ["center"]).count() == 0
 
 
 def test_folds_and_budgets(spark):
@@ -255,6 +271,49 @@ def test_training_lowers_the_loss(spark):
     assert losses[-1] < losses[0]
 
 
+def test_huffman_of_many_words():
+    """A million words of a few thousand frequencies: the mean length is the sum of all inner nodes' frequencies."""
+    rng = np.random.default_rng(2)
+    sizes = sorted({int(f): int(n) for f, n in zip(rng.integers(1, 10**6, 3000), rng.integers(1, 700, 3000), strict=True)}.items())
+    tree = pairs.Huffman(sizes)
+    freqs = np.repeat([f for f, _ in sizes], [n for _, n in sizes])
+    at = np.arange(0, tree.words, 997)
+    lengths = np.array([len(b) for b, _ in tree.paths(at)])
+    assert tree.words == len(freqs) and (np.diff(lengths) <= 0).all()
+    entropy = -np.log2(freqs[at] / freqs.sum())
+    assert (np.abs(lengths - entropy) < 2).all()
+    assert pairs.Huffman([(3, 1)]).paths(np.array([0])) == [([], [])]
+
+
+def test_running_values_of_long_keys(spark):
+    rng = random.Random(3)
+    rows = [(None if i % 11 == 5 else "big" if i % 3 else f"k{i % 7}", i, float(rng.randrange(50))) for i in range(900)]
+    df = spark.createDataFrame(rows, "k string, n long, v double")
+    numbered = storage.materialize(storage.number_rows(df, [F.col("k").asc(), F.col("n").asc()], "row"), "t")
+    got = storage.running(numbered, "k", "row", {"lo": ("min", F.col("v")), "hi": ("max", F.col("v")), "s": ("sum", F.col("v"))}, segment=13).collect()
+    assert len(got) == len(rows)
+    own = {}
+    for k, n, v in rows:
+        own.setdefault(k, []).append(v)
+        at = next(r for r in got if r.k == k and r.n == n)
+        assert (at.lo, at.hi, at.s) == (min(own[k]), max(own[k]), sum(own[k]))
+
+
+def test_early_stops_of_one_long_key(spark, monkeypatch):
+    monkeypatch.setattr(storage.running, "__defaults__", (17,))
+    rng = random.Random(8)
+    rows = [("big" if i % 3 == 0 else f"k{rng.randrange(6)}", i, float(rng.randrange(1000) + 2 * i % 7)) for i in range(600)]
+    got = {r.k: (r.best, r.counter, r.stop_at) for r in metrics.early_stops(spark.createDataFrame(rows, "k string, n long, v double"), "k", ["n"], "v", 6).collect()}
+    for k in {r[0] for r in rows}:
+        best, counter, stop = math.inf, 0, None
+        for i, v in enumerate((v for c, _, v in rows if c == k), 1):
+            best, counter = (v, 0) if v <= best else (best, counter + 1)
+            if counter >= 6:
+                stop = i
+                break
+        assert got[k] == (best, counter, stop)
+
+
 def test_initial_vectors(spark):
     v = spark.createDataFrame([("a", 0), ("b", 1)], "word string, id long")
     e = spark.createDataFrame([("a", [1.0, 3.0])], "word string, vec array<double>")
@@ -328,4 +387,4 @@ def test_negatives_are_drawn_for_every_occurrence(spark):
     n = sum(1 for i in range(5) for j in range(5) if 0 < abs(i - j) <= 3) * 2
     assert both.count() == n == pairs.skipgram_counts(ids, 3).agg(F.sum("n")).first()[0]
     dist = pairs.noise(spark.createDataFrame([(0, 4), (1, 6)], "id long, freq long"))
-    assert pairs.negative_samples(both, dist, 3).count() == 3 * n
+    assert pairs.negative_samples(both, dist, 3, ["doc", "pos", "distance"]).count() == 3 * n

@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 SPACE = r"[ \t\n\r\f\x0B]+"
 LINE_END = r"\r\n|[\n\r\x0B\f\x1C\x1D\x1E\x{85}\x{2028}\x{2029}]"
 TOKEN = r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"
-#: Ends of sentences, except after these abbreviations.
-ABBREVIATIONS = ("Mr", "Mrs", "Ms", "Dr", "Prof", "St", "vs", "etc", "Nr", "Hr", "Fr", "Sr", "Jr")
-SENTENCE_END = "".join(rf"(?<!\b{a}\.)" for a in ABBREVIATIONS) + r"(?<=[.!?])\s+"
 
 
 def split_words(text: Column) -> Column:
@@ -58,10 +55,6 @@ def tokenize(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(f"({TOKEN})"), F.lit(1))
 
 
-def sentences(text: Column) -> Column:
-    return F.filter(F.split(text, SENTENCE_END), lambda s: F.trim(s) != "")
-
-
 def chars(text: Column) -> Column:
     return F.filter(F.split(text, ""), lambda c: c != "")
 

@@ -29,11 +29,6 @@ def summed_batch_loss(rows: DataFrame, batch: Column, loss: Column) -> DataFrame
     return rows.groupBy(batch.alias("batch")).agg(F.avg(loss).alias("m")).agg(F.sum("m").alias("loss"))
 
 
-def ordered(rows: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
-    """key and values in order; a key's values are one row, so keys are runs of steps, not unbounded groups."""
-    return rows.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col(value).alias("v")))), lambda x: x["v"].cast("double")).alias("values"))
-
-
 def moving_average(rows: DataFrame, key: str, order: list[str], value: str, keep: float = 0.95) -> DataFrame:
     """key, ema and n: the average after each key's last value, in its closed form.
 
@@ -54,8 +49,25 @@ def interval_means(rows: DataFrame, step: Column, value: Column, every: int = 10
 
 
 def early_stops(rows: DataFrame, key: str, order: list[str], loss: str, patience: int) -> DataFrame:
-    got = ordered(rows, key, order, loss).select(key, arrays.early_stop(F.col("values"), patience).alias("s"))
-    return got.select(key, F.col("s.best").alias("best"), F.col("s.counter").cast("long").alias("counter"), F.col("s.stop_at").cast("long").alias("stop_at"))
+    """key, best, counter, stop_at of each key's losses in order: where the first `patience` losses in a row are above the best one before.
+
+    best and counter are those at the stop, or at the end; a loss alike to the best counts as an improvement. Rows
+    are numbered by ranges and scanned in segments: the running least loss tells improvements, the running last improvement
+    the counter, so one key may have any number of rows.
+    """
+    plain = rows.select(key, *order, F.col(loss).cast("double").alias("__v"))
+    numbered = storage.number_rows(plain, [F.col(key).asc(), *[F.col(c).asc() for c in order]], "__row").select(key, "__row", "__v")
+    numbered = storage.materialize(numbered, "losses")
+    least = storage.materialize(storage.running(numbered, key, "__row", {"__best": ("min", F.col("__v"))}), "least")
+    # a loss that is its own running least is an improvement
+    better = F.when(F.col("__v") <= F.col("__best"), F.col("__row"))
+    steps = storage.running(least, key, "__row", {"__last": ("max", better), "__n": ("sum", F.lit(1))})
+    steps = steps.withColumn("__counter", F.col("__row") - F.col("__last"))
+    stop = F.min(F.when(F.col("__counter") >= patience, F.struct("__n", "__best", "__counter")))
+    end = F.max(F.struct("__n", "__best", "__counter"))
+    got = steps.groupBy(key).agg(stop.alias("stop"), end.alias("end"))
+    at = lambda c: F.coalesce(F.col(f"stop.{c}"), F.col(f"end.{c}"))
+    return got.select(key, at("__best").alias("best"), at("__counter").cast("long").alias("counter"), F.col("stop.__n").cast("long").alias("stop_at"))
 
 
 def ngram_matches(pairs: DataFrame, key: str, most: int = 4) -> DataFrame:

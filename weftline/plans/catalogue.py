@@ -182,13 +182,6 @@ def decode_words(spark, sf_dir):
     return vocab.decode(vocab.encode(both, F.col("w"), v), v).select(F.col("doc").alias("row"), text.join_words(F.col("words")).alias("words"))
 
 
-@query()
-def lm_rows(spark, sf_dir):
-    """Character rows of the language model for every sentence of 10 to 100 words, 100 places each: label, characters of the word before, weight."""
-    rows = corpora.lm_rows(docs(spark, sf_dir))
-    return rows.select("doc_id", "sent", F.col("pos").cast("long").alias("pos"), F.col("word_id").cast("long").alias("word_id"), arrays.text_of(F.col("chars")).alias("chars"), F.col("weight").cast("long").alias("weight"))
-
-
 # Pairs
 
 IDS = "i AS (SELECT t.doc, t.pos, v.id FROM t LEFT JOIN v USING (word))"
@@ -219,23 +212,48 @@ def neg_distribution(spark, sf_dir):
     return pairs.noise(v, slots=1_000_000).withColumn("p", F.round("p", 12))
 
 
-@query()
+def _windows(source: str, reach: int) -> str:
+    """doc, pos, distance, center, ctx of all pairs within reach."""
+    one = [f"SELECT doc, pos, {k} AS k, id AS a, lead(id, {k}) OVER (PARTITION BY doc ORDER BY pos) AS b FROM {source}" for k in range(1, reach + 1)]
+    return " UNION ALL ".join(f"SELECT doc, pos, k AS distance, a AS center, b AS ctx FROM ({q}) WHERE b IS NOT NULL UNION ALL SELECT doc, pos + k, -k, b, a FROM ({q}) WHERE b IS NOT NULL" for q in one)
+
+
+SLOTS = "d AS (SELECT id, round_even(pow(freq, 0.75::DOUBLE) / sum(pow(freq, 0.75::DOUBLE)) OVER () * 100000000, 0)::BIGINT AS slots FROM v)"
+
+
+@query(f"""{NOISE}, {SLOTS}, c AS (SELECT id, sum(slots) OVER (ORDER BY id)::BIGINT - slots AS at FROM d WHERE slots > 0), {IDS},
+g AS (SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY pos) - 1 AS pos, id FROM i WHERE id IS NOT NULL),
+w AS ({_windows('g', config.Word2Vec().window)}),
+u AS (SELECT center, ctx, ('0x' || substr(md5('1-' || doc || '-' || pos || '-' || distance || '-' || k), 1, 15))::BIGINT % (SELECT sum(slots)::BIGINT FROM d) AS at FROM w, unnest(range(1, {config.Word2Vec().negatives} + 1)) AS r(k))
+SELECT center, ctx, c.id AS neg FROM u ASOF JOIN c ON u.at >= c.at""")
 def negative_samples(spark, sf_dir):
     """Three draws for each occurrence of a skip-gram pair."""
     cfg = config.Word2Vec()
     v, ids = corpora.word_ids(docs(spark, sf_dir), config.POLICIES["word2vec"])
     both = pairs.windows(pairs.close_gaps(ids), cfg.window)
-    return pairs.negative_samples(both, pairs.noise(v), cfg.negatives).select("center", "ctx", "neg")
+    return pairs.negative_samples(both, pairs.noise(v), cfg.negatives, ["doc", "pos", "distance"]).select("center", "ctx", "neg")
 
 
-@query()
+# the list of nodes is the state of the recursion: (frequency, place, node), the two rarest first
+HUFFMAN = f"""t AS ({toks()}), v AS ({first_seen(config.POLICIES["word2vec_tree"].min_count)}),
+s AS (SELECT count(*) AS n, list_sort(list({{'f': freq::BIGINT, 'p': id::BIGINT, 'x': id::BIGINT}})) AS q FROM v),
+h(k, n, q, l, r) AS (SELECT 0::BIGINT, n, q, NULL::BIGINT, NULL::BIGINT FROM s UNION ALL
+  SELECT k + 1, n, list_sort(list_append(q[3:], {{'f': q[1].f + q[2].f, 'p': -1 - k, 'x': n + k}})), CASE WHEN q[1].f = q[2].f THEN q[1].x ELSE q[2].x END, CASE WHEN q[1].f = q[2].f THEN q[2].x ELSE q[1].x END FROM h WHERE len(q) > 1),
+up AS MATERIALIZED (SELECT l AS child, n + k - 1 AS parent, 1 AS bit FROM h WHERE k > 0 UNION ALL SELECT r, n + k - 1, 0 FROM h WHERE k > 0),
+y(word_id, spot, code, path) AS (SELECT id, id, []::INTEGER[], []::BIGINT[] FROM v UNION ALL SELECT word_id, parent, list_prepend(bit, code), list_prepend(parent, path) FROM y JOIN up ON child = spot),
+paths AS MATERIALIZED (SELECT * FROM y WHERE spot NOT IN (SELECT child FROM up))"""
+
+
+@query(f"""WITH RECURSIVE {HUFFMAN}
+SELECT word_id, array_to_string(code, ',') AS code, array_to_string(path, ',') AS path, array_to_string([p FOR p, i IN path IF code[i] = 1], ',') AS pos, array_to_string([p FOR p, i IN path IF code[i] = 0], ',') AS neg FROM paths""")
 def huffman_paths(spark, sf_dir):
     d = docs(spark, sf_dir)
     v = storage.materialize(vocab.fit_vocab(vocab.tokens(d, corpora.words_of(d)), config.POLICIES["word2vec_tree"]), "vocab")
     return pairs.huffman_paths(v).select("word_id", *[arrays.text_of(F.col(c)).alias(c) for c in ("code", "path", "pos", "neg")])
 
 
-@query()
+@query(f"""WITH RECURSIVE {HUFFMAN}, {IDS}, g AS (SELECT * FROM i WHERE id IS NOT NULL), p AS (SELECT center, ctx, count(*) AS n FROM ({_pairs('g', config.Word2Vec().window)}) WHERE center IS NOT NULL AND ctx IS NOT NULL GROUP BY ALL)
+SELECT center, path[k] AS node, code[k] AS sign, sum(n)::BIGINT AS n FROM p JOIN paths ON word_id = ctx, unnest(range(1, len(code) + 1)) AS r(k) GROUP BY ALL""")
 def huffman_pairs(spark, sf_dir):
     v, ids = corpora.word_ids(docs(spark, sf_dir), config.POLICIES["word2vec_tree"])
     return pairs.path_pairs(pairs.skipgram_counts(ids, config.Word2Vec().window), pairs.huffman_paths(v)).groupBy("center", "node", "sign").agg(F.sum("n").alias("n"))
@@ -462,10 +480,3 @@ def shuffled_batches(spark, sf_dir):
     """One epoch of a shuffled loader; the epoch is the seed."""
     d = docs(spark, sf_dir).select("doc_id")
     return splits.batches(d, [splits.shuffle_key(F.col("doc_id"), 7).asc(), F.col("doc_id").asc()], 50).select("doc_id", "row", F.col("batch").cast("long").alias("batch"))
-
-
-@query()
-def lm_sentence_splits(spark, sf_dir):
-    """Sentences of 10 to 100 words in train, valid and test by token budgets."""
-    got = corpora.lm_splits(docs(spark, sf_dir), config.CharWordLM().budgets)
-    return got.select("doc_id", "sent", "n", "cum", "split", text.join_words(F.col("words")).alias("words"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline import storage
 from weftline.functions import arrays, text
-from weftline.operators import pairs, splits, vocab
+from weftline.operators import pairs, sentences, splits, vocab
 from weftline.plans import config
 
 
@@ -77,10 +77,22 @@ def translation_rows(both: DataFrame, cfg: config.Translator = config.Translator
     return got.select("row", "src", arrays.shift_right(F.col("tgt")).alias("tgt_in"), "tgt"), *vocabs
 
 
+def flat_words(docs: DataFrame) -> F.Column:
+    """Words of texts whose line ends are taken as stops."""
+    return text.split_words(text.newlines_to_stops(F.col("text")))
+
+
+def sentence_models(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(abbreviations, starters) of the corpus, written."""
+    words = flat_words(docs)
+    short = storage.materialize(sentences.abbreviations(docs, words), "abbreviations")
+    return short, storage.materialize(sentences.starters(docs, words, short), "starters")
+
+
 def lm_sentences(docs: DataFrame, least: int = 10, most: int = 100) -> DataFrame:
-    """doc_id, sent and words of sentences of 10 to 100 words, line ends taken as stops."""
-    plain = docs.select("doc_id", F.posexplode(text.sentences(text.newlines_to_stops(F.col("text")))).alias("sent", "s"))
-    return plain.select("doc_id", F.col("sent").cast("long").alias("sent"), text.split_words(F.col("s")).alias("words")).where(F.size("words").between(least, most))
+    """doc_id, sent and words of sentences of 10 to 100 words; their ends are learned from the documents themselves."""
+    got = sentences.sentences(docs, flat_words(docs), *sentence_models(docs))
+    return got.select(F.col("doc").alias("doc_id"), "sent", "words").where(F.size("words").between(least, most))
 
 
 def lm_splits(docs: DataFrame, budgets) -> DataFrame:

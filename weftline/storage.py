@@ -120,3 +120,26 @@ def running_sum(df: DataFrame, value: str, order: list[Column], name: str = "cum
     offsets = totals.select("__part", before.alias("__before"))
     own = F.sum(value).over(W.Window.partitionBy("__part").orderBy("__at").rowsBetween(W.Window.unboundedPreceding, 0))
     return ranged.withColumn(name, own).join(F.broadcast(offsets), "__part").withColumn(name, (F.col(name) + F.col("__before")).cast(kind)).drop("__part", "__at", "__before")
+
+
+#: Rows of one key that are scanned together; a longer key is cut into segments.
+SEGMENT = 100_000
+
+
+def running(df: DataFrame, key: str, row: str, values: dict[str, tuple[str, Column]], segment: int = SEGMENT) -> DataFrame:
+    """Add, for each name, the running "min", "max" or "sum" of a value over the key's rows up to and with each one.
+
+    `row` is a number of rows in the global order of (key, order), as `number_rows` gives it. A key's rows are cut into segments
+    of at most `segment` by that number; each is scanned by itself, and starts from what the key's segments before it add up
+    to, of which there is one row a segment. So no key is scanned in one task.
+    """
+    spec = {"min": (F.min, F.least), "max": (F.max, F.greatest), "sum": (F.sum, lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)))}
+    cut = df.withColumn("__seg", F.floor(F.col(row) / segment)).withColumns({f"__v_{n}": v for n, (_, v) in values.items()})
+    ends = cut.groupBy(key, "__seg").agg(*[spec[k][0](f"__v_{n}").alias(f"__s_{n}") for n, (k, _) in values.items()])
+    before = W.Window.partitionBy(key).orderBy("__seg").rowsBetween(W.Window.unboundedPreceding, -1)
+    ends = ends.select(key, "__seg", *[spec[k][0](f"__s_{n}").over(before).alias(f"__b_{n}") for n, (k, _) in values.items()])
+    upto = W.Window.partitionBy(key, "__seg").orderBy(row).rowsBetween(W.Window.unboundedPreceding, 0)
+    cut = cut.withColumns({f"__r_{n}": spec[k][0](f"__v_{n}").over(upto) for n, (k, _) in values.items()})
+    both = cut.join(ends.withColumnRenamed(key, "__key"), cut[key].eqNullSafe(F.col("__key")) & (cut["__seg"] == ends["__seg"])).drop(ends["__seg"])
+    out = both.withColumns({n: spec[k][1](F.col(f"__r_{n}"), F.col(f"__b_{n}")) for n, (k, _) in values.items()})
+    return out.drop("__key", "__seg", *[f"__{p}_{n}" for n in values for p in "vbr"])
