@@ -188,3 +188,20 @@ def test_pipeline_stages_on_odd_rows(spark):
     for name, stage in corpus_pipeline.STAGES:
         empty = common.materialize(spark, stage(spark, empty, DATA), f"t-empty-{name}")
         assert empty.count() == 0
+
+
+def test_repeated_rows_are_dealt_and_mixed_one_by_one(spark):
+    text = "one two three four five six seven"
+    alike = spark.createDataFrame([(None, text, "a")] * 1000 + [(i, "x y", "b") for i in range(500)], "doc_id long, text string, source string").repartition(5)
+    got = sharding.digest(spark, alike).groupBy("shard").agg({"size": "sum", "slot": "max", "*": "count"}).collect()
+    sizes = [r["sum(size)"] for r in got]
+    mean = (1000 * (len(text) + 8) + 500 * 11) / 24
+    assert len(got) == 24 and max(sizes) - min(sizes) < 0.15 * mean
+    assert all(r["max(slot)"] == r["count(1)"] - 1 for r in got)
+    rows = mixing.mix(spark, alike).collect()
+    again = mixing.mix(spark, alike.repartition(3)).collect()
+    assert sorted(map(tuple, rows), key=repr) == sorted(map(tuple, again), key=repr) and len(rows) == 1500
+    for own in ([r for r in rows if r.doc_id is None], [r for r in rows if r.doc_id is not None]):
+        assert abs(sum(r.taken for r in own) - own[0].target) <= max(r.size for r in own) and max(r.taken - 3 * r.size for r in own) <= 0
+    plain = sum(len(r.text.split()) for r in mixing.remix(spark, alike).select("text").collect())
+    assert plain == sum(r.taken for r in rows)

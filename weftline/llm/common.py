@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.storage import new_path, remove, table
+from weftline.storage import new_path, number_rows, remove, table
 
-__all__ = ["BROADCAST_ROWS", "WORD", "ascii_lower", "drop", "lookup", "materialize", "new_path", "remove", "table"]
+__all__ = ["BROADCAST_ROWS", "WORD", "ascii_lower", "drop", "lookup", "materialize", "new_path", "ranked", "remove", "table"]
 
 #: White space that separates words in sizes and shingles: space and TAB to CR.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -45,3 +45,24 @@ def lookup(rows: DataFrame, keys: DataFrame, on: str, salt: Column, parts: int =
     rows = rows.withColumn("__salt", F.pmod(salt, F.lit(parts)))
     have = seen.where(F.col(on).isNotNull()).groupBy(on, "__salt").agg(F.count(F.lit(1)).alias("__n")).select(on, "__salt")
     return rows.join(have.join(keys, on), [on, "__salt"], "left").drop("__salt")
+
+
+def ranked(spark: SparkSession, rows: DataFrame, key: Column) -> DataFrame:
+    """rows with __rank: 0, or where a key (a hash) occurs several times the number of the row among those of its key, from 0.
+
+    Only rows of repeated keys are written and numbered, by ranges of (key, row), so that a key with a third of all rows
+    is many ranges. Which of them has which number is left open; their numbers are always 0 to n - 1.
+    """
+    keys = rows.select(key.alias("__k")).groupBy("__k").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("__k", F.lit(True).alias("__twice"))
+    keys = materialize(spark, keys, "repeated")
+    n = keys.limit(BROADCAST_ROWS + 1).count()
+    if not n:
+        return rows.withColumn("__rank", F.lit(0).cast("long"))
+    keyed, salt = rows.withColumn("__k", key), F.monotonically_increasing_id()
+    near = lambda df, side: df.join(F.broadcast(side), "__k", "left") if n <= BROADCAST_ROWS else lookup(df, side, "__k", F.xxhash64("__k", salt))
+    marked = near(keyed, keys)
+    numbered = number_rows(marked.where("__twice").withColumn("__i", salt), [F.col("__k").asc(), F.col("__i").asc()], "__row")
+    first = numbered.groupBy("__k").agg(F.min("__row").alias("__first"))
+    again = near(numbered.drop("__twice"), first).withColumn("__rank", F.col("__row") - F.col("__first"))
+    once = marked.where("__twice IS NULL").withColumn("__rank", F.lit(0).cast("long"))
+    return once.select(*rows.columns, "__rank").unionByName(again.select(*rows.columns, "__rank"))

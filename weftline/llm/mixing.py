@@ -8,8 +8,8 @@ shuffles at most 1024 pre-aggregated rows a source, and reruns agree because the
 is known of sources is a table too, so their number is not bounded.
 
 Defined cases: a null or wordless text has size 0; null sources form one source, ordered last; rows that
-repeat with the same doc_id and text share one hash, so they are taken or left together; an empty table
-gives an empty result; columns other than doc_id, text and source are ignored (or carried by `remix`).
+repeat with the same doc_id, text and source are numbered, and each has a hash of its own by its number, so that some of them
+may be taken and others not; an empty table gives an empty result; columns other than doc_id, text and source are ignored (or carried by `remix`).
 """
 
 from __future__ import annotations
@@ -36,9 +36,10 @@ def size(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(common.WORD)), F.lit(0)).cast("long")
 
 
-def doc_hash(doc_id: Column, text: Column) -> Column:
-    """60 bits of MD5 over id and text."""
-    whole = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.coalesce(text, F.lit("")))
+def doc_hash(doc_id: Column, text: Column, rank: Column | None = None) -> Column:
+    """60 bits of MD5 over id and text, and over the number of a repeated row from the second on."""
+    more = F.lit("") if rank is None else F.when(rank > 0, F.concat(F.lit(":"), rank.cast("string"))).otherwise("")
+    whole = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.coalesce(text, F.lit("")), more)
     return F.conv(F.substring(F.md5(whole), 1, 15), 16, 10).cast("long")
 
 
@@ -108,29 +109,36 @@ def plan(spark: SparkSession, sized: DataFrame, weights: Sequence[float] = (1, 2
     return common.materialize(spark, got.select(*[f.name for f in PLAN]), "mix-plan")
 
 
+def numbered(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """docs with __rank, the number of a row among those with its doc_id, text and source."""
+    return common.ranked(spark, docs, F.xxhash64(F.col("doc_id").cast("string"), "text", source_key(F.col("source"))))
+
+
 def mix(spark: SparkSession, docs: DataFrame, weights: Sequence[float] = (1, 2, 3), cap: int = 3) -> DataFrame:
     """A row for each row of docs: doc_id, size, source_size, target, copies and taken (size times copies)."""
-    sized = common.materialize(spark, docs.select("doc_id", source_key(F.col("source")).alias("__key"), size(F.col("text")).alias("size"), doc_hash(F.col("doc_id"), F.col("text")).alias("h")), "mix-sized")
+    docs = numbered(spark, docs.select("doc_id", "text", "source"))
+    sized = common.materialize(spark, docs.select("doc_id", source_key(F.col("source")).alias("__key"), size(F.col("text")).alias("size"), doc_hash(F.col("doc_id"), F.col("text"), F.col("__rank")).alias("h")), "mix-sized")
     got = near(sized, plan(spark, sized, weights, cap), F.col("h")).withColumn("copies", F.col("full") + (F.col("h") <= F.col("cut")).cast("long"))
     return got.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
 def remix(spark: SparkSession, docs: DataFrame, weights: Sequence[float] = (1, 2, 3), cap: int = 3) -> DataFrame:
     """The mix itself: rows of docs, each as often as it is taken, with the columns of docs."""
-    key, h = source_key(F.col("source")), doc_hash(F.col("doc_id"), F.col("text"))
+    columns, docs = docs.columns, numbered(spark, docs)
+    key, h = source_key(F.col("source")), doc_hash(F.col("doc_id"), F.col("text"), F.col("__rank"))
     sized = common.materialize(spark, docs.select(key.alias("__key"), size(F.col("text")).alias("size"), h.alias("h")), "mix-sized")
     cuts = plan(spark, sized, weights, cap).select("__key", F.col("full").alias("__full"), F.col("cut").alias("__cut"))
     common.drop(spark, sized)
     marked = docs.withColumns({"__key": key, "__h": h})
     copies = (F.col("__full") + (F.col("__h") <= F.col("__cut")).cast("long")).cast("int")
-    return near(marked, cuts, F.col("__h")).withColumn("__copy", F.explode(F.array_repeat(F.lit(1), copies))).select(*docs.columns)
+    return near(marked, cuts, F.col("__h")).withColumn("__copy", F.explode(F.array_repeat(F.lit(1), copies))).select(*columns)
 
 
 SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END::BIGINT AS size,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')), 1, 15))::BIGINT AS h
-  FROM documents),
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '') || CASE WHEN nth > 1 THEN ':' || (nth - 1) ELSE '' END), 1, 15))::BIGINT AS h
+  FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, text, source) AS nth FROM documents)),
 sources AS (
   SELECT source, sum(size)::BIGINT AS s, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w FROM sized GROUP BY source),
 ranked AS (

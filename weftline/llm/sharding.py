@@ -44,8 +44,10 @@ def old_shard(source: Column, shards: int = OLD_SHARDS) -> Column:
     return F.pmod(F.crc32(F.coalesce(source.cast("string"), F.lit(""))), F.lit(shards)).cast("int")
 
 
-def block(doc_id: Column, text: Column) -> Column:
-    return F.pmod(F.xxhash64(doc_id.cast("string"), text), F.lit(BLOCKS)).cast("int")
+def block(doc_id: Column, text: Column, rank: Column) -> Column:
+    """By id and text; a row that repeats both is in a block of its own number, so that repeats are no block that cannot be split."""
+    own = F.xxhash64(doc_id.cast("string"), text)
+    return F.pmod(F.when(rank > 0, F.xxhash64(own, rank)).otherwise(own), F.lit(BLOCKS)).cast("int")
 
 
 def capacities(total: int, shards: int) -> list[int]:
@@ -195,15 +197,17 @@ def level(placed: dict[int, list], filled: list[int], room: Sequence[int], among
 def assign(spark: SparkSession, docs: DataFrame, shards: int, old: Column | None = None, segment_bytes: int = 32 << 20, cost: np.ndarray | None = None, slack: float = SLACK) -> tuple[DataFrame, np.ndarray]:
     """docs(doc_id, text, ...) with __size, __shard, __slot and __old, dealt so that a task has segments of shards; and the bytes that move."""
     old = old_shard(F.col("source")) if old is None else old
-    spot = docs.select(old.alias("__old"), block(F.col("doc_id"), F.col("text")).alias("__block"), row_size(F.col("text")).alias("__size"))
+    columns, docs = docs.columns, common.ranked(spark, docs, F.xxhash64(F.col("doc_id").cast("string"), "text"))
+    at = block(F.col("doc_id"), F.col("text"), F.col("__rank"))
+    spot = docs.select(old.alias("__old"), at.alias("__block"), row_size(F.col("text")).alias("__size"))
     sums = spot.groupBy("__old", "__block").agg(F.sum("__size").alias("s"), F.count(F.lit(1)).alias("n"))
     rows, flow = deal([tuple(r) for r in sums.collect()], shards, segment_bytes, cost, slack)
     parts = {k: i for i, k in enumerate(sorted({(r[2], r[3]) for r in rows}))}  # a segment of a shard is a partition
     places = spark.createDataFrame([(*r, parts[r[2], r[3]]) for r in rows], "__old int, __block int, __shard int, __seg int, __first long, __part int")
-    put = docs.withColumns({"__old": old, "__block": block(F.col("doc_id"), F.col("text")), "__size": row_size(F.col("text"))}).join(F.broadcast(places), ["__old", "__block"])
+    put = docs.withColumns({"__old": old, "__block": at, "__size": row_size(F.col("text"))}).join(F.broadcast(places), ["__old", "__block"])
     order = W.Window.partitionBy("__part").orderBy("__old", "__block", "doc_id", F.xxhash64("text"))
     slot = (F.col("__first") + F.row_number().over(order) - 1).cast("long")
-    return put.repartitionById(max(1, len(parts)), F.col("__part")).withColumn("__slot", slot).select(*docs.columns, *ADDED), flow
+    return put.repartitionById(max(1, len(parts)), F.col("__part")).withColumn("__slot", slot).select(*columns, *ADDED), flow
 
 
 def affected(flow: np.ndarray) -> list[int]:
