@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from weftline import storage
 from weftline.models import kernels, train
-from weftline.operators import metrics, pairs, splits, vectors, vocab
+from weftline.operators import blocks, metrics, pairs, splits, vectors, vocab
 from weftline.plans import corpora
 from weftline.sources import readers, writers
 from weftline.streaming import folds
@@ -32,8 +32,9 @@ def test_vocabulary_orders(spark):
     assert ids(vocab.VocabPolicy("first_seen", 9)) == {}
     far = vocab.tokens(spark.createDataFrame([(1 << 50, ["b", "a"]), (-3, ["a"])], "doc_id long, w array<string>"), F.col("w"))
     assert {r.word: r.id for r in vocab.fit_vocab(far, vocab.VocabPolicy(), wide=True).collect()} == {"a": 0, "b": 1}
-    with pytest.raises(Exception, match="wide=True"):
-        vocab.fit_vocab(far, vocab.VocabPolicy()).collect()
+    assert {r.word: r.id for r in vocab.fit_vocab(far, vocab.VocabPolicy()).collect()} == {"a": 0, "b": 1}
+    named = vocab.tokens(spark.createDataFrame([("y", ["b", "a"]), ("x", ["c", "a"])], "doc_id string, w array<string>"), F.col("w"))
+    assert {r.word: r.id for r in vocab.fit_vocab(named, vocab.VocabPolicy()).collect()} == {"c": 0, "a": 1, "b": 2}
 
 
 def test_unknown_words_close_the_gap_or_keep_it(spark):
@@ -314,6 +315,26 @@ def test_early_stops_of_one_long_key(spark, monkeypatch):
         assert got[k] == (best, counter, stop)
 
 
+def test_block_matrices(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    m = rng.normal(size=(23, 11))
+    rows = [(i, m[i].tolist()) for i in range(23) if i != 7]
+    b = blocks.Blocks.of(spark.createDataFrame(rows, "id long, vec array<double>").repartition(3), "id", "vec", 4, 3)
+    assert max(len(r.x) for r in b.table.collect()) <= 12
+    cells = {(r.row, r.col): r.value for r in b.cells().collect()}
+    assert cells == {(i, j): m[i, j] for i in range(23) if i != 7 for j in range(11)}
+    assert {(r.row, r.col): r.value for r in b.transpose().cells().collect()} == {(j, i): v for (i, j), v in cells.items()}
+    assert {(r.row, r.col): r.value for r in b.transpose().transpose().cells().collect()} == cells
+    assert {r.row: (pytest.approx(r.total), r.n) for r in b.transpose().row_sums().collect()} == {j: (sum(v for (_, c), v in cells.items() if c == j), 22) for j in range(11)}
+    wanted = [("a", 0), ("a", 0), ("a", 22), ("b", 5), ("b", 7), ("b", 99)]
+    members = spark.createDataFrame(wanted, "g string, id long")
+    want = {(g, j): np.mean([m[i, j] for k, i in wanted if k == g and i < 23 and i != 7]) for g in "ab" for j in range(11)}
+    assert {(r.g, r.col): pytest.approx(r["mean"]) for r in b.means(members, "g", "id").collect()} == want
+    monkeypatch.setattr(storage, "BROADCAST_ROWS", 0)
+    assert {(r.g, r.col): pytest.approx(r["mean"]) for r in b.means(members, "g", "id").collect()} == want
+    assert blocks.Blocks.of(spark.createDataFrame([], "id long, vec array<double>"), "id", "vec").means(members, "g", "id").count() == 0
+
+
 def test_initial_vectors(spark):
     v = spark.createDataFrame([("a", 0), ("b", 1)], "word string, id long")
     e = spark.createDataFrame([("a", [1.0, 3.0])], "word string, vec array<double>")

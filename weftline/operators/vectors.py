@@ -43,19 +43,6 @@ def rows_of(ids: DataFrame, matrix: DataFrame) -> DataFrame:
     return storage.join_keys(flat.withColumn("id", F.col("id").cast("long")), matrix.select(F.col("id").cast("long").alias("id"), "vec"), "id", "left", salt=F.xxhash64("doc", "pos"))
 
 
-def average_rows(ids: DataFrame, matrix: DataFrame) -> DataFrame:
-    """doc and vec: the mean over all places, padding included (its row counts as it stands in the matrix)."""
-    flat = rows_of(ids, matrix).select("doc", F.posexplode("vec").alias("k", "x"))
-    means = flat.groupBy("doc", "k").agg(F.avg("x").alias("m"))
-    return means.groupBy("doc").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "m"))), lambda x: x["m"]).alias("vec"))
-
-
-def transpose(rows: DataFrame, row: str, values: str) -> DataFrame:
-    """col and values: the columns of a matrix given as rows."""
-    flat = rows.select(F.col(row).alias("r"), F.posexplode(values).alias("col", "x"))
-    return flat.groupBy("col").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "x"))), lambda v: v["x"]).alias("values"))
-
-
 def matrix_of(frame: DataFrame, most: int = 2_000_000) -> np.ndarray:
     """A matrix(id, vec) as an array for a kernel; over `most` rows raise ValueError."""
     got: pa.Table = frame.orderBy("id").limit(most + 1).select("vec").toArrow()

@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weftline import storage
 from weftline.functions import arrays, text
@@ -35,19 +36,26 @@ POS_BITS = 24
 
 
 def first_place(doc: Column, pos: Column) -> Column:
-    """(doc, pos) as one number in the same order, which hash aggregation can hold; it fails where it does not fit."""
+    """(doc, pos) as one number in the same order, which hash aggregation can hold; null where it does not fit."""
     fits = doc.between(0, (1 << 63 - POS_BITS) - 1) & (pos < 1 << POS_BITS)
-    packed = doc.cast("long") * (1 << POS_BITS) + pos
-    return F.when(fits, packed).otherwise(F.raise_error(F.lit("documents beyond 2**39 or positions beyond 2**24 need wide=True")).cast("long"))
+    return F.when(fits, doc.cast("long") * (1 << POS_BITS) + pos)
 
 
-def count_words(toks: DataFrame, wide: bool = False) -> DataFrame:
-    """word, freq and first (doc, pos) of every distinct word; `wide` keeps places of any size, at the price of sorting."""
+def count_words(toks: DataFrame, wide: bool | None = None) -> DataFrame:
+    """word, freq and first (doc, pos) of every distinct word.
+
+    Places are kept as one number, which aggregates by hash. Where one does not fit (documents that are negative, over
+    2 ** 39 or no whole numbers, positions over 2 ** 24), which one count of all words tells, they are kept as they are, at
+    the price of sorting; `wide` says so beforehand.
+    """
+    if wide is None:
+        whole = isinstance(toks.schema["doc"].dataType, T.IntegralType)
+        wide = not whole or not toks.where(first_place(F.col("doc"), F.col("pos")).isNull()).isEmpty()
     first = F.struct("doc", "pos") if wide else first_place(F.col("doc"), F.col("pos"))
     return toks.groupBy("word").agg(F.count(F.lit(1)).alias("freq"), F.min(first).alias("first"))
 
 
-def fit_vocab(toks: DataFrame, policy: VocabPolicy, wide: bool = False) -> DataFrame:
+def fit_vocab(toks: DataFrame, policy: VocabPolicy, wide: bool | None = None) -> DataFrame:
     """word, id, freq under a policy; special entries are not rows but take the first ids."""
     counts = count_words(toks, wide).where(F.col("freq") >= policy.min_count)
     order = [F.col("first").asc()] if policy.order == "first_seen" else [F.col("freq").desc(), F.col("first").asc()]
@@ -57,7 +65,7 @@ def fit_vocab(toks: DataFrame, policy: VocabPolicy, wide: bool = False) -> DataF
     return numbered.select("word", (F.col("id") + len(policy.specials)).cast("long").alias("id"), F.col("freq").cast("long").alias("freq"))
 
 
-def fit_ngram_vocab(docs: DataFrame, words: Column, n: int, min_count: int, specials: Sequence[str] = ("<pad>", "<unk>"), doc: str = "doc_id", wide: bool = False) -> DataFrame:
+def fit_ngram_vocab(docs: DataFrame, words: Column, n: int, min_count: int, specials: Sequence[str] = ("<pad>", "<unk>"), doc: str = "doc_id", wide: bool | None = None) -> DataFrame:
     """word, id, freq, single: all kept single words in first-seen order, then all kept longer grams in theirs."""
     grams = docs.select(F.col(doc).alias("doc"), F.posexplode(arrays.backward_ngrams(words, n)).alias("pos", "word"))
     counts = count_words(grams, wide).where(F.col("freq") >= min_count).withColumn("longer", text.has_space(F.col("word")))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from weftline import storage
 from weftline.functions import arrays, text
-from weftline.operators import metrics, pairs, splits, vectors, vocab
+from weftline.operators import blocks, metrics, pairs, splits, vectors, vocab
 from weftline.plans import config, corpora
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -358,17 +358,18 @@ def vector_dot_mean(spark, sf_dir):
 x AS (SELECT doc, k, avg(embedding[k]::DOUBLE) AS m FROM f JOIN embeddings USING (vec_id), unnest(range(1, 65)) AS r(k) GROUP BY doc, k)
 SELECT doc, round(sum(m), 4) AS total, round(max(m), 4) AS most FROM x GROUP BY doc""")
 def vector_mean(spark, sf_dir):
-    """Mean vectors of the labels' members by looking up rows of a matrix."""
+    """Mean vectors of the labels' members by looking up rows of a block matrix."""
     e = _vectors(spark, sf_dir)
-    ids = e.groupBy(F.col("label").alias("doc")).agg(F.array_sort(F.collect_list("id")).alias("ids"))
-    got = vectors.average_rows(ids, e.select("id", F.col("vec").cast("array<double>").alias("vec")))
-    return got.select("doc", F.round(arrays.total(F.col("vec")), 4).alias("total"), F.round(F.array_max("vec"), 4).alias("most"))
+    matrix = blocks.Blocks(storage.materialize(blocks.Blocks.of(e, "id", "vec").table, "blocks"))
+    got = matrix.means(e.select(F.col("label").alias("doc"), "id"), "doc", "id")
+    return got.groupBy("doc").agg(F.round(F.sum("mean"), 4).alias("total"), F.round(F.max("mean"), 4).alias("most"))
 
 
 @query("SELECT k - 1 AS col, round(sum(embedding[k]::DOUBLE), 4) AS total, count(*) AS n FROM embeddings, unnest(range(1, 65)) AS r(k) GROUP BY k")
 def transpose(spark, sf_dir):
-    got = vectors.transpose(_vectors(spark, sf_dir), "id", "vec")
-    return got.select(F.col("col").cast("long").alias("col"), F.round(arrays.total(F.transform("values", lambda x: x.cast("double"))), 4).alias("total"), F.size("values").cast("long").alias("n"))
+    """Sums of the rows of a transposed block matrix."""
+    got = blocks.Blocks.of(_vectors(spark, sf_dir), "id", "vec").transpose().row_sums()
+    return got.select(F.col("row").alias("col"), F.round("total", 4).alias("total"), "n")
 
 
 # Functions of scores
