@@ -266,6 +266,26 @@ def test_components_of_paths_and_stars(spark, few):
     assert got == {i: 0 for i in range(1, 41)} | {i: 100 for i in range(101, 160)} | {201: 200}
 
 
+def test_partial_quotes_link_to_the_message_that_has_most_parts(spark, monkeypatch):
+    """Two and more holders of a line, common lines, and every quote against counting all parts of all messages."""
+    a, b, c = "this is line one", "that is line two", "here is line three"
+    rows = [(1, 0, f"{a}\n{b}\nbye"), (1, 1, f"{a}\n{b}\n{c}\nend"), (1, 2, f"> {a}\n> {b}\n> {c}\nreply"), (1, 3, f"> {b}\n> {a}\nother"), (2, 0, f"> {c}\n> {b}\nelsewhere")]
+    got = {(r.conv_id, r.turn): (r.reply_conv, r.reply_turn) for r in quotes.link(spark, spark.createDataFrame(rows, "conv_id long, turn long, text string")).collect()}
+    assert got[1, 2] == (1, 1) and got[1, 3] == (1, 0) and got[2, 0] == (1, 1)
+    monkeypatch.setattr(quotes, "RARE", 12)  # some lines are common
+    rng = random.Random(12)
+    lines = [f"sentence number {i} of the letters" for i in range(40)] + ["very common line here"] * 6
+    said = [(d, t, "\n".join(sorted(set(rng.sample(lines, 5)))) + f"\nown {d} {t}") for d in range(6) for t in range(5)]
+    asked = [(d, 9, "\n".join(f"> {x}" for x in sorted(set(rng.sample(lines, 3)), reverse=True)) + "\nmine") for d in range(6)]
+    got = {(r.conv_id, r.turn): (r.reply_conv, r.reply_turn) for r in quotes.link(spark, spark.createDataFrame(said + asked, "conv_id long, turn long, text string")).collect()}
+    for d, t, q in asked:
+        parts = {x[2:] for x in q.split("\n") if x.startswith("> ")}
+        holders = {x: [(i, j) for i, j, own in said if x in own.split("\n")] for x in parts}
+        rare = {m for x in parts if len(holders[x]) <= 12 for m in holders[x] if m < (d, t)}
+        if rare:
+            assert got[d, t] == min(rare, key=lambda m: (-sum(m in holders[x] for x in parts), m[0] != d, m))
+
+
 def test_partial_and_inline_quotes(spark):
     letter = "First paragraph of the letter.\nIt has two lines here.\n\nSecond paragraph is about cats.\n\nYes."
     rows = [(1, 0, letter), (1, 1, "> Second paragraph is about CATS.\nI like them."), (1, 2, "> It has two lines here.\nTrue.\n> Second paragraph is about cats.\nAnd so do I."), (1, 3, "> Yes.\nShort lines are too common."), (1, 4, "> Something that nobody said\nHm.")]

@@ -5,7 +5,9 @@ normalised (A-Z lower-cased, white space collapsed) and hashed. A message's own
 whole own text - index it; the passages it quotes are looked up: first in its own conversation, then among all
 messages, always the earliest message that has the passage and never a later one than the quoting message.
 A quote that is no whole passage of any message is looked up by its parts, paragraphs and lines of at least three
-words, among those of all messages; the message that has most of them, the earliest of several, is its original.
+words. The earlier messages that have one of its rare parts (held by at most `RARE` messages) are its candidates, and all
+its parts are counted in each of them; the one that has most, of several one of its own conversation, then the earliest, is
+its original. A quote of common parts only links to the earliest holders of its parts, to the one of them that most parts name.
 A message replies to the original of its shallowest, among those its last, linked quote. Depths and roots
 follow from the replies by pointer doubling. Each conversation is then numbered so that a reply comes after what it answers.
 
@@ -37,6 +39,7 @@ WROTE = re.compile(r".{1,300}\b(?:wrote|writes):[ \t]*", re.S)
 _UPPER = {c: c + 32 for c in range(65, 91)}
 SLICE = 4096
 PART_WORDS = 3
+RARE = 50
 
 
 def levels(text: str) -> list[tuple[int, str]]:
@@ -109,6 +112,33 @@ def originals(spark: SparkSession, parsed: DataFrame, asked: DataFrame) -> DataF
     return got.select("conv_id", "turn", "n", "level", F.coalesce(here, there).alias("to"))
 
 
+def by_parts(spark: SparkSession, pieces: DataFrame, wanted: DataFrame) -> DataFrame:
+    """conv_id, turn, n and to, of the quotes of wanted(conv_id, turn, n, level, hash) that have a candidate or a holder.
+
+    Holders of a rare part are a list of at most RARE; common parts are only looked for in the candidates that rare ones gave.
+    """
+    salt, quote = F.xxhash64("conv_id", "turn"), ["conv_id", "turn", "n"]
+    index = common.materialize(spark, pieces.select("conv_id", "turn", F.explode("has").alias("hash")), "parts")
+    held = common.materialize(spark, index.groupBy("hash").agg(F.count(F.lit(1)).alias("holders")), "holders")
+    known = common.materialize(spark, common.lookup(wanted, held, "hash", salt).where("holders IS NOT NULL"), "known-parts")
+    few = common.lookup(index, held.where(F.col("holders") <= RARE), "hash", salt).where("holders IS NOT NULL")
+    lists = few.groupBy("hash").agg(F.collect_list(F.struct("conv_id", "turn")).alias("list"))
+    rare = common.lookup(known.where(F.col("holders") <= RARE), lists, "hash", salt).select(*quote, F.explode("list").alias("to"))
+    counted = rare.where(F.col("to") < F.struct("conv_id", "turn")).groupBy(*quote, "to").agg(F.count(F.lit(1)).alias("parts"))
+    counted = common.materialize(spark, counted, "candidates")
+    more = counted.select(*quote, "to").join(known.where(F.col("holders") > RARE).select(*quote, "hash"), quote)
+    own = index.select(F.struct("conv_id", "turn").alias("to"), "hash")
+    more = more.join(own, ["to", "hash"], "left_semi").groupBy(*quote, "to").agg(F.count(F.lit(1)).alias("parts"))
+    both = counted.unionByName(more).groupBy(*quote, "to").agg(F.sum("parts").alias("parts"))
+    best = both.groupBy(*quote).agg(F.min(F.struct((-F.col("parts")).alias("p"), (F.col("to.conv_id") != F.col("conv_id")).alias("far"), "to")).alias("b"))
+    best = common.materialize(spark, best.select(*quote, "b.to"), "best-parts")
+    rest = known.join(best, quote, "left_anti").drop("holders")
+    if rest.isEmpty():
+        return best
+    found = originals(spark, pieces, common.materialize(spark, rest, "common-parts")).where("to IS NOT NULL").groupBy(*quote, "to").agg(F.count(F.lit(1)).alias("parts"))
+    return best.unionByName(found.groupBy(*quote).agg(F.min(F.struct((-F.col("parts")).alias("p"), "to")).alias("b")).select(*quote, "b.to"))
+
+
 def link(spark: SparkSession, messages: DataFrame) -> DataFrame:
     """messages(conv_id, turn, text) as conv_id, turn, own, n_quotes, n_linked, reply_conv, reply_turn, root_conv, root_turn, depth and position."""
     plain = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "text")
@@ -125,9 +155,8 @@ def link(spark: SparkSession, messages: DataFrame) -> DataFrame:
         pieces = common.materialize(spark, parse(one, parts=True), "parsed-parts")
         wanted = pieces.select("conv_id", "turn", F.explode("quotes").alias("q")).select("conv_id", "turn", "q.*").join(lone.select("conv_id", "turn", "n"), ["conv_id", "turn", "n"], "left_semi")
         wanted = common.materialize(spark, wanted, "asked-parts")
-        found = originals(spark, pieces, wanted).where("to IS NOT NULL").groupBy("conv_id", "turn", "n", "to").agg(F.count(F.lit(1)).alias("parts"))
-        best = found.groupBy("conv_id", "turn", "n").agg(F.min(F.struct((-F.col("parts")).alias("p"), "to")).alias("b"))
-        got = got.join(best, ["conv_id", "turn", "n"], "left").select("conv_id", "turn", "n", "level", F.coalesce("to", "b.to").alias("to"))
+        best = by_parts(spark, pieces, wanted).withColumnRenamed("to", "best")
+        got = got.join(best, ["conv_id", "turn", "n"], "left").select("conv_id", "turn", "n", "level", F.coalesce("to", "best").alias("to"))
     replies = got.groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("n_quotes"), F.count("to").alias("n_linked"), F.max(F.when(F.col("to").isNotNull(), F.struct((-F.col("level")).alias("l"), "n", "to"))).alias("best"))
     tree = parsed.select("conv_id", "turn").join(replies.select("conv_id", "turn", "n_quotes", "n_linked", F.col("best.to").alias("to")), ["conv_id", "turn"], "left")
     name = lambda c, t: F.concat_ws(":", c, t)
