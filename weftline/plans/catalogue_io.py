@@ -14,7 +14,7 @@ from weftline.operators import metrics, pairs, splits, vocab
 from weftline.plans import config, corpora
 from weftline.plans.catalogue import ORACLES, PARALLEL, SPLIT, WORDS, docs, query
 from weftline.sources import readers, writers
-from weftline.streaming import folds
+from weftline.streaming import folds, timed
 
 # Sources
 
@@ -310,6 +310,15 @@ def stream_windows(spark, sf_dir):
     return last.select(F.col("window.start").alias("start"), "event_type", "s.n", F.round("s.total", 4).alias("total"))
 
 
+@query("""WITH w AS (SELECT max(ts) AS m FROM events), r AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r, count(*) OVER (PARTITION BY user_id) AS n FROM events, w WHERE ts <= m - INTERVAL 1 HOUR)
+SELECT user_id, round(sum(value * pow(0.95::DOUBLE, n - r) * CASE WHEN r = 1 THEN 1 ELSE 0.05::DOUBLE END), 6) AS ema, max(n) AS n FROM r GROUP BY user_id""")
+def stream_ordered_ema(spark, sf_dir):
+    """Moving averages in event time: all events that the watermark, an hour behind the latest, has passed."""
+    step = lambda old, v: v if old is None else 0.95 * old + 0.05 * v
+    got, _ = timed.run_counted(timed.ordered_fold(_events(spark, sf_dir), "user_id", "ts", "event_id", "value", step, "1 hour", "1000 days"), "stream-ordered")
+    return got.groupBy("user_id").agg(F.max_by("value", "n").alias("ema"), F.max("n").alias("n")).select("user_id", F.round("ema", 6).alias("ema"), "n")
+
+
 ORACLES["stream_ema"] = ORACLES["ema"]
 ORACLES["stream_early_stop"] = ORACLES["early_stop"]
 
