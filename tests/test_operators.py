@@ -99,7 +99,7 @@ def test_huffman_joins_the_rarest_first_places_winning():
             assert list(zip(path, bits, strict=True)) == want[::-1]
 
 
-def test_noise_and_draws(spark):
+def test_noise_and_draws(spark, monkeypatch):
     v = spark.createDataFrame([(0, 16), (1, 1), (2, 81)], "id long, freq long")
     dist = pairs.noise(v)
     p = {r.id: r.p for r in dist.collect()}
@@ -114,6 +114,8 @@ def test_noise_and_draws(spark):
     table = [5] * 3 + [9] + [11] * 6
     want = sorted((c, 7, table[int(hashlib.md5(f"4-{c}-{k}".encode()).hexdigest()[:15], 16) % 10]) for c in range(4000) for k in (1, 2))
     assert sorted(map(tuple, pairs.negative_samples(both, few, 2, ["center"], seed=4).collect())) == want
+    monkeypatch.setattr(storage, "BROADCAST_ROWS", 0)  # draws go to the words
+    assert sorted(map(tuple, pairs.negative_samples(both, few, 2, ["center"], seed=4).collect())) == want
     assert pairs.negative_samples(both, few.where("slots = 0"), 2, ["center"]).count() == 0
 
 

@@ -142,7 +142,9 @@ def char_rows(docs: DataFrame, words: Column, char_vocab: DataFrame, word_vocab:
     known = storage.materialize(labels.select("word", F.coalesce("id", F.lit(arrays.UNKNOWN)).cast("int").alias("word_id"), "ids"), "spelled")
     got = storage.join_keys(toks, known, "word", "left", salt=F.xxhash64("doc", "pos"))
     rows = got.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("pos", "word_id", "ids"))).alias("r"))  # at most `length` places
-    places = docs.select(F.col(doc).alias("doc")).join(rows, "doc", "left").select("doc", "r", F.explode(F.sequence(F.lit(0), F.lit(length - 1))).alias("pos"))
-    here, before = F.get("r", F.col("pos")), F.get("r", F.col("pos") - 1)
-    own = F.when(F.col("pos") == 0, F.array_repeat(F.lit(arrays.START), width)).otherwise(arrays.pad(F.coalesce(before["ids"], F.array().cast("array<int>")), width))
-    return places.select("doc", "pos", F.coalesce(here["word_id"], F.lit(arrays.PAD)).alias("word_id"), own.alias("chars"), here["word_id"].isNotNull().cast("int").alias("weight"))
+    # all places of a document are made from its row before it is exploded
+    empty = F.array().cast("array<int>")
+    before = lambda p: F.when(p == 0, F.array_repeat(F.lit(arrays.START), width)).otherwise(arrays.pad(F.coalesce(F.get("r", p - 1)["ids"], empty), width))
+    place = lambda p: F.struct(p.alias("pos"), F.coalesce(F.get("r", p)["word_id"], F.lit(arrays.PAD)).alias("word_id"), before(p).alias("chars"), F.get("r", p)["word_id"].isNotNull().cast("int").alias("weight"))
+    made = F.transform(F.sequence(F.lit(0), F.lit(length - 1)), place)
+    return docs.select(F.col(doc).alias("doc")).join(rows, "doc", "left").select("doc", F.explode(made).alias("x")).select("doc", "x.*")

@@ -231,7 +231,7 @@ def negative_samples(spark, sf_dir):
     cfg = config.Word2Vec()
     v, ids = corpora.word_ids(docs(spark, sf_dir), config.POLICIES["word2vec"])
     both = pairs.windows(pairs.close_gaps(ids), cfg.window)
-    return pairs.negative_samples(both, pairs.noise(v), cfg.negatives, ["doc", "pos", "distance"]).select("center", "ctx", "neg")
+    return pairs.negative_samples(both, pairs.noise(v), cfg.negatives, ["doc", "pos", "distance"], keep=["center", "ctx"])
 
 
 # the list of nodes is the state of the recursion: (frequency, place, node), the two rarest first

@@ -158,7 +158,7 @@ def train_skipgram(spark, sf_dir):
     cfg = config.Word2Vec()
     v, ids = corpora.word_ids(docs(spark, sf_dir), config.POLICIES["word2vec"])
     both = storage.materialize(pairs.windows(pairs.close_gaps(ids), cfg.window), "pairs")
-    noise = pairs.negative_samples(both, pairs.noise(v), cfg.negatives, ["doc", "pos", "distance"]).select("center", F.col("neg").alias("node"), F.lit(0).alias("sign"))
+    noise = pairs.negative_samples(both, pairs.noise(v), cfg.negatives, ["doc", "pos", "distance"], keep=["center"]).select("center", F.col("neg").alias("node"), F.lit(0).alias("sign"))
     rows = storage.materialize(both.select("center", F.col("ctx").alias("node"), F.lit(1).alias("sign")).unionByName(noise), "triples")
     return _losses(spark, train.skipgram(rows, v.count(), 16, 3)[1])
 
