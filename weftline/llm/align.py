@@ -39,7 +39,7 @@ from . import chunks, common, words
 TOKENIZERS = "/opt/tokenizers"
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 MARK = "▁"
-AT_ONCE = 2048  # segments that are one string for the tokenizers
+AT_ONCE, RUNS = 2048, 8  # segments that are one string for the tokenizers, and strings at a time
 PLACE = 1 << 20  # an id pair is a * PLACE + b
 
 
@@ -114,8 +114,12 @@ class Tokenizers:
                 run = []
         if run:
             runs.append(b"".join(run).decode())
-        a = np.fromiter((i for e in self.a.encode_batch(runs, add_special_tokens=False) for i in e.ids), np.int64)
-        b = np.fromiter((i for e in self.b.encode([r[1:] for r in runs], num_threads=1) for i in (e or [self.b.piece_to_id(MARK)])), np.int64)
+        mark, a_parts, b_parts = self.b.piece_to_id(MARK), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for k in range(0, len(runs), RUNS):  # encodings hold much more than ids, so only a few exist at a time
+            own = runs[k : k + RUNS]
+            a_parts.append(np.fromiter((i for e in self.a.encode_batch(own, add_special_tokens=False) for i in e.ids), np.int64))
+            b_parts.append(np.fromiter((i for e in self.b.encode([r[1:] for r in own], num_threads=1) for i in (e or [mark])), np.int64))
+        a, b = np.concatenate(a_parts), np.concatenate(b_parts)
         return a, np.cumsum(self.a_len[a]), b, np.cumsum(self.b_len[b])
 
 

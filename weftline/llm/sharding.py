@@ -1,6 +1,6 @@
 """Resharding by minimum-cost flow.
 
-Rows lie in old shards. A row's block is its old shard and a hash of its id and text; block sizes are summed, and
+Rows lie in old shards. A row's block is its old shard and a hash of its id and text (and of its number, if it repeats both); block sizes are summed, and
 the old shards' sizes with the new capacities make a transport problem: moving bytes from shard i to shard j
 costs a unit each (or what `cost` says), staying is free. `transfers` solves it by successive shortest paths on
 the graph of shards. Each old shard's blocks are then dealt, in order of their number, to its flows, so whole
@@ -13,8 +13,8 @@ for each old shard. A shard is cut into segments of near `segment_bytes`, so tha
 Law `bytes`: shards' sizes are near equal, and nothing else decides: equal texts under different ids may lie in
 different shards.
 
-Defined cases: a null text has 8 bytes and no CRC; null ids and null sources are ordinary values; repeated rows
-lie in one block and get different slots; shards may stay empty and an empty table gives an empty result; other
+Defined cases: a null text has 8 bytes and no CRC; null ids and null sources are ordinary values; rows that
+repeat an id and a text are numbered and dealt one by one; shards may stay empty and an empty table gives an empty result; other
 columns are ignored (or carried by `reshard`).
 """
 
