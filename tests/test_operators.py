@@ -162,6 +162,10 @@ def test_text_vectors_and_cache(spark, tmp_path):
     assert {r.word: r.vec for r in readers.text_vectors(spark, f"{tmp_path}/v").collect()} == {"a": [1.0, 2.5], "b": [0.5, -1.0]}
     writers.write_embeddings(spark.createDataFrame([("a", 0, [1.0]), ("7", 1, [2.0]), ("c", 2, [0.5])], "word string, id long, vec array<double>"), f"{tmp_path}/one")
     assert {r.word: r.vec for r in readers.text_vectors(spark, f"{tmp_path}/one").collect()} == {"a": [1.0], "7": [2.0], "c": [0.5]}
+    (tmp_path / "plain.txt").write_text("x 3\n12 5\n7 1\n")  # no line of two whole numbers is a header here
+    assert {r.word: r.vec for r in readers.text_vectors(spark, f"{tmp_path}/plain.txt").collect()} == {"x": [3.0], "12": [5.0], "7": [1.0]}
+    (tmp_path / "head.txt").write_text("2 1\n12 5\n7 1\n")
+    assert {r.word: r.vec for r in readers.text_vectors(spark, f"{tmp_path}/head.txt").collect()} == {"12": [5.0], "7": [1.0]}
     (tmp_path / "x.bin.gz").write_bytes(gzip.compress(writers.binary_embeddings([("a", [1.0, 2.5]), ("bb", [0.5, -1.0])])))
     assert {r.word: r.vec for r in readers.binary_vectors(spark, f"{tmp_path}/x.bin.gz").collect()} == {"a": [1.0, 2.5], "bb": [0.5, -1.0]}
     calls = []

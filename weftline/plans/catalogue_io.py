@@ -12,7 +12,7 @@ from weftline.functions import arrays, text
 from weftline.models import boost, kernels, train
 from weftline.operators import metrics, pairs, splits, vocab
 from weftline.plans import config, corpora
-from weftline.plans.catalogue import ORACLES, PARALLEL, SPLIT, WORDS, docs, query
+from weftline.plans.catalogue import ORACLES, PARALLEL, SPLIT, WORDS, docs, first_seen, query, toks
 from weftline.sources import readers, writers
 from weftline.streaming import folds, timed
 
@@ -139,6 +139,22 @@ def sink_checkpoint(spark, sf_dir):
     return spark.createDataFrame([(k, ",".join(map(str, v.shape)), bool((v == p[k]).all())) for k, v in back.items()], "name string, shape string, same boolean")
 
 
+VOCAB20 = f"WITH t AS ({toks()}) SELECT * FROM ({first_seen(20)})"
+CELLS = f"SELECT row_number() OVER (ORDER BY w_id, c_id) - 1 AS row, w_id AS center, c_id AS ctx, x FROM ({ORACLES['cooccurrence']})"
+
+
+@query(f"SELECT row, a.word AS word, b.word AS context, x FROM ({CELLS}) JOIN ({VOCAB20}) AS a ON a.id = center JOIN ({VOCAB20}) AS b ON b.id = ctx")
+def sink_training_cells(spark, sf_dir):
+    """Data, labels and vocabulary of co-occurrence cells, written and joined again."""
+    at = storage.new_path(spark, "training")
+    v, ids = corpora.word_ids(docs(spark, sf_dir), config.POLICIES["glove"])
+    writers.write_training_cells(pairs.cooccurrence(ids, 2).select("w_id", "c_id", "x"), v, at)
+    words = spark.read.parquet(f"{at}/vocabulary")
+    both = spark.read.parquet(f"{at}/data").join(spark.read.parquet(f"{at}/label"), "row")
+    named = storage.join_keys(both, words.select(F.col("id").alias("w_id"), "word"), "w_id", "inner")
+    return storage.join_keys(named, words.select(F.col("id").alias("c_id"), F.col("word").alias("context")), "c_id", "inner").select("row", "word", "context", "x")
+
+
 @query(f"""WITH {PARALLEL} SELECT row, 'ref: ' || array_to_string(src, ' ') || chr(10) || 'pred: ' || array_to_string(tgt, ' ') || chr(10) AS value FROM q""")
 def sink_report(spark, sf_dir):
     both = corpora.parallel_turns(storage.table(spark, sf_dir, "conversations")).select("row", F.col("src").alias("ref"), F.col("tgt").alias("pred"))

@@ -74,11 +74,23 @@ def alphabet(spark: SparkSession, path: str) -> str:
 
 
 def text_vectors(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
-    """word and vec of text vectors; a line of two whole numbers is the header, if there is one, as components have a point or exponent."""
+    """word and vec of text vectors.
+
+    A header is a line of two whole numbers that says how many vectors its file, or all files of the path together, have
+    beside it, and how many components they have; other lines of two whole numbers are vectors of one component.
+    """
     rows = spark.read.text(path)
+    parts = F.split(F.rtrim("value"), " ")
     if header:
-        rows = rows.where(~F.col("value").rlike(r"^[0-9]+ [0-9]+ *$"))
-    rows = rows.select(F.split(F.rtrim("value"), " ").alias("p"))
+        rows = rows.withColumn("file", F.col("_metadata.file_path"))
+        two = F.col("value").rlike(r"^[0-9]+ [0-9]+ *$")
+        files = rows.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.when(~two, F.size(parts) - 1)), F.lit(1)).alias("dim"))
+        total = files.agg(F.sum("n").alias("total"), F.max("dim").alias("most")).withColumn("one", F.lit(1))  # one row
+        sized = files.withColumn("one", F.lit(1)).join(F.broadcast(total), "one").drop("one")
+        names = [parts[0].cast("long"), parts[1].cast("long")]
+        heads = rows.where(two).join(sized, "file").where(((names[0] == F.col("n") - 1) & (names[1] == F.col("dim"))) | ((names[0] == F.col("total") - 1) & (names[1] == F.col("most"))))
+        rows = rows.join(heads.select("file", "value").distinct(), ["file", "value"], "left_anti")
+    rows = rows.select(parts.alias("p"))
     return rows.select(F.col("p")[0].alias("word"), F.slice("p", F.lit(2), F.size("p")).cast("array<double>").alias("vec"))
 
 
