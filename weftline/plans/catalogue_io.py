@@ -175,7 +175,10 @@ def train_skipgram(spark, sf_dir):
     v, ids = corpora.word_ids(docs(spark, sf_dir), config.POLICIES["word2vec"])
     both = storage.materialize(pairs.windows(pairs.close_gaps(ids), cfg.window), "pairs")
     noise = pairs.negative_samples(both, pairs.noise(v), cfg.negatives, ["doc", "pos", "distance"], keep=["center"]).select("center", F.col("neg").alias("node"), F.lit(0).alias("sign"))
-    rows = storage.materialize(both.select("center", F.col("ctx").alias("node"), F.lit(1).alias("sign")).unionByName(noise), "triples")
+    rows = both.select("center", F.col("ctx").alias("node"), F.lit(1).alias("sign")).unionByName(noise)
+    # pairs and noise are mixed, so that no task and no batch learns from one of them alone
+    key = F.xxhash64("center", "node", "sign")
+    rows = storage.materialize(rows.repartition(key).sortWithinPartitions(key), "triples")
     return _losses(spark, train.skipgram(rows, v.count(), 16, 3)[1])
 
 
