@@ -122,14 +122,16 @@ def test_decontamination_matches_and_removal(spark):
     assert decontam.remove(spark, docs, items.limit(0)).count() == 5 and decontam.scan(spark, docs.limit(0), items).count() == 0
 
 
-def test_decontamination_in_several_passes(spark):
+def test_decontamination_by_a_benchmark_of_several_groups(spark, monkeypatch):
     rng = random.Random(9)
     items = [(str(i), prose(rng, rng.choice([1, 5, 13, 20, 30]), 6)) for i in range(12)] + [(None, "null item words"), (None, "w1 w2"), ("n", None)]
     docs = [prose(rng, rng.randrange(60), 6) + " " + (rng.choice(items)[1] or "") + " " + prose(rng, 5, 6) for _ in range(40)] + [None, "", "null item words x" * 3]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(docs)], "doc_id long, text string")
     bench = spark.createDataFrame(items, "item_id string, text string")
     want = judged(docs, items)
-    for group_bytes in (300, 1 << 20):
+    monkeypatch.setattr(common, "materialize", None)  # no table of documents is written
+    monkeypatch.setattr(decontam, "SHARD", 400)
+    for group_bytes in (1, 300, 1 << 20):
         found = {r.doc_id: r.__getitem__("__found") for r in decontam.scan(spark, df, bench, group_bytes=group_bytes).collect()}
         assert [(found[i].n_words, found[i].n_hit, list(found[i]["items"])) for i in range(len(docs))] == want
 

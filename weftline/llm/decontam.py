@@ -4,8 +4,9 @@ Each task cuts its documents into shards of some MB, builds the suffix array of
 first `window` words or more, by prefix doubling of ranks) and binary-searches every suffix of every test item in
 it. The ranges found give all verbatim occurrences; runs on one diagonal are merged into longest matches with
 their locations. Nothing is shuffled: the shards stay where they are read, and the benchmark goes to them, as one
-hash a word into which the windows are indices. A benchmark of over `group_bytes` goes in groups of items, one pass
-over the documents each, and the passes' matches are united; so what a task holds stays bounded at any size.
+hash a word into which the windows are indices. A benchmark of over `group_bytes` is written as word hashes, in groups
+of items, to the shared folder: a task builds the suffix arrays of some shards once and walks the groups with them.
+So what a task holds is bounded at any size, the documents are read once and nothing of theirs is written.
 
 Rules: words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after lower-casing A-Z. An item's windows are its runs of
 13 words; an item of fewer words, but not none, is one window. A document word in any occurrence is hit.
@@ -21,12 +22,14 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.dataset as pads
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, words
+from . import common, warc, words
 
 SHARD = 2 << 20
+HELD = 8  # shards that walk the groups of a large benchmark together
 FOUND = "n_words long, n_hit long, items array<string>, matches array<struct<item_id:string,item_word:long,doc_word:long,n_words:long>>"
 
 
@@ -87,67 +90,109 @@ def search(rank0: np.ndarray, order: np.ndarray, query: np.ndarray, lengths: np.
     return bound(False), bound(True)
 
 
-def test_suffixes(items: Sequence[tuple[str | None, str | None]], window: int) -> dict[str, np.ndarray]:
-    """Words of the items as hashes, and all windows: the item and place of each."""
-    texts = pa.array([t for _, t in items], pa.large_string())
-    h, at = words.hashes(*words.buffers(texts), words.folded("alnum"))
+def suffixes(h: np.ndarray, at: np.ndarray, ids: Sequence[str | None], window: int) -> dict[str, np.ndarray]:
+    """All windows of items, as places in the hashes of their words: the item and place of each."""
     names = {}
-    item_no = np.array([names.setdefault(k, len(names)) for k, _ in items], np.int64)
+    item_no = np.array([names.setdefault(k, len(names)) for k in ids], np.int64)
     n = np.diff(at)
     count = np.where(n >= window, n - window + 1, (n > 0).astype(np.int64))
-    owner = np.repeat(np.arange(len(items), dtype=np.int32), count)
+    owner = np.repeat(np.arange(len(ids), dtype=np.int32), count)
     place = (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)).astype(np.int32)
     return {"words": np.r_[h, np.zeros(window, np.uint64)], "begin": at[:-1], "length": np.minimum(n, window), "item": item_no, "owner": owner, "place": place, "names": np.array(list(names), object)}
 
 
+def test_suffixes(items: Sequence[tuple[str | None, str | None]], window: int) -> dict[str, np.ndarray]:
+    """Words of the items as hashes, and all windows."""
+    h, at = words.hashes(*words.buffers(pa.array([t for _, t in items], pa.large_string())), words.folded("alnum"))
+    return suffixes(h, at, [k for k, _ in items], window)
+
+
 def windows_of(tests: dict[str, np.ndarray], b: int, size: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Word hashes, lengths, item numbers and places of some windows."""
     owner, place = tests["owner"][b : b + size], tests["place"][b : b + size].astype(np.int64)
     return tests["words"][(tests["begin"][owner] + place)[:, None] + np.arange(window)], tests["length"][owner], tests["item"][owner], place
 
 
-def judge_shard(col: pa.Array, tests: dict[str, np.ndarray], window: int, block: int = 1 << 16) -> tuple[np.ndarray, np.ndarray, list, list]:
-    """Words, hit words, items and matches of each text."""
-    h, at = words.hashes(*words.buffers(col), words.folded("alnum"))
-    n_words, n_docs = np.diff(at), len(col)
-    hits, found = np.zeros(len(h) + 1, np.int64), []
-    if len(h) and len(tests["owner"]):
-        known, rank0 = np.unique(h, return_inverse=True)
-        doc = np.repeat(np.arange(n_docs), n_words)
-        left = at[1:][doc] - np.arange(len(h))  # words up to the end of the document
-        order = suffix_array(rank0, window)
+class Shard:
+    """The suffix array of some texts, and what groups of items were found to have in common with them."""
+
+    def __init__(self, col: pa.Array, window: int) -> None:
+        self.window, self.n_docs = window, len(col)
+        self.words, self.at = words.hashes(*words.buffers(col), words.folded("alnum"))
+        n_words = np.diff(self.at)
+        self.hits, self.found, self.names = np.zeros(len(self.words) + 1, np.int64), [], []
+        self.known, self.rank0 = np.unique(self.words, return_inverse=True)
+        self.doc = np.repeat(np.arange(self.n_docs), n_words)
+        self.left = self.at[1:][self.doc] - np.arange(len(self.words))  # words up to the end of the document
+        self.order = suffix_array(self.rank0, window)
+
+    def match(self, tests: dict[str, np.ndarray], block: int = 1 << 16) -> None:
+        """Search every window of a group of items; an item is in one group only."""
+        if not len(self.words):
+            return
         for b in range(0, len(tests["owner"]), block):
-            q, length, item_no, begin = windows_of(tests, b, block, window)
-            near = np.minimum(np.searchsorted(known, q), len(known) - 1)
-            there = np.flatnonzero(((known[near] == q) | (np.arange(window) >= length[:, None])).all(1))
-            lo, hi = search(rank0, order, near[there], length[there])
+            q, length, item_no, begin = windows_of(tests, b, block, self.window)
+            near = np.minimum(np.searchsorted(self.known, q), len(self.known) - 1)
+            there = np.flatnonzero(((self.known[near] == q) | (np.arange(self.window) >= length[:, None])).all(1))
+            lo, hi = search(self.rank0, self.order, near[there], length[there])
             count = hi - lo
             which = np.repeat(there, count)
-            pos = order[np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)]
-            ok = left[pos] >= length[which]
+            pos = self.order[np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)]
+            ok = self.left[pos] >= length[which]
             which, pos = which[ok], pos[ok]
-            np.add.at(hits, pos, 1)
-            np.add.at(hits, pos + length[which], -1)
-            found.append(np.stack([doc[pos], item_no[which], begin[which], pos - at[:-1][doc[pos]], length[which]]))
-    hit = np.cumsum(hits[:-1]) > 0
-    upto = np.r_[0, np.cumsum(hit)]
-    n_hit = upto[at[1:]] - upto[at[:-1]]
-    items: list = [[] for _ in range(n_docs)]
-    matches: list = [[] for _ in range(n_docs)]
-    f = np.concatenate(found, 1) if found else np.zeros((5, 0), np.int64)
-    if f.shape[1]:
-        f = f[:, np.lexsort((f[3], f[3] - f[2], f[1], f[0]))]
-        d, item, place, pos, length = f
-        new = np.ones(len(d), bool)
-        new[1:] = (d[1:] != d[:-1]) | (item[1:] != item[:-1]) | (pos[1:] - place[1:] != pos[:-1] - place[:-1]) | (pos[1:] != pos[:-1] + 1)
-        first = np.flatnonzero(new)
-        last = np.r_[first[1:], len(d)] - 1
-        for i, j in zip(first.tolist(), last.tolist(), strict=True):
-            name = tests["names"][item[i]]
-            matches[d[i]].append({"item_id": name, "item_word": int(place[i]), "doc_word": int(pos[i]), "n_words": int(pos[j] + length[j] - pos[i])})
-        for k in np.flatnonzero(np.bincount(d, minlength=n_docs)).tolist():
-            items[k] = sorted({m["item_id"] for m in matches[k] if m["item_id"] is not None})
-    return n_words, n_hit, items, matches
+            if not len(pos):
+                continue
+            np.add.at(self.hits, pos, 1)
+            np.add.at(self.hits, pos + length[which], -1)
+            own, name = np.unique(item_no[which], return_inverse=True)
+            if self.names[-len(own) :] != (names := tests["names"][own].tolist()):
+                self.names += names
+            self.found.append(np.stack([self.doc[pos], len(self.names) - len(own) + name, begin[which], pos - self.at[:-1][self.doc[pos]], length[which]]))
+
+    def judged(self) -> tuple[np.ndarray, np.ndarray, list, list]:
+        """Words, hit words, items and matches of each text."""
+        hit = np.cumsum(self.hits[:-1]) > 0
+        upto = np.r_[0, np.cumsum(hit)]
+        n_hit = upto[self.at[1:]] - upto[self.at[:-1]]
+        items: list = [[] for _ in range(self.n_docs)]
+        matches: list = [[] for _ in range(self.n_docs)]
+        f = np.concatenate(self.found, 1) if self.found else np.zeros((5, 0), np.int64)
+        if f.shape[1]:
+            one: dict[str | None, int] = {}
+            f[1] = np.array([one.setdefault(n, len(one)) for n in self.names], np.int64)[f[1]]  # an item may be named by several blocks
+            names = list(one)
+            f = f[:, np.lexsort((f[3], f[3] - f[2], f[1], f[0]))]
+            d, item, place, pos, length = f
+            new = np.ones(len(d), bool)
+            new[1:] = (d[1:] != d[:-1]) | (item[1:] != item[:-1]) | (pos[1:] - place[1:] != pos[:-1] - place[:-1]) | (pos[1:] != pos[:-1] + 1)
+            first = np.flatnonzero(new)
+            last = np.r_[first[1:], len(d)] - 1
+            for i, j in zip(first.tolist(), last.tolist(), strict=True):
+                matches[d[i]].append({"item_id": names[item[i]], "item_word": int(place[i]), "doc_word": int(pos[i]), "n_words": int(pos[j] + length[j] - pos[i])})
+            for k in np.flatnonzero(np.bincount(d, minlength=self.n_docs)).tolist():
+                items[k] = sorted({m["item_id"] for m in matches[k] if m["item_id"] is not None})
+        return np.diff(self.at), n_hit, items, matches
+
+
+def written_groups(spark: SparkSession, items: DataFrame, groups: int) -> tuple[str, list[int]]:
+    """A folder of the items' word hashes, by group, and the groups that have items; rows of one id share a group."""
+
+    def hashed(batches):
+        for batch in batches:
+            h, at = words.hashes(*words.buffers(batch.column(2)), words.folded("alnum"))
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array([h[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["part", "item_id", "words"])
+
+    at = common.new_path(spark, "items")
+    part = F.pmod(F.xxhash64(F.coalesce("item_id", "text")), F.lit(groups)).cast("int")
+    items.select(part.alias("part"), "item_id", "text").mapInArrow(hashed, "part int, item_id string, words binary").repartition(groups, "part").write.partitionBy("part").parquet(at)
+    return at, sorted(r.part for r in spark.read.parquet(at).select("part").distinct().collect())
+
+
+def read_group(at: str, part: int, window: int) -> dict[str, np.ndarray]:
+    fs, root = warc.file_system(at)
+    got = pads.dataset(f"{root}/part={part}", filesystem=fs, format="parquet").to_table(columns=["item_id", "words"])
+    held = [np.frombuffer(x.as_py(), np.uint64) for x in got["words"]]
+    return suffixes(np.concatenate(held), np.cumsum([0, *map(len, held)]), got["item_id"].to_pylist(), window)
 
 
 def scan(spark: SparkSession, docs: DataFrame, items: DataFrame, window: int = 13, group_bytes: int = 32 << 20) -> DataFrame:
@@ -159,34 +204,32 @@ def scan(spark: SparkSession, docs: DataFrame, items: DataFrame, window: int = 1
     items = items.select(F.col("item_id").cast("string"), "text")
     groups = -(-max(1, items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // group_bytes)
     if groups == 1:
-        return one_pass(spark, docs, items, window)
-    group = F.pmod(F.xxhash64(F.coalesce("item_id", "text")), F.lit(groups))
-    out = one_pass(spark, docs, items.where(group == 0), window)
-    for g in range(1, groups):
-        out = common.materialize(spark, out.withColumnRenamed("__found", "__before"), "decontaminated")
-        out = one_pass(spark, out, items.where(group == g), window).withColumn("__found", united("__before", "__found")).drop("__before")
-    return out
-
-
-def united(a: str, b: str) -> Column:
-    """The finds of two groups of items in one text; hit words are those of the matches' union."""
-    both = F.concat(f"{a}.matches", f"{b}.matches")
-    spans = F.array_sort(F.transform(both, lambda m: F.struct(m["doc_word"].alias("lo"), (m["doc_word"] + m["n_words"]).alias("hi"))))
-    step = lambda s, x: F.struct(F.greatest(s["end"], x["hi"]).alias("end"), (s["n"] + F.greatest(F.lit(0).cast("long"), x["hi"] - F.greatest(s["end"], x["lo"]))).alias("n"))
-    hit = F.aggregate(spans, F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n")), step)["n"]
-    return F.struct(F.col(f"{a}.n_words").alias("n_words"), hit.alias("n_hit"), F.array_sort(F.array_union(f"{a}.items", f"{b}.items")).alias("items"), both.alias("matches"))
-
-
-def one_pass(spark: SparkSession, docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
-    rows = [(r.item_id, r.text) for r in items.collect()]
-    tests = spark.sparkContext.broadcast(test_suffixes(rows, window))
+        tests = spark.sparkContext.broadcast(test_suffixes([(r.item_id, r.text) for r in items.collect()], window))
+        load, members = (lambda _: tests.value), [0]
+    else:
+        at, members = written_groups(spark, items, groups)
+        load = lambda part: read_group(at, part, window)
 
     def found(texts: pa.Array) -> pa.Array:
         kinds = [pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.struct([("item_id", pa.string()), ("item_word", pa.int64()), ("doc_word", pa.int64()), ("n_words", pa.int64())]))]
-        parts = []
-        for shard in words.shards([pa.record_batch([texts], ["text"])], "text", SHARD):
-            for col in shard.column("text").chunks:
-                parts.append([pa.array(x, k) for x, k in zip(judge_shard(col, tests.value, window), kinds, strict=True)])
+        parts, held = [], []
+
+        def walk() -> None:
+            for part in members:
+                group = load(part)
+                for shard in held:
+                    shard.match(group)
+            for shard in held:
+                parts.append([pa.array(x, k) for x, k in zip(shard.judged(), kinds, strict=True)])
+            held.clear()
+
+        for table in words.shards([pa.record_batch([texts], ["text"])], "text", SHARD):
+            for col in table.column("text").chunks:
+                held.append(Shard(col, window))
+                if len(held) == (HELD if len(members) > 1 else 1):
+                    walk()
+        if held:
+            walk()
         words.trim()
         whole = [pa.concat_arrays([p[i] for p in parts]) if parts else pa.array([], k) for i, k in enumerate(kinds)]
         return pa.StructArray.from_arrays(whole, ["n_words", "n_hit", "items", "matches"])
