@@ -1,10 +1,12 @@
 """URL filters, language ID and mixing."""
 
+import random
 import re
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from weftline.llm import langid, mixing, url_filter
 from weftline.llm.queries import op1_url_filter, op10_langid
@@ -100,8 +102,31 @@ def test_language_rejects_noise_and_keeps_clean_text(spark):
     model = langid.fit(spark, docs)
     foreign = ["Это предложение написано по-русски и длинное", "这是一个中文句子没有别的语言", "これは日本語の文章です", "αυτό είναι ελληνικό κείμενο"]
     assert all(langid.predict(foreign, model)[2])
-    clean = [r.text for r in docs.where("lang IS NOT NULL").limit(60).collect()]
-    assert not any(langid.predict(clean, model)[2])
+    rng = random.Random(3)
+    noise = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(n)) for n in (120, 1000) for _ in range(5)]
+    finnish = "Suomen kieli kuuluu uralilaiseen kielikuntaan ja sitä puhutaan pääosin Suomessa. Kirjasto on avoinna joka päivä kello kahdeksasta alkaen, ja lapset saavat lainata kirjoja ilmaiseksi."
+    code = "def f(x):\n  for i in range(10):\n    if x[i] is None: return foo(bar, baz)\n  raise ValueError('bad')\n" * 3
+    assert all(langid.predict([*noise, finnish, code], model)[2])
+    clean = [r.text for r in docs.where("lang IS NOT NULL AND text IS NOT NULL").collect()]
+    assert sum(langid.predict(clean, model)[2]) == 0
+
+
+def test_language_floors_against_a_plain_version(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").where("lang IN ('en', 'de')")
+    model = langid.fit(spark, docs, reject=1.0)
+    rows = docs.where("text IS NOT NULL").where(~langid.held_out(F.col("doc_id"))).collect()
+    langs, scores, _, sizes = langid.measured([r.text for r in rows], model)
+    cells = {}
+    for r, lang, score, size in zip(rows, langs, scores, sizes, strict=True):
+        if lang == r.lang and langid.has_letter(r.text):
+            cells.setdefault((lang, size), []).append(int(score * langid.BINS) / langid.BINS)
+    low = {k: sorted(v)[int(len(v) * langid.QUANTILE)] for k, v in cells.items()}
+    for i, lang in enumerate(model["langs"]):
+        floor = min(v for (k, _), v in low.items() if k == lang) / 2
+        for size in range(langid.SIZES):
+            if (lang, size) in low:
+                floor = max(floor, min(low[lang, z] for z in range(size, langid.SIZES) if (lang, z) in low))
+            assert model["floors"][i, size] == pytest.approx(floor)
 
 
 def plain_scores(texts, model):

@@ -3,14 +3,17 @@
 A text is a vector of hashed byte 2- and 3-grams (lower-cased, everything that is not a letter taken as space),
 square root of counts times inverse document frequency, of unit length. Each language has `clusters` centroids,
 found by spherical k-means over a bounded sample of labelled documents; a text gets the language of the centroid
-with the largest cosine, which is its score. A text is rejected when it has no letter, or when its cosine
-is below `reject` times the lowest cosine seen in the sample and below `MOST_REJECT`, so that a narrow sample does
-not turn clean texts away.
-
-Fitting reads about `fit_rows` documents in all (a documented bound: those with the smallest hashes of id and text,
-so the sample does not depend on how the table is cut; of repeated rows one counts); prediction covers whole texts of
-all rows. The rejection is for noise that shares few n-grams with any learned language: a text in another language
-that is written in the same letters may well pass, and is then given the nearest learned language.
+with the largest cosine, which is its score. A text is rejected when it has no letter, or when its cosine is below
+its language's floor for its size: cosines grow with the number of distinct n-grams, so sizes are told apart by powers
+of two. A floor is `reject` times the cosine that all but `QUANTILE` of the learnable texts of that language and size
+exceed, rounded down to BINS steps; floors never fall with size, and a size without texts has the floor of the next
+smaller one (half the smallest's floor where there is none), so that short clean texts, whose cosines are low, stay.
+
+Centroids are fitted on about `fit_rows` documents in all (a documented bound: those with the smallest hashes of id and
+text, so the sample does not depend on how the table is cut; of repeated rows one counts; of more languages than that,
+one text each or so); floors are counted over all learnable rows, and prediction covers whole texts of all rows.
+Noise and foreign texts go where they share fewer n-grams with every learned language than its own texts of that size
+do. What is labelled as a language is learned as that language, junk too; a foreign text of a few words may pass.
 
 Defined cases: null texts and texts without a letter give `und`, score 0 and rejected; rows without a label are
 predicted but not learned from; with nothing to learn from, all is `und`; a null doc_id is not held out and not
@@ -26,12 +29,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from . import words
 
 DIM = 4096
 BLOCK_DOCS, BLOCK_BYTES = 128, 1 << 20
-MOST_REJECT = 0.1
+SIZES, BINS, QUANTILE = 13, 256, 0.01
 PIECE = 1000  # texts that are Python strings at a time
 LETTER = regex.compile(r"\p{L}")
 
@@ -111,11 +115,11 @@ def k_means(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
-def fit(spark: SparkSession, docs: DataFrame, clusters: int = 4, fit_rows: int = 6000, reject: float = 0.5) -> dict:
+def fit(spark: SparkSession, docs: DataFrame, clusters: int = 4, fit_rows: int = 6000, reject: float = 0.6) -> dict:
     """Centroids of the languages in docs(doc_id, text, lang); held-out rows are never read for it."""
     rows = docs.select("doc_id", "text", "lang").where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     totals = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    each = max(8, fit_rows // max(1, len(totals)))
+    each = max(1, fit_rows // max(1, len(totals)))
     share = F.create_map(*[F.lit(x) for k, n in totals.items() for x in (k, min(1.0, each / n))]) if totals else None
     got: dict[str, list] = {}
     if totals:
@@ -140,48 +144,75 @@ def fit(spark: SparkSession, docs: DataFrame, clusters: int = 4, fit_rows: int =
         for ids, _ in got[k]:
             df[np.frombuffer(ids, np.uint16)] += 1
     idf = (np.log((1 + sum(map(len, got.values()))) / (1 + df)) + 1).astype(np.float32)
-    centroids, owner, lowest = [], [], 1.0
+    centroids, owner = [], []
     for i, k in enumerate(langs):
         x = np.zeros((len(got[k]), DIM), np.float32)  # one language at a time: the driver holds few dense rows
         for row, (ids, n) in zip(x, got.pop(k), strict=True):
             row[np.frombuffer(ids, np.uint16)] = np.frombuffer(n, np.uint32)
-        x = vectors(x, idf)
-        c = k_means(x, clusters)
-        lowest = min(lowest, float((x @ c.T).max(1).min()))
+        c = k_means(vectors(x, idf), clusters)
         centroids.append(c)
         owner += [i] * len(c)
-    return {"langs": langs, "idf": idf, "centroids": np.concatenate(centroids) if langs else np.zeros((0, DIM), np.float32), "owner": np.array(owner, int), "reject": min(MOST_REJECT, reject * lowest)}
+    model = {"langs": langs, "idf": idf, "centroids": np.concatenate(centroids) if langs else np.zeros((0, DIM), np.float32), "owner": np.array(owner, int), "floors": np.zeros((len(langs), SIZES))}
+    return {**model, "floors": reject * lows(spark, rows, model)}
+
+
+def lows(spark: SparkSession, rows: DataFrame, model: dict) -> np.ndarray:
+    """For each language and size the cosine that all but QUANTILE of its rows(text, lang) exceed that are predicted as it."""
+    out = np.zeros((len(model["langs"]), SIZES))
+    if not model["langs"]:
+        return out
+    cells = classify(spark, rows.select("text", "lang"), model).where(F.col("__found.lang") == F.col("lang")).select("lang", F.col("__found.size").alias("size"), F.floor(F.col("__found.score") * BINS).alias("bin"))
+    counted = cells.groupBy("lang", "size", "bin").agg(F.count(F.lit(1)).alias("n"))
+    own = W.Window.partitionBy("lang", "size")
+    upto, whole = F.sum("n").over(own.orderBy("bin")), F.sum("n").over(own)
+    low = counted.withColumn("upto", upto).withColumn("whole", whole).where(F.col("upto") > QUANTILE * F.col("whole")).groupBy("lang", "size").agg(F.min("bin").alias("bin"))
+    at = {k: i for i, k in enumerate(model["langs"])}
+    for r in low.collect():
+        out[at[r.lang], r["size"]] = r.bin / BINS
+    seen = np.where(out > 0, out, np.inf)  # a size is held to no more than any larger one
+    least = np.minimum.accumulate(seen[:, ::-1], 1)[:, ::-1]
+    smaller = np.where(np.isfinite(least[:, :1]), least[:, :1], 0) / 2  # than any seen
+    return np.maximum.accumulate(np.maximum(np.where(out > 0, least, 0), smaller), 1)
 
 
 def predict(texts: Sequence[str | None], model: dict) -> tuple[list[str], list[float], list[bool]]:
-    langs, scores, gone = ["und"] * len(texts), [0.0] * len(texts), [True] * len(texts)
+    """Language, score and whether it is rejected, of each text."""
+    return measured(texts, model)[:3]
+
+
+def measured(texts: Sequence[str | None], model: dict) -> tuple[list[str], list[float], list[bool], list[int]]:
+    """As `predict`, with the size: the number of distinct n-grams as a power of two."""
+    langs, scores, gone, sizes = ["und"] * len(texts), [0.0] * len(texts), [True] * len(texts), [0] * len(texts)
     if not model["langs"]:
-        return langs, scores, gone
+        return langs, scores, gone, sizes
     for i, j in blocks(texts):
         own = [n for n in range(i, j) if has_letter(texts[n])]
         if own:
-            cos = vectors(counts([texts[n] for n in own]), model["idf"]) @ model["centroids"].T
+            raw = counts([texts[n] for n in own])
+            size = np.log2(np.maximum(np.count_nonzero(raw, axis=1), 1)).astype(int)
+            cos = vectors(raw, model["idf"]) @ model["centroids"].T
             best = cos.argmax(1)
-            for n, k, s in zip(own, best, cos[np.arange(len(own)), best], strict=True):
-                langs[n], scores[n] = model["langs"][model["owner"][k]], float(min(1.0, max(0.0, s)))
-                gone[n] = scores[n] < model["reject"]
-    return langs, scores, gone
+            for n, k, s, z in zip(own, best, cos[np.arange(len(own)), best], size.tolist(), strict=True):
+                at = model["owner"][k]
+                langs[n], scores[n], sizes[n] = model["langs"][at], float(min(1.0, max(0.0, s))), z
+                gone[n] = bool(scores[n] < model["floors"][at, z])
+    return langs, scores, gone, sizes
 
 
 def classify(spark: SparkSession, docs: DataFrame, model: dict) -> DataFrame:
-    """docs(text, ...) with __found: lang, score and rejected. Only the texts go to Python, and only the struct comes back."""
+    """docs(text, ...) with __found: lang, score, rejected and size. Only the texts go to Python, and only the struct comes back."""
     fitted = spark.sparkContext.broadcast(model)
 
     def found(texts: pa.Array) -> pa.Array:
-        out: tuple[list, list, list] = ([], [], [])
+        out: tuple[list, ...] = ([], [], [], [])
         for begin in range(0, len(texts), PIECE):
-            for held, new in zip(out, predict(texts.slice(begin, PIECE).to_pylist(), fitted.value), strict=True):
+            for held, new in zip(out, measured(texts.slice(begin, PIECE).to_pylist(), fitted.value), strict=True):
                 held += new
         words.trim()
-        return pa.StructArray.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.string(), pa.float64(), pa.bool_()), strict=True)], ["lang", "score", "rejected"])
+        return pa.StructArray.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.string(), pa.float64(), pa.bool_(), pa.int32()), strict=True)], ["lang", "score", "rejected", "size"])
 
     # non-deterministic in name only, so that a filter on its result does not run it twice
-    return docs.withColumn("__found", F.arrow_udf(found, "lang string, score double, rejected boolean").asNondeterministic()(F.col("text")))
+    return docs.withColumn("__found", F.arrow_udf(found, "lang string, score double, rejected boolean, size int").asNondeterministic()(F.col("text")))
 
 
 def identify(spark: SparkSession, docs: DataFrame) -> DataFrame:
