@@ -223,6 +223,11 @@ def test_branches_part_unrelated_crowds_and_find_their_links(spark):
 def test_trees_follow_threshold_and_recall():
     assert [len(neardup.root_picks(t)) for t in (0.8, 0.85, 0.95)] == [10, 8, 6]
     assert all(len(neardup.root_picks(t)) <= neardup.ROOTS for t in (0.5, 0.6, 0.7))
+    for t in (0.2, 0.3, 0.4):
+        assert 1 - (1 - t * neardup.NODE_RECALL) ** len(neardup.root_picks(t)) >= 0.9999
+        assert len(neardup.root_picks(t)) <= neardup.first_branch(t) < neardup.POSITIONS
+    with pytest.raises(ValueError):
+        neardup.trees(0.1)
     assert neardup.parted(0.85, 1) == pytest.approx(0.15 * (1 - neardup.extra(0.85)) + 0.15**2 * neardup.extra(0.85))
     assert neardup.repeats(0.85, 1) == 2 and neardup.repeats(0.85, 8) >= 4
 
@@ -231,6 +236,17 @@ def thue_morse(n):
     return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
 
 
+def test_low_similarities_are_linked(spark):
+    rng = random.Random(5)
+    docs = []
+    for _ in range(60):  # pairs of sets that share 22 of 56 or more words, just over 0.3
+        common_words = [f"w{rng.randrange(10**9)}" for _ in range(22)]
+        docs += [" ".join(common_words + [f"w{rng.randrange(10**9)}" for _ in range(17)]) for _ in range(2)]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    comp = {r.doc_id: r.component_id for r in neardup.link(spark, df, k=1, percent=30).collect()}
+    assert comp == {i: i - i % 2 for i in range(len(docs))}
+
+
 def test_structured_words_do_not_collide(spark):
     long, other = thue_morse(1024), thue_morse(2048)[1024:]
     short, differ = thue_morse(32), thue_morse(64)[32:]

@@ -34,6 +34,7 @@ only where no document has its words, and then one for each text.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 from collections.abc import Iterator
@@ -47,7 +48,7 @@ from pyspark.sql import window as W
 from . import common, words
 
 POSITIONS, WIDE = 128, 1024
-ROOTS = 32  # positions that root children may use
+ROOTS, MOST_ROOTS = 32, 63  # positions that are kept for root children, and bits of a mask of them
 RECALL, NODE_RECALL = 0.99999, 0.9  # of a pair at the threshold: by all trees, and by the branches of one large root child
 SMALL, DEPTH, PIVOTS = 256, 8, 4
 BLOCK, WORK = 4096, 1 << 20  # most sets of a block; comparisons in a node that are not worth branching
@@ -118,9 +119,21 @@ def parted(least: float, levels: int) -> float:
 
 
 def trees(least: float) -> int:
-    """How many trees bring a pair at the threshold together with the chance RECALL, if each root child that it shares does with NODE_RECALL."""
+    """How many trees bring a pair at the threshold together with the chance RECALL, if each root child that it shares does with NODE_RECALL.
+
+    A similarity under about 0.2 asks for more root children than a mask has bits for; it raises, as recall would drop.
+    """
     roots = math.log(1 - RECALL) / math.log(1 - least * NODE_RECALL)
-    return min(ROOTS // 2, math.ceil(roots / (1 + extra(least))))
+    n = math.ceil(roots / (1 + extra(least)))
+    if int(n * (1 + extra(least))) > MOST_ROOTS:
+        raise ValueError(f"a similarity of {least} asks for {n} trees, more than a set's mask can name")
+    return n
+
+
+@functools.cache
+def first_branch(least: float) -> int:
+    """The first position that branches use: those before it are the root children's."""
+    return max(ROOTS, len(root_picks(least)))
 
 
 def repeats(least: float, levels: int) -> int:
@@ -144,7 +157,8 @@ def branch(key: int, rows: np.ndarray, least: float, again: int = 0) -> list[tup
     """(child's key, places of its rows) for sketches of a node; `again` counts independent branchings of one node."""
     own = words.mix64(np.array([key], np.int64).view(_U) + _U(again << 48))
     seed = words.mix64(np.repeat(own, 2) + np.array([1, 2], _U))
-    spots = [ROOTS + int(seed[0] % _U(POSITIONS - ROOTS))] + ([ROOTS + int((seed[1] >> _U(8)) % _U(POSITIONS - ROOTS))] if int(seed[1] & _U(0xFF)) < 256 * extra(least) else [])
+    low = first_branch(least)
+    spots = [low + int(seed[0] % _U(POSITIONS - low))] + ([low + int((seed[1] >> _U(8)) % _U(POSITIONS - low))] if int(seed[1] & _U(0xFF)) < 256 * extra(least) else [])
     out = []
     flat = rows.view(np.uint8)
     for p in dict.fromkeys(spots):
