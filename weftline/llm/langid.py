@@ -6,8 +6,9 @@ found by spherical k-means over a bounded sample of labelled documents; a text g
 with the largest cosine, which is its score. A text is rejected when it has no letter, or when its cosine is below
 its language's floor for its size: cosines grow with the number of distinct n-grams, so sizes are told apart by powers
 of two. A floor is `reject` times the cosine that all but `QUANTILE` of the learnable texts of that language and size
-exceed, rounded down to BINS steps; floors never fall with size, and a size without texts has the floor of the next
-smaller one (half the smallest's floor where there is none), so that short clean texts, whose cosines are low, stay.
+exceed, rounded down to BINS steps; floors never fall with size, and a size with fewer than 1 / QUANTILE texts has the
+floor of the next smaller one, or `reject` times the lowest cosine of its language where none has as many (of any
+language, if the size is below SHORT), so that short clean texts, whose cosines are low, stay.
 
 Centroids are fitted on about `fit_rows` documents in all (a documented bound: those with the smallest hashes of id and
 text, so the sample does not depend on how the table is cut; of repeated rows one counts; of more languages than that,
@@ -36,6 +37,7 @@ from . import words
 DIM = 4096
 BLOCK_DOCS, BLOCK_BYTES = 128, 1 << 20
 SIZES, BINS, QUANTILE = 13, 256, 0.01
+SHORT = 6  # sizes below, some 35 letters, are held to the lowest cosine of any language
 PIECE = 1000  # texts that are Python strings at a time
 LETTER = regex.compile(r"\p{L}")
 
@@ -115,7 +117,7 @@ def k_means(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
-def fit(spark: SparkSession, docs: DataFrame, clusters: int = 4, fit_rows: int = 6000, reject: float = 0.6) -> dict:
+def fit(spark: SparkSession, docs: DataFrame, clusters: int = 4, fit_rows: int = 6000, reject: float = 0.5) -> dict:
     """Centroids of the languages in docs(doc_id, text, lang); held-out rows are never read for it."""
     rows = docs.select("doc_id", "text", "lang").where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     totals = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -165,14 +167,18 @@ def lows(spark: SparkSession, rows: DataFrame, model: dict) -> np.ndarray:
     counted = cells.groupBy("lang", "size", "bin").agg(F.count(F.lit(1)).alias("n"))
     own = W.Window.partitionBy("lang", "size")
     upto, whole = F.sum("n").over(own.orderBy("bin")), F.sum("n").over(own)
-    low = counted.withColumn("upto", upto).withColumn("whole", whole).where(F.col("upto") > QUANTILE * F.col("whole")).groupBy("lang", "size").agg(F.min("bin").alias("bin"))
+    low = counted.withColumn("upto", upto).withColumn("whole", whole).groupBy("lang", "size").agg(F.min(F.when(F.col("upto") > QUANTILE * F.col("whole"), F.col("bin"))).alias("bin"), F.min("bin").alias("least"), F.max("whole").alias("n"))
     at = {k: i for i, k in enumerate(model["langs"])}
+    least = np.full(len(at), BINS)
     for r in low.collect():
-        out[at[r.lang], r["size"]] = r.bin / BINS
-    seen = np.where(out > 0, out, np.inf)  # a size is held to no more than any larger one
-    least = np.minimum.accumulate(seen[:, ::-1], 1)[:, ::-1]
-    smaller = np.where(np.isfinite(least[:, :1]), least[:, :1], 0) / 2  # than any seen
-    return np.maximum.accumulate(np.maximum(np.where(out > 0, least, 0), smaller), 1)
+        least[at[r.lang]] = min(least[at[r.lang]], r.least)
+        if r.n >= 1 / QUANTILE:
+            out[at[r.lang], r["size"]] = r.bin / BINS
+    seen = np.where(out > 0, out, np.inf)
+    seen = np.minimum.accumulate(seen[:, ::-1], 1)[:, ::-1]  # a size is held to no more than any larger one
+    base = np.repeat(np.where(least < BINS, least, 0)[:, None] / BINS, SIZES, 1)
+    base[:, :SHORT] = base.min()
+    return np.maximum.accumulate(np.maximum(np.where(out > 0, seen, 0), base), 1)
 
 
 def predict(texts: Sequence[str | None], model: dict) -> tuple[list[str], list[float], list[bool]]:
