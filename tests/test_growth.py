@@ -11,3 +11,21 @@ def test_word2vec_learns_in_many_tasks(spark, monkeypatch):
     monkeypatch.setattr(Word2Vec, "fit", lambda self, rows: seen.append(self.getNumPartitions()) or fit(self, rows))
     assert e.queries()["train_word2vec_ml"](spark, "/root/testdata/sf0.001").count() > 0
     assert seen == [spark.sparkContext.defaultParallelism]
+
+
+def test_grams_are_counted_in_tasks(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from weftline.functions import arrays
+    from weftline.operators import vocab
+    from weftline.plans import corpora
+
+    docs = spark.createDataFrame([(3, "a b a b c"), (0, "b a  a b"), (1, None), (2, ""), (9, "c"), (7, "a")], "doc_id long, text string")
+    words = corpora.words_of(docs)
+    for n in (1, 2, 3):
+        plain = docs.select(F.col("doc_id").alias("doc"), F.posexplode(arrays.backward_ngrams(words, n)).alias("pos", "word"))
+        monkeypatch.setattr(vocab, "GRAMS", 3)
+        assert sorted(map(tuple, vocab.count_grams(docs, words, n).collect())) == sorted(map(tuple, vocab.count_words(plain).collect()))
+    want = sorted(map(tuple, vocab.fit_ngram_vocab(docs, words, 2, 1).collect()))
+    shifted = vocab.fit_ngram_vocab(docs.withColumn("doc_id", F.col("doc_id") - 100), words, 2, 1)  # places that do not fit
+    assert sorted(map(tuple, shifted.collect())) == want
