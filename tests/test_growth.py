@@ -71,3 +71,14 @@ def test_tfidf_and_agreement_shuffle_no_words(spark):
     got = segment.agreement(held, "doc_id", "t", "f")
     assert {r.doc_id: r.n_right for r in got.collect()} == {1: 1, 2: 1, 3: 0, 4: 0, 5: 1}
     assert not re.search("Exchange|Window", got._jdf.queryExecution().toString())
+
+
+def test_waiting_rows_are_few_values():
+    import numpy as np
+
+    from weftline.streaming import timed
+
+    rows = np.zeros(2 * timed.TOGETHER + 1, timed.WAITS)
+    rows["at"] = np.arange(len(rows))
+    chunks = timed._chunks(rows)
+    assert len(chunks) == 3 and (np.concatenate([np.frombuffer(c, timed.WAITS) for c, in chunks]) == rows).all()

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +20,15 @@ from weftline import storage
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+#: Rows that wait together as one value of the state.
+TOGETHER = 50_000
+WAITS = np.dtype([("at", "<i8"), ("rank", "<i8"), ("v", "<f8")])
+
+
+def _chunks(rows: np.ndarray) -> list[tuple[bytes]]:
+    return [(rows[i : i + TOGETHER].tobytes(),) for i in range(0, len(rows), TOGETHER)]
+
+
 class OrderedFold(StatefulProcessor):
     """key, n, value and ended after each wake: step(value so far or None, next value) over rows by (time, order)."""
 
@@ -28,7 +38,7 @@ class OrderedFold(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.fold = handle.getValueState("fold", "n long, value double, last long, wake long")
-        self.waiting = handle.getListState("waiting", "at long, rank long, v double")
+        self.waiting = handle.getListState("waiting", "rows binary")  # many rows a value
 
     def _wake(self, at: int, old: int) -> None:
         if old != at:
@@ -40,9 +50,11 @@ class OrderedFold(StatefulProcessor):
         n, value, last, wake = self.fold.get() if self.fold.exists() else (0, None, -1, -1)
         held = pd.concat(list(rows), ignore_index=True)
         held.columns = ["key", "time", "__at", "__rank", "__v"]  # names of computed columns do not reach the processor
-        self.waiting.appendList([(int(a), int(r), float(v)) for a, r, v in zip(held["__at"], held["__rank"], held["__v"], strict=True)])
+        rows_ = np.empty(len(held), WAITS)
+        rows_["at"], rows_["rank"], rows_["v"] = held["__at"], held["__rank"], held["__v"]
         last = max(last, int(held["__at"].max()))
         first = int(held["__at"].min())
+        self.waiting.appendList(_chunks(rows_))
         pending = self.waiting.exists() and wake >= 0 and wake < last + self.idle
         at = min(wake, first) if pending else first
         self._wake(at, wake)
@@ -52,24 +64,26 @@ class OrderedFold(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         n, value, last, _ = self.fold.get()
         upto = timerValues.getCurrentWatermarkInMs()
-        rows = sorted(tuple(r) for r in self.waiting.get())
-        ready, rest = [r for r in rows if r[0] <= upto], [r for r in rows if r[0] > upto]
-        for _, _, v in ready:
+        rows = np.concatenate([np.zeros(0, WAITS), *(np.frombuffer(bytes(r[0]), WAITS) for r in self.waiting.get())])
+        rows = rows[np.lexsort((rows["v"], rows["rank"], rows["at"]))]
+        many = int(np.searchsorted(rows["at"], upto, "right"))
+        ready, rest = rows[:many], rows[many:]
+        for v in ready["v"].tolist():
             value = self.step(value, v)
             n += 1
-        ended = not rest and last + self.idle <= upto
+        ended = not len(rest) and last + self.idle <= upto
         if ended:
             self.waiting.clear()
             self.fold.clear()
         else:
-            if rest:
-                self.waiting.put(rest)
+            if len(rest):
+                self.waiting.put(_chunks(rest))
             else:
                 self.waiting.clear()
-            at = rest[0][0] if rest else last + self.idle
+            at = int(rest["at"][0]) if len(rest) else last + self.idle
             self.handle.registerTimer(at)
             self.fold.update((n, value, last, at))
-        if ready or ended:
+        if many or ended:
             yield pd.DataFrame({self.key: [key[0]], "n": [n], "value": [value], "ended": [ended]})
 
     def close(self) -> None:
