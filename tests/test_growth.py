@@ -82,3 +82,57 @@ def test_waiting_rows_are_few_values():
     rows["at"] = np.arange(len(rows))
     chunks = timed._chunks(rows)
     assert len(chunks) == 3 and (np.concatenate([np.frombuffer(c, timed.WAITS) for c, in chunks]) == rows).all()
+
+
+def test_trees_write_rows_once_and_shuffle_sums_only(spark, monkeypatch):
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from weftline import storage
+    from weftline.models import boost
+
+    rng = random.Random(5)
+    rows = [(i, i % 3 % 2, {f"w{k}": rng.randrange(1, 6) for k in rng.sample(range(9), rng.randrange(6))}) for i in range(90)]
+    df = spark.createDataFrame(rows, "id long, label int, bag map<string,int>").repartition(3)
+    written, write = [], storage.materialize
+    monkeypatch.setattr(storage, "materialize", lambda df, name: written.append(name) or write(df, name))
+    want = boost.fit(df, 5, 2)
+    assert written == ["blocks"]  # not once a tree
+    plan = boost._sums(write(boost._blocks(df), "blocks"), want[:1], boost.Tree({}, {}), [0])
+    assert plan.count() <= 3 * 9 * 5  # one row for each task, feature and bin
+
+    plain = {r.id: r.s for r in df.select("id", boost.score(want).alias("s")).collect()}
+    assert {r.id: r.score for r in boost.scores(df, want, ("id",)).collect()} == plain
+    for name, small in (("HELD_SUMS", 3), ("BATCH_ROWS", 2), ("HELD_TREES", 2)):
+        monkeypatch.setattr(boost, name, small)
+    odd = df.unionByName(spark.createDataFrame([(-1, None, {"w1": 1})], df.schema))  # a row without a label is left out
+    got = boost.fit(odd, 5, 2)
+    assert [t.splits for t in got] == [t.splits for t in want] and len(written) > 2
+    assert all(abs(g.weights[k] - w.weights[k]) < 1e-9 for g, w in zip(got, want, strict=True) for k in w.weights)
+    assert boost.fit(df.where("id < 0"), 2) == [boost.Tree({}, {})] * 2
+
+    bag = pa.array([list(b.items()) for _, _, b in rows], pa.map_(pa.string(), pa.int32()))
+    for name, small, most in (("BLOCK_ENTRIES", 4, 5), ("BLOCK_ROWS", 7, 7)):  # a row alone may have five entries
+        monkeypatch.setattr(boost, name, small)
+        blocks = [boost._Block(b) for b in boost._cut(np.array([y for _, y, _ in rows]), bag)]
+        assert max(len(b.places) if name == "BLOCK_ENTRIES" else len(b.y) for b in blocks) <= most
+        assert [float(s) for b in blocks for s in b.score(want)] == [plain[i] for i in range(90)]
+        assert [y for b in blocks for y in b.y] == [y for _, y, _ in rows]
+        monkeypatch.setattr(boost, name, 1000)
+
+
+def test_bags_are_made_in_rows(spark):
+    from pyspark.sql import functions as F
+
+    from weftline.models import boost
+    from weftline.plans import corpora
+
+    docs = spark.createDataFrame([(1, "b a a A a", 1), (1, "a c", 0), (2, None, 1), (3, "", 0), (4, "b d", 1), (None, "c", 1)], "doc_id long, text string, label int")
+    got = boost.bags(docs, corpora.words_of(docs, True), 3, 4, keep=("label",))
+    want = [(None, 1, {"c": 1}), (1, 0, {"a": 1, "c": 1}), (1, 1, {"a": 3, "b": 1}), (2, 1, {}), (3, 0, {}), (4, 1, {"b": 1})]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()  # neither texts nor counts of documents are moved
+    assert [r.bag for r in boost.bags(docs.where("doc_id > 1 AND doc_id < 4"), corpora.words_of(docs, True)).select(F.col("bag")).collect()] == [{}, {}]
