@@ -369,7 +369,8 @@ def lda_topics(spark, sf_dir):
 @query()
 def boosted_trees(spark, sf_dir):
     """Ten trees on the words of the labelled documents, four fifths of which they learn from: log odds of good quality."""
-    d = docs(spark, sf_dir).select("doc_id", "text").join(storage.table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")), "doc_id")
+    labels = storage.table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    d = docs(spark, sf_dir).select("doc_id", "text").join(F.broadcast(labels) if storage.fits(labels) else labels, "doc_id")
     d = storage.materialize(d.repartition("doc_id"), "labelled")  # read twice: for the features and for the bags
     rows = storage.materialize(boost.bags(d, corpora.words_of(d, True), keep=("label",)), "bags")
     trees = boost.fit(rows.where("doc % 5 <> 0"), 10, 3)
