@@ -136,3 +136,16 @@ def test_bags_are_made_in_rows(spark):
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
     assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()  # neither texts nor counts of documents are moved
     assert [r.bag for r in boost.bags(docs.where("doc_id > 1 AND doc_id < 4"), corpora.words_of(docs, True)).select(F.col("bag")).collect()] == [{}, {}]
+
+
+def test_char_vocab_is_that_of_its_sql(spark, tmp_path):
+    import duckdb
+
+    from conftest import assert_same
+
+    long_ = "a" * 1_000_003 + "z"  # its places go into those of the next document
+    rows = [(0, "b a \U0001f600"), (1, ""), (2, " \t\n\r\f\x0b"), (3, None), (4, long_), (5, "yxw"), (9, "\u0000v\x1c"), (-7, "u"), (11, "  ")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert_same(e.queries()["char_vocab"](spark, str(tmp_path)), con, e.oracle_sql()["char_vocab"])

@@ -86,8 +86,7 @@ CHARS = r"string_split(regexp_replace(text, '[ \t\n\r\f\x0B]+', '', 'g'), '')"
 @query(f"WITH c AS (SELECT doc_id AS doc, {CHARS} AS c FROM documents), t AS (SELECT doc, unnest(c) AS word, generate_subscripts(c, 1) - 1 AS pos FROM c) "
        f"SELECT word, id::BIGINT AS id, freq FROM ({most_common(509, 3)})")
 def char_vocab(spark, sf_dir):
-    d = docs(spark, sf_dir)
-    return vocab.fit_vocab(vocab.tokens(d, corpora.chars_of(d)), config.POLICIES["lm_chars"])
+    return corpora.char_vocab(docs(spark, sf_dir), config.POLICIES["lm_chars"])
 
 
 @query(f"""WITH t AS ({toks()}), c AS (SELECT word, count(*) AS freq FROM t GROUP BY word)

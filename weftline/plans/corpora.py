@@ -16,8 +16,14 @@ def words_of(docs: DataFrame, lower: bool = False) -> F.Column:
 
 
 def chars_of(docs: DataFrame) -> F.Column:
-    """The characters of all words, without what is between them."""
-    return text.chars(F.regexp_replace("text", text.SPACE, ""))
+    """The characters of all words, without what is between them; a text without words is one empty character."""
+    bare = F.regexp_replace("text", text.SPACE, "")
+    return F.when(bare == "", F.array(F.lit(""))).otherwise(text.chars(bare))
+
+
+def char_vocab(docs: DataFrame, policy: vocab.VocabPolicy) -> DataFrame:
+    """word, id, freq of the characters of all words."""
+    return vocab.fit_char_vocab(docs, chars_of(docs), policy)
 
 
 def word_ids(docs: DataFrame, policy: vocab.VocabPolicy, lower: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -122,7 +128,7 @@ def lm_splits(docs: DataFrame, budgets) -> DataFrame:
 
 def _lm_input(docs: DataFrame, cfg: config.CharWordLM, chars: vocab.VocabPolicy | None, lower: vocab.VocabPolicy | None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Sentences (doc_id and sent as one column, words) and the vocabularies of characters and words of whole documents."""
-    c = storage.materialize(vocab.fit_list_vocab(docs, chars_of(docs), chars or config.POLICIES["lm_chars"]), "chars")
+    c = storage.materialize(char_vocab(docs, chars or config.POLICIES["lm_chars"]), "chars")
     w = storage.materialize(vocab.fit_list_vocab(docs, words_of(docs, True), lower or config.POLICIES["lm_words"]), "words")
     sents = storage.materialize(lm_sentences(docs, most=cfg.sentence_length).select(F.struct("doc_id", "sent").alias("doc_id"), "words"), "sentences")
     return sents, c, w
