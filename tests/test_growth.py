@@ -149,3 +149,29 @@ def test_char_vocab_is_that_of_its_sql(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     assert_same(e.queries()["char_vocab"](spark, str(tmp_path)), con, e.oracle_sql()["char_vocab"])
+
+
+def test_draws_are_made_where_the_lists_are(spark, monkeypatch):
+    import hashlib
+
+    import numpy as np
+
+    from weftline.functions import digest
+    from weftline.operators import pairs
+
+    texts = [f"1-{i * 7919}-{-i}".encode() for i in range(5000)] + [b"", b"x" * digest.MOST]
+    sizes, rows = np.array([len(x) for x in texts]), np.zeros((len(texts), 64), np.uint8)
+    for i, x in enumerate(texts):
+        rows[i, : len(x)] = np.frombuffer(x, np.uint8)
+    digest.closed(rows, sizes)
+    assert digest.first_bits(rows).tolist() == [int(hashlib.md5(x).hexdigest()[:15], 16) for x in texts]
+    lists = spark.createDataFrame([(1 << 62, list(range(30)) * 40), (-5, [1, None, 2, 3]), (7, []), (8, None), (0, [4, 4]), (12, [3])], "doc long, ids array<int>")
+    dist = spark.createDataFrame([(i, (i * 7) % 5) for i in range(30)], "id long, slots long")
+    monkeypatch.setattr(pairs, "DRAWN", 3)  # some parts
+    got = pairs.list_negatives(lists, dist, 3, 2)
+    assert "md5" not in got._jdf.queryExecution().toString()
+    want = pairs.negative_samples(pairs.list_windows(lists, 3), dist, 2, ["doc", "pos", "distance"], keep=["center", "ctx"])
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    monkeypatch.setattr(pairs, "HELD_WORDS", 0)
+    assert sorted(map(tuple, pairs.list_negatives(lists, dist, 3, 2).collect())) == sorted(map(tuple, want.collect()))
+    assert pairs.list_negatives(lists, dist.where("slots = 0"), 3, 2).count() == 0
