@@ -175,3 +175,50 @@ def test_draws_are_made_where_the_lists_are(spark, monkeypatch):
     monkeypatch.setattr(pairs, "HELD_WORDS", 0)
     assert sorted(map(tuple, pairs.list_negatives(lists, dist, 3, 2).collect())) == sorted(map(tuple, want.collect()))
     assert pairs.list_negatives(lists, dist.where("slots = 0"), 3, 2).count() == 0
+
+
+def test_triples_are_made_where_the_lists_are(spark, monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from weftline.models import kernels, train
+    from weftline.operators import pairs
+
+    lists = spark.createDataFrame([(d, [(d * 3 + i * i) % 12 if (d + i) % 4 else None for i in range(40)]) for d in range(20)] + [(30, []), (31, None), (32, [5])], "doc long, ids array<int>")
+    v = spark.createDataFrame([(i, 20 + (i * 7) % 5) for i in range(12)], "id long, freq long")
+    dist = spark.createDataFrame([(i, (i * 7) % 5) for i in range(12)], "id long, slots long")
+    paths = pairs.huffman_paths(v)
+    monkeypatch.setattr(pairs, "MIXED", 64)
+    both = pairs.list_windows(lists, 3)
+    drawn = pairs.list_negatives(lists, dist, 3, 2)
+    wants = (sorted([(r.center, r.ctx, 1) for r in both.collect()] + [(r.center, r.neg, 0) for r in drawn.collect()]), sorted(map(tuple, pairs.path_pairs(both.select("center", "ctx"), paths).collect())))
+    for most in (pairs.HELD_WORDS, 0):
+        monkeypatch.setattr(pairs, "HELD_WORDS", most)
+        monkeypatch.setattr(pairs, "HELD_NODES", most)
+        for want, (rows, made) in zip(wants, (pairs.draw_triples(lists, dist, 3, 2), pairs.path_triples(lists, paths, 3)), strict=True):
+            assert rows.columns == (["doc", "ids"] if most else ["center", "node", "sign"])  # nothing else is written
+            got = [np.stack(x, 1) for b in rows.toArrow().to_batches() for x in made(iter([b]))]
+            assert sorted(map(tuple, np.concatenate(got).tolist())) == want
+            assert not most or all((x[:, 2] == 0).any() and (x[:, 2] == 1).any() for x in got if len(x) > 30)
+            _, losses = train.skipgram(rows, 12, 4, 6, nodes=24, rate=0.02, size=64, expand=made)
+            assert losses[-1] < losses[0]
+    r, p = np.random.default_rng(1), kernels.skipgram_init(9, 4, 1)
+    p["v"] += r.normal(0, 1, p["v"].shape)
+    center, node, sign = r.integers(0, 9, 200), r.integers(0, 9, 200), r.integers(0, 2, 200)
+    q = {k: x.copy() for k, x in p.items()}
+    a, b = p["w"][center], p["v"][node]
+    g = (kernels.sigmoid((a * b).sum(-1)) - sign)[:, None]
+    np.add.at(q["w"], center, -0.1 * g * b)
+    np.add.at(q["v"], node, -0.1 * g * a)
+    want = kernels.skipgram_loss(p, center, node, sign)
+    assert np.isclose(kernels.skipgram_step(p, center, node, sign, 0.1), want) and all(np.allclose(p[k], q[k]) for k in p)
+
+
+def test_a_round_has_no_more_tasks_than_cores(spark, monkeypatch):
+    from weftline.models import train
+
+    seen, plain = [], train._means
+    cells = spark.range(400).selectExpr("id % 12 AS w_id", "id % 7 AS c_id", "1.0D + id % 5 AS x").repartition(40)
+    monkeypatch.setattr(train, "_means", lambda moved, width: seen.append(moved.rdd.getNumPartitions()) or plain(moved, width))
+    train.glove(cells, 12, 4, 2)
+    assert seen == [spark.sparkContext.defaultParallelism] * 2
