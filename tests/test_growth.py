@@ -222,3 +222,41 @@ def test_a_round_has_no_more_tasks_than_cores(spark, monkeypatch):
     monkeypatch.setattr(train, "_means", lambda moved, width: seen.append(moved.rdd.getNumPartitions()) or plain(moved, width))
     train.glove(cells, 12, 4, 2)
     assert seen == [spark.sparkContext.defaultParallelism] * 2
+
+
+def test_documents_are_read_together(spark, monkeypatch):
+    import numpy as np
+
+    from weftline.models import kernels, train
+
+    r, p = np.random.default_rng(2), kernels.han_init(30, 4, 1, 5, 3)
+    docs = [(d, int(n), [r.integers(1, 30, r.integers(0, 7)).tolist() for _ in range(r.integers(1, n + 1))]) for d, n in enumerate(r.choice([1, 2, 5, 9], 40))]
+    monkeypatch.setattr(kernels, "LINES", 7)
+    monkeypatch.setattr(train, "HELD_LINES", 20)
+    got = dict(map(tuple, train.infer_documents(spark.createDataFrame(docs, "doc long, most int, sents array<array<int>>"), p, 6).collect()))
+    for d, most, sents in docs:
+        ids = np.zeros((1, most, 6), int)
+        for i, x in enumerate(sents):
+            ids[0, i, : len(x)] = x
+        assert np.allclose(got[d], kernels.han(p, ids)[0], rtol=1e-12, atol=1e-14)
+
+
+def test_sentences_are_scored_without_their_padding(spark, monkeypatch):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from weftline.models import kernels
+    from weftline.operators import vocab
+
+    r, names = np.random.default_rng(4), ["ab", "Ab", "c", "dddddd", "éx", "abc", "zz"]
+    rows = spark.createDataFrame([(i, r.choice(names, r.integers(1, 9)).tolist()) for i in range(60)], "doc_id long, words array<string>")
+    chars = spark.createDataFrame([(c, 3 + i, 1) for i, c in enumerate("abcdx")], "word string, id long, freq long")
+    words = spark.createDataFrame([(w, 2 + i, 1) for i, w in enumerate(["ab", "c", "zz"])], "word string, id long, freq long")
+    p = kernels.char_word_init(9, 6, 1, 3, 4, 3, 4)
+    monkeypatch.setattr(vocab, "SCORED", 25)
+    got = {x.doc: x for x in vocab.sentence_losses(rows, F.col("words"), chars, words, 8, 4, kernels.char_word_losses, p).collect()}
+    assert len(got) == 60
+    for x in vocab.char_places(rows, F.col("words"), chars, words, 8, 4).collect():
+        loss = kernels.cross_entropy(kernels.char_word_lm(p, np.array([[q.chars for q in x.places]])), np.array([[q.word_id for q in x.places]]))[0]
+        weight = np.array([q.weight for q in x.places])
+        assert np.isclose(got[x.doc].loss, (loss * weight).sum()) and got[x.doc].n == weight.sum()
