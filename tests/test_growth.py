@@ -260,3 +260,17 @@ def test_sentences_are_scored_without_their_padding(spark, monkeypatch):
         loss = kernels.cross_entropy(kernels.char_word_lm(p, np.array([[q.chars for q in x.places]])), np.array([[q.word_id for q in x.places]]))[0]
         weight = np.array([q.weight for q in x.places])
         assert np.isclose(got[x.doc].loss, (loss * weight).sum()) and got[x.doc].n == weight.sum()
+
+
+def test_parameters_come_to_the_driver_as_blocks(spark, monkeypatch):
+    import numpy as np
+    from pyspark.sql import DataFrame
+
+    from weftline.models import train
+
+    seen, plain = [], DataFrame.toLocalIterator
+    monkeypatch.setattr(DataFrame, "toLocalIterator", lambda self, *a, **k: (seen.append(r) or r for r in plain(self, *a, **k)))
+    moves = lambda p, i: (p["a"].__setitem__(i, p["a"][i] + [1.0, 2.0, 3.0]), p["b"].__setitem__(i % 7, 1.0), 0.5)[-1]
+    params, losses = train.averaged(spark.range(3000).repartition(4), {"a": np.zeros((3000, 3)), "b": np.zeros((7, 1))}, moves, 1, 64)
+    assert losses == [0.5] and (params["a"] == [1, 2, 3]).all() and (params["b"] == 1).all()
+    assert len(seen) < 60  # not a row for each of the model's
