@@ -274,3 +274,17 @@ def test_parameters_come_to_the_driver_as_blocks(spark, monkeypatch):
     params, losses = train.averaged(spark.range(3000).repartition(4), {"a": np.zeros((3000, 3)), "b": np.zeros((7, 1))}, moves, 1, 64)
     assert losses == [0.5] and (params["a"] == [1, 2, 3]).all() and (params["b"] == 1).all()
     assert len(seen) < 60  # not a row for each of the model's
+
+
+def test_counted_pairs_go_packed_to_their_center(spark, monkeypatch):
+    from weftline.operators import pairs
+
+    v = spark.createDataFrame([(i, 20 + (i * 7) % 11) for i in range(40)], "id long, freq long")
+    counts = spark.createDataFrame([(c, x, 1 + (c * x) % 5) for c in range(40) for x in range(0, 44, 1 + c % 3)], "center long, ctx long, n long").repartition(5)
+    paths = pairs.huffman_paths(v)
+    monkeypatch.setattr(pairs, "SUMMED", 50)
+    monkeypatch.setattr(pairs, "PATHED", 7)
+    got = pairs.path_counts(counts, paths)
+    assert "share" in got._jdf.queryExecution().toString() and "Sort" not in got._jdf.queryExecution().executedPlan().toString()
+    want = pairs.path_pairs(counts, paths).groupBy("center", "node", "sign").agg({"n": "sum"})
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
